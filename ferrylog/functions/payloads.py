@@ -15,9 +15,20 @@ LOWER_UUID = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 EMPTY_OBJECT = "{}"
 
 
+def json_value(text: Column) -> Column:
+    """The text as a parsed value; NULL unless all of it is one JSON value.
+
+    The parser stops after the first value and forgives what follows. Wrapped in an array, only
+    a ``]`` or a second element may follow; wrapped in an object, only a ``}`` or ``,`` may.
+    """
+    listed = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+    held = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    return F.when(held.isNotNull() & (F.size(listed) == 1), F.get(listed, F.lit(0)))
+
+
 def json_kind(text: Column) -> Column:
     """Spark's type name of a JSON value (OBJECT..., ARRAY..., BIGINT, ...); NULL where it does not parse."""
-    return F.schema_of_variant(F.try_parse_json(text))
+    return F.schema_of_variant(json_value(text))
 
 
 def object_or_empty(text: Column) -> Column:
@@ -59,7 +70,8 @@ def text_type(text: Column) -> Column:
 
 def json_value_type(text: Column) -> Column:
     """Field type of a value given as JSON text (``"abc"``, ``12``, ``true``, ``{...}``)."""
-    value, kind = F.try_parse_json(text), json_kind(text)
+    value = json_value(text)
+    kind = F.schema_of_variant(value)
     body = F.try_variant_get(value, "$", "string")
     number = F.try_variant_get(value, "$", "double")
     whole = F.trim(text).rlike(r"^-?\d+$")

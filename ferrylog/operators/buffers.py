@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ferrylog.operators.ordering import SEGMENT, TARGET_ROWS, running, with_segments
 
@@ -86,7 +87,7 @@ def buffer_greedy(
 
     same = [F.col(f"r.{n}").eqNullSafe(F.col(f"s.{n}")) for n in group]
     begun = rows.alias("r").join(starts.alias("s"), same).select("r.*", "s._start")
-    begun_schema = begun.schema.add("closes", "boolean")
+    begun_schema = T.StructType([*begun.schema.fields, T.StructField("closes", T.BooleanType())])
 
     def mark(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["_us", *order], kind="stable")

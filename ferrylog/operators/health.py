@@ -83,12 +83,12 @@ def service_rollup(
     calls: DataFrame, ok: Column, ts: str, order: Sequence[str], keys: Sequence[str], target_rows: int = TARGET_ROWS
 ) -> DataFrame:
     """Per service: requests, success percentage, current failure run, last failure."""
-    runs = failure_runs(calls.withColumn("_good", F.coalesce(ok, F.lit(False))), F.col("_good"), order, keys, target_rows)
+    runs = failure_runs(calls.withColumn("_up", F.coalesce(ok, F.lit(False))), F.col("_up"), order, keys, target_rows)
     rolled = runs.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total_requests"),
-        (F.count_if(F.col("_good")) / F.count(F.lit(1)) * 100).alias("success_rate"),
+        (F.count_if(F.col("_up")) / F.count(F.lit(1)) * 100).alias("success_rate"),
         F.max_by("consecutive_failures", F.struct(*order)).alias("consecutive_failures"),
-        F.max(F.when(~F.col("_good"), F.col(ts))).alias("last_failure"),
+        F.max(F.when(~F.col("_up"), F.col(ts))).alias("last_failure"),
     )
     return rolled
 
@@ -183,7 +183,9 @@ def suggested_rate(
     rows = framed(
         metrics,
         {
-            "_slope": (F.regr_slope("throughput", "rate"), -back, 0),
+            "_x": (F.sum("rate"), -back, 0),
+            "_y": (F.sum("throughput"), -back, 0),
+            "_xy": (F.sum(F.col("rate") * F.col("throughput")), -back, 0),
             "_low": (F.min("rate"), -back, 0),
             "_high": (F.max("rate"), -back, 0),
         },
@@ -192,7 +194,9 @@ def suggested_rate(
         block_rows=block_rows,
     )
     known = (F.col("seq") >= HISTORY) & (F.col("_low") < F.col("_high"))
-    step = F.when(F.col("_slope") > 0, F.least(F.lit(max_rate), F.col("rate") * 1.2)).otherwise(
+    # the slope's sign, from plain sums: exact where rates and throughputs are whole numbers
+    rising = F.col("_xy") * HISTORY - F.col("_x") * F.col("_y") > 0
+    step = F.when(rising, F.least(F.lit(max_rate), F.col("rate") * 1.2)).otherwise(
         F.greatest(F.lit(min_rate), F.col("rate") * 0.9)
     )
-    return rows.withColumn("suggested_rate", F.when(known, step)).drop("_slope", "_low", "_high")
+    return rows.withColumn("suggested_rate", F.when(known, step)).drop("_x", "_y", "_xy", "_low", "_high")

@@ -35,20 +35,22 @@ def map_batches(
 ) -> DataFrame:
     """A Python function over Arrow batches, for mappings no column expression can state.
 
-    A batch that raises is retried row by row, and only the failing rows are dropped.
+    A batch that raises is halved until only the failing rows are left out.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            try:
-                yield function(batch)
-            except Exception:
-                for i in range(len(batch)):
-                    try:
-                        out = function(batch.iloc[i : i + 1])
-                    except Exception:
-                        continue
-                    yield out
+            waiting = [batch]
+            while waiting:
+                part = waiting.pop()
+                try:
+                    out = function(part)
+                except Exception:
+                    half = len(part) // 2
+                    if half:
+                        waiting += [part.iloc[half:], part.iloc[:half]]
+                    continue
+                yield out
 
     return df.mapInPandas(run, schema)
 

@@ -72,12 +72,17 @@ def linked_events(events: DataFrame, starts: DataFrame, order: Sequence[str] = E
     migration id in their payload: one salted equi-join over (way, key).
     """
     kind = F.col("event_type")
+
+    def way(name: str, key: Column) -> Column:
+        return F.array(F.struct(F.lit(name).alias("way"), key.alias("link_key")))
+
+    # generated rows, since a plain column would be inlined into every condition on it
     ways = (
-        F.when(kind.isin(*CORRELATED), F.struct(F.lit("link").alias("way"), F.col("correlation_id").alias("link_key")))
-        .when(kind.isin(COMPLETED, FAILED), F.struct(F.lit("own").alias("way"), F.col("aggregate_id").alias("link_key")))
-        .when(kind.isin(*ROLLBACKS), F.struct(F.lit("own").alias("way"), payload_text(F.col("event_data"), "migration_id").alias("link_key")))
+        F.when(kind.isin(*CORRELATED), way("link", F.col("correlation_id")))
+        .when(kind.isin(COMPLETED, FAILED), way("own", F.col("aggregate_id")))
+        .when(kind.isin(*ROLLBACKS), way("own", payload_text(F.col("event_data"), "migration_id")))
     )
-    pointing = events.withColumn("_w", ways).select("*", "_w.*").drop("_w").filter(F.col("link_key").isNotNull())
+    pointing = events.select("*", F.inline(ways)).filter(F.col("link_key").isNotNull())
     own = starts.select(F.lit("own").alias("way"), F.col("migration_id").alias("link_key"), "migration_id", "_from")
     lookup = migration_links(starts).select(F.lit("link").alias("way"), "link_key", "migration_id", "_from").unionByName(own)
     found = salted_lookup(pointing, lookup, ["way", "link_key"], ["event_id"], salts=salts)

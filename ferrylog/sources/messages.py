@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ferrylog.functions.payloads import topic_name
+from ferrylog.functions.payloads import json_value, topic_name
 from ferrylog.plans.event_model import known_type
 
 DEAD_LETTER_TOPIC = "migration-events.dead-letter"
@@ -47,7 +47,7 @@ def decode_messages(messages: DataFrame) -> DataFrame:
     parsed = F.from_json(body, ENVELOPE_SCHEMA, {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]", "mode": "PERMISSIVE"})
     rows = messages.withColumn("_e", parsed)
     error = (
-        F.when(F.try_parse_json(body).isNull(), "not JSON")
+        F.when(json_value(body).isNull(), "not JSON")
         .when(F.col("_e.event_id").isNull(), "no event id")
         .when(~F.coalesce(known_type(F.col("_e.event_type")), F.lit(False)), "unknown event type")
         .when(F.col("_e.timestamp").isNull(), "no timestamp")
