@@ -27,7 +27,10 @@ class SequenceState(StatefulProcessor):
         self.alpha, self.ttl_ms = alpha, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        schema = T.StructType.fromDDL("seq long, last double, total double, ema double, failures long, status string")
+        # spelled out: this runs in a worker, where no session can parse DDL text
+        fields = (("seq", T.LongType()), ("last", T.DoubleType()), ("total", T.DoubleType()), ("ema", T.DoubleType()))
+        fields += (("failures", T.LongType()), ("status", T.StringType()))
+        schema = T.StructType([T.StructField(n, t) for n, t in fields])
         self.state = handle.getValueState("sequence", schema, self.ttl_ms)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
