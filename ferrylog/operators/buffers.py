@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ferrylog.operators.ordering import SEGMENT, TARGET_ROWS, running, with_segments
+from ferrylog.operators.ordering import SEGMENT, TARGET_ROWS, WHOLE, running, with_segments
 
 
 def _exits(times: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
@@ -53,7 +53,7 @@ def buffer_greedy(
     The clock starts with the first row of a key; the last buffer may stay open.
     """
     span = round(span_seconds * 1_000_000)
-    rows, _ = with_segments(df.withColumn("_us", F.unix_micros(ts)), order, target_rows)
+    rows, split = with_segments(df.withColumn("_us", F.unix_micros(ts)), order, keys, target_rows)
     group = [*keys, SEGMENT]
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     group_schema = ", ".join(f"{n} {types[n]}" for n in group)
@@ -81,18 +81,20 @@ def buffer_greedy(
                     last, entered = leave, True
             yield pd.DataFrame(found, columns=[*group, "_start"])
 
-    reach = rows.select(*group, "_us").groupBy(*group).applyInPandas(entries, f"{group_schema}, _at long, _leave long")
-    reach = reach.repartition(*keys) if keys else reach.coalesce(1)
-    starts = reach.sortWithinPartitions(*group, "_at").mapInPandas(sweep, f"{group_schema}, _start long")
-
-    same = [F.col(f"r.{n}").eqNullSafe(F.col(f"s.{n}")) for n in group]
-    begun = rows.alias("r").join(starts.alias("s"), same).select("r.*", "s._start")
+    begun = rows.withColumn("_start", F.lit(None).cast("long"))
+    if split:
+        cut = rows.filter(F.col(SEGMENT) != WHOLE).select(*group, "_us")
+        reach = cut.groupBy(*group).applyInPandas(entries, f"{group_schema}, _at long, _leave long")
+        reach = reach.repartition(*keys) if keys else reach.coalesce(1)
+        starts = reach.sortWithinPartitions(*group, "_at").mapInPandas(sweep, f"{group_schema}, _start long")
+        same = [F.col(f"r.{n}").eqNullSafe(F.col(f"s.{n}")) for n in group]
+        begun = rows.alias("r").join(starts.alias("s"), same, "left").select("r.*", "s._start")
     begun_schema = T.StructType([*begun.schema.fields, T.StructField("closes", T.BooleanType())])
 
     def mark(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["_us", *order], kind="stable")
-        times = part["_us"].to_numpy()
-        return part.assign(closes=_closes(times, int(part["_start"].iloc[0]), span))
+        times, start = part["_us"].to_numpy(), part["_start"].iloc[0]
+        return part.assign(closes=_closes(times, int(times[0] if pd.isna(start) else start), span))
 
     marked = begun.groupBy(*group).applyInPandas(mark, begun_schema).drop(SEGMENT, "_us", "_start")
     closed = running(marked, {"_n": ("sum", F.col("closes").cast("long"))}, order, keys, target_rows)

@@ -52,7 +52,7 @@ def failure_runs(
     calls: DataFrame, ok: Column, order: Sequence[str], keys: Sequence[str], target_rows: int = TARGET_ROWS
 ) -> DataFrame:
     """``consecutive_failures`` after each call: calls since the last success, 0 on success."""
-    rows, split = with_segments(calls.withColumn("_ok", F.coalesce(ok, F.lit(False))), order, target_rows)
+    rows, split = with_segments(calls.withColumn("_ok", F.coalesce(ok, F.lit(False))), order, keys, target_rows)
     rows = running_in(rows, split, {"_i": ("sum", F.lit(1).cast("long"))}, order, keys)
     rows = running_in(rows, split, {"_good": ("max", F.when(F.col("_ok"), F.col("_i")))}, order, keys)
     since = F.col("_i") - F.coalesce("_good", F.lit(0))

@@ -1,14 +1,14 @@
 """Order-dependent operators that survive hot keys.
 
-A window partitioned by key puts all rows of that key into one task. Here every key (or the
-whole table, when there is no key) is first cut into *segments*: consecutive ranges of the
-order columns, each at most about ``target_rows`` long whatever the key or time distribution.
-Windows run per (keys, segment); what one segment needs from the ones before it is carried in
-by a single extra row per (keys, segment), computed from a small partial-aggregated summary.
-
-Segments come from global quantiles of the first order column. A value so frequent that it
-fills several quantiles is cut further by quantiles of the second order column. With few rows
-there is one segment and no carry, so the plan is the plain keyed window.
+A window partitioned by key puts all rows of that key into one task. Here the rows of every hot
+key (or the whole table, when there is no key) are first cut into *segments*: consecutive ranges
+of the order columns, each about ``target_rows`` long whatever the time distribution. Windows run
+per (keys, segment); what one segment needs from the ones before it is carried in by a single
+extra row per (key, segment), computed from a small partial-aggregated summary.
+
+Segments come from quantiles of the first order column. A value so frequent that it fills several
+quantiles is cut further by quantiles of the next order column. Keys that are not hot stay in one
+piece, so without hot keys the plan is the plain keyed window.
 """
 
 from __future__ import annotations
@@ -22,29 +22,33 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 SEGMENT = "_segment"
+WHOLE = -1  # the segment of rows that need no cutting
 _PLACE = "_place"  # 0 carried-in row, 1 data row, 2 carried-back row
 TARGET_ROWS = 1_000_000
 MOST_PIECES = 16_384
+MOST_HOT_KEYS = 50_000
 
 
 def order_image(df: DataFrame, name: str) -> Column:
-    """A number that never decreases along the ascending sort order of column ``name``."""
+    """A number that never decreases along the ascending sort order of column ``name``, NULL first."""
     kind = df.schema[name].dataType
     col = F.col(name)
     if isinstance(kind, T.TimestampType):
-        return F.unix_micros(col)
-    if isinstance(kind, T.TimestampNTZType):
-        return F.unix_micros(col.cast("timestamp"))
-    if isinstance(kind, T.DateType):
-        return F.unix_date(col).cast("long")
-    if isinstance(kind, (T.IntegralType, T.BooleanType)):
-        return col.cast("long")
-    if isinstance(kind, T.NumericType):
-        return col.cast("double")
-    if isinstance(kind, T.StringType):
+        image = F.unix_micros(col)
+    elif isinstance(kind, T.TimestampNTZType):
+        image = F.unix_micros(col.cast("timestamp"))
+    elif isinstance(kind, T.DateType):
+        image = F.unix_date(col).cast("long")
+    elif isinstance(kind, (T.IntegralType, T.BooleanType)):
+        image = col.cast("long")
+    elif isinstance(kind, T.NumericType):
+        return F.coalesce(col.cast("double"), F.lit(float("-inf")))
+    elif isinstance(kind, T.StringType):
         head = F.hex(F.substring(F.encode(col, "utf-8"), 1, 7))
-        return F.conv(F.rpad(head, 14, "0"), 16, 10).cast("long")
-    raise TypeError(f"cannot order by {name}: {kind.simpleString()}")
+        image = F.conv(F.rpad(head, 14, "0"), 16, 10).cast("long")
+    else:
+        raise TypeError(f"cannot order by {name}: {kind.simpleString()}")
+    return F.coalesce(image, F.lit(-(2**63)).cast("long"))
 
 
 def _cut_points(df: DataFrame, image: Column, pieces: int) -> list:
@@ -66,32 +70,54 @@ def _count_not_above(df: DataFrame, image: Column, cuts: list, out: str) -> Data
     return df.withColumn(out, F.when(F.col(out) == 0, F.lit(0)).otherwise(first + inner))
 
 
+def _cells(df: DataFrame, rows: DataFrame, order: Sequence[str], pieces: int, out: str) -> tuple[DataFrame, int]:
+    """Add the cell number ``out`` (0 .. most) to ``df``; the cuts are quantiles of ``rows``."""
+    image = order_image(df, order[0])
+    cuts = _cut_points(rows, image, pieces)
+    heavy = sorted({a for a, b in zip(cuts, cuts[1:]) if a == b})
+    cuts = sorted(set(cuts))
+    df = _count_not_above(df, image, cuts, out)
+    if not heavy or len(order) == 1:
+        return df, len(cuts)
+    # rows tied on a heavy value open their cell and are numbered by the next column
+    tied = image.isin(heavy)
+    inner = out + "t"
+    df, most = _cells(df, rows.filter(tied), order[1:], pieces, inner)
+    combined = F.col(out) * (most + 2) + F.when(tied, F.col(inner)).otherwise(F.lit(most + 1))
+    return df.withColumn(out, combined.cast("long")).drop(inner), (len(cuts) + 1) * (most + 2)
+
+
 def with_segments(
-    df: DataFrame, order: Sequence[str], target_rows: int = TARGET_ROWS
+    df: DataFrame, order: Sequence[str], keys: Sequence[str] = (), target_rows: int = TARGET_ROWS
 ) -> tuple[DataFrame, bool]:
-    """Add the segment column; the flag says whether there is more than one segment.
+    """Add the segment column; the flag says whether anything was cut.
 
-    Counts the rows up front; only a table longer than one segment is read again, order columns
-    alone, for the cut points (fewer than ``MOST_PIECES`` numbers).
+    Counts the rows up front. Only a table longer than one segment is looked at further: its keys
+    are counted, and the order columns of hot keys are read for the cut points. The driver sees
+    at most ``MOST_HOT_KEYS`` keys and ``MOST_PIECES`` numbers per order column.
     """
-    pieces = min(math.ceil(df.select(*order).count() / target_rows), MOST_PIECES)
-    if pieces <= 1:
-        return df.withColumn(SEGMENT, F.lit(0).cast("long")), False
-    cuts = _cut_points(df, order_image(df, order[0]), pieces)
-    heavy = sorted({a for a, b in zip(cuts, cuts[1:]) if a == b})
-    cuts = sorted(set(cuts))
-    image = order_image(df, order[0])
-    df = _count_not_above(df, image, cuts, SEGMENT)
-    if heavy and len(order) > 1:
-        ties = image.isin(heavy)
-        second = order_image(df, order[1])
-        tie_cuts = sorted(set(_cut_points(df.filter(ties), second, pieces)))
-        after = len(tie_cuts) + 1
-        df = _count_not_above(df, second, tie_cuts, "_tie")
-        df = df.withColumn(
-            SEGMENT, F.col(SEGMENT) * (after + 1) + F.when(ties, F.col("_tie")).otherwise(F.lit(after))
-        ).drop("_tie")
-    return df.withColumn(SEGMENT, F.col(SEGMENT).cast("long")), True
+    whole = F.lit(WHOLE).cast("long")
+    total = df.select(*order).count()
+    if total <= target_rows:
+        return df.withColumn(SEGMENT, whole), False
+    rows, cut_rows = df, total
+    if keys:
+        limit = max(target_rows, math.ceil(total / MOST_HOT_KEYS))
+        counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).collect()
+        if not counted:
+            return df.withColumn(SEGMENT, whole), False
+        schema = T.StructType([*df.select(*keys).schema.fields, T.StructField("_n", T.LongType())])
+        hot = F.broadcast(df.sparkSession.createDataFrame(counted, schema).drop("_n").withColumn("_hot", F.lit(True)))
+        same = [F.col(f"_l.{k}").eqNullSafe(F.col(f"_h.{k}")) for k in keys]
+        df = df.alias("_l").join(hot.alias("_h"), same, "left").select("_l.*", "_h._hot")
+        rows, cut_rows = df.filter("_hot"), sum(r["_n"] for r in counted)
+    pieces = min(math.ceil(cut_rows / target_rows), MOST_PIECES)
+    if pieces == 1:
+        df = df.withColumn(SEGMENT, F.lit(0).cast("long"))
+    else:
+        df, _ = _cells(df, rows, order, pieces, SEGMENT)
+    cell = F.col(SEGMENT).cast("long")
+    return (df.withColumn(SEGMENT, F.when(F.col("_hot"), cell).otherwise(whole)).drop("_hot") if keys else df.withColumn(SEGMENT, cell)), True
 
 
 def _fold(kind: str, col: Column) -> Column:
@@ -112,7 +138,7 @@ def running_in(
     rows = rows.withColumns({**inputs, _PLACE: F.lit(1)})
     if split:
         last_place = {n: F.when(F.col(f"_in_{n}").isNotNull(), F.struct(*order)) for n in folds}
-        summary = rows.groupBy(*keys, SEGMENT).agg(
+        summary = rows.filter(F.col(SEGMENT) != WHOLE).groupBy(*keys, SEGMENT).agg(
             *[
                 (F.max_by(F.col(f"_in_{n}"), last_place[n]) if kind == "last" else _fold(kind, F.col(f"_in_{n}"))).alias(f"_in_{n}")
                 for n, (kind, _) in folds.items()
@@ -143,7 +169,7 @@ def running(
     target_rows: int = TARGET_ROWS,
 ) -> DataFrame:
     """Running ``sum``/``min``/``max``/``last`` (non-null) up to and including each row."""
-    rows, split = with_segments(df, order, target_rows)
+    rows, split = with_segments(df, order, keys, target_rows)
     return running_in(rows, split, folds, order, keys).drop(SEGMENT)
 
 
@@ -169,11 +195,11 @@ def neighbours(
     """Values of the row before and the row after; NULL where there is none."""
     previous, following = previous or {}, following or {}
     inputs = {f"_in_{n}": c for n, c in {**previous, **following}.items()}
-    rows, split = with_segments(df.withColumns(inputs), order, target_rows)
+    rows, split = with_segments(df.withColumns(inputs), order, keys, target_rows)
     rows = rows.withColumn(_PLACE, F.lit(1))
     if split:
         place = F.struct(*order)
-        ends = rows.groupBy(*keys, SEGMENT).agg(
+        ends = rows.filter(F.col(SEGMENT) != WHOLE).groupBy(*keys, SEGMENT).agg(
             *[F.max_by(F.struct(f"_in_{n}"), place).alias(f"_in_{n}") for n in previous],
             *[F.min_by(F.struct(f"_in_{n}"), place).alias(f"_in_{n}") for n in following],
         )

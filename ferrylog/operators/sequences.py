@@ -144,7 +144,7 @@ def fold_segments(
     ``step`` folds one segment's rows (sorted) to one state row; ``merge`` folds a key's state
     rows (sorted by segment) to one. Both see bounded input, whatever the key's size.
     """
-    rows, _ = with_segments(df, order, target_rows)
+    rows, _ = with_segments(df, order, keys, target_rows)
     names = [*keys, SEGMENT]
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     key_schema = ", ".join(f"{n} {types[n]}" for n in names)
@@ -180,7 +180,7 @@ def throttle(
     max over j <= i of (ts(j) - j*d) + i*d.
     """
     gap = F.lit(round(interval_seconds * 1_000_000)).cast("long")
-    rows, split = with_segments(df, order, target_rows)
+    rows, split = with_segments(df, order, keys, target_rows)
     rows = running_in(rows, split, {"_i": ("sum", F.lit(1).cast("long"))}, order, keys)
     rows = running_in(rows, split, {"_slack": ("max", F.unix_micros(ts) - F.col("_i") * gap)}, order, keys)
     return rows.withColumn("emit_us", F.col("_slack") + F.col("_i") * gap).drop("_i", "_slack", SEGMENT)
@@ -208,10 +208,33 @@ def buffer_tumbling(df: DataFrame, ts: str, span: str, aggregates: dict[str, Col
     return out.select(*keys, F.col("_span.start").alias("span_start"), F.col("_span.end").alias("span_end"), *aggregates)
 
 
-def buffer_session(df: DataFrame, ts: str, gap: str, aggregates: dict[str, Column], keys: Sequence[str] = ()) -> DataFrame:
-    """Aggregates per run of rows closer together than the gap."""
-    out = df.groupBy(*keys, F.session_window(ts, gap).alias("_span")).agg(*[c.alias(n) for n, c in aggregates.items()])
-    return out.select(*keys, F.col("_span.start").alias("span_start"), F.col("_span.end").alias("span_end"), *aggregates)
+def buffer_session(
+    df: DataFrame,
+    ts: str,
+    gap_seconds: float,
+    aggregates: dict[str, Column],
+    keys: Sequence[str] = (),
+    target_rows: int = TARGET_ROWS,
+) -> DataFrame:
+    """Aggregates per run of rows closer together than the gap; the span ends one gap after its last row.
+
+    In a batch the runs are numbered first, so neither a hot key nor a long run ends up in one
+    task. A stream (give it a watermark) keeps its runs in Spark's session windows.
+    """
+    if df.isStreaming:
+        runs = df.groupBy(*keys, F.session_window(ts, f"{gap_seconds} seconds").alias("_span"))
+        out = runs.agg(*[c.alias(n) for n, c in aggregates.items()])
+        return out.select(*keys, F.col("_span.start").alias("span_start"), F.col("_span.end").alias("span_end"), *aggregates)
+    gap = round(gap_seconds * 1_000_000)
+    rows = neighbours(df, [ts], keys, {"_before": F.unix_micros(ts)}, target_rows=target_rows)
+    apart = F.when(F.unix_micros(ts) - F.col("_before") < gap, F.lit(0)).otherwise(F.lit(1)).cast("long")
+    rows = running(rows.withColumn("_apart", apart), {"_run": ("sum", F.col("_apart"))}, [ts, "_before"], keys, target_rows)
+    out = rows.groupBy(*keys, "_run").agg(
+        F.min(ts).alias("span_start"),
+        F.timestamp_micros(F.max(F.unix_micros(ts)) + gap).alias("span_end"),
+        *[c.alias(n) for n, c in aggregates.items()],
+    )
+    return out.drop("_run")
 
 
 def sample_per_interval(df: DataFrame, ts: str, rate: float, order: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:

@@ -11,21 +11,24 @@ from pyspark.sql import types as T
 from ferrylog.functions.datetimes import iso_to_timestamp, timestamp_to_unix, unix_to_timestamp
 from ferrylog.functions.identifiers import key_to_uuid
 from ferrylog.functions.payloads import object_or_empty
+from ferrylog.functions.schemas import BOOL, INT, LONG, MOMENT, TEXT, struct
 from ferrylog.operators.rows import keep_first
 from ferrylog.operators.skew import skew_join
 
 # fixed values: protocols of the source, and columns of the target tables
 PROTOCOLS = ("vless", "vmess", "trojan", "shadowsocks")
-USERS_SCHEMA = T.StructType.fromDDL(
-    "id int, username string, status string, used_traffic long, data_limit long, expire long, created_at timestamp, "
-    "admin_id int, data_limit_reset_strategy string, note string, sub_revoked_at timestamp, sub_updated_at timestamp, "
-    "sub_last_user_agent string, online_at timestamp, edit_at timestamp, on_hold_timeout timestamp, "
-    "on_hold_expire_duration int, auto_delete_in_days int, last_status_change timestamp"
+USERS_SCHEMA = struct(
+    id=INT, username=TEXT, status=TEXT, used_traffic=LONG, data_limit=LONG, expire=LONG, created_at=MOMENT,
+    admin_id=INT, data_limit_reset_strategy=TEXT, note=TEXT, sub_revoked_at=MOMENT, sub_updated_at=MOMENT,
+    sub_last_user_agent=TEXT, online_at=MOMENT, edit_at=MOMENT, on_hold_timeout=MOMENT, on_hold_expire_duration=INT,
+    auto_delete_in_days=INT, last_status_change=MOMENT,
 )
-PROXIES_SCHEMA = T.StructType.fromDDL("id int, user_id int, type string, settings string")
-ADMINS_SCHEMA = T.StructType.fromDDL(
-    "id int, username string, hashed_password string, is_sudo boolean, created_at timestamp, "
-    "password_reset_at timestamp, telegram_id long, discord_webhook string, users_usage long"
+PROXIES_SCHEMA = struct(
+    id=INT, user_id=INT, type=TEXT, settings=TEXT,
+)
+ADMINS_SCHEMA = struct(
+    id=INT, username=TEXT, hashed_password=TEXT, is_sudo=BOOL, created_at=MOMENT, password_reset_at=MOMENT,
+    telegram_id=LONG, discord_webhook=TEXT, users_usage=LONG,
 )
 PLACEHOLDER_PREFIX = "NEEDS_RESET__"
 
@@ -219,7 +222,8 @@ def resolve_proxies(proxies: DataFrame, users: DataFrame, min_hot_rows: int = 2_
 
 def orphan_proxies(proxies: DataFrame, users: DataFrame) -> DataFrame:
     """Proxies whose owner is not a known user."""
-    return proxies.join(users.select("username").distinct(), "username", "left_anti")
+    known = users.select("username").distinct()
+    return skew_join(proxies, known, ["username"], ["username", "type", "settings"], "left_anti")
 
 
 def migrate(users: DataFrame, admins: DataFrame, target: dict[str, DataFrame], as_of: datetime) -> dict[str, DataFrame]:

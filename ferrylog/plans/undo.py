@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ferrylog.functions.datetimes import iso_to_timestamp
 from ferrylog.functions.payloads import json_kind
+from ferrylog.operators.skew import skew_join
 
 # fixed values: how each logged operation is undone, and the limits of a transaction
 INVERSES = {
@@ -165,5 +166,5 @@ def compensating_delete(target: dict[str, DataFrame], inserted: DataFrame) -> di
     return {
         "admins": target["admins"].join(ids("admin", "id"), "id", "left_anti"),
         "users": users,
-        "proxies": target["proxies"].join(gone, "user_id", "left_anti").join(ids("proxy", "id"), "id", "left_anti"),
+        "proxies": skew_join(target["proxies"], gone, ["user_id"], ["id"], "left_anti").join(ids("proxy", "id"), "id", "left_anti"),
     }

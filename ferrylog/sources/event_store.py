@@ -7,19 +7,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ferrylog.functions.payloads import object_or_empty, payload_fields
+from ferrylog.functions.schemas import INT, LONG, MOMENT, TEXT, struct
 from ferrylog.plans.event_model import EVENT_SCHEMA
 
 STORED_SCHEMA = T.StructType([*EVENT_SCHEMA.fields, T.StructField("event_date", T.DateType())])
-PROCESSING_LOG_SCHEMA = T.StructType.fromDDL(
-    "event_id string, handler_name string, processing_status string, processing_time_ms int, error_message string, "
-    "processed_at timestamp"
+PROCESSING_LOG_SCHEMA = struct(
+    event_id=TEXT, handler_name=TEXT, processing_status=TEXT, processing_time_ms=INT, error_message=TEXT, processed_at=MOMENT,
 )
-TRANSACTION_SCHEMA = T.StructType.fromDDL(
-    "transaction_id string, status string, start_time string, end_time string, metadata map<string,string>, "
-    "operations array<struct<operation_id:string, operation_type:string, target_table:string, operation_data:string, "
-    "rollback_data:string, timestamp:string>>, "
-    "checkpoints array<struct<checkpoint_id:string, transaction_id:string, operation_count:bigint, "
-    "checkpoint_data:string, timestamp:string>>"
+OPERATION = struct(
+    operation_id=TEXT, operation_type=TEXT, target_table=TEXT, operation_data=TEXT, rollback_data=TEXT, timestamp=TEXT,
+)
+CHECKPOINT = struct(checkpoint_id=TEXT, transaction_id=TEXT, operation_count=LONG, checkpoint_data=TEXT, timestamp=TEXT)
+TRANSACTION_SCHEMA = struct(
+    transaction_id=TEXT, status=TEXT, start_time=TEXT, end_time=TEXT, metadata=T.MapType(TEXT, TEXT),
+    operations=T.ArrayType(OPERATION), checkpoints=T.ArrayType(CHECKPOINT),
 )
 
 

@@ -6,13 +6,15 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ferrylog.functions.payloads import json_value, topic_name
+from ferrylog.functions.schemas import TEXT, struct
 from ferrylog.plans.event_model import known_type
 
 DEAD_LETTER_TOPIC = "migration-events.dead-letter"
-MESSAGE_SCHEMA = T.StructType.fromDDL("topic string, key string, value string")
+MESSAGE_SCHEMA = struct(
+    topic=TEXT, key=TEXT, value=TEXT,
+)
 ENVELOPE_SCHEMA = (
     "event_id string, event_type string, aggregate_id string, aggregate_type string, event_version int, "
     "timestamp timestamp, correlation_id string, causation_id string, metadata string, data string"

@@ -10,24 +10,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ferrylog.functions.payloads import object_or_empty
+from ferrylog.functions.schemas import BOOL, LONG, TEXT, struct
 
 # fixed values: the entities and their fields
+IDS = T.ArrayType(LONG)
+PROXY = struct(id=TEXT)
 ITEM_SCHEMAS = {
-    "admins": (
-        "id long, username string, enabled boolean, is_sudo boolean, service_ids array<long>, created_at string, "
-        "telegram_id long, discord_webhook string, password_reset_at string, users_usage long"
+    "admins": struct(
+        id=LONG, username=TEXT, enabled=BOOL, is_sudo=BOOL, service_ids=IDS, created_at=TEXT, telegram_id=LONG,
+        discord_webhook=TEXT, password_reset_at=TEXT, users_usage=LONG,
     ),
-    "users": (
-        "id long, username string, key string, proxies struct<vless:struct<id:string>, vmess:struct<id:string>, "
-        "trojan:struct<id:string>, shadowsocks:struct<id:string>>, enabled boolean, activated boolean, "
-        "is_active boolean, expired boolean, data_limit_reached boolean, data_limit long, used_traffic long, "
-        "lifetime_used_traffic long, expire_date string, expire_strategy string, usage_duration long, "
-        "activation_deadline string, data_limit_reset_strategy string, traffic_reset_at string, note string, "
-        "service_ids array<long>, subscription_url string, owner_username string, created_at string, "
-        "sub_revoked_at string, updated_at string, sub_updated_at string, sub_last_user_agent string, online_at string"
+    "users": struct(
+        id=LONG, username=TEXT, key=TEXT, proxies=struct(vless=PROXY, vmess=PROXY, trojan=PROXY, shadowsocks=PROXY),
+        enabled=BOOL, activated=BOOL, is_active=BOOL, expired=BOOL, data_limit_reached=BOOL, data_limit=LONG,
+        used_traffic=LONG, lifetime_used_traffic=LONG, expire_date=TEXT, expire_strategy=TEXT, usage_duration=LONG,
+        activation_deadline=TEXT, data_limit_reset_strategy=TEXT, traffic_reset_at=TEXT, note=TEXT, service_ids=IDS,
+        subscription_url=TEXT, owner_username=TEXT, created_at=TEXT, sub_revoked_at=TEXT, updated_at=TEXT,
+        sub_updated_at=TEXT, sub_last_user_agent=TEXT, online_at=TEXT,
     ),
-    "services": "id long, name string, inbound_ids array<long>",
-    "inbounds": "id long, tag string, protocol string, config string, node_id long, service_ids array<long>",
+    "services": struct(id=LONG, name=TEXT, inbound_ids=IDS),
+    "inbounds": struct(id=LONG, tag=TEXT, protocol=TEXT, config=TEXT, node_id=LONG, service_ids=IDS),
 }
 REQUIRED = {
     "admins": ("id", "username"),
@@ -45,7 +47,7 @@ PAGE_SIZE = 100
 
 
 def item_type(entity: str) -> T.StructType:
-    return T.StructType.fromDDL(ITEM_SCHEMAS[entity])
+    return ITEM_SCHEMAS[entity]
 
 
 def read_pages(spark: SparkSession, path: str, entity: str) -> DataFrame:

@@ -14,11 +14,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ferrylog.functions.schemas import BOOL, DOUBLE, LONG, TEXT, struct
 from ferrylog.operators.health import UNHEALTHY_AFTER
 
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+STATE = struct(seq=LONG, last=DOUBLE, total=DOUBLE, ema=DOUBLE, failures=LONG, status=TEXT)
+ADDED = struct(seq=LONG, changed=BOOL, total=DOUBLE, ema=DOUBLE, consecutive_failures=LONG, status=TEXT)
+
+
 class SequenceState(StatefulProcessor):
     """Adds seq, changed, total, ema, consecutive_failures and status to every row of a key."""
 
@@ -27,11 +32,7 @@ class SequenceState(StatefulProcessor):
         self.alpha, self.ttl_ms = alpha, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        # spelled out: this runs in a worker, where no session can parse DDL text
-        fields = (("seq", T.LongType()), ("last", T.DoubleType()), ("total", T.DoubleType()), ("ema", T.DoubleType()))
-        fields += (("failures", T.LongType()), ("status", T.StringType()))
-        schema = T.StructType([T.StructField(n, t) for n, t in fields])
-        self.state = handle.getValueState("sequence", schema, self.ttl_ms)
+        self.state = handle.getValueState("sequence", STATE, self.ttl_ms)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="stable")
@@ -46,7 +47,7 @@ class SequenceState(StatefulProcessor):
             status = "healthy" if ok else ("unhealthy" if failures >= UNHEALTHY_AFTER else status)
             out.append((seq, changed, total, ema, failures, status))
         self.state.update((seq, last, total, ema, failures, status))
-        added = pd.DataFrame(out, columns=["seq", "changed", "total", "ema", "consecutive_failures", "status"], index=batch.index)
+        added = pd.DataFrame(out, columns=ADDED.fieldNames(), index=batch.index)
         yield pd.concat([batch[self.columns], added], axis=1)
 
     def close(self) -> None:
@@ -64,11 +65,10 @@ def with_sequence_state(
 ) -> DataFrame:
     """The running columns of :class:`SequenceState` per key, kept between micro-batches."""
     columns = [f for f in stream.schema.fields]
-    added = T.StructType.fromDDL("seq long, changed boolean, total double, ema double, consecutive_failures long, status string")
     processor = SequenceState(value, ok, order, [f.name for f in columns], alpha, ttl_ms)
     return stream.groupBy(key).transformWithStateInPandas(
         statefulProcessor=processor,
-        outputStructType=T.StructType([*columns, *added.fields]),
+        outputStructType=T.StructType([*columns, *ADDED.fields]),
         outputMode="Append",
         timeMode="ProcessingTime" if ttl_ms else "None",
     )

@@ -5,8 +5,8 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ferrylog.functions.schemas import LONG, TEXT, struct
 from ferrylog.plans import accounts
 from ferrylog.plans.read_models import migration_read_model
 from ferrylog.session import load_table, new_path
@@ -92,7 +92,7 @@ def s5(spark, folder):
 def s8(spark, folder):
     """A reset that drops, an append, and a reset that must not drop."""
     path = new_path(spark, "admins")
-    schema = T.StructType.fromDDL("id long, username string")
+    schema = struct(id=LONG, username=TEXT)
     staging.reset_table(spark, path, schema, drop_first=True)
     staging.append_rows(load_table(spark, folder, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("username")), path)
     staging.reset_table(spark, path, schema)

@@ -224,7 +224,7 @@ def w9_sliding(spark, folder):
     "(SELECT *, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS gap FROM events)) GROUP BY user_id, session",
 )
 def w9_session(spark, folder):
-    spans = sequences.buffer_session(raw_events(spark, folder), "ts", "4 hours", {"n": F.count(F.lit(1))}, ["user_id"])
+    spans = sequences.buffer_session(raw_events(spark, folder), "ts", 4 * 3600, {"n": F.count(F.lit(1))}, ["user_id"])
     return spans.select("user_id", F.unix_micros("span_start").alias("start_us"), F.unix_micros("span_end").alias("end_us"), "n")
 
 
