@@ -15,8 +15,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from ferrylog.operators.ordering import SEGMENT, TARGET_ROWS, WHOLE, running, with_segments
+from ferrylog.operators.ordering import SEGMENT, TARGET_ROWS, WHOLE, with_segments
 
 
 def _exits(times: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
@@ -31,13 +32,17 @@ def _exits(times: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
     return times[entries], times[leave[entries]]
 
 
-def _closes(times: np.ndarray, start: int, span: int) -> np.ndarray:
-    flags = np.zeros(len(times), dtype=bool)
-    at = int(np.searchsorted(times, start + span, side="left"))
+def _mark(times: np.ndarray, last: int, span: int, closes: np.ndarray, number: np.ndarray, count: int) -> tuple[int, int]:
+    """Fill ``closes`` and ``number`` (closes before the row) of one run of rows; returns the new state."""
+    begin = 0
+    at = int(np.searchsorted(times, last + span, side="left"))
     while at < len(times):
-        flags[at] = True
-        at = int(np.searchsorted(times, times[at] + span, side="left"))
-    return flags
+        closes[at] = True
+        number[begin : at + 1] = count
+        last, count, begin = int(times[at]), count + 1, at + 1
+        at = int(np.searchsorted(times, last + span, side="left"))
+    number[begin:] = count
+    return last, count
 
 
 def buffer_greedy(
@@ -89,13 +94,34 @@ def buffer_greedy(
         starts = reach.sortWithinPartitions(*group, "_at").mapInPandas(sweep, f"{group_schema}, _start long")
         same = [F.col(f"r.{n}").eqNullSafe(F.col(f"s.{n}")) for n in group]
         begun = rows.alias("r").join(starts.alias("s"), same, "left").select("r.*", "s._start")
-    begun_schema = T.StructType([*begun.schema.fields, T.StructField("closes", T.BooleanType())])
-
-    def mark(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["_us", *order], kind="stable")
-        times, start = part["_us"].to_numpy(), part["_start"].iloc[0]
-        return part.assign(closes=_closes(times, int(times[0] if pd.isna(start) else start), span))
-
-    marked = begun.groupBy(*group).applyInPandas(mark, begun_schema).drop(SEGMENT, "_us", "_start")
-    closed = running(marked, {"_n": ("sum", F.col("closes").cast("long"))}, order, keys, target_rows)
-    return closed.withColumn("buffer_id", F.col("_n") - F.col("closes").cast("long")).drop("_n")
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # rows arrive sorted by group and time; a group may go on in the next batch
+        current, last, count = None, 0, 0
+        for batch in batches:
+            times, starts = batch["_us"].to_numpy(), batch["_start"].to_numpy(dtype="float64", na_value=np.nan)
+            changes = np.zeros(len(batch), dtype=bool)
+            changes[:1] = True
+            for name in group:
+                col = batch[name]
+                changes |= ((col != col.shift()) & ~(col.isna() & col.shift().isna())).to_numpy(dtype=bool)
+            closes, number = np.zeros(len(batch), dtype=bool), np.zeros(len(batch), dtype=np.int64)
+            bounds = [*np.flatnonzero(changes), len(batch)]
+            for a, b in zip(bounds, bounds[1:]):
+                key = tuple(None if pd.isna(v) else v for v in batch[group].iloc[a]) if a == 0 else None
+                if key is None or key != current:
+                    last, count = int(times[a]) if np.isnan(starts[a]) else int(batch["_start"].iloc[a]), 0
+                last, count = _mark(times[a:b], last, span, closes[a:b], number[a:b], count)
+            current = tuple(None if pd.isna(v) else v for v in batch[group].iloc[-1])
+            yield batch.assign(closes=closes, _n=number)
+
+    marked_schema = T.StructType([*begun.schema.fields, T.StructField("closes", T.BooleanType()), T.StructField("_n", T.LongType())])
+    sorted_rows = begun.repartition(*group).sortWithinPartitions(*group, "_us", *order)
+    marked = sorted_rows.mapInPandas(mark, marked_schema).drop("_us", "_start")
+    if not split:
+        return marked.withColumn("buffer_id", F.col("_n")).drop(SEGMENT, "_n")
+    before = Window.partitionBy(*keys).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
+    closed = marked.filter(F.col(SEGMENT) != WHOLE).groupBy(*group).agg(F.sum(F.col("closes").cast("long")).alias("_c"))
+    offsets = closed.select(*group, F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
+    same = [F.col(f"m.{n}").eqNullSafe(F.col(f"o.{n}")) for n in group]
+    joined = marked.alias("m").join(offsets.alias("o"), same, "left").select("m.*", "o._before")
+    return joined.withColumn("buffer_id", F.col("_n") + F.coalesce("_before", F.lit(0))).drop(SEGMENT, "_n", "_before")

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ferrylog.functions.datetimes import iso_to_timestamp
-from ferrylog.functions.payloads import json_kind
 from ferrylog.operators.skew import skew_join
 
 # fixed values: how each logged operation is undone, and the limits of a transaction
@@ -76,7 +75,7 @@ def undo_plan(
     action = F.try_element_at(table, F.col("operation_type"))
     subject = F.get_json_object("operation_data", f"$.{key}")
     restored = F.get_json_object("rollback_data", f"$.{key}")
-    has_data = F.coalesce(json_kind(F.col("rollback_data")).startswith("OBJECT<"), F.lit(False))
+    has_data = F.coalesce(F.size(F.json_object_keys("rollback_data")) > 0, F.lit(False))
     possible = (
         F.when(action == "delete", F.coalesce(subject != "", F.lit(False)))
         .when(action == "restore", has_data & F.coalesce(restored != "", F.lit(False)))
@@ -140,16 +139,15 @@ def apply_undo(
     def old(f: T.StructField) -> Column:
         return _typed(F.col(f"_old_{f.name}")["v"], f.dataType)
 
-    present = table.join(net, key, "left").filter(~F.coalesce("_structural", F.lit(False)))
-    overlaid = present.select(
-        *[
-            F.col(f.name) if f.name == key else F.when(F.col(f"_old_{f.name}").isNotNull(), old(f)).otherwise(F.col(f.name)).alias(f.name)
-            for f in table.schema.fields
-        ]
-    )
-    back = net.filter(F.col("_structural") & (F.col("_first") != "delete"))
-    reinserted = back.select(*[F.col(f.name) if f.name == key else old(f).alias(f.name) for f in table.schema.fields])
-    return overlaid.unionByName(reinserted)
+    # one join tells kept, changed, deleted and re-inserted rows apart
+    met = table.withColumn("_here", F.lit(True)).join(net, key, "full_outer")
+    structural = F.coalesce("_structural", F.lit(False))
+    kept = F.when(structural, F.col("_first") != "delete").otherwise(F.col("_here").isNotNull())
+    columns = [
+        F.col(f.name) if f.name == key else F.when(structural | F.col(f"_old_{f.name}").isNotNull(), old(f)).otherwise(F.col(f.name)).alias(f.name)
+        for f in table.schema.fields
+    ]
+    return met.filter(kept).select(*columns)
 
 
 def compensating_delete(target: dict[str, DataFrame], inserted: DataFrame) -> dict[str, DataFrame]:

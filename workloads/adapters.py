@@ -385,8 +385,10 @@ def transaction_log(spark: SparkSession, folder: str) -> DataFrame:
         F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"),
     )
     number = F.floor(o / OPERATIONS_PER_TRANSACTION).cast("long")
-    grouped = load_table(spark, folder, "orders").groupBy(number.alias("_t")).agg(
-        F.sort_array(F.collect_list(operation)).alias("_ops"), F.min("o_orderdate").alias("_start")
+    # moved while still narrow; the JSON texts are made where they are gathered
+    orders = load_table(spark, folder, "orders").withColumn("_t", number).repartition("_t")
+    grouped = orders.select("_t", "o_orderdate", operation.alias("_op")).groupBy("_t").agg(
+        F.sort_array(F.collect_list("_op")).alias("_ops"), F.min("o_orderdate").alias("_start")
     )
     tid = F.lpad(F.col("_t").cast("string"), 10, "0")
     size = F.size("_ops")
