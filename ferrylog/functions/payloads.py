@@ -18,12 +18,13 @@ EMPTY_OBJECT = "{}"
 def json_value(text: Column) -> Column:
     """The text as a parsed value; NULL unless all of it is one JSON value.
 
-    The parser stops after the first value and forgives what follows. Wrapped in an array, only
-    a ``]`` or a second element may follow; wrapped in an object, only a ``}`` or ``,`` may.
+    The parser stops after the first value and forgives what follows, so the text is also read
+    as the one element of an array, after which only ``]`` or ``,`` could go unnoticed, and as the
+    one field of an object, after which only ``}`` or ``,`` could; a ``,`` would show in the counts.
     """
-    listed = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
-    held = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    return F.when(held.isNotNull() & (F.size(listed) == 1), F.get(listed, F.lit(0)))
+    alone = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
+    single = F.size(F.json_object_keys(F.concat(F.lit('{"v":'), text, F.lit("}")))) == 1
+    return F.when(alone & single, F.try_parse_json(text))
 
 
 def json_kind(text: Column) -> Column:

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ferrylog.operators.ordering import SEGMENT, TARGET_ROWS, WHOLE, with_segments
+from ferrylog.session import materialise
 
 
 def _exits(times: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
@@ -119,6 +120,7 @@ def buffer_greedy(
     marked = sorted_rows.mapInPandas(mark, marked_schema).drop("_us", "_start")
     if not split:
         return marked.withColumn("buffer_id", F.col("_n")).drop(SEGMENT, "_n")
+    marked = materialise(marked, "marked")  # read twice below
     before = Window.partitionBy(*keys).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
     closed = marked.filter(F.col(SEGMENT) != WHOLE).groupBy(*group).agg(F.sum(F.col("closes").cast("long")).alias("_c"))
     offsets = closed.select(*group, F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))

@@ -84,13 +84,6 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
     return df.groupBy(*keys).agg(first.alias("_row")).select(*keys, "_row.*").select(*df.columns)
 
 
-def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The last row per key, aggregated before the shuffle."""
-    rest = [c for c in df.columns if c not in keys]
-    last = F.max_by(F.struct(*rest), F.struct(*order))
-    return df.groupBy(*keys).agg(last.alias("_row")).select(*keys, "_row.*").select(*df.columns)
-
-
 def merge(*sources: DataFrame, tag: str | None = None) -> DataFrame:
     """All rows of all inputs, duplicates kept; ``tag`` names a column holding the input's number."""
     marked = [s.withColumn(tag, F.lit(i)) if tag else s for i, s in enumerate(sources)]

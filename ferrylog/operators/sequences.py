@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 from ferrylog.operators.ordering import (
     SEGMENT,
     TARGET_ROWS,
+    WHOLE,
     neighbours,
     running,
     running_in,
@@ -144,7 +145,7 @@ def fold_segments(
     ``step`` folds one segment's rows (sorted) to one state row; ``merge`` folds a key's state
     rows (sorted by segment) to one. Both see bounded input, whatever the key's size.
     """
-    rows, _ = with_segments(df, order, keys, target_rows)
+    rows, split = with_segments(df, order, keys, target_rows)
     names = [*keys, SEGMENT]
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     key_schema = ", ".join(f"{n} {types[n]}" for n in names)
@@ -162,8 +163,12 @@ def fold_segments(
         return out
 
     partial = rows.groupBy(*names).applyInPandas(reduce_segment, f"{key_schema}, {state_schema}")
+    uncut = partial.filter(F.col(SEGMENT) == WHOLE).drop(SEGMENT)
+    if not split:
+        return uncut
     final_schema = ", ".join([*[f"{n} {types[n]}" for n in keys], state_schema])
-    return partial.groupBy(*keys).applyInPandas(merge_states, final_schema)
+    cut = partial.filter(F.col(SEGMENT) != WHOLE)
+    return uncut.unionByName(cut.groupBy(*keys).applyInPandas(merge_states, final_schema))
 
 
 def throttle(

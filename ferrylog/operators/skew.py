@@ -4,59 +4,70 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 16
 HOT_ROWS = 2_000_000
-_SALT = "_salt"
+BROADCAST_ROWS = 100_000
+MANY_SALTS = 512
+_SALT, _SALTS = "_salt", "_salts"
+KEEPS_PROBE = ("inner", "left", "left_semi", "left_anti")
 
 
-def salted_lookup(
+def _checked(how: str) -> None:
+    if how not in KEEPS_PROBE:
+        raise ValueError(f"{how} would repeat unmatched rows of the copied side")
+
+
+def hot_keys(rows: DataFrame, on: Sequence[str], min_rows: int = HOT_ROWS) -> DataFrame:
+    """Keys with more than ``min_rows`` rows, with the number of pieces of that size they make.
+
+    There are never more than total / min_rows of them.
+    """
+    counted = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > min_rows)
+    return counted.select(*on, F.ceil(F.col("_n") / min_rows).cast("int").alias(_SALTS))
+
+
+def skew_join(
     rows: DataFrame,
-    lookup: DataFrame,
+    other: DataFrame,
     on: Sequence[str],
     spread_by: Sequence[str],
     how: str = "inner",
-    salts: int = SALTS,
+    min_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Join many rows to a lookup that is small next to them, spreading each key over ``salts`` tasks.
+    """Join two sides of any size; a key that is hot in ``rows`` is spread over pieces of ``min_rows``.
 
-    Rows are spread by a hash of ``spread_by`` (a unique column), so a retried task places
-    every row where it was before.
+    Only hot keys are copied on the other side. Their list is bounded by total / min_rows, which is
+    what makes broadcasting it safe. Rows are spread by a hash of ``spread_by`` (unique columns), so
+    a retried task places every row where it was before.
     """
-    if how not in ("inner", "left", "left_semi", "left_anti"):
-        raise ValueError(f"{how} would repeat unmatched lookup rows")
-    spread = rows.withColumn(_SALT, F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
-    copies = lookup.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return spread.join(copies, [*on, _SALT], how).drop(_SALT)
+    _checked(how)
+    hot = F.broadcast(hot_keys(rows, on, min_rows))
+    piece = F.pmod(F.xxhash64(*spread_by), F.col(_SALTS)).cast("int")
+    copies = F.when(F.col(_SALTS).isNotNull(), F.sequence(F.lit(0), F.col(_SALTS) - 1)).otherwise(F.array(F.lit(0)))
+    left = rows.join(hot, list(on), "left").withColumn(_SALT, F.coalesce(piece, F.lit(0))).drop(_SALTS)
+    right = other.join(hot, list(on), "left").withColumn(_SALT, F.explode(copies)).drop(_SALTS)
+    return left.join(right, [*on, _SALT], how).drop(_SALT)
 
 
-def hot_keys(rows: DataFrame, on: Sequence[str], min_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with at least ``min_rows`` rows; never more than total / min_rows of them."""
-    return rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_rows).select(*on)
-
-
-def skew_join(
+def lookup_join(
     rows: DataFrame,
-    other: DataFrame,
+    lookup: DataFrame,
     on: Sequence[str],
     spread_by: Sequence[str],
     how: str = "inner",
-    min_rows: int = HOT_ROWS,
-    salts: int = SALTS,
+    max_broadcast: int = BROADCAST_ROWS,
+    salts: int = MANY_SALTS,
 ) -> DataFrame:
-    """Join two large sides; only keys that are hot in ``rows`` are spread and copied.
+    """Join to a lookup with few distinct keys, each of them hot.
 
-    The list of hot keys is bounded by total / min_rows, which is what makes broadcasting it safe.
+    The lookup is counted; up to ``max_broadcast`` rows it is broadcast, beyond that every key is
+    spread over ``salts`` pieces.
     """
-    if how not in ("inner", "left", "left_semi", "left_anti"):
-        raise ValueError(f"{how} would repeat unmatched rows of the copied side")
-    hot = F.broadcast(hot_keys(rows, on, min_rows).withColumn("_hot", F.lit(True)))
-    salt: Column = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
-    left = rows.join(hot, list(on), "left").withColumn(_SALT, F.when(F.col("_hot"), salt).otherwise(F.lit(0)))
-    right = other.join(hot, list(on), "left").withColumn(
-        _SALT,
-        F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))),
-    )
-    return left.drop("_hot").join(right.drop("_hot"), [*on, _SALT], how).drop(_SALT)
+    _checked(how)
+    if lookup.limit(max_broadcast + 1).count() <= max_broadcast:
+        return rows.join(F.broadcast(lookup), list(on), how)
+    spread = rows.withColumn(_SALT, F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
+    copies = lookup.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return spread.join(copies, [*on, _SALT], how).drop(_SALT)

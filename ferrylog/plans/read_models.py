@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ferrylog.functions.payloads import payload_long, payload_text
-from ferrylog.operators.skew import SALTS, salted_lookup
+from ferrylog.operators.skew import HOT_ROWS, lookup_join, skew_join
 from ferrylog.plans.event_model import EVENT_ORDER, known_type
 
 # fixed values: which event adds which payload counter to its migration
@@ -65,11 +65,12 @@ def migration_links(starts: DataFrame) -> DataFrame:
     return rows.groupBy(F.col("_c.link_key").alias("link_key")).agg(best.alias("_m")).select("link_key", "_m.*")
 
 
-def linked_events(events: DataFrame, starts: DataFrame, order: Sequence[str] = EVENT_ORDER, salts: int = SALTS) -> DataFrame:
+def linked_events(events: DataFrame, starts: DataFrame, order: Sequence[str] = EVENT_ORDER, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Events that belong to a migration and come after its latest start, with ``migration_id``.
 
     Counted events are found by correlation id, endings by aggregate id, rollbacks by the
-    migration id in their payload: one salted equi-join over (way, key).
+    migration id in their payload: one equi-join over (way, key), where a correlation id shared by
+    very many events is spread.
     """
     kind = F.col("event_type")
 
@@ -85,14 +86,14 @@ def linked_events(events: DataFrame, starts: DataFrame, order: Sequence[str] = E
     pointing = events.select("*", F.inline(ways)).filter(F.col("link_key").isNotNull())
     own = starts.select(F.lit("own").alias("way"), F.col("migration_id").alias("link_key"), "migration_id", "_from")
     lookup = migration_links(starts).select(F.lit("link").alias("way"), "link_key", "migration_id", "_from").unionByName(own)
-    found = salted_lookup(pointing, lookup, ["way", "link_key"], ["event_id"], salts=salts)
+    found = skew_join(pointing, lookup, ["way", "link_key"], ["event_id"], min_rows=hot_rows)
     return found.filter(_place(order) > F.col("_from")).drop("way", "link_key", "_from")
 
 
-def migration_read_model(events: DataFrame, order: Sequence[str] = EVENT_ORDER, salts: int = SALTS) -> DataFrame:
+def migration_read_model(events: DataFrame, order: Sequence[str] = EVENT_ORDER, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per migration: status, times, counters, last rollback."""
     starts = latest_starts(events, order)
-    linked = linked_events(events, starts, order, salts)
+    linked = linked_events(events, starts, order, hot_rows)
     kind, data, when = F.col("event_type"), F.col("event_data"), _place(order)
     ended = kind.isin(COMPLETED, FAILED)
 
@@ -128,9 +129,9 @@ def migration_read_model(events: DataFrame, order: Sequence[str] = EVENT_ORDER,
     )
 
 
-def migration_errors(events: DataFrame, order: Sequence[str] = EVENT_ORDER, salts: int = SALTS) -> DataFrame:
+def migration_errors(events: DataFrame, order: Sequence[str] = EVENT_ORDER, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Validation errors of every migration as rows, none left out."""
-    linked = linked_events(events.filter(F.col("event_type").isin(STARTED, "data.validated")), latest_starts(events, order), order, salts)
+    linked = linked_events(events.filter(F.col("event_type").isin(STARTED, "data.validated")), latest_starts(events, order), order, hot_rows)
     linked = linked.filter(payload_long(F.col("event_data"), "invalid_records") > 0)
     errors = F.from_json(payload_text(F.col("event_data"), "validation_errors"), "array<string>")
     return linked.select("migration_id", "event_id", "timestamp", F.posexplode(errors).alias("position", "error"))
@@ -250,9 +251,9 @@ def replay(selection: DataFrame, handlers: Sequence[Handler], event_filter: Colu
 def route_events(events: DataFrame, subscriptions: DataFrame, running: Column | None = None) -> DataFrame:
     """(subscriber, event) for every subscriber of the event's type; nothing while the bus is stopped.
 
-    There are as many subscription rows as subscribers times event types; they are spread over
-    salts rather than broadcast, so the list may be of any size.
+    There are few event types and so few, hot keys: the list is broadcast when it is short and
+    spread otherwise.
     """
     wanted = subscriptions.select("subscriber", "event_type").distinct()
     open_events = events if running is None else events.filter(running)
-    return salted_lookup(open_events.filter(known_type(F.col("event_type"))), wanted, ["event_type"], ["event_id"])
+    return lookup_join(open_events.filter(known_type(F.col("event_type"))), wanted, ["event_type"], ["event_id"])

@@ -38,6 +38,7 @@ def append_events(events: DataFrame, path: str, new_only: bool = False) -> None:
         except Exception as problem:  # no table yet
             if "PATH_NOT_FOUND" not in str(problem):
                 raise
+    rows = rows.hint("rebalance", F.col("event_date"))  # few files per day, and a hot day is split
     rows.sortWithinPartitions("event_date", "aggregate_id", "event_version").write.mode("append").partitionBy("event_date").parquet(path)
 
 

@@ -10,7 +10,7 @@ from ferrylog.operators import sequences
 from ferrylog.operators.buffers import buffer_greedy
 from ferrylog.operators.health import failure_runs, service_status
 from ferrylog.operators.ordering import SEGMENT, framed, neighbours, running, with_segments, with_seq
-from ferrylog.operators.skew import salted_lookup, skew_join
+from ferrylog.operators.skew import lookup_join, skew_join
 from ferrylog.session import load_table
 
 ORDER = ["ts", "event_id"]
@@ -50,7 +50,7 @@ def differences(have, plain, condition):
     return have.join(plain, "event_id").filter(condition).count()
 
 
-@pytest.mark.parametrize("target", [60, 400])
+@pytest.mark.parametrize("target", [150, 400])
 def test_with_seq(skewed, plain, target):
     keyed = with_seq(skewed, ORDER, ["user_id"], target_rows=target).select("event_id", "seq")
     assert differences(keyed, plain, "seq <> n") == 0
@@ -58,7 +58,7 @@ def test_with_seq(skewed, plain, target):
     assert differences(whole, plain, "seq <> g") == 0
 
 
-@pytest.mark.parametrize("target", [60, 400])
+@pytest.mark.parametrize("target", [150])
 def test_segments_bound_their_size(skewed, target):
     for keys in ((), ("user_id",)):
         cut, split = with_segments(skewed, ORDER, keys, target)
@@ -70,7 +70,7 @@ def test_no_cut_when_small(skewed):
     assert with_segments(skewed, ORDER, ["user_id"])[1] is False
 
 
-@pytest.mark.parametrize("target", [60, 400])
+@pytest.mark.parametrize("target", [150])
 def test_running_and_neighbours(skewed, plain, target):
     folds = {"p": ("max", F.col("value")), "c": ("last", F.when(F.col("event_type") == "click", F.col("value")))}
     run = running(skewed, folds, ORDER, ["user_id"], target).select("event_id", "p", "c")
@@ -91,7 +91,7 @@ def timed(skewed):
 
 def both(operator, skewed, columns):
     """The same operator cut into many segments and not cut at all."""
-    a = operator(60).select("event_id", *columns).toPandas().sort_values("event_id").reset_index(drop=True)
+    a = operator(200).select("event_id", *columns).toPandas().sort_values("event_id").reset_index(drop=True)
     b = operator(10**9).select("event_id", *columns).toPandas().sort_values("event_id").reset_index(drop=True)
     assert len(a) == len(b) > 0
     return a, b
@@ -170,7 +170,7 @@ def test_sessions_when_cut(skewed):
         made = sequences.buffer_session(timed(skewed), "ts", 3600, {"n": F.count(F.lit(1))}, ["user_id"], target)
         return sorted(map(tuple, made.collect()), key=str)
 
-    assert sessions(60) == sessions(10**9)
+    assert sessions(200) == sessions(10**9)
 
 
 def test_joins_spread_hot_keys(spark, skewed):
@@ -179,7 +179,8 @@ def test_joins_spread_hot_keys(spark, skewed):
     for how in ("inner", "left", "left_semi", "left_anti"):
         want = sorted(map(str, rows.join(names, "user_id", how).select("event_id").collect()))
         for made in (
-            salted_lookup(rows, names, ["user_id"], ["event_id"], how, 7),
-            skew_join(rows, names, ["user_id"], ["event_id"], how, min_rows=20, salts=5),
+            lookup_join(rows, names, ["user_id"], ["event_id"], how),
+            lookup_join(rows, names, ["user_id"], ["event_id"], how, max_broadcast=5, salts=7),
+            skew_join(rows, names, ["user_id"], ["event_id"], how, min_rows=20),
         ):
             assert sorted(map(str, made.select("event_id").collect())) == want

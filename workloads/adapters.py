@@ -152,7 +152,7 @@ def metric_samples(spark: SparkSession, folder: str) -> DataFrame:
 
 SQL_ACCOUNTS = """
 spent AS (
-  SELECT o_custkey, SUM(CAST(round(o_totalprice * 100) AS BIGINT)) AS cents,
+  SELECT o_custkey, CAST(SUM(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents,
     min(o_orderdate) AS first_order, max(o_orderdate) AS last_order FROM orders GROUP BY o_custkey
 ), source_users AS (
   SELECT c_custkey AS seq, c_custkey AS c,

@@ -51,7 +51,7 @@ def f7_hex(spark, folder):
       count(*) FILTER (format = 'hex_32') AS hex_32, count(*) FILTER (format = 'invalid') AS invalid FROM t)
     SELECT *, printf('Found %d hex32 UUIDs (%.1f%%) - recommend transformation to standard format', hex_32, hex_32 / total * 100) AS hex_advice,
       printf('Found %d invalid UUIDs (%.1f%%) - require manual review', invalid, invalid / total * 100) AS invalid_advice,
-      NULL AS standard_advice, round(CASE WHEN total <= 100 THEN total * 0.1 ELSE total * 0.05 END, 6) AS estimated_ms,
+      CAST(NULL AS VARCHAR) AS standard_advice, round(CAST(CASE WHEN total <= 100 THEN total * 0.1 ELSE total * 0.05 END AS DOUBLE), 6) AS estimated_ms,
       CASE WHEN total <= 100 THEN total WHEN total <= 1000 THEN 100 ELSE 500 END AS batch_size FROM n""",
 )
 def f10(spark, folder):

@@ -22,9 +22,9 @@ def p1(spark: SparkSession, folder: str) -> DataFrame:
     return rows.map_rows(raw_events(spark, folder), made, broken)
 
 
-@query("p2_filter", "SELECT event_id, value FROM events WHERE value > 20 AND user_id % 2 = 0")
+@query("p2_filter", "SELECT event_id, value FROM events WHERE value > 20 AND event_type <> 'error'")
 def p2(spark, folder):
-    return rows.filter_rows(raw_events(spark, folder), (F.col("value") > 20) & (F.col("user_id") % 2 == 0)).select("event_id", "value")
+    return rows.filter_rows(raw_events(spark, folder), (F.col("value") > 20) & (F.col("event_type") != "error")).select("event_id", "value")
 
 
 @query(
@@ -37,17 +37,17 @@ def p3(spark, folder):
     return rows.flat_map(docs, F.split("text", " "), "item", "pos").drop("text")
 
 
-@query("p3_flat_map_batches", "SELECT event_id, user_id * 10 + g AS item FROM events, (SELECT unnest(range(3)) AS g) WHERE event_id % 1000 <> 13")
+@query("p3_flat_map_batches", "SELECT event_id, user_id * 10 + g AS item FROM events, (SELECT unnest(range(3)) AS g) WHERE value <= 300")
 def p3_batches(spark, folder):
     import pandas as pd
 
     def spread(batch: pd.DataFrame) -> pd.DataFrame:
-        if (batch["event_id"] % 1000 == 13).any():
+        if (batch["value"] > 300).any():
             raise ValueError("cannot map this one")
         out = batch.loc[batch.index.repeat(3)].reset_index(drop=True)
         return pd.DataFrame({"event_id": out["event_id"], "item": out["user_id"] * 10 + out.index % 3})
 
-    return rows.map_batches(raw_events(spark, folder).select("event_id", "user_id"), spread, "event_id long, item long")
+    return rows.map_batches(raw_events(spark, folder).select("event_id", "user_id", "value"), spread, "event_id long, item long")
 
 
 @query("p19_validate", "SELECT event_id, round(value * 3, 6) AS tripled FROM events WHERE value * 3 < 100")
