@@ -48,15 +48,20 @@ def last_known_good(
     return rows.withColumns({"result": F.coalesce("_value", cached, spare), "result_source": source}).drop("_value", "_kept")
 
 
+def _runs_in(rows: DataFrame, split: bool, ok: Column, order: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    rows = rows.withColumn("_ok", F.coalesce(ok, F.lit(False)))
+    rows = running_in(rows, split, {"_i": ("sum", F.lit(1).cast("long"))}, order, keys)
+    rows = running_in(rows, split, {"_good": ("max", F.when(F.col("_ok"), F.col("_i")))}, order, keys)
+    since = F.col("_i") - F.coalesce("_good", F.lit(0))
+    return rows.withColumn("consecutive_failures", since).drop("_ok", "_i", "_good")
+
+
 def failure_runs(
     calls: DataFrame, ok: Column, order: Sequence[str], keys: Sequence[str], target_rows: int = TARGET_ROWS
 ) -> DataFrame:
     """``consecutive_failures`` after each call: calls since the last success, 0 on success."""
-    rows, split = with_segments(calls.withColumn("_ok", F.coalesce(ok, F.lit(False))), order, keys, target_rows)
-    rows = running_in(rows, split, {"_i": ("sum", F.lit(1).cast("long"))}, order, keys)
-    rows = running_in(rows, split, {"_good": ("max", F.when(F.col("_ok"), F.col("_i")))}, order, keys)
-    since = F.col("_i") - F.coalesce("_good", F.lit(0))
-    return rows.withColumn("consecutive_failures", since).drop("_ok", "_i", "_good", SEGMENT)
+    rows, split = with_segments(calls, order, keys, target_rows)
+    return _runs_in(rows, split, ok, order, keys).drop(SEGMENT)
 
 
 def trips(runs: DataFrame, threshold: int = TRIP_THRESHOLD) -> DataFrame:
@@ -73,9 +78,10 @@ def service_status(
     target_rows: int = TARGET_ROWS,
 ) -> DataFrame:
     """Status after each call: healthy on success, unhealthy after enough failures in a row, else as before."""
-    runs = failure_runs(calls, ok, order, keys, target_rows)
+    rows, split = with_segments(calls, order, keys, target_rows)
+    runs = _runs_in(rows, split, ok, order, keys)
     decided = F.when(F.col("consecutive_failures") == 0, "healthy").when(F.col("consecutive_failures") >= failures, "unhealthy")
-    rows = running(runs, {"status": ("last", decided)}, order, keys, target_rows)
+    rows = running_in(runs, split, {"status": ("last", decided)}, order, keys).drop(SEGMENT)
     return rows.withColumn("status", F.coalesce("status", F.lit("unknown")))
 
 

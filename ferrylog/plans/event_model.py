@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -115,14 +114,21 @@ def known_type(event_type: Column) -> Column:
     return event_type.isin(*EVENT_SPECS)
 
 
+# fixed values: how large payload values are described, and how much text is kept
+DICT_TEXT, LIST_TEXT, STRING_HEAD, STRING_TAIL, KEPT_CHARS = "<dict with %d keys>", "<list with %d items>", "<string: ", "...>", 100
+
+
 def _value_summary(value: Column) -> Column:
     # a parsed value decides what to print: sizes for containers, a cut for long text
     kind, text = F.schema_of_variant(value), F.try_variant_get(value, "$", "string")
     body = F.to_json(value)
     return (
-        F.when(kind.startswith("OBJECT"), F.format_string("<dict with %d keys>", F.size(F.json_object_keys(body))))
-        .when(kind.startswith("ARRAY"), F.format_string("<list with %d items>", F.json_array_length(body)))
-        .when((kind == "STRING") & (F.length(text) > 100), F.concat(F.lit("<string: "), F.substring(text, 1, 100), F.lit("...>")))
+        F.when(kind.startswith("OBJECT"), F.format_string(DICT_TEXT, F.size(F.json_object_keys(body))))
+        .when(kind.startswith("ARRAY"), F.format_string(LIST_TEXT, F.json_array_length(body)))
+        .when(
+            (kind == "STRING") & (F.length(text) > KEPT_CHARS),
+            F.concat(F.lit(STRING_HEAD), F.substring(text, 1, KEPT_CHARS), F.lit(STRING_TAIL)),
+        )
         .otherwise(text)
     )
 
@@ -144,43 +150,59 @@ def audit_entries(events: DataFrame) -> DataFrame:
     )
 
 
+# fixed values: titles, texts and priorities of notifications, and where their details come from
+TITLES = {
+    "migration.completed": "Migration Completed",
+    "migration.failed": "Migration Failed",
+    "rollback.initiated": "Rollback Initiated",
+    "rollback.completed": "Rollback Completed",
+}
+COMPLETED_TEXT = "Migration %s completed successfully in %.2f seconds"
+FAILED_TEXT = "Migration %s failed: %s"
+INITIATED_TEXT = "Rollback %s initiated for migration %s: %s"
+UNDONE_TEXT = "Rollback %s for migration %s completed %s"
+WELL, BADLY, NO_REASON_KNOWN = "successfully", "with errors", "Unknown error"
+NORMAL, MEDIUM, HIGH = "normal", "medium", "high"
+DETAILS = {
+    "migration.completed": "statistics",
+    "migration.failed": "error_details",
+    "rollback.initiated": "rollback_scope",
+    "rollback.completed": "rollback_stats",
+}
+
+
 def notifications(events: DataFrame) -> DataFrame:
-    """Title, message and priority for finished, failed and rolled-back migrations."""
+    """Title, message, details and priority for finished, failed and rolled-back migrations."""
     data, kind, subject = F.col("event_data"), F.col("event_type"), F.col("aggregate_id")
     target = F.coalesce(payload_text(data, "migration_id"), F.lit(""))
     reason = F.coalesce(payload_text(data, "reason"), F.lit(""))
     seconds = F.coalesce(payload_text(data, "duration_seconds").try_cast("double"), F.lit(0.0))
-    problem = F.coalesce(payload_text(data, "error_message"), F.lit("Unknown error"))
+    problem = F.coalesce(payload_text(data, "error_message"), F.lit(NO_REASON_KNOWN))
     success = F.coalesce(payload_text(data, "success").try_cast("boolean"), F.lit(False))
-    outcome = F.when(success, "successfully").otherwise("with errors")
-    done, failed = kind == "migration.completed", kind == "migration.failed"
-    begun, undone = kind == "rollback.initiated", kind == "rollback.completed"
-    details = F.coalesce(
-        *[F.when(kind == k, payload_text(data, f)) for k, f in (
-            ("migration.completed", "statistics"),
-            ("migration.failed", "error_details"),
-            ("rollback.initiated", "rollback_scope"),
-            ("rollback.completed", "rollback_stats"),
-        )]
+    per_type = {
+        "migration.completed": (F.format_string(COMPLETED_TEXT, subject, seconds), F.lit(NORMAL)),
+        "migration.failed": (F.format_string(FAILED_TEXT, subject, problem), F.lit(HIGH)),
+        "rollback.initiated": (F.format_string(INITIATED_TEXT, subject, target, reason), F.lit(HIGH)),
+        "rollback.completed": (
+            F.format_string(UNDONE_TEXT, subject, target, F.when(success, WELL).otherwise(BADLY)),
+            F.when(success, MEDIUM).otherwise(HIGH),
+        ),
+    }
+    notice = F.coalesce(
+        *[
+            F.when(
+                kind == t,
+                F.struct(
+                    F.lit(TITLES[t]).alias("title"),
+                    message.alias("message"),
+                    F.coalesce(payload_text(data, DETAILS[t]), F.lit("{}")).alias("details"),
+                    priority.alias("priority"),
+                ),
+            )
+            for t, (message, priority) in per_type.items()
+        ]
     )
-    return events.filter(done | failed | begun | undone).select(
-        "event_id",
-        "event_type",
-        "aggregate_id",
-        "timestamp",
-        F.when(done, "Migration Completed")
-        .when(failed, "Migration Failed")
-        .when(begun, "Rollback Initiated")
-        .otherwise("Rollback Completed")
-        .alias("title"),
-        F.when(done, F.format_string("Migration %s completed successfully in %.2f seconds", subject, seconds))
-        .when(failed, F.format_string("Migration %s failed: %s", subject, problem))
-        .when(begun, F.format_string("Rollback %s initiated for migration %s: %s", subject, target, reason))
-        .otherwise(F.format_string("Rollback %s for migration %s completed %s", subject, target, outcome))
-        .alias("message"),
-        F.coalesce(details, F.lit("{}")).alias("details"),
-        F.when(failed | begun, "high")
-        .when(undone, F.when(success, "medium").otherwise("high"))
-        .otherwise("normal")
-        .alias("priority"),
+    chosen = events.filter(kind.isin(*TITLES))
+    return chosen.select("event_id", "event_type", "aggregate_id", "timestamp", notice.alias("_n")).select(
+        "event_id", "event_type", "aggregate_id", "timestamp", "_n.*"
     )

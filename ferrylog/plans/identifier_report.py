@@ -14,11 +14,14 @@ from ferrylog.functions.identifiers import (
     uuid_format,
 )
 
-# fixed values: milliseconds per identifier, batch size steps, invalid ones shown
+# fixed values: milliseconds per identifier, batch size steps, invalid ones shown, advice texts
 FEW, MANY = 100, 1000
 SLOW_MS, FAST_MS = 0.1, 0.05
 SMALL_BATCH, LARGE_BATCH = 100, 500
 SHOWN = 10
+HEX_ADVICE = "Found %d hex32 UUIDs (%.1f%%) - recommend transformation to standard format"
+INVALID_ADVICE = "Found %d invalid UUIDs (%.1f%%) - require manual review"
+STANDARD_ADVICE = "All UUIDs are already in standard format - no transformation needed"
 
 
 def transform_batch(df: DataFrame, column: str, order: str, target: str = FORMAT_DASHED) -> DataFrame:
@@ -51,9 +54,9 @@ def recommendations(df: DataFrame, column: str) -> DataFrame:
 
     return counted.select(
         "*",
-        F.when(n_hex > 0, F.format_string("Found %d hex32 UUIDs (%.1f%%) - recommend transformation to standard format", n_hex, share(n_hex))).alias("hex_advice"),
-        F.when(n_bad > 0, F.format_string("Found %d invalid UUIDs (%.1f%%) - require manual review", n_bad, share(n_bad))).alias("invalid_advice"),
-        F.when(F.col(FORMAT_DASHED) == total, "All UUIDs are already in standard format - no transformation needed").alias("standard_advice"),
+        F.when(n_hex > 0, F.format_string(HEX_ADVICE, n_hex, share(n_hex))).alias("hex_advice"),
+        F.when(n_bad > 0, F.format_string(INVALID_ADVICE, n_bad, share(n_bad))).alias("invalid_advice"),
+        F.when(F.col(FORMAT_DASHED) == total, STANDARD_ADVICE).alias("standard_advice"),
         (total * F.when(total <= FEW, F.lit(SLOW_MS)).otherwise(F.lit(FAST_MS))).alias("estimated_ms"),
         F.when(total <= FEW, total).when(total <= MANY, F.lit(SMALL_BATCH)).otherwise(F.lit(LARGE_BATCH)).cast("long").alias("batch_size"),
     )

@@ -20,7 +20,7 @@ from ferrylog.functions.payloads import (
     text_type,
 )
 
-# fixed values: fields the target expects, and names the source uses for two of them
+# fixed values: fields the target expects, advice texts, names the source uses for two fields
 USER_FIELDS = {
     "username": STRING,
     "status": STRING,
@@ -51,6 +51,11 @@ ADMIN_FIELDS = {
     "discord_webhook": STRING,
     "users_usage": BIGINT,
 }
+CONVERSION = "datetime_to_unix_timestamp"
+NAMED_ADVICE = "Convert %s from ISO datetime to Unix timestamp using %s"
+NUMBER_ADVICE = "Convert %s from string to integer with validation"
+UNIX_ADVICE = "Convert %s from ISO datetime to Unix timestamp"
+REVIEW_ADVICE = "Review and fix %s type conversion: %s -> %s"
 RENAMED = {"expire_date": "expire", "updated_at": "edit_at"}
 
 
@@ -139,7 +144,7 @@ def compare_fields(
         "source_type",
         "target_type",
         F.when(odd, F.when(to_unix, "high").otherwise("medium")).alias("severity"),
-        F.when(odd & to_unix, "datetime_to_unix_timestamp").alias("conversion"),
+        F.when(odd & to_unix, CONVERSION).alias("conversion"),
         F.when(odd, F.col("sample")).alias("sample"),
     )
 
@@ -161,11 +166,11 @@ def conversion_advice(findings: DataFrame) -> DataFrame:
     text = (
         F.when(
             F.col("conversion").isNotNull(),
-            F.format_string("Convert %s from ISO datetime to Unix timestamp using %s", name, F.col("conversion")),
+            F.format_string(NAMED_ADVICE, name, F.col("conversion")),
         )
-        .when((source == STRING) & (target == INTEGER), F.format_string("Convert %s from string to integer with validation", name))
-        .when((source == DATETIME_ISO) & (target == DATETIME_UNIX), F.format_string("Convert %s from ISO datetime to Unix timestamp", name))
-        .otherwise(F.format_string("Review and fix %s type conversion: %s -> %s", name, source, target))
+        .when((source == STRING) & (target == INTEGER), F.format_string(NUMBER_ADVICE, name))
+        .when((source == DATETIME_ISO) & (target == DATETIME_UNIX), F.format_string(UNIX_ADVICE, name))
+        .otherwise(F.format_string(REVIEW_ADVICE, name, source, target))
     )
     return findings.filter(F.col("finding") == "incompatible").select("field", text.alias("advice"))
 
