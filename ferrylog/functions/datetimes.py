@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # fixed values: accepted text shapes
-ISO_DATETIME = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?$"
-ISO_DATE = r"^\d{4}-\d{2}-\d{2}$"
+ISO_DATETIME = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?\z"
+ISO_DATE = r"^\d{4}-\d{2}-\d{2}\z"
 # fixed values: last second a timestamp can hold (year 9999) and the unix range that counts as a date (to 2100)
 LAST_SECOND = 253402300799
 UNIX_RANGE_END = 4102444800

@@ -10,8 +10,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from ferrylog.functions.datetimes import is_iso_datetime, iso_to_timestamp, timestamp_to_iso, timestamp_to_unix, unix_to_timestamp
-from ferrylog.functions.identifiers import key_to_uuid, transform_uuid
+from ferrylog.functions.datetimes import is_iso_datetime, is_unix_timestamp, iso_to_timestamp, timestamp_to_iso, timestamp_to_unix, unix_to_timestamp
+from ferrylog.functions.identifiers import is_valid_uuid, key_to_uuid, transform_uuid
 from ferrylog.functions.payloads import json_value_type, object_or_empty
 from ferrylog.operators import rows, sequences
 from ferrylog.operators.health import congestion_flags
@@ -98,6 +98,9 @@ def test_uuid_cases(spark):
         ("invalid-uuid-string", "invalid", None),
         ("550e8400", "invalid", None),
         ("", "invalid", None),
+        ("550e8400e29b-41d4-a716-446655440000", "invalid", None),
+        ("\n550E8400E29B41D4A716446655440000\t", "hex_32", "550E8400-E29B-41D4-A716-446655440000"),
+        ("\x01550e8400-e29b-41d4-a716-446655440000", "invalid", None),
         (None, "invalid", None),
     ]
     df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i long, value string")
@@ -110,9 +113,19 @@ def test_uuid_cases(spark):
     assert none.total == 0 and none.estimated_ms == 0
 
 
+def test_uuid_to_hex_and_validity(spark):
+    df = spark.createDataFrame([("550e8400-e29b-41d4-a716-446655440000",), ("a" * 32,), ("x",), (None,)], "value string")
+    made = df.select(transform_uuid(F.col("value"), "hex_32").alias("u")).select("u.*").collect()
+    assert [r.transformed for r in made] == ["550e8400e29b41d4a716446655440000", "a" * 32, None, None]
+    checks = df.select(is_valid_uuid(F.col("value")).alias("a"), is_valid_uuid(F.col("value"), "hex_32").alias("b")).collect()
+    assert [(r.a, r.b) for r in checks] == [(True, False), (True, True), (False, False), (False, False)]
+    stamps = spark.createDataFrame([(-1,), (0,), (4102444800,), (4102444801,), (None,)], "s long")
+    assert [r[0] for r in stamps.select(is_unix_timestamp(F.col("s"))).collect()] == [False, True, True, False, False]
+
+
 def test_key_keeps_case_and_refuses_signs(spark):
-    df = spark.createDataFrame([("A" * 32,), ("+" + "1" * 31,), ("0x" + "1" * 30,), ("1" * 31,)], "k string")
-    assert [r[0] for r in df.select(key_to_uuid(F.col("k"))).collect()] == ["AAAAAAAA-AAAA-AAAA-AAAA-AAAAAAAAAAAA", None, None, None]
+    df = spark.createDataFrame([("A" * 32,), ("+" + "1" * 31,), ("0x" + "1" * 30,), ("1" * 31,), ("1" * 32 + "\n",)], "k string")
+    assert [r[0] for r in df.select(key_to_uuid(F.col("k"))).collect()] == ["AAAAAAAA-AAAA-AAAA-AAAA-AAAAAAAAAAAA", None, None, None, None]
 
 
 def test_datetime_cases(spark):
