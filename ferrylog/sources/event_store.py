@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,9 +36,9 @@ def append_events(events: DataFrame, path: str, new_only: bool = False) -> None:
         try:
             stored = read_events(events.sparkSession, path).select("event_id", "event_date")
             rows = rows.join(stored, ["event_id", "event_date"], "left_anti")
-        except Exception as problem:  # no table yet
-            if "PATH_NOT_FOUND" not in str(problem):
-                raise
+        except AnalysisException as problem:
+            if problem.getCondition() != "PATH_NOT_FOUND":
+                raise  # anything but a table that is not there yet
     rows = rows.hint("rebalance", F.col("event_date"))  # few files per day, and a hot day is split
     rows.sortWithinPartitions("event_date", "aggregate_id", "event_version").write.mode("append").partitionBy("event_date").parquet(path)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
@@ -13,7 +13,7 @@ from workloads.adapters import SQL_ENVELOPES, envelopes, raw_events
 from workloads.registry import AS_OF, query
 
 WITH = f"WITH {SQL_ENVELOPES} "
-START, END = datetime(2024, 1, 5), datetime(2024, 1, 20)
+START, END = datetime(2024, 1, 5, tzinfo=timezone.utc), datetime(2024, 1, 20, tzinfo=timezone.utc)
 SHORT = "event_id, event_type, aggregate_id, event_version, epoch_us(\"timestamp\") AS us"
 
 
@@ -249,7 +249,7 @@ def q8(spark, folder):
 )
 def q8_upsert(spark, folder):
     newest = load_table(spark, folder, "orders").groupBy(F.col("o_custkey").alias("aggregate_id")).agg(F.max("o_orderkey").alias("version"))
-    old = F.lit(datetime(2024, 1, 1)).cast("timestamp")
+    old = F.lit(datetime(2024, 1, 1, tzinfo=timezone.utc)).cast("timestamp")
     stored = newest.filter(F.col("aggregate_id") % 3 != 0).withColumns({"created_at": old, "updated_at": old})
     merged = read_models.upsert(stored, newest.filter(F.col("aggregate_id") % 2 == 0), "aggregate_id", F.lit(AS_OF).cast("timestamp"))
     return merged.select("aggregate_id", "version", F.unix_micros("created_at").alias("created_us"), F.unix_micros("updated_at").alias("updated_us"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
@@ -150,7 +150,7 @@ def f18(spark, folder):
 def s14(spark, folder):
     from ferrylog.plans.event_queries import event_lines
 
-    lines = event_lines(envelopes(spark, folder), end=datetime(2024, 1, 20), types=["user.migrated", "data.imported"])
+    lines = event_lines(envelopes(spark, folder), end=datetime(2024, 1, 20, tzinfo=timezone.utc), types=["user.migrated", "data.imported"])
     field = lambda name: F.get_json_object("value", f"$.{name}")
     return lines.select("event_id", field("event_type").alias("event_type"), field("aggregate_id").alias("aggregate_id"), field("timestamp").alias("at"))
 

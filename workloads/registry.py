@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,7 +12,7 @@ from ferrylog.session import prepare
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-AS_OF = datetime(2024, 1, 15)
+AS_OF = datetime(2024, 1, 15, tzinfo=timezone.utc)
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
