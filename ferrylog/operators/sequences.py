@@ -253,7 +253,8 @@ def keep_newest(df: DataFrame, count: int, order: Sequence[str], keys: Sequence[
     if keys and count <= 1000:
         # Spark keeps the top rows of each task before the shuffle for such a filter
         newest = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
-        return df.withColumn("rank", F.row_number().over(newest).cast("long")).filter(F.col("rank") <= count)
+        top = df.withColumn("rank", F.row_number().over(newest)).filter(F.col("rank") <= count)
+        return top.withColumn("rank", F.col("rank").cast("long"))
     rows = with_seq(df, order, keys, "_i", target_rows)
     totals = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     if keys:

@@ -155,6 +155,13 @@ def test_core_stays_in_the_engine(spark, folder):
     assert "EqualTo(event_type,view)" in selected
 
 
+def test_newest_rows_are_kept_before_the_shuffle(spark, folder):
+    from ferrylog.operators import sequences
+
+    plan = plan_of(sequences.keep_newest(raw_events(spark, folder), 3, ["ts", "event_id"], ["user_id"]))
+    assert "WindowGroupLimit" in plan
+
+
 def test_stored_events_are_pruned(spark, six, tmp_path):
     path = str(tmp_path / "events")
     event_store.append_events(six, path)
