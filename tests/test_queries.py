@@ -6,8 +6,10 @@ import pytest
 
 import __spark_entry__ as entries
 from tools.check import compare, connect
+from workloads import load_all
+from workloads.registry import ORACLES, QUERIES
 
-QUERIES, ORACLES = entries.queries(), entries.oracle_sql()
+load_all()
 
 
 @pytest.fixture(scope="module")
