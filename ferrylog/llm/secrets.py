@@ -156,19 +156,27 @@ def secret_report(versions: DataFrame, folder: str, carried: tuple[str, ...] = (
     return rows.select(*carried, *counts, digest, spans_text(found).alias("spans"))
 
 
-def redact(text: Column, found: Column) -> Column:
-    """The text with every stretch covered by spans replaced by a mark; overlapping and touching spans are one stretch."""
-    nothing = F.array().cast("array<struct<start:int,stop:int>>")
-    first = F.struct(found[0].start.alias("start"), found[0].stop.alias("stop"))
+def redact(rows: DataFrame, text: str = "text", mark: str = REDACTED) -> DataFrame:
+    """``rows`` with ``_found`` (of :func:`with_findings`) dropped and every stretch that spans cover replaced by ``mark``.
+
+    Overlapping and touching spans are one stretch. Null texts stay null. Merging costs the square of a text's spans
+    in copied references, and each stretch a substring of the text.
+    """
+    columns, merged, cut = [c for c in rows.columns if c != "_found"], free_name(rows, "_merged"), free_name(rows, "_cut")
+    stretch = "struct<start:int,stop:int>"
 
     def join(done: Column, x: Column) -> Column:
         last = F.element_at(done, -1)
         longer = F.struct(last.start.alias("start"), F.greatest(last.stop, x.stop).alias("stop"))
-        return F.when(x.start <= last.stop, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(
-            F.concat(done, F.array(F.struct(x.start.alias("start"), x.stop.alias("stop"))))
-        )
-
-    merged = F.aggregate(found, F.concat(nothing, F.array(first)), join)
-    kept = F.transform(merged, lambda x, i: F.concat(F.substring(text, F.when(i == 0, 1).otherwise(F.get(merged, i - 1).stop + 1), x.start - F.when(i == 0, 0).otherwise(F.get(merged, i - 1).stop)), F.lit(REDACTED)))
-    tail = F.substring(text, F.element_at(merged, -1).stop + 1, F.length(text))
-    return F.when(F.size(found) == 0, text).otherwise(F.concat(F.array_join(kept, ""), tail))
+        return F.when(x.start <= last.stop, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(x)))
+
+    spans = F.transform("_found", lambda x: F.struct(x.start.alias("start"), x.stop.alias("stop")))
+    before = F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("stop")).cast(stretch)
+    rows = rows.withColumn(merged, F.when(F.size("_found") > 0, F.aggregate(spans, F.array(before), join)))
+    # pairs of neighbouring stretches: what lies between them is kept
+    rows = rows.withColumn(cut, F.arrays_zip(F.slice(merged, 1, F.size(merged) - 1).alias("left"), F.slice(merged, 2, F.size(merged)).alias("right")))
+    whole = F.col(text)
+    kept = F.transform(cut, lambda x: F.concat(F.substring(whole, F.greatest(x.left.stop, F.lit(0)) + 1, x.right.start - F.greatest(x.left.stop, F.lit(0))), F.lit(mark)))
+    tail = F.substring(whole, F.element_at(merged, -1).stop + 1, F.length(whole))
+    new = F.when(F.col(merged).isNull(), whole).otherwise(F.concat(F.array_join(kept, ""), tail))
+    return rows.select(*[new.alias(c) if c == text else F.col(c) for c in columns])
