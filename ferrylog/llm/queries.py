@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrylog.llm import bpe, mixing, secrets
+from ferrylog.llm import bpe, learning, mixing, quality, secrets, toxicity
 from ferrylog.llm.common import table
 from ferrylog.session import new_path
 
@@ -20,6 +20,7 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Target weights of the mix: the first source, a third of all rows, goes down to a tenth; the others rise in steps.
 WEIGHTS = {"src0": 10.0} | {f"src{i}": 3.0 + i % 4 for i in range(1, 16)}
 OTHER_WEIGHT, SEED = 8.0, 20
+LEAST_SCORE = 0.3
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -56,6 +57,30 @@ SELECT d.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in se
 FROM documents d LEFT JOIN told USING (doc_id)"""
 
 
+def judged(scored: DataFrame, held_out: int, folds: int) -> DataFrame:
+    """The fold and the decision beside each score; a row without an id was never learned from."""
+    return scored.select(
+        "doc_id",
+        F.coalesce(learning.fold("doc_id", folds) == held_out, F.lit(True)).alias("held_out"),
+        "score",
+        (F.col("score") >= LEAST_SCORE).cast("int").alias("predicted"),
+    )
+
+
+@query("op1_quality_classifier")
+def _(spark, folder):
+    docs = table(spark, folder, "documents")
+    weights = quality.fit(docs, table(spark, folder, "labels"), learning.fold("doc_id", 5) != 0)
+    return judged(quality.score(docs, weights), 0, 5)
+
+
+@query("op7_toxicity")
+def _(spark, folder):
+    docs = table(spark, folder, "documents")
+    model = toxicity.fit(docs, table(spark, folder, "labels"), learning.fold("doc_id", 4) != 2)
+    return judged(toxicity.score(docs, model), 2, 4)
+
+
 @query("op5_secret_scans", SECRETS_SQL)
 def _(spark, folder):
     return secrets.secret_report(table(spark, folder, "documents"), new_path(spark, "ledger"))
