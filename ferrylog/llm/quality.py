@@ -152,9 +152,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality
             yield arrow_table({"turn": batch.column("turn"), "label": batch.column("label"), "at": at, "x": x}, schema)
 
     def learned(pieces: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(pieces), ignore_index=True)
-        if len(rows):
-            rows = rows.sort_values(["turn", "at"])
+        pieces = list(pieces)
+        if pieces:
+            rows = pd.concat(pieces, ignore_index=True).sort_values(["turn", "at"])
             examples = [(np.frombuffer(a, np.int32), np.frombuffer(x, np.float32).astype(float)) for a, x in zip(rows["at"], rows["x"], strict=True)]
             yield pd.DataFrame({"weights": [train(examples, rows["label"].tolist(), s).astype(np.float32).tobytes()]})
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrylog.llm import bpe, learning, mixing, quality, secrets, toxicity
+from ferrylog.llm import bpe, learning, minhash, mixing, quality, secrets, toxicity
 from ferrylog.llm.common import table
 from ferrylog.session import new_path
 
@@ -74,6 +74,24 @@ def _(spark, folder):
     return judged(quality.score(docs, weights), 0, 5)
 
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+NEAR_SQL = f"""
+WITH RECURSIVE cut AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[\x20\x09-\x0D]+'), lambda x: x != '') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM cut),
+items AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+links AS (SELECT a.doc_id AS u, b.doc_id AS v FROM items a JOIN items b ON a.x = b.x AND a.doc_id != b.doc_id AND 100 * least(a.n, b.n) >= {minhash.PERCENT} * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= {minhash.PERCENT} * (a.n + b.n - count(*))),
+reach(u, v) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u),
+least_of AS (SELECT u, min(v) AS component_id FROM reach GROUP BY u)
+SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN least_of ON u = doc_id"""
+
+
+@query("op6_minhash_near_dedup", NEAR_SQL)
+def _(spark, folder):
+    return minhash.near_duplicates(table(spark, folder, "documents"))
+
+
 @query("op7_toxicity")
 def _(spark, folder):
     docs = table(spark, folder, "documents")

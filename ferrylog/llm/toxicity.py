@@ -418,8 +418,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic",
     sample = labelled_sample(docs, labels, learn, label, s.sample, s.longest)
 
     def learned(pieces: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(pieces), ignore_index=True).sort_values(["turn", "text"])
-        if len(rows):
+        pieces = list(pieces)
+        if pieces:
+            rows = pd.concat(pieces, ignore_index=True).sort_values(["turn", "text"])
             yield pd.DataFrame({"model": [_packed(train(rows["text"].tolist(), rows["label"].tolist(), s))]})
 
     found = sample.coalesce(1).mapInPandas(learned, "model binary").collect()
