@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrylog.llm import bpe, learning, minhash, mixing, quality, secrets, toxicity
+from ferrylog.llm import bpe, learning, minhash, mixing, pivots, projections, quality, secrets, toxicity
 from ferrylog.llm.common import table
 from ferrylog.session import new_path
 
@@ -99,6 +99,25 @@ def _(spark, folder):
     return judged(toxicity.score(docs, model), 2, 4)
 
 
+LINKS_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+fit AS (SELECT vec_id, e FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x != 0)) > 0),
+links AS (SELECT a.vec_id AS u, b.vec_id AS v FROM fit a, fit b WHERE a.vec_id != b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+reach(u, v) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u),
+numbers AS (SELECT u, count(*) AS n FROM links GROUP BY u)
+SELECT r.u AS vec_id, coalesce(any_value(n), 0) AS n_links, min(r.v) AS component_id, r.u = min(r.v) AS kept FROM reach r LEFT JOIN numbers ON numbers.u = r.u GROUP BY r.u"""
+
+
+@query("op4_pivot_near_dedup", LINKS_SQL)
+def _(spark, folder):
+    return pivots.near_vectors(table(spark, folder, "embeddings"))
+
+
+@query("op8_nearest_neighbours")
+def _(spark, folder):
+    return projections.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 @query("op5_secret_scans", SECRETS_SQL)
 def _(spark, folder):
     return secrets.secret_report(table(spark, folder, "documents"), new_path(spark, "ledger"))
