@@ -163,6 +163,7 @@ def codec(key: tuple, index: PerfectHash, pattern: str) -> Codec:
     return _CODECS[key]
 
 
+BOTH = pa.schema([("ids", pa.list_(pa.int32())), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 TOKENS = pa.schema([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 IDS = pa.schema([("ids", pa.list_(pa.int64()))])
 
@@ -174,7 +175,7 @@ def _encoded(docs: DataFrame, path: str, pattern: str, carried: list[str], text:
     key = (hashlib.sha256(b"".join(base64.b64encode(x) + b"," for x in entries)).hexdigest(), pattern)
     shipped = spark.sparkContext.broadcast(PerfectHash(entries))  # a vocabulary: its size does not follow the data
     chosen = docs.select(*[F.col(c) for c in carried], F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
-    names = {"int64": "long", "string": "string", "list<item: int64>": "array<long>", "list<element: int64>": "array<long>"}
+    names = {"int64": "long", "string": "string", "list<item: int64>": "array<long>", "list<item: int32>": "array<int>"}
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema if f.name != "_text"] + [f"`{f.name}` {names[str(f.type)]}" for f in added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,11 +221,17 @@ def token_digests(docs: DataFrame, path: str, pattern: str, text: str = "text",
     Nulls, empty texts, repeated rows and empty tables as in :func:`encode`.
     """
 
-    def digests(own: Codec, ids: list[bytes]) -> dict:
-        return {
-            "n_tokens": [len(x) // 4 for x in ids],
-            "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
-            "decoded_sha256": [hashlib.sha256(own.decode(x)).hexdigest() for x in ids],
-        }
+    return _encoded(docs, path, pattern, list(carried), text, TOKENS, _digests)
 
-    return _encoded(docs, path, pattern, list(carried), text, TOKENS, digests)
+
+def _digests(own: Codec, ids: list[bytes]) -> dict:
+    return {
+        "n_tokens": [len(x) // 4 for x in ids],
+        "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
+        "decoded_sha256": [hashlib.sha256(own.decode(x)).hexdigest() for x in ids],
+    }
+
+
+def tokens(docs: DataFrame, path: str, pattern: str, text: str = "text", carried: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``carried`` columns, ``ids`` (array of int) and what :func:`token_digests` says of them, in one pass."""
+    return _encoded(docs, path, pattern, list(carried), text, BOTH, lambda own, ids: {"ids": [np.frombuffer(x, "<i4") for x in ids]} | _digests(own, ids))

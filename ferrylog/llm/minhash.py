@@ -24,10 +24,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ferrylog.llm.common import MULTIPLIER, WordHashes, arrow_table, bounded_batches, mix, small_pieces
+from ferrylog.llm.common import MULTIPLIER, WordHashes, arrow_table, bounded_batches, free_name, mix, small_pieces
 from ferrylog.llm.graph import components, follow
 from ferrylog.session import materialise, new_path
 
@@ -77,7 +77,12 @@ def set_digest(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
-SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("signature", pa.binary())])
+SKETCH = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("signature", pa.binary())])
+
+
+def text_key(text: str) -> Column:
+    """Tells apart texts of one id, null read as empty."""
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
 
 
 def sketches(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -91,14 +96,15 @@ def sketches(docs: DataFrame, text: str = "text") -> DataFrame:
             full = iter(signatures([s for s in sets if len(s)]))
             columns = {
                 "doc_id": batch.column("doc_id"),
+                "text_key": batch.column("text_key"),
                 "n_shingles": [len(s) for s in sets],
                 "set_id": [set_digest(s) if len(s) else None for s in sets],
                 "signature": [next(full).tobytes() if len(s) else None for s in sets],
             }
             yield arrow_table(columns, SKETCH)
 
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
-    return chosen.mapInArrow(run, "doc_id long, n_shingles long, set_id binary, signature binary")
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(text).alias("text_key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
+    return chosen.mapInArrow(run, "doc_id long, text_key long, n_shingles long, set_id binary, signature binary")
 
 
 def postings(classes: DataFrame) -> DataFrame:
@@ -295,7 +301,7 @@ def _components(spark: SparkSession, docs: DataFrame, classes: DataFrame, text:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept``: one row per row of ``docs``.
+    """``doc_id, n_shingles, component_id, kept, text_key``: one row per row of ``docs``.
 
     ``component_id`` is the smallest ``doc_id`` that links lead to, its own included; ``kept`` says that it is its own. Null
     and empty texts and those of blanks have an empty set and are linked with nothing. A text of fewer words than a
@@ -313,8 +319,21 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     named = materialise(classes.select("set_id", "rep").join(linked, "set_id", "left").select("set_id", F.coalesce("comp", "rep").alias("_component")))
     own = F.when(F.col("n_shingles") > 0, F.coalesce("_component", "doc_id")).otherwise(F.col("doc_id"))
     return (
-        drawn.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_id")).alias("set_id"))
+        drawn.select("doc_id", "text_key", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_id")).alias("set_id"))
         .join(named, "set_id", "left")
-        .select("doc_id", "n_shingles", own.alias("component_id"))
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        .select("doc_id", "n_shingles", own.alias("component_id"), "text_key")
+        .select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_key")
     )
+
+
+def without_near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that :func:`near_duplicates` keeps: one of each group, all of its columns.
+
+    Of rows that repeat an id and a text one stays; null and empty texts belong to no group.
+    """
+    key, number = free_name(docs, "_key"), free_name(docs, "_number")
+    kept = near_duplicates(docs, text).where("kept").select("doc_id", "text_key").distinct().toDF("_kept_id", "_kept_key")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")) & (F.col(key) == F.col("_kept_key"))
+    rows = docs.withColumn(key, text_key(text)).join(kept, same, "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id", key).orderBy("doc_id"))
+    return rows.withColumn(number, first).where(F.col(number) == 1).select(*docs.columns)

@@ -89,7 +89,7 @@ SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept
 
 @query("op6_minhash_near_dedup", NEAR_SQL)
 def _(spark, folder):
-    return minhash.near_duplicates(table(spark, folder, "documents"))
+    return minhash.near_duplicates(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 @query("op7_toxicity")
