@@ -158,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality
             examples = [(np.frombuffer(a, np.int32), np.frombuffer(x, np.float32).astype(float)) for a, x in zip(rows["at"], rows["x"], strict=True)]
             yield pd.DataFrame({"weights": [train(examples, rows["label"].tolist(), s).astype(np.float32).tobytes()]})
 
-    found = sample.mapInArrow(features, "turn long, label int, at binary, x binary").coalesce(1).mapInPandas(learned, "weights binary").collect()
+    found = sample.mapInArrow(features, "turn long, label int, at binary, x binary").repartition(1).mapInPandas(learned, "weights binary").collect()
     return np.frombuffer(found[0]["weights"], np.float32).copy() if found else np.zeros(s.buckets + 1, np.float32)
 
 

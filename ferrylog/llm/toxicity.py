@@ -423,7 +423,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic",
             rows = pd.concat(pieces, ignore_index=True).sort_values(["turn", "text"])
             yield pd.DataFrame({"model": [_packed(train(rows["text"].tolist(), rows["label"].tolist(), s))]})
 
-    found = sample.coalesce(1).mapInPandas(learned, "model binary").collect()
+    found = sample.repartition(1).mapInPandas(learned, "model binary").collect()
     if not found:
         return train(["a", "b"], [0, 1], s)
     return dict(np.load(io.BytesIO(found[0]["model"])))
