@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrylog.llm.common import free_name
+from ferrylog.session import materialise
 
 
 @dataclass(frozen=True)
@@ -129,7 +130,8 @@ def with_findings(versions: DataFrame, folder: str, rules: tuple[Rule, ...] = RU
     """
     versions = versions.drop("_found")
     key = free_name(versions, "_blob")
-    known = findings(versions.sparkSession, folder, rules).select(F.col("blob").alias(key), F.col("found").alias("_known"))
+    # written first: a plain join on both sides' own shuffles is one whose hot blobs can be split
+    known = materialise(findings(versions.sparkSession, folder, rules), "findings").select(F.col("blob").alias(key), F.col("found").alias("_known"))
     joined = versions.withColumn(key, blob_of(F.col(text))).join(known, key, "left")
     return joined.select(*versions.columns, F.coalesce(known["_known"], F.array().cast(f"array<{SPAN}>")).alias("_found"))
 
