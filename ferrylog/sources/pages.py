@@ -1,4 +1,8 @@
-"""Landed API pages: ``{"items": [...], "total": n}`` files per entity, read with declared schemas."""
+"""Landed API pages: ``{"items": [...], "total": n}`` files per entity, read with declared schemas.
+
+Nothing is lost on the way in: a page that cannot be read is set aside with its file and text, an item that does not fit the
+schema alone with its own text. The envelope is parsed once, with items as texts; each item is then typed by itself.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +15,7 @@ from pyspark.sql import types as T
 
 from ferrylog.functions.payloads import object_or_empty
 from ferrylog.functions.schemas import BOOL, LONG, TEXT, struct
+from ferrylog.operators.ordering import running
 
 # fixed values: the entities and their fields
 IDS = T.ArrayType(LONG)
@@ -51,59 +56,98 @@ def item_type(entity: str) -> T.StructType:
 
 
 def read_pages(spark: SparkSession, path: str, entity: str) -> DataFrame:
-    """Page files as rows: ``offset``, ``total``, ``items``; unreadable files keep their text in ``_corrupt_record``.
+    """Pages, one per line: ``entity``, their place (``file``, ``block``, ``line``), ``offset``, ``total``, ``items`` as JSON texts.
 
-    A file holds one page per line. ``offset`` is where the page starts in the listing, written
-    by whoever landed the page; without it the file name orders pages.
+    ``page_error`` says why a page has no items to read; its text is then in ``page_text``. ``offset`` is where the page starts in the
+    listing, if whoever landed the page wrote it.
     """
-    items = T.ArrayType(item_type(entity))
-    schema = T.StructType(
-        [
-            T.StructField("offset", T.LongType()),
-            T.StructField("total", T.LongType()),
-            T.StructField("items", items),
-            T.StructField("_corrupt_record", T.StringType()),
-        ]
+    envelope = "offset string, total string, items array<string>, _corrupt_record string"
+    parsed = F.from_json("value", envelope, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    # within a block of a file, lines have rising numbers; blocks start at their place in the file
+    lines = spark.read.text(path).where(F.trim("value") != "").select(
+        F.lit(entity).alias("entity"),
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"),
+        "value",
+        parsed.alias("_page"),
+    )
+    error = F.when(F.col("_page._corrupt_record").isNotNull(), F.lit("not a page")).when(F.col("_page.items").isNull(), F.lit("no items"))
+    return lines.select(
+        "entity",
+        "file",
+        "block",
+        "line",
+        F.col("_page.offset").try_cast("long").alias("offset"),
+        F.col("_page.total").try_cast("long").alias("total"),
+        F.when(error.isNull(), F.col("_page.items")).alias("items"),
+        error.alias("page_error"),
+        F.when(error.isNotNull(), F.col("value")).alias("page_text"),
     )
-    reader = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
-    return reader.json(path).withColumn("entity", F.lit(entity))
+
+
+def unreadable_pages(pages: DataFrame) -> DataFrame:
+    """Pages without items to read, with their file, text and error."""
+    return pages.filter(F.col("page_error").isNotNull()).select("entity", "file", "page_error", "page_text")
+
+
+def _placed(pages: DataFrame) -> DataFrame:
+    """Readable pages with ``_start``: their offset, or where they start if listed in the order of files and lines."""
+    readable = pages.filter(F.col("page_error").isNull())
+    if readable.filter(F.col("offset").isNull()).isEmpty():
+        return readable.withColumn("_start", F.col("offset"))
+    size = F.size("items").cast("long")
+    counted = running(readable, {"_upto": ("sum", size)}, ["file", "block", "line"])
+    return counted.withColumn("_start", F.coalesce("offset", F.col("_upto") - size)).drop("_upto")
 
 
 def page_items(pages: DataFrame, entity: str) -> DataFrame:
-    """Items of all readable pages; ``seq`` = page offset + position keeps the listing order."""
-    rows = pages.filter(F.col("_corrupt_record").isNull()).select("offset", F.posexplode("items").alias("_pos", "_item"))
-    return rows.select((F.col("offset") + F.col("_pos")).alias("seq"), "_item.*")
+    """Items of all readable pages: ``seq``, their place in the listing, ``item_text``, ``ill_typed`` and the entity's fields.
+
+    Fields that fit are there also where others do not.
+    """
+    schema = T.StructType([*item_type(entity).fields, T.StructField("_corrupt_record", T.StringType())])
+    rows = _placed(pages).select((F.col("_start")).alias("_start"), F.posexplode("items").alias("_pos", "item_text"))
+    typed = F.from_json("item_text", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    rows = rows.select((F.col("_start") + F.col("_pos")).alias("seq"), "item_text", typed.alias("_item"))
+    ill = F.col("_item").isNull() | F.col("_item._corrupt_record").isNotNull()
+    return rows.select("seq", "item_text", ill.alias("ill_typed"), *[F.col(f"_item.{f.name}").alias(f.name) for f in item_type(entity)])
 
 
 def accept_items(items: DataFrame, entity: str) -> tuple[DataFrame, DataFrame]:
-    """(good rows with defaults filled, quarantined rows with ``error``).
+    """(good rows with defaults filled, quarantined rows with ``error`` and ``item_text``).
 
-    A row without a required field is set aside; it does not end the entity.
+    An item that does not fit the schema, or lacks a required field, is set aside; it does not end the entity.
     """
     absent = F.concat_ws(", ", *[F.when(F.col(c).isNull(), F.lit(c)) for c in REQUIRED[entity]])
-    judged = items.withColumn("error", F.when(absent != "", F.concat(F.lit("missing: "), absent)))
+    missing = F.when(absent != "", F.concat(F.lit("missing: "), absent))
+    judged = items.withColumn("error", F.when(F.col("ill_typed"), F.lit("ill-typed")).otherwise(missing)).drop("ill_typed")
     filled: dict[str, Column] = {c: F.coalesce(F.col(c), F.lit(v)) for c, v in DEFAULTS[entity].items()}
     for field in item_type(entity):
         if isinstance(field.dataType, T.ArrayType):
             filled[field.name] = F.coalesce(F.col(field.name), F.array().cast(field.dataType))
     if entity == "inbounds":
         filled["config"] = object_or_empty(F.col("config"))
-    good = judged.filter(F.col("error").isNull()).drop("error").withColumns(filled)
+    good = judged.filter(F.col("error").isNull()).drop("error", "item_text").withColumns(filled)
     return good, judged.filter(F.col("error").isNotNull())
 
 
 def page_completeness(pages: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
-    """Per entity: items gathered against the total its first page reported, and how the listing ended."""
+    """Per entity: items gathered against the total its first page reported, how the listing ended, and pages lost."""
     size = F.coalesce(F.size("items"), F.lit(0))
-    found = pages.filter(F.col("_corrupt_record").isNull()).groupBy("entity").agg(
-        F.count(F.lit(1)).alias("pages"),
-        F.sum(size).cast("long").alias("gathered"),
-        F.min_by("total", "offset").alias("reported_total"),
-        F.max_by(size, "offset").alias("_last"),
+    readable = F.col("page_error").isNull()
+    place = F.when(readable, F.struct(F.col("offset").isNull(), "offset", "file", "block", "line"))
+    found = pages.groupBy("entity").agg(
+        F.count_if(readable).alias("pages"),
+        F.count_if(~readable).alias("unreadable"),
+        F.sum(F.when(readable, size).otherwise(0)).cast("long").alias("gathered"),
+        F.min_by("total", place).alias("reported_total"),
+        F.max_by(size, place).alias("_last"),
     )
     return found.select(
         "entity",
         "pages",
+        "unreadable",
         "gathered",
         "reported_total",
         (F.col("gathered") == F.col("reported_total")).alias("complete"),
@@ -115,44 +159,55 @@ def page_completeness(pages: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame
 class Extract:
     entities: dict[str, DataFrame]
     quarantine: dict[str, DataFrame]
+    unreadable: dict[str, DataFrame]
     failed: frozenset[str]
 
 
 def extract_all(spark: SparkSession, paths: dict[str, str]) -> Extract:
-    """All four entities; one that cannot be read becomes an empty, typed set and is marked failed."""
-    good, bad, failed = {}, {}, set()
+    """All four entities; one whose path cannot be read becomes an empty, typed set and is marked failed."""
+    good, bad, lost, failed = {}, {}, {}, set()
     for entity in ITEM_SCHEMAS:
         try:
-            items = page_items(read_pages(spark, paths[entity], entity), entity)
+            read = read_pages(spark, paths[entity], entity)
+            items = page_items(read, entity)
         except (AnalysisException, KeyError):
             failed.add(entity)
-            schema = T.StructType([T.StructField("seq", T.LongType()), *item_type(entity).fields])
-            items = spark.createDataFrame([], schema)
+            fields = [T.StructField("seq", T.LongType()), T.StructField("item_text", T.StringType()), T.StructField("ill_typed", T.BooleanType())]
+            items = spark.createDataFrame([], T.StructType([*fields, *item_type(entity).fields]))
+            read = spark.createDataFrame([], "entity string, file string, page_error string, page_text string")
         good[entity], bad[entity] = accept_items(items, entity)
-    return Extract(good, bad, frozenset(failed))
+        lost[entity] = unreadable_pages(read)
+    return Extract(good, bad, lost, frozenset(failed))
 
 
 def extraction_summary(extract: Extract) -> DataFrame:
-    """Rows per entity, failed entities as 0."""
-    counts = [
-        df.agg(F.count(F.lit(1)).alias("rows")).select(
-            F.lit(entity).alias("entity"), "rows", F.lit(entity in extract.failed).alias("failed")
-        )
-        for entity, df in extract.entities.items()
+    """Per entity the rows taken, items set aside and pages lost; a failed entity has zeros. ``failed`` also tells of lost pages."""
+    parts = [
+        df.select(F.lit(entity).alias("entity"), *[F.lit(int(kind == k)).cast("long").alias(k) for k in ("rows", "quarantined", "unreadable_pages")])
+        for kind, sets in (("rows", extract.entities), ("quarantined", extract.quarantine), ("unreadable_pages", extract.unreadable))
+        for entity, df in sets.items()
     ]
-    out = counts[0]
-    for nxt in counts[1:]:
-        out = out.unionByName(nxt)
-    return out
+    zeros = [F.lit(0).cast("long").alias(k) for k in ("rows", "quarantined", "unreadable_pages")]
+    spark = parts[0].sparkSession
+    every = spark.createDataFrame([(e,) for e in extract.entities], "entity string").select("entity", *zeros)
+    for part in parts:
+        every = every.unionByName(part)
+    summed = every.groupBy("entity").agg(*[F.sum(k).alias(k) for k in ("rows", "quarantined", "unreadable_pages")])
+    gone = F.col("entity").isin(sorted(extract.failed)) if extract.failed else F.lit(False)
+    return summed.withColumn("failed", gone | (F.col("unreadable_pages") > 0))
 
 
-def land_pages(items: DataFrame, path: str, entity: str, page_size: int = PAGE_SIZE) -> None:
-    """Write numbered items (``seq`` from 0) as page files, the way a fetch would leave them."""
+def land_pages(items: DataFrame, path: str, entity: str, page_size: int = PAGE_SIZE, offsets: bool = True, item_text: Column | None = None) -> None:
+    """Write numbered items (``seq`` from 0) as page files, one page per line, in the order of file names and lines.
+
+    ``offsets`` writes each page's start into it; ``item_text`` replaces the JSON of the items where it is not null.
+    """
     fields = [F.col(f.name) for f in item_type(entity) if f.name in items.columns]
-    offset = (F.floor(F.col("seq") / page_size) * page_size).cast("long")
-    row = F.struct(F.col("seq"), F.struct(*fields).alias("item"))
-    paged = items.groupBy(offset.alias("offset")).agg(F.sort_array(F.collect_list(row)).alias("_rows"))
-    pages = paged.select(
-        "offset", F.lit(items.count()).cast("long").alias("total"), F.transform("_rows", lambda r: r["item"]).alias("items")
-    )
-    pages.write.json(path)
+    start = (F.floor(F.col("seq") / page_size) * page_size).cast("long")
+    text = F.to_json(F.struct(*fields))
+    row = F.struct(F.col("seq"), (text if item_text is None else F.coalesce(item_text, text)).alias("item"))
+    paged = items.groupBy(start.alias("_start")).agg(F.sort_array(F.collect_list(row)).alias("_rows"))
+    listed = F.array_join(F.transform("_rows", lambda r: r["item"]), ",")
+    head = F.concat(F.lit('"offset":'), F.col("_start").cast("string"), F.lit(",")) if offsets else F.lit("")
+    page = F.concat(F.lit("{"), head, F.lit(f'"total":{items.count()},"items":['), listed, F.lit("]}"))
+    paged.repartitionByRange("_start").sortWithinPartitions("_start").select(page.alias("value")).write.text(path)

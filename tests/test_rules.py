@@ -244,16 +244,33 @@ def test_schema_findings(spark):
 def test_pages_quarantine_and_order(spark, tmp_path):
     lines = [
         '{"offset": 0, "total": 3, "items": [{"id": 1, "username": "a"}, {"id": 2}]}',
-        '{"offset": 2, "total": 9, "items": [{"id": 3, "username": "c", "extra": 1}]}',
-        '{"offset": 3, "items": [',
+        '{"offset": 2, "total": 9, "items": [{"id": 3, "username": "c", "extra": 1}, {"id": "x", "username": "d"}, null]}',
+        '{"offset": 5, "items": [',
+        '{"offset": 5, "total": 3}',
     ]
     (tmp_path / "p.json").write_text("\n".join(lines))
     read = pages.read_pages(spark, str(tmp_path), "admins")
     good, bad = pages.accept_items(pages.page_items(read, "admins"), "admins")
     assert [(r.seq, r.username, r.enabled, r.service_ids) for r in good.orderBy("seq").collect()] == [(0, "a", True, []), (2, "c", True, [])]
-    assert [(r.seq, r.error) for r in bad.collect()] == [(1, "missing: username")]
+    assert [(r.seq, r.error, r.item_text) for r in bad.orderBy("seq").collect()] == [
+        (1, "missing: username", '{"id":2}'),
+        (3, "ill-typed", '{"id":"x","username":"d"}'),
+        (4, "ill-typed", None),
+    ]
+    assert sorted((r.page_error, r.page_text) for r in pages.unreadable_pages(read).collect()) == [("no items", lines[3]), ("not a page", lines[2])]
     done = pages.page_completeness(read).first()
-    assert (done.gathered, done.reported_total, done.complete, done.short_last_page) == (3, 3, True, True)
+    assert (done.gathered, done.reported_total, done.complete, done.short_last_page, done.unreadable) == (5, 3, False, True, 2)
+
+
+def test_pages_without_offsets_keep_file_order(spark, tmp_path):
+    for f in range(3):
+        lines = [json.dumps({"total": 24, "items": [{"id": f * 8 + p * 2 + i, "username": "u"} for i in range(2)]}) for p in range(4)]
+        (tmp_path / f"page-{f}.json").write_text("\n".join([*lines, "{broken"]))
+    read = pages.read_pages(spark, str(tmp_path), "admins")
+    assert [(r.seq, r.id) for r in pages.page_items(read, "admins").orderBy("seq").collect()] == [(i, i) for i in range(24)]
+    extract = pages.extract_all(spark, {"admins": str(tmp_path)})
+    told = {r.entity: tuple(r)[1:] for r in pages.extraction_summary(extract).collect()}
+    assert told["admins"] == (24, 0, 3, True) and told["users"] == (0, 0, 0, True)
 
 
 def test_congestion_needs_two_indicators(spark):

@@ -19,52 +19,78 @@ from workloads.registry import AS_OF, query
 ACCOUNTS, EVENTS = f"WITH {SQL_ACCOUNTS} ", f"WITH {SQL_ENVELOPES} "
 
 
-def landed_users(spark, folder) -> str:
+ILL_TYPED = "c_custkey % 25 = 19"  # these customers' items are landed with a text where a number belongs
+BROKEN_PAGE = '{"total": 1, "items": ['
+
+
+def landed_users(spark, folder, offsets: bool = True) -> str:
+    """Users as pages, some items ill-typed, and one more page that was cut short."""
     path = new_path(spark, "users")
-    pages.land_pages(source_users(spark, folder), path, "users")
+    users = source_users(spark, folder)
+    broken = F.when(F.col("id") % 25 == 19, F.to_json(F.struct(F.lit("x").alias("id"), "username", "data_limit")))
+    pages.land_pages(users, path, "users", offsets=offsets, item_text=broken)
+    spark.createDataFrame([(BROKEN_PAGE,)], "value string").write.mode("append").text(path)
     return path
 
 
+def landed_both_ways(spark, folder):
+    """``(landing, pages)`` of the same users landed with and without offsets."""
+    return [(n, pages.read_pages(spark, landed_users(spark, folder, offsets), "users")) for n, offsets in (("offsets", True), ("file order", False))]
+
+
+BOTH = "(VALUES ('offsets'), ('file order')) AS landings(landing)"
+
+
 @query(
     "s1_paged_read",
-    ACCOUNTS + "SELECT seq, username, \"key\", vless, vmess, data_limit, used_traffic, note FROM source_users",
+    ACCOUNTS + "SELECT landing, seq, username, \"key\", vless, vmess, data_limit, used_traffic, note FROM source_users, " + BOTH + f" WHERE NOT ({ILL_TYPED.replace('c_custkey', 'seq')})",
 )
 def s1(spark, folder):
-    items = pages.page_items(pages.read_pages(spark, landed_users(spark, folder), "users"), "users")
-    return items.select(
-        "seq", "username", "key", F.col("proxies.vless.id").alias("vless"), F.col("proxies.vmess.id").alias("vmess"), "data_limit", "used_traffic", "note"
+    """Well-typed items keep their place in the listing whether or not pages say where they start."""
+    found = [pages.page_items(read, "users").filter(~F.col("ill_typed")).withColumn("landing", F.lit(n)) for n, read in landed_both_ways(spark, folder)]
+    return found[0].unionByName(found[1]).select(
+        "landing", "seq", "username", "key", F.col("proxies.vless.id").alias("vless"), F.col("proxies.vmess.id").alias("vmess"), "data_limit", "used_traffic", "note"
     )
 
 
 @query(
     "s2_page_completeness",
-    "SELECT 'users' AS entity, CAST(ceil(count(*) / 100) AS BIGINT) AS pages, count(*) AS gathered, count(*) AS reported_total, TRUE AS complete, count(*) % 100 <> 0 AS short_last_page FROM customer",
+    "SELECT landing, 'users' AS entity, CAST(ceil(count(*) / 100) AS BIGINT) AS pages, 1 AS unreadable, count(*) AS gathered, count(*) AS reported_total, TRUE AS complete, "
+    "count(*) % 100 <> 0 AS short_last_page FROM customer, " + BOTH + " GROUP BY landing",
 )
 def s2(spark, folder):
-    return pages.page_completeness(pages.read_pages(spark, landed_users(spark, folder), "users"))
+    found = [pages.page_completeness(read).withColumn("landing", F.lit(n)) for n, read in landed_both_ways(spark, folder)]
+    return found[0].unionByName(found[1])
 
 
 @query(
     "s3_schema_enforced_read",
-    ACCOUNTS + "SELECT 'good' AS outcome, count(*) AS n, CAST(sum(coalesce(data_limit, 0)) AS BIGINT) AS limits, count(*) FILTER (coalesce(enabled, TRUE)) AS enabled FROM source_users WHERE username IS NOT NULL "
-    "UNION ALL SELECT 'missing: username', count(*), CAST(sum(data_limit) AS BIGINT), count(*) FILTER (enabled) FROM source_users WHERE username IS NULL",
+    ACCOUNTS + "SELECT landing, CASE WHEN " + ILL_TYPED.replace("c_custkey", "seq") + " THEN 'ill-typed' WHEN username IS NULL THEN 'missing: username' ELSE 'good' END AS outcome, count(*) AS n, "
+    "CAST(sum(CASE WHEN username IS NULL OR " + ILL_TYPED.replace("c_custkey", "seq") + " THEN data_limit ELSE coalesce(data_limit, 0) END) AS BIGINT) AS limits FROM source_users, " + BOTH + " GROUP BY ALL "
+    "UNION ALL SELECT landing, 'not a page', 1, NULL FROM " + BOTH,
 )
 def s3(spark, folder):
-    items = pages.page_items(pages.read_pages(spark, landed_users(spark, folder), "users"), "users")
-    good, bad = pages.accept_items(items, "users")
-    folds = [F.count(F.lit(1)).alias("n"), F.sum("data_limit").alias("limits"), F.count_if("enabled").alias("enabled")]
-    kept = good.groupBy(F.lit("good").alias("outcome")).agg(*folds)
-    return kept.unionByName(bad.groupBy(F.col("error").alias("outcome")).agg(*folds))
+    """Good rows, and what is set aside: items by themselves, pages with their text."""
+    folds, out = [F.count(F.lit(1)).alias("n"), F.sum("data_limit").alias("limits")], None
+    for landing, read in landed_both_ways(spark, folder):
+        good, bad = pages.accept_items(pages.page_items(read, "users"), "users")
+        assert "item_text" in bad.columns
+        lost = pages.unreadable_pages(read).filter(F.col("page_text") == BROKEN_PAGE).select(F.col("page_error").alias("outcome"), F.lit(None).cast("long").alias("data_limit"))
+        rows = good.select(F.lit("good").alias("outcome"), "data_limit").unionByName(bad.select(F.col("error").alias("outcome"), "data_limit")).unionByName(lost)
+        part = rows.groupBy(F.lit(landing).alias("landing"), "outcome").agg(*folds)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query(
     "s4_a7_extract_all",
-    ACCOUNTS + "SELECT 'users' AS entity, count(username) AS rows, FALSE AS failed FROM source_users UNION ALL SELECT 'admins', count(username), FALSE FROM source_admins "
-    "UNION ALL SELECT 'services', count(*), FALSE FROM part UNION ALL SELECT 'inbounds', 0, TRUE",
+    ACCOUNTS + "SELECT 'users' AS entity, count(*) FILTER (username IS NOT NULL AND NOT (" + ILL_TYPED.replace("c_custkey", "seq") + ")) AS rows, count(*) FILTER (username IS NULL OR " + ILL_TYPED.replace("c_custkey", "seq") + ") AS quarantined, "
+    "1 AS unreadable_pages, TRUE AS failed FROM source_users UNION ALL SELECT 'admins', count(username), count(*) - count(username), 0, FALSE FROM source_admins "
+    "UNION ALL SELECT 'services', count(*), 0, 0, FALSE FROM part UNION ALL SELECT 'inbounds', 0, 0, 0, TRUE",
 )
 def s4(spark, folder):
-    """Users, admins and services are landed; inbounds are not there and count as failed."""
-    paths = {"users": landed_users(spark, folder), "inbounds": new_path(spark, "absent")}
+    """Users (with a lost page), admins and services are landed; inbounds are not there and count as failed."""
+    paths = {"users": landed_users(spark, folder, offsets=False), "inbounds": new_path(spark, "absent")}
     for entity, df in (
         ("admins", source_admins(spark, folder)),
         ("services", load_table(spark, folder, "part").select(F.col("p_partkey").alias("seq"), F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))),
