@@ -8,6 +8,7 @@ the close time it starts from, and the segments are then marked independently.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ferrylog.operators.ordering import SEGMENT, TARGET_ROWS, WHOLE, with_segments
+from ferrylog.operators.ordering import SEGMENT, TARGET_ROWS, with_segments
 from ferrylog.session import materialise
 
 
@@ -25,14 +26,23 @@ def _exits(times: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
     """Possible first closes of a segment and, for each, the last close reached from it."""
     count = len(times)
     after = np.searchsorted(times, times + span, side="left")
-    leave = np.arange(count)
-    for i in range(count - 1, -1, -1):
-        if after[i] < count:
-            leave[i] = leave[after[i]]
+    leave = np.where(after < count, after, np.arange(count))
+    while not np.array_equal(leave, further := leave[leave]):  # each turn doubles the steps taken
+        leave = further
     entries = np.arange(min(after[0] + 1, count))
     return times[entries], times[leave[entries]]
 
 
+def _changes(batch: pd.DataFrame, names: Sequence[str]) -> np.ndarray:
+    """Which rows differ from the row before in some of the columns; nulls are equal."""
+    changes = np.zeros(len(batch), dtype=bool)
+    changes[:1] = True
+    for name in names:
+        col = batch[name]
+        changes |= ((col != col.shift()) & ~(col.isna() & col.shift().isna())).to_numpy(dtype=bool)
+    return changes
+
+
 def _mark(times: np.ndarray, last: int, span: int, closes: np.ndarray, number: np.ndarray, count: int) -> tuple[int, int]:
     """Fill ``closes`` and ``number`` (closes before the row) of one run of rows; returns the new state."""
     begin = 0
@@ -72,39 +82,37 @@ def buffer_greedy(
         return out
 
     def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # entries arrive sorted by key, segment and time; a segment may go on in the next batch
         current, segment, last, entered = object(), None, None, True
         for batch in batches:
-            found = []
-            for row in batch.itertuples(index=False, name=None):
-                key = tuple(None if pd.isna(v) else v for v in row[: len(keys)])
-                seg, at, leave = row[len(keys) :]
+            found, at, leave = [], batch["_at"].to_numpy(), batch["_leave"].to_numpy()
+            changes = _changes(batch, group)
+            for a, b in itertools.pairwise([*np.flatnonzero(changes), len(batch)]):
+                *key, seg = (None if pd.isna(v) else v for v in batch[group].iloc[a])
                 if key != current:
-                    current, segment, last = key, None, at
+                    current, segment, last = key, None, at[a]
                 if seg != segment:
                     segment, entered = seg, False
                     found.append((*key, seg, last))
-                if not entered and at >= last + span:
-                    last, entered = leave, True
+                if not entered and (i := a + int(np.searchsorted(at[a:b], last + span, side="left"))) < b:
+                    last, entered = leave[i], True
             yield pd.DataFrame(found, columns=[*group, "_start"])
 
     begun = rows.withColumn("_start", F.lit(None).cast("long"))
     if split:
-        cut = rows.filter(F.col(SEGMENT) != WHOLE).select(*group, "_us")
+        several = rows.select(*group).distinct().withColumn("_pieces", F.count(F.lit(1)).over(Window.partitionBy(*keys))).filter("_pieces > 1")
+        same = [F.col(f"r.{n}").eqNullSafe(F.col(f"s.{n}")) for n in group]
+        cut = rows.alias("r").join(several.alias("s"), same, "left_semi").select(*group, "_us")
         reach = cut.groupBy(*group).applyInPandas(entries, f"{group_schema}, _at long, _leave long")
         reach = reach.repartition(*keys) if keys else reach.coalesce(1)
         starts = reach.sortWithinPartitions(*group, "_at").mapInPandas(sweep, f"{group_schema}, _start long")
-        same = [F.col(f"r.{n}").eqNullSafe(F.col(f"s.{n}")) for n in group]
         begun = rows.alias("r").join(starts.alias("s"), same, "left").select("r.*", "s._start")
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # rows arrive sorted by group and time; a group may go on in the next batch
         current, last, count = None, 0, 0
         for batch in batches:
             times, starts = batch["_us"].to_numpy(), batch["_start"].to_numpy(dtype="float64", na_value=np.nan)
-            changes = np.zeros(len(batch), dtype=bool)
-            changes[:1] = True
-            for name in group:
-                col = batch[name]
-                changes |= ((col != col.shift()) & ~(col.isna() & col.shift().isna())).to_numpy(dtype=bool)
+            changes = _changes(batch, group)
             closes, number = np.zeros(len(batch), dtype=bool), np.zeros(len(batch), dtype=np.int64)
             bounds = [*np.flatnonzero(changes), len(batch)]
             for a, b in zip(bounds, bounds[1:]):
@@ -122,7 +130,7 @@ def buffer_greedy(
         return marked.withColumn("buffer_id", F.col("_n")).drop(SEGMENT, "_n")
     marked = materialise(marked, "marked")  # read twice below
     before = Window.partitionBy(*keys).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
-    closed = marked.filter(F.col(SEGMENT) != WHOLE).groupBy(*group).agg(F.sum(F.col("closes").cast("long")).alias("_c"))
+    closed = marked.groupBy(*group).agg(F.sum(F.col("closes").cast("long")).alias("_c"))
     offsets = closed.select(*group, F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
     same = [F.col(f"m.{n}").eqNullSafe(F.col(f"o.{n}")) for n in group]
     joined = marked.alias("m").join(offsets.alias("o"), same, "left").select("m.*", "o._before")

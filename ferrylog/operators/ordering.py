@@ -1,14 +1,15 @@
 """Order-dependent operators that survive hot keys.
 
-A window partitioned by key puts all rows of that key into one task. Here the rows of every hot
-key (or the whole table, when there is no key) are first cut into *segments*: consecutive ranges
-of the order columns, each about ``target_rows`` long whatever the time distribution. Windows run
-per (keys, segment); what one segment needs from the ones before it is carried in by a single
-extra row per (key, segment), computed from a small partial-aggregated summary.
-
-Segments come from quantiles of the first order column. A value so frequent that it fills several
-quantiles is cut further by quantiles of the next order column. Keys that are not hot stay in one
-piece, so without hot keys the plan is the plain keyed window.
+A window partitioned by key puts all rows of that key into one task. Here a table longer than
+``target_rows`` is first cut into *segments* of about that length: Spark's range partitioning by the keys
+and all order columns, at their full width, says where. A hot key then lies in as many segments as
+its rows fill, whatever its values look like; a table without keys is cut the same way. Windows run per (keys, segment); what a
+segment needs from the ones before it is carried in by one extra row per (key, segment), computed from
+a small partial-aggregated summary. Keys that lie in one segment get no such row.
+
+The segment numbers are written with the rows, so a retried task never meets other cuts than the
+tasks before it. A table no longer than ``target_rows`` keeps the plain keyed window. Sums of doubles are therefore
+associated differently above and below that length; sum decimals or integers where equality matters.
 """
 
 from __future__ import annotations
@@ -18,73 +19,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ferrylog.session import materialise
+
 SEGMENT = "_segment"
-WHOLE = -1  # the segment of rows that need no cutting
+WHOLE = -1  # the segment of rows of a table that is not cut
 _PLACE = "_place"  # 0 carried-in row, 1 data row, 2 carried-back row
 TARGET_ROWS = 1_000_000
-MOST_PIECES = 16_384
-MOST_HOT_KEYS = 50_000
-
-
-def order_image(df: DataFrame, name: str) -> Column:
-    """A number that never decreases along the ascending sort order of column ``name``, NULL first."""
-    kind = df.schema[name].dataType
-    col = F.col(name)
-    if isinstance(kind, T.TimestampType):
-        image = F.unix_micros(col)
-    elif isinstance(kind, T.TimestampNTZType):
-        image = F.unix_micros(col.cast("timestamp"))
-    elif isinstance(kind, T.DateType):
-        image = F.unix_date(col).cast("long")
-    elif isinstance(kind, (T.IntegralType, T.BooleanType)):
-        image = col.cast("long")
-    elif isinstance(kind, T.NumericType):
-        return F.coalesce(col.cast("double"), F.lit(float("-inf")))
-    elif isinstance(kind, T.StringType):
-        head = F.hex(F.substring(F.encode(col, "utf-8"), 1, 7))
-        image = F.conv(F.rpad(head, 14, "0"), 16, 10).cast("long")
-    else:
-        raise TypeError(f"cannot order by {name}: {kind.simpleString()}")
-    return F.coalesce(image, F.lit(-(2**63)).cast("long"))
-
-
-def _cut_points(df: DataFrame, image: Column, pieces: int) -> list:
-    """The values that cut the column into ``pieces`` parts of about the same row count."""
-    grid = [i / pieces for i in range(1, pieces)]
-    found = df.agg(F.percentile_approx(image, grid, F.lit(10 * max(pieces, 1000))).alias("cuts")).first()
-    return list(found["cuts"] or [])
-
-
-def _count_not_above(df: DataFrame, image: Column, cuts: list, out: str) -> DataFrame:
-    """Add ``out`` = how many of the sorted ``cuts`` are <= image, in two short scans."""
-    if not cuts:
-        return df.withColumn(out, F.lit(0))
-    width = max(1, math.isqrt(len(cuts)))
-    heads, everything = F.lit(cuts[::width]), F.lit(cuts)
-    df = df.withColumn(out, F.size(F.filter(heads, lambda c: c <= image)))
-    first = (F.col(out) - 1) * width
-    inner = F.size(F.filter(F.slice(everything, F.greatest(first, F.lit(0)) + 1, F.lit(width)), lambda c: c <= image))
-    return df.withColumn(out, F.when(F.col(out) == 0, F.lit(0)).otherwise(first + inner))
-
-
-def _cells(df: DataFrame, rows: DataFrame, order: Sequence[str], pieces: int, out: str) -> tuple[DataFrame, int]:
-    """Add the cell number ``out`` (0 .. most) to ``df``; the cuts are quantiles of ``rows``."""
-    image = order_image(df, order[0])
-    cuts = _cut_points(rows, image, pieces)
-    heavy = sorted({a for a, b in zip(cuts, cuts[1:]) if a == b})
-    cuts = sorted(set(cuts))
-    df = _count_not_above(df, image, cuts, out)
-    if not heavy or len(order) == 1:
-        return df, len(cuts)
-    # rows tied on a heavy value open their cell and are numbered by the next column
-    tied = image.isin(heavy)
-    inner = out + "t"
-    df, most = _cells(df, rows.filter(tied), order[1:], pieces, inner)
-    combined = F.col(out) * (most + 2) + F.when(tied, F.col(inner)).otherwise(F.lit(most + 1))
-    return df.withColumn(out, combined.cast("long")).drop(inner), (len(cuts) + 1) * (most + 2)
 
 
 def with_segments(
@@ -92,32 +34,14 @@ def with_segments(
 ) -> tuple[DataFrame, bool]:
     """Add the segment column; the flag says whether anything was cut.
 
-    Counts the rows up front. Only a table longer than one segment is looked at further: its keys
-    are counted, and the order columns of hot keys are read for the cut points. The driver sees
-    at most ``MOST_HOT_KEYS`` keys and ``MOST_PIECES`` numbers per order column.
+    Counts the rows up front. A longer table is written once, dealt out by ranges of keys and order; segment
+    numbers rise along that order. ``order`` must end in a column that tells rows of a key apart.
     """
-    whole = F.lit(WHOLE).cast("long")
     total = df.select(*order).count()
     if total <= target_rows:
-        return df.withColumn(SEGMENT, whole), False
-    rows, cut_rows = df, total
-    if keys:
-        limit = max(target_rows, math.ceil(total / MOST_HOT_KEYS))
-        counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).collect()
-        if not counted:
-            return df.withColumn(SEGMENT, whole), False
-        schema = T.StructType([*df.select(*keys).schema.fields, T.StructField("_n", T.LongType())])
-        hot = F.broadcast(df.sparkSession.createDataFrame(counted, schema).drop("_n").withColumn("_hot", F.lit(True)))
-        same = [F.col(f"_l.{k}").eqNullSafe(F.col(f"_h.{k}")) for k in keys]
-        df = df.alias("_l").join(hot.alias("_h"), same, "left").select("_l.*", "_h._hot")
-        rows, cut_rows = df.filter("_hot"), sum(r["_n"] for r in counted)
-    pieces = min(math.ceil(cut_rows / target_rows), MOST_PIECES)
-    if pieces == 1:
-        df = df.withColumn(SEGMENT, F.lit(0).cast("long"))
-    else:
-        df, _ = _cells(df, rows, order, pieces, SEGMENT)
-    cell = F.col(SEGMENT).cast("long")
-    return (df.withColumn(SEGMENT, F.when(F.col("_hot"), cell).otherwise(whole)).drop("_hot") if keys else df.withColumn(SEGMENT, cell)), True
+        return df.withColumn(SEGMENT, F.lit(WHOLE).cast("long")), False
+    ranged = df.repartitionByRange(math.ceil(total / target_rows), *[F.col(c).asc_nulls_first() for c in (*keys, *order)])
+    return materialise(ranged.withColumn(SEGMENT, F.spark_partition_id().cast("long")), "segments"), True
 
 
 def _fold(kind: str, col: Column) -> Column:
@@ -138,7 +62,7 @@ def running_in(
     rows = rows.withColumns({**inputs, _PLACE: F.lit(1)})
     if split:
         last_place = {n: F.when(F.col(f"_in_{n}").isNotNull(), F.struct(*order)) for n in folds}
-        summary = rows.filter(F.col(SEGMENT) != WHOLE).groupBy(*keys, SEGMENT).agg(
+        summary = rows.groupBy(*keys, SEGMENT).agg(
             *[
                 (F.max_by(F.col(f"_in_{n}"), last_place[n]) if kind == "last" else _fold(kind, F.col(f"_in_{n}"))).alias(f"_in_{n}")
                 for n, (kind, _) in folds.items()
@@ -150,8 +74,9 @@ def running_in(
             SEGMENT,
             *[_fold(kind, F.col(f"_in_{n}")).over(before).alias(f"_in_{n}") for n, (kind, _) in folds.items()],
             F.lit(0).alias(_PLACE),
+            F.count(F.lit(1)).over(before).alias("_earlier"),
         )
-        rows = rows.unionByName(carried, allowMissingColumns=True)
+        rows = rows.unionByName(carried.filter("_earlier > 0").drop("_earlier"), allowMissingColumns=True)
     upto = (
         Window.partitionBy(*keys, SEGMENT)
         .orderBy(_PLACE, *order)
@@ -199,7 +124,7 @@ def neighbours(
     rows = rows.withColumn(_PLACE, F.lit(1))
     if split:
         place = F.struct(*order)
-        ends = rows.filter(F.col(SEGMENT) != WHOLE).groupBy(*keys, SEGMENT).agg(
+        ends = rows.groupBy(*keys, SEGMENT).agg(
             *[F.max_by(F.struct(f"_in_{n}"), place).alias(f"_in_{n}") for n in previous],
             *[F.min_by(F.struct(f"_in_{n}"), place).alias(f"_in_{n}") for n in following],
         )
@@ -211,8 +136,9 @@ def neighbours(
                     SEGMENT,
                     *[move(f"_in_{n}").over(by_segment)[f"_in_{n}"].alias(f"_in_{n}") for n in names],
                     F.lit(mark).alias(_PLACE),
+                    move(F.lit(True)).over(by_segment).alias("_other"),
                 )
-                rows = rows.unionByName(carried, allowMissingColumns=True)
+                rows = rows.unionByName(carried.filter("_other").drop("_other"), allowMissingColumns=True)
     w = Window.partitionBy(*keys, SEGMENT).orderBy(_PLACE, *order)
     found = {n: F.lag(f"_in_{n}").over(w) for n in previous}
     found.update({n: F.lead(f"_in_{n}").over(w) for n in following})

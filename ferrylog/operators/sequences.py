@@ -17,7 +17,6 @@ from pyspark.sql.window import Window
 from ferrylog.operators.ordering import (
     SEGMENT,
     TARGET_ROWS,
-    WHOLE,
     neighbours,
     running,
     running_in,
@@ -25,6 +24,7 @@ from ferrylog.operators.ordering import (
     with_seq,
 )
 from ferrylog.operators.rows import keep_first
+from ferrylog.session import materialise
 
 
 def skip(df: DataFrame, count: int, order: Sequence[str], target_rows: int = TARGET_ROWS) -> DataFrame:
@@ -143,7 +143,7 @@ def fold_segments(
     """An order-dependent fold given as Python functions, like an aggregator's reduce and merge.
 
     ``step`` folds one segment's rows (sorted) to one state row; ``merge`` folds a key's state
-    rows (sorted by segment) to one. Both see bounded input, whatever the key's size.
+    rows (sorted by segment) to one, and is not asked where there is one. ``step`` sees a segment, ``merge`` a row per segment.
     """
     rows, split = with_segments(df, order, keys, target_rows)
     names = [*keys, SEGMENT]
@@ -163,12 +163,12 @@ def fold_segments(
         return out
 
     partial = rows.groupBy(*names).applyInPandas(reduce_segment, f"{key_schema}, {state_schema}")
-    uncut = partial.filter(F.col(SEGMENT) == WHOLE).drop(SEGMENT)
     if not split:
-        return uncut
+        return partial.drop(SEGMENT)
     final_schema = ", ".join([*[f"{n} {types[n]}" for n in keys], state_schema])
-    cut = partial.filter(F.col(SEGMENT) != WHOLE)
-    return uncut.unionByName(cut.groupBy(*keys).applyInPandas(merge_states, final_schema))
+    states = materialise(partial.withColumn("_states", F.count(F.lit(1)).over(Window.partitionBy(*keys))), "states")
+    alone, several = (states.filter(condition).drop("_states") for condition in ("_states = 1", "_states > 1"))
+    return alone.drop(SEGMENT).unionByName(several.groupBy(*keys).applyInPandas(merge_states, final_schema))
 
 
 def throttle(
@@ -249,21 +249,26 @@ def sample_per_interval(df: DataFrame, ts: str, rate: float, order: Sequence[str
 
 
 def keep_newest(df: DataFrame, count: int, order: Sequence[str], keys: Sequence[str] = (), target_rows: int = TARGET_ROWS) -> DataFrame:
-    """The newest ``count`` rows per key, newest first in ``rank``."""
-    if keys and count <= 1000:
-        # Spark keeps the top rows of each task before the shuffle for such a filter
-        newest = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
-        top = df.withColumn("rank", F.row_number().over(newest)).filter(F.col("rank") <= count)
-        return top.withColumn("rank", F.col("rank").cast("long"))
-    rows = with_seq(df, order, keys, "_i", target_rows)
-    totals = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    if keys:
-        same = [F.col(f"l.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys]
-        rows = rows.alias("l").join(totals.alias("t"), same).select("l.*", "t._n")
-    else:
-        rows = rows.withColumn("_n", F.lit(df.count()))
-    rank = F.col("_n") - F.col("_i") + 1
-    return rows.withColumn("rank", rank).filter(F.col("rank") <= count).drop("_i", "_n")
+    """The newest ``count`` rows per key, newest first in ``rank``.
+
+    Rows are cut into segments first and each (key, segment) keeps its newest ``count``, so a hot key meets in one place with at
+    most that many rows per segment, then in pieces again if that is still long.
+    """
+    newest = [F.col(c).desc() for c in order]
+    rows, split = with_segments(df, order, keys, target_rows)
+    if split:
+        own = F.row_number().over(Window.partitionBy(*keys, SEGMENT).orderBy(*newest))
+        rows = rows.withColumn("_own", own).filter(F.col("_own") <= count).drop("_own")
+        # a segment counts only if the segments after it have not filled the quota
+        kept = rows.groupBy(*keys, SEGMENT).agg(F.count(F.lit(1)).alias("_n"))
+        after = Window.partitionBy(*keys).orderBy(F.col(SEGMENT).desc()).rowsBetween(Window.unboundedPreceding, -1)
+        kept = kept.withColumn("_later", F.coalesce(F.sum("_n").over(after), F.lit(0))).filter(F.col("_later") < count)
+        same = [F.col(f"l.{k}").eqNullSafe(F.col(f"t.{k}")) for k in (*keys, SEGMENT)]
+        rows = rows.alias("l").join(kept.alias("t"), same).select("l.*", "t._later")
+        own = F.row_number().over(Window.partitionBy(*keys, SEGMENT).orderBy(*newest))
+        return rows.withColumn("rank", own + F.col("_later")).filter(F.col("rank") <= count).drop("_later", SEGMENT)
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*newest)).cast("long")
+    return rows.drop(SEGMENT).withColumn("rank", rank).filter(F.col("rank") <= count)
 
 
 def moving_average_exponential(
@@ -273,27 +278,73 @@ def moving_average_exponential(
     keys: Sequence[str] = (),
     alpha: float = 0.1,
     target_rows: int = TARGET_ROWS,
+    block_rows: int = 100_000,
 ) -> DataFrame:
-    """EMA: the first value seeds it, then alpha*x + (1-alpha)*previous.
+    """EMA: the first value seeds it, then alpha*x + (1-alpha)*previous; a null value leaves the average as it was.
 
-    With q = 1-alpha the average at row i is a weighted sum of the rows before it. Rows are
-    cut into blocks so long that q**length vanishes in double precision; a block then needs
-    only the closing average of the block right before it, found from that block alone.
+    Values that are not null are numbered and cut into blocks: so short that powers of q = 1-alpha stay within double precision, and
+    no longer than ``block_rows``. Within a block the average is a weighted running sum. A block's closing average is a linear
+    function of the one before, a = c + q**length * a', and such functions compose: closings are found by the same rule over blocks,
+    blocks of blocks, and so on, until one block holds them all.
     """
+    if not 0 <= alpha <= 1:
+        raise ValueError("alpha must be from 0 to 1")
+    known = F.col(value).isNotNull()
+    rows = running(df, {"_i": ("sum", F.when(known, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")))}, order, keys, target_rows)
+    return _ema(rows, F.col(value).cast("double"), known, keys, alpha, block_rows)
+
+
+def _ema(rows: DataFrame, value: Column, known: Column, keys: Sequence[str], alpha: float, block_rows: int) -> DataFrame:
     q = 1.0 - alpha
-    size = max(2, math.ceil(math.log(1e-40) / math.log(q)))
-    rows = with_seq(df, order, keys, "_i", target_rows)
+    longest = block_rows if q in (0.0, 1.0) else min(block_rows, math.ceil(math.log(1e-100) / math.log(q)))
+    size = max(2, longest)
+    # x_i: what the i-th value adds, so that the average is the sum of x_j * q**(i - j)
     rows = rows.withColumns(
         {
+            "_x": F.when(known, F.when(F.col("_i") == 1, value).otherwise(value * alpha)),
             "_block": F.floor((F.col("_i") - 1) / F.lit(size)).cast("long"),
-            "_pos": ((F.col("_i") - 1) % size).cast("double"),
-            "_x": F.when(F.col("_i") == 1, F.col(value)).otherwise(F.col(value) * alpha).cast("double"),
+            "_pos": F.when(F.col("_i") > 0, (F.col("_i") - 1) % size),
         }
     )
-    closing = rows.groupBy(*keys, "_block").agg(F.sum(F.col("_x") * F.pow(F.lit(q), size - 1 - F.col("_pos"))).alias("_x"))
-    carried = closing.select(*keys, (F.col("_block") + 1).alias("_block"), F.lit(-1.0).alias("_pos"), "_x")
-    both = rows.unionByName(carried, allowMissingColumns=True)
-    upto = Window.partitionBy(*keys, "_block").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
-    scaled = F.sum(F.col("_x") * F.pow(F.lit(q), -F.col("_pos"))).over(upto)
-    out = both.withColumn("ema", scaled * F.pow(F.lit(q), F.col("_pos")))
-    return out.filter(F.col("_pos") >= 0).drop("_i", "_block", "_pos", "_x")
+    if q == 0.0:
+        return _last_known(rows, keys).drop("_i", "_x", "_block", "_pos")
+    filed = rows.filter(F.col("_x").isNotNull())
+    scaled = F.sum(F.col("_x") * F.pow(F.lit(q), -F.col("_pos")))
+    closings = filed.groupBy(*keys, "_block").agg((scaled * F.pow(F.lit(q), F.lit(size - 1))).alias("_own"))
+    carried = _carried(materialise(closings, "closings"), keys, q**size, block_rows)
+    upto = Window.partitionBy(*keys, "_block").orderBy("_i", F.col("_x").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"c.{k}")) for k in (*keys, "_block")]
+    joined = rows.alias("l").join(carried.alias("c"), same, "left").select("l.*", "c._in")
+    own = F.sum(F.coalesce("_x", F.lit(0.0)) * F.pow(F.lit(q), -F.col("_pos"))).over(upto)
+    ema = (own + F.coalesce("_in", F.lit(0.0)) * q) * F.pow(F.lit(q), F.col("_pos"))
+    return joined.withColumn("ema", F.when(F.col("_i") > 0, ema)).drop("_i", "_x", "_block", "_pos", "_in")
+
+
+def _last_known(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """With alpha 1 the average is the last value: one value per number."""
+    values = rows.filter(F.col("_x").isNotNull()).select(*keys, "_i", F.col("_x").alias("ema"))
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"v.{k}")) for k in (*keys, "_i")]
+    return rows.alias("l").join(values.alias("v"), same, "left").select("l.*", "v.ema")
+
+
+def _carried(closings: DataFrame, keys: Sequence[str], factor: float, block_rows: int) -> DataFrame:
+    """``_block, _in``: the average before each block, from every block's own closing sum ``_own``.
+
+    The average after block b is the sum of ``_own`` of block j times factor**(b - j). Where the factor has vanished, only the block before
+    matters; elsewhere blocks are summed in groups, and the groups' sums are carried on by the same rule.
+    """
+    if factor < 1e-60:
+        return closings.select(*keys, (F.col("_block") + 1).alias("_block"), F.col("_own").alias("_in"))
+    reach = block_rows if factor == 1.0 else max(2, min(block_rows, math.ceil(math.log(1e-100) / math.log(factor))))
+    spans = closings.withColumns({"_group": F.floor(F.col("_block") / F.lit(reach)).cast("long"), "_at": F.col("_block") % reach})
+    upto = Window.partitionBy(*keys, "_group").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    power = lambda n: F.pow(F.lit(factor), n)
+    before = F.sum(F.col("_own") * power(-F.col("_at"))).over(upto) * power(F.col("_at") - 1)
+    inside = spans.withColumn("_before", F.coalesce(before, F.lit(0.0)))
+    groups = materialise(spans.groupBy(*keys, F.col("_group").alias("_block")).agg(F.sum(F.col("_own") * power(reach - 1 - F.col("_at"))).alias("_own")), "closings")
+    if groups.filter("_block > 0").isEmpty():
+        return inside.select(*keys, "_block", F.col("_before").alias("_in"))
+    upper = _carried(groups, keys, factor**reach, block_rows).select(*keys, F.col("_block").alias("_group"), F.col("_in").alias("_far"))
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"u.{k}")) for k in (*keys, "_group")]
+    joined = inside.alias("l").join(upper.alias("u"), same, "left").select("l.*", "u._far")
+    return joined.select(*keys, "_block", (F.col("_before") + F.coalesce("_far", F.lit(0.0)) * power(F.col("_at"))).alias("_in"))

@@ -66,6 +66,17 @@ def test_segments_bound_their_size(skewed, target):
         assert cut.groupBy(*keys, SEGMENT).count().agg(F.max("count")).first()[0] <= 3 * target
 
 
+def test_keys_that_share_a_long_beginning_are_cut(spark):
+    rows = spark.range(20_000).selectExpr("concat('account-', lpad(id, 20, '0')) AS name", "id", "CASE WHEN id % 3 = 0 THEN NULL ELSE 'k' END AS k")
+    for keys in ((), ("k",)):
+        cut, split = with_segments(rows, ["name"], keys, 500)
+        sizes = cut.groupBy(SEGMENT).count().agg(F.max("count"), F.count("*")).first()
+        assert split and sizes[0] <= 1500 and sizes[1] >= 30
+    numbered = with_seq(rows, ["name"], ["k"], target_rows=500)
+    wrong = numbered.filter("seq <> CASE WHEN k IS NULL THEN id DIV 3 + 1 ELSE id - id DIV 3 END")
+    assert numbered.count() == 20_000 and wrong.count() == 0
+
+
 def test_no_cut_when_small(skewed):
     assert with_segments(skewed, ORDER, ["user_id"])[1] is False
 
@@ -97,7 +108,7 @@ def both(operator, skewed, columns):
     return a, b
 
 
-@pytest.mark.parametrize("span", [600, 7200, 86400])
+@pytest.mark.parametrize("span", [600, 7200, 86400, 864_000])
 def test_greedy_buffer_is_the_sequential_rule(skewed, span):
     rows = timed(skewed).select("event_id", "user_id", "ts")
     a, b = both(lambda t: buffer_greedy(rows, "ts", span, ORDER, ["user_id"], t), skewed, ["buffer_id", "closes"])
@@ -136,6 +147,21 @@ def test_ema_is_the_sequential_rule(skewed):
     assert max(abs(x - y) for x, y in zip(found, want)) < 1e-9
 
 
+@pytest.mark.parametrize(("alpha", "block"), [(0.0, 100_000), (1.0, 100_000), (1e-6, 50), (1e-6, 100_000), (0.3, 7), (0.02, 3)])
+def test_ema_of_any_alpha_and_nulls(skewed, alpha, block):
+    df = skewed.withColumn("value", F.when(F.col("event_id") % 5 != 0, F.col("value")))
+    made = sequences.moving_average_exponential(df, "value", ORDER, ["user_id"], alpha, 200, block).select("event_id", "ema").toPandas().set_index("event_id")
+    rows = with_seq(df.filter("user_id IS NULL"), ORDER).select("event_id", "value", "seq").toPandas().sort_values("seq")
+    ema = None
+    for event, value in zip(rows.event_id, rows.value):
+        if value == value:
+            ema = value if ema is None else alpha * value + (1 - alpha) * ema
+        have = made.loc[event].ema
+        assert (have != have) if ema is None else abs(have - ema) <= 1e-9 * max(1.0, abs(ema))
+    with pytest.raises(ValueError, match="alpha"):
+        sequences.moving_average_exponential(df, "value", ORDER, alpha=1.5)
+
+
 def test_health_rules(skewed):
     ok = F.col("event_type") != "error"
     a, b = both(lambda t: failure_runs(skewed, ok, ORDER, ["user_id"], t), skewed, ["consecutive_failures"])
