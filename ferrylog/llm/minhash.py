@@ -9,11 +9,16 @@ a bucket. At J = 0.85 a pair lies beyond the distance with a chance of about one
 Pairs that meet are links only after a comparison of their full sets. Exact copies are one class before anything is
 filed. What is wanted are components, so a bucket need not confirm all its pairs:
 
-1. In each bucket the smallest member is the centre; of its candidate centres each class tries the nearest.
-2. Where a bucket still has members of several components, all pairs between different components whose signatures are
+1. In each bucket one member is the centre; of its candidate centres each class tries the nearest. The smallest member is
+   the centre first, then, in buckets that still hold several components, members chosen by a hash.
+2. Where a bucket then still has members of several components, all pairs between different components whose signatures are
    within the distance become candidates. Hot buckets are cut into blocks, and blocks meet pairwise.
 3. Components try their nearest candidates first, then more of them, then all that are left and still lie between
    different components. So each pair that meets is confirmed, refuted, or inside one component.
+
+Beside the signature a class has an odd sketch: for each of ``BITS`` places, whether an odd number of its shingles fall there.
+Two sets differ in at least as many shingles as their sketches differ in places. A pair for which that is already too many
+is refuted for certain, without its full sets.
 """
 
 from __future__ import annotations
@@ -38,8 +43,9 @@ DISTANCE = 2 * CHUNKS - 1
 PERCENT = 85
 #: Buckets with more members are cut into blocks of about so many.
 BLOCK = 1024
-#: Candidates that a component tries in the rounds before the last.
-TRIES = (1, 16)
+#: Rounds with one centre per bucket, and candidates that a component tries in the rounds after these but the last.
+STARS, TRIES = 3, (1, 16)
+BITS = 1024
 _RNG = np.random.default_rng(20240501)
 _FACTORS = _RNG.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MASKS = _RNG.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64)
@@ -73,11 +79,25 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def odd_sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """One row of ``BITS`` bits (in bytes) per set."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    places = (np.concatenate(sets) % np.uint64(BITS)).astype(np.int64) if sets else owner
+    odd = np.bincount(owner * BITS + places, minlength=len(sets) * BITS).reshape(len(sets), BITS) & 1
+    return np.packbits(odd.astype(np.uint8), axis=1)
+
+
+def possible(x: np.ndarray, y: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether sets with such sketches (rows of 64-bit words) and such a sum of sizes can be similar enough."""
+    differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+    return differ * (100 + PERCENT) <= sizes * (100 - PERCENT)
+
+
 def set_digest(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
-SKETCH = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("signature", pa.binary())])
+SKETCH = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("signature", pa.binary()), ("odd", pa.binary())])
 
 
 def text_key(text: str) -> Column:
@@ -86,25 +106,27 @@ def text_key(text: str) -> Column:
 
 
 def sketches(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Per row ``doc_id``, the size of its set, a 128-bit digest of the set and its signature (null for an empty set)."""
+    """Per row ``doc_id``, the size of its set, and a 128-bit digest, the signature and the odd sketch of the set (null if empty)."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in small_pieces(batches, "_text"):
             sets = [shingle_set(t, hashes) for t in batch.column("_text").to_pylist()]
-            full = iter(signatures([s for s in sets if len(s)]))
+            some = [s for s in sets if len(s)]
+            full, odd = iter(signatures(some)), iter(odd_sketches(some))
             columns = {
                 "doc_id": batch.column("doc_id"),
                 "text_key": batch.column("text_key"),
                 "n_shingles": [len(s) for s in sets],
                 "set_id": [set_digest(s) if len(s) else None for s in sets],
                 "signature": [next(full).tobytes() if len(s) else None for s in sets],
+                "odd": [next(odd).tobytes() if len(s) else None for s in sets],
             }
             yield arrow_table(columns, SKETCH)
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(text).alias("text_key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
-    return chosen.mapInArrow(run, "doc_id long, text_key long, n_shingles long, set_id binary, signature binary")
+    return chosen.mapInArrow(run, "doc_id long, text_key long, n_shingles long, set_id binary, signature binary, odd binary")
 
 
 def postings(classes: DataFrame) -> DataFrame:
@@ -119,19 +141,22 @@ def postings(classes: DataFrame) -> DataFrame:
 
 
 def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """``a, b, distance`` of the pairs ``a, b`` whose set sizes allow a link and whose signatures are within the distance."""
+    """``a, b, distance`` of the pairs ``a, b`` that set sizes, signatures and odd sketches allow."""
     for side in ("a", "b"):
-        pairs = pairs.join(classes.select(F.col("rep").alias(side), F.col("n").alias(f"n_{side}"), F.col("signature").alias(f"s_{side}")), side)
+        pairs = pairs.join(classes.select(F.col("rep").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", "signature", "odd")]), side)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("distance", pa.int32())])
 
+    def rows(column, kind) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, SYMBOLS) for c in ("s_a", "s_b"))
-            distance = (x != y).sum(axis=1)
-            yield batch.select(["a", "b"]).append_column("distance", pa.array(distance, pa.int32())).filter(pa.array(distance <= DISTANCE)).cast(schema)
+            distance = (rows(batch.column("signature_a"), np.uint16) != rows(batch.column("signature_b"), np.uint16)).sum(axis=1)
+            ok = (distance <= DISTANCE) & possible(rows(batch.column("odd_a"), np.uint64), rows(batch.column("odd_b"), np.uint64), batch.column("sizes").to_numpy())
+            yield batch.select(["a", "b"]).append_column("distance", pa.array(distance, pa.int32())).filter(pa.array(ok)).cast(schema)
 
     fits = pairs.where(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
-    return fits.select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long, distance int")
+    return fits.select("a", "b", "signature_a", "signature_b", "odd_a", "odd_b", (F.col("n_a") + F.col("n_b")).alias("sizes")).mapInArrow(run, "a long, b long, distance int")
 
 
 class ShingleSets:
@@ -186,14 +211,14 @@ class ShingleSets:
 def _pairs_between(filed: DataFrame) -> DataFrame:
     """``a, b, distance`` of near pairs of different components that share a bucket, each from one bucket only.
 
-    ``filed`` has ``key, slot, rep, comp, n, signature``. Groups arrive sorted, no larger than two blocks, and are compared row by
+    ``filed`` has ``key, slot, rep, comp, n, signature, odd``. Groups arrive sorted, no larger than two blocks, and are compared row by
     row at growing offsets, all groups of a batch at once.
     """
     many = filed.withColumn("blocks", F.ceil(F.count("*").over(Window.partitionBy("key")) / BLOCK).cast("int"))
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     spread = many.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     group = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
-    rows = spread.select(group.alias("group"), "key", "slot", "rep", "comp", "n", "signature", F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("side"))
+    rows = spread.select(group.alias("group"), "key", "slot", "rep", "comp", "n", "signature", "odd", F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("side"))
     parts = int(filed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts, "group").sortWithinPartitions("group", "key", "slot", "rep")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("distance", pa.int32())])
@@ -218,7 +243,7 @@ def _pairs_between(filed: DataFrame) -> DataFrame:
                 x, y = x[ok], y[ok]
                 differ = c["signature"][x] != c["signature"][y]
                 distance = differ.sum(axis=1)
-                near = distance <= DISTANCE
+                near = (distance <= DISTANCE) & possible(c["odd"][x], c["odd"][y], c["n"][x] + c["n"][y])
                 x, y, differ, distance = x[near], y[near], differ[near], distance[near]
                 if not len(x):
                     continue
@@ -238,6 +263,7 @@ def _pairs_between(filed: DataFrame) -> DataFrame:
                 continue
             c = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in names}
             c["signature"] = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+            c["odd"] = np.frombuffer(b"".join(batch.column("odd").to_pylist()), np.uint64).reshape(batch.num_rows, -1)
             if kept is not None:
                 c = {k: np.concatenate([kept[k], c[k]]) for k in c}
             last = np.flatnonzero(c["group"] != c["group"][-1])
@@ -267,14 +293,30 @@ def _components(spark: SparkSession, docs: DataFrame, classes: DataFrame, text:
     filed = materialise(filed.select("key", "slot", "rep", "low"))
     sets = ShingleSets(docs, filed.select("rep").distinct().join(classes.select("rep", "set_id"), "rep"), text)
 
-    stars = _near(filed.where("rep != low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct(), classes)
-    nearest = stars.groupBy("b").agg(F.min(F.struct("distance", "a")).alias("best")).select("best.a", "b")
-    first = materialise(sets.confirmed(nearest).select(F.col("b").alias("node"), F.col("a").alias("root")))
+    def nearest(stars: DataFrame) -> DataFrame:
+        """Of its candidate centres ``a`` each class ``b`` has the nearest, if that is a link."""
+        best = _near(stars.distinct(), classes).groupBy("b").agg(F.min(F.struct("distance", "a")).alias("best"))
+        return materialise(sets.confirmed(best.select("best.a", "b")))
+
+    first = nearest(filed.where("rep != low").select(F.col("low").alias("a"), F.col("rep").alias("b"))).select(F.col("b").alias("node"), F.col("a").alias("root"))
     labels = filed.select("rep").distinct().join(follow(first).select(F.col("node").alias("rep"), "root"), "rep", "left")
     labels = materialise(labels.select("rep", F.coalesce("root", "rep").alias("comp")))
-
-    apart = filed.select("key", "slot", "rep").join(labels, "rep").withColumns({"low": F.min("comp").over(bucket), "high": F.max("comp").over(bucket)}).where("low != high")
-    left = materialise(_pairs_between(apart.select("key", "slot", "rep", "comp").join(classes.select("rep", "n", "signature"), "rep")))
+    filed = filed.drop("low")
+
+    def open_buckets() -> DataFrame:
+        """What is filed in buckets that hold several components."""
+        ends = {"low": F.min("comp").over(bucket), "high": F.max("comp").over(bucket)}
+        return filed.join(labels, "rep").withColumns(ends).where("low != high").drop("low", "high")
+
+    for turn in range(1, STARS):
+        filed = materialise(open_buckets()).drop("comp")  # a bucket of one component stays one
+        centre = F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("draw"), "rep", "comp")).over(bucket)
+        stars = filed.join(labels, "rep").withColumn("centre", centre).where("comp != centre.comp").select(F.col("centre.rep").alias("a"), F.col("rep").alias("b"))
+        linked = nearest(stars)
+        if linked.isEmpty():
+            break
+        labels = _merged(labels, linked)
+    left = materialise(_pairs_between(open_buckets().join(classes.select("rep", "n", "signature", "odd"), "rep")))
     for tries in (*TRIES, None):
         sizes = labels.groupBy("comp").count()
         for side in ("a", "b"):
@@ -312,7 +354,7 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     spark = docs.sparkSession
     drawn = materialise(sketches(docs, text), "sketches")
     grouped = drawn.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_id")
-    classes = materialise(grouped.agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.first("signature").alias("signature")), "classes")
+    classes = materialise(grouped.agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.first("signature").alias("signature"), F.first("odd").alias("odd")), "classes")
     alone = classes.groupBy("rep").agg(F.min("set_id").alias("set_id"))
     labels = _components(spark, docs, classes.join(alone, ["rep", "set_id"], "left_semi"), text)
     linked = alone.join(labels, "rep").select("set_id", "comp")

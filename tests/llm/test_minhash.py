@@ -88,14 +88,18 @@ def test_bucket_pairs_come_once(spark):
     base = [f"w{i}" for i in range(200)]
     sets = [minhash.shingle_set(edited(rng, base, rng.randrange(6)), hashes) for _ in range(50)]
     signs = minhash.signatures(sets)
-    classes = spark.createDataFrame([(i, len(s), bytearray(signs[i].tobytes())) for i, s in enumerate(sets)], "rep long, n long, signature binary")
-    filed = minhash.postings(classes).join(classes, "rep").selectExpr("key", "slot", "rep", "rep AS comp", "n", "signature")
+    odd = minhash.odd_sketches(sets)
+    classes = spark.createDataFrame([(i, len(s), bytearray(signs[i].tobytes()), bytearray(odd[i].tobytes())) for i, s in enumerate(sets)], "rep long, n long, signature binary, odd binary")
+    filed = minhash.postings(classes).join(classes, "rep").selectExpr("key", "slot", "rep", "rep AS comp", "n", "signature", "odd")
     have = sorted((r.a, r.b, r.distance) for r in minhash._pairs_between(filed).collect())
     want = []
     for a, b in itertools.combinations(range(50), 2):
         d = int((signs[a] != signs[b]).sum())
         met = (np.add.reduceat(signs[a] != signs[b], minhash._EDGES[:-1], dtype=int) <= 1).any()
-        if d <= minhash.DISTANCE and met and 100 * min(len(sets[a]), len(sets[b])) >= 85 * max(len(sets[a]), len(sets[b])):
+        differ = int(np.bitwise_count(odd[a] ^ odd[b]).sum())
+        assert differ <= len(np.setxor1d(sets[a], sets[b]))
+        possible = differ * 185 <= (len(sets[a]) + len(sets[b])) * 15
+        if d <= minhash.DISTANCE and met and possible and 100 * min(len(sets[a]), len(sets[b])) >= 85 * max(len(sets[a]), len(sets[b])):
             want.append((a, b, d))
     assert have == want
 
