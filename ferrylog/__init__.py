@@ -1 +1 @@
-"""Account migration, event history and ordered-stream analytics as Spark jobs."""
+"""Account transfer, event history and ordered-stream analytics as Spark jobs."""

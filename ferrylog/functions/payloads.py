@@ -56,7 +56,7 @@ def payload_fields(data: Column) -> Column:
     return F.from_json(F.when(json_kind(data).startswith("OBJECT"), data), "map<string,string>")
 
 
-def topic_name(event_type: Column, prefix: str = "migration-events") -> Column:
+def topic_name(event_type: Column, prefix: str) -> Column:
     return F.concat(F.lit(f"{prefix}."), F.replace(event_type, F.lit("."), F.lit("_")))
 
 

@@ -12,7 +12,6 @@ from ferrylog.operators.ordering import SEGMENT, TARGET_ROWS, framed, running, r
 # fixed values: thresholds and presets
 FALLBACK_TTL_SECONDS = 300
 TRIP_THRESHOLD = 5
-TRIP_PRESETS = {"api": 3, "database": 5, "migration": 2}
 UNHEALTHY_AFTER = 3
 HEALTHY_FAILURE_RATE = 0.1
 CONGESTION_THRESHOLD = 0.8

@@ -1,4 +1,4 @@
-"""Account migration: source users and admins to target users, proxies and admins."""
+"""Account transfer: source users and admins to target users, proxies and admins."""
 
 from __future__ import annotations
 
@@ -226,7 +226,7 @@ def orphan_proxies(proxies: DataFrame, users: DataFrame) -> DataFrame:
     return skew_join(proxies, known, ["username"], ["username", "type", "settings"], "left_anti")
 
 
-def migrate(users: DataFrame, admins: DataFrame, target: dict[str, DataFrame], as_of: datetime) -> dict[str, DataFrame]:
+def transfer(users: DataFrame, admins: DataFrame, target: dict[str, DataFrame], as_of: datetime) -> dict[str, DataFrame]:
     """Rows to append to ``admins``, ``users`` and (by owner's name) ``proxies`` of the target."""
     made = transform_accounts(users, admins, as_of)
     rows = {"admins": coerce_to_target(made["admins"], ADMINS_SCHEMA), "users": coerce_to_target(made["users"], USERS_SCHEMA)}

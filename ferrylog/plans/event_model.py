@@ -35,11 +35,17 @@ class EventSpec:
     moment: str
 
 
+# fixed values of the stored format: names of event types, an aggregate type, payload fields and the topics' prefix
+RUN_STARTED, RUN_COMPLETED, RUN_FAILED = "migration.started", "migration.completed", "migration.failed"
+USER_MOVED, ADMIN_MOVED = "user.migrated", "admin.migrated"
+RUN, RUN_ID, MOVED_AT = "migration", "migration_id", "migrated_at"
+TOPIC_PREFIX = "migration-events"
+
 # fixed values: the event types, their aggregate type, payload fields and payload time field
 EVENT_SPECS: dict[str, EventSpec] = {
-    "migration.started": EventSpec("migration", ("source_config", "target_config"), "started_at"),
-    "migration.completed": EventSpec("migration", ("statistics", "duration_seconds"), "completed_at"),
-    "migration.failed": EventSpec("migration", ("error_message", "error_details"), "failed_at"),
+    RUN_STARTED: EventSpec(RUN, ("source_config", "target_config"), "started_at"),
+    RUN_COMPLETED: EventSpec(RUN, ("statistics", "duration_seconds"), "completed_at"),
+    RUN_FAILED: EventSpec(RUN, ("error_message", "error_details"), "failed_at"),
     "data.extracted": EventSpec("extraction", ("source_type", "record_count", "extraction_stats"), "extracted_at"),
     "data.transformed": EventSpec(
         "transformation", ("input_count", "output_count", "transformation_stats"), "transformed_at"
@@ -48,10 +54,10 @@ EVENT_SPECS: dict[str, EventSpec] = {
         "validation", ("total_records", "valid_records", "invalid_records", "validation_errors"), "validated_at"
     ),
     "data.imported": EventSpec("import", ("target_type", "imported_count", "import_stats"), "imported_at"),
-    "user.migrated": EventSpec("user", ("username", "source_data", "target_data"), "migrated_at"),
-    "admin.migrated": EventSpec("admin", ("username", "source_data", "target_data"), "migrated_at"),
-    "rollback.initiated": EventSpec("rollback", ("migration_id", "reason", "rollback_scope"), "initiated_at"),
-    "rollback.completed": EventSpec("rollback", ("migration_id", "rollback_stats", "success"), "completed_at"),
+    USER_MOVED: EventSpec("user", ("username", "source_data", "target_data"), MOVED_AT),
+    ADMIN_MOVED: EventSpec("admin", ("username", "source_data", "target_data"), MOVED_AT),
+    "rollback.initiated": EventSpec("rollback", (RUN_ID, "reason", "rollback_scope"), "initiated_at"),
+    "rollback.completed": EventSpec("rollback", (RUN_ID, "rollback_stats", "success"), "completed_at"),
     "schema.compatibility.checked": EventSpec(
         "schema", ("source_schema", "target_schema", "compatibility_result"), "checked_at"
     ),
@@ -103,11 +109,11 @@ def make_events(
     return df.select(*[columns[f.name].cast(f.dataType).alias(f.name) for f in EVENT_SCHEMA])
 
 
-def backfill_user_events(legacy: DataFrame, user_id: Column, username: Column, migrated_at: Column) -> DataFrame:
-    """Legacy rows as ``user.migrated`` events dated when the user was migrated."""
+def backfill_user_events(legacy: DataFrame, user_id: Column, username: Column, moved_at: Column) -> DataFrame:
+    """Legacy rows as events of moved users, dated when the user was moved."""
     whole = F.struct(*legacy.columns)
     payload = {"username": username, "source_data": whole, "target_data": whole}
-    return make_events(legacy, "user.migrated", user_id, migrated_at, payload)
+    return make_events(legacy, USER_MOVED, user_id, moved_at, payload)
 
 
 def known_type(event_type: Column) -> Column:
@@ -115,7 +121,7 @@ def known_type(event_type: Column) -> Column:
 
 
 # fixed values: how large payload values are described, and how much text is kept
-DICT_TEXT, LIST_TEXT, STRING_HEAD, STRING_TAIL, KEPT_CHARS = "<dict with %d keys>", "<list with %d items>", "<string: ", "...>", 100
+DICT_TEXT, LIST_TEXT, STRING_TEXT, KEPT_CHARS = "<dict with %d keys>", "<list with %d items>", "<string: %s...>", 100
 
 
 def _value_summary(value: Column) -> Column:
@@ -127,7 +133,7 @@ def _value_summary(value: Column) -> Column:
         .when(kind.startswith("ARRAY"), F.format_string(LIST_TEXT, F.json_array_length(body)))
         .when(
             (kind == "STRING") & (F.length(text) > KEPT_CHARS),
-            F.concat(F.lit(STRING_HEAD), F.substring(text, 1, KEPT_CHARS), F.lit(STRING_TAIL)),
+            F.format_string(STRING_TEXT, F.substring(text, 1, KEPT_CHARS)),
         )
         .otherwise(text)
     )
@@ -150,10 +156,10 @@ def audit_entries(events: DataFrame) -> DataFrame:
     )
 
 
-# fixed values: titles, texts and priorities of notifications, and where their details come from
+# fixed values of the stored format: titles, texts and priorities of notifications, and where their details come from
 TITLES = {
-    "migration.completed": "Migration Completed",
-    "migration.failed": "Migration Failed",
+    RUN_COMPLETED: "Migration Completed",
+    RUN_FAILED: "Migration Failed",
     "rollback.initiated": "Rollback Initiated",
     "rollback.completed": "Rollback Completed",
 }
@@ -164,24 +170,24 @@ UNDONE_TEXT = "Rollback %s for migration %s completed %s"
 WELL, BADLY, NO_REASON_KNOWN = "successfully", "with errors", "Unknown error"
 NORMAL, MEDIUM, HIGH = "normal", "medium", "high"
 DETAILS = {
-    "migration.completed": "statistics",
-    "migration.failed": "error_details",
+    RUN_COMPLETED: "statistics",
+    RUN_FAILED: "error_details",
     "rollback.initiated": "rollback_scope",
     "rollback.completed": "rollback_stats",
 }
 
 
 def notifications(events: DataFrame) -> DataFrame:
-    """Title, message, details and priority for finished, failed and rolled-back migrations."""
+    """Title, message, details and priority for finished, failed and rolled-back runs."""
     data, kind, subject = F.col("event_data"), F.col("event_type"), F.col("aggregate_id")
-    target = F.coalesce(payload_text(data, "migration_id"), F.lit(""))
+    target = F.coalesce(payload_text(data, RUN_ID), F.lit(""))
     reason = F.coalesce(payload_text(data, "reason"), F.lit(""))
     seconds = F.coalesce(payload_text(data, "duration_seconds").try_cast("double"), F.lit(0.0))
     problem = F.coalesce(payload_text(data, "error_message"), F.lit(NO_REASON_KNOWN))
     success = F.coalesce(payload_text(data, "success").try_cast("boolean"), F.lit(False))
     per_type = {
-        "migration.completed": (F.format_string(COMPLETED_TEXT, subject, seconds), F.lit(NORMAL)),
-        "migration.failed": (F.format_string(FAILED_TEXT, subject, problem), F.lit(HIGH)),
+        RUN_COMPLETED: (F.format_string(COMPLETED_TEXT, subject, seconds), F.lit(NORMAL)),
+        RUN_FAILED: (F.format_string(FAILED_TEXT, subject, problem), F.lit(HIGH)),
         "rollback.initiated": (F.format_string(INITIATED_TEXT, subject, target, reason), F.lit(HIGH)),
         "rollback.completed": (
             F.format_string(UNDONE_TEXT, subject, target, F.when(success, WELL).otherwise(BADLY)),

@@ -111,18 +111,18 @@ def event_summary(events: DataFrame) -> DataFrame:
     )
 
 
-def migration_overview(statistics: DataFrame, events: DataFrame) -> DataFrame:
-    """Migration statistics with duration and the number of events per migration, newest first.
+def run_overview(statistics: DataFrame, events: DataFrame) -> DataFrame:
+    """Run statistics with duration and the number of events per run, newest first.
 
     Events are counted per aggregate before the join, so a hot aggregate joins as one row.
     """
-    counted = events.groupBy(F.col("aggregate_id").alias("migration_id")).agg(F.count("event_id").alias("total_events"))
+    counted = events.groupBy(F.col("aggregate_id").alias("run_id")).agg(F.count("event_id").alias("total_events"))
     seconds = (F.unix_micros("completed_at") - F.unix_micros("started_at")) / F.lit(1_000_000)
     return (
-        statistics.join(counted, "migration_id", "left")
+        statistics.join(counted, "run_id", "left")
         .withColumn("duration_seconds", seconds)
         .withColumn("total_events", F.coalesce("total_events", F.lit(0).cast("long")))
-        .orderBy(F.desc("started_at"), "migration_id")
+        .orderBy(F.desc("started_at"), "run_id")
     )
 
 

@@ -1,4 +1,4 @@
-"""Read models folded from events: migrations, users, snapshots, replay, incremental projections."""
+"""Read models folded from events: runs, users, snapshots, replay, incremental projections."""
 
 from __future__ import annotations
 
@@ -10,17 +10,17 @@ from pyspark.sql import functions as F
 
 from ferrylog.functions.payloads import payload_long, payload_text
 from ferrylog.operators.skew import HOT_ROWS, lookup_join, skew_join
-from ferrylog.plans.event_model import EVENT_ORDER, known_type
+from ferrylog.plans.event_model import ADMIN_MOVED, EVENT_ORDER, RUN, RUN_COMPLETED, RUN_FAILED, RUN_ID, RUN_STARTED, USER_MOVED, known_type
 
-# fixed values: which event adds which payload counter to its migration
+# fixed values: which event adds which payload counter to its run
 COUNTERS = {
     "extracted_count": ("data.extracted", "record_count"),
     "transformed_count": ("data.transformed", "output_count"),
     "validated_count": ("data.validated", "valid_records"),
     "imported_count": ("data.imported", "imported_count"),
 }
-HEADCOUNTS = {"user_count": "user.migrated", "admin_count": "admin.migrated"}
-STARTED, COMPLETED, FAILED = "migration.started", "migration.completed", "migration.failed"
+HEADCOUNTS = {"user_count": USER_MOVED, "admin_count": ADMIN_MOVED}
+STARTED, COMPLETED, FAILED = RUN_STARTED, RUN_COMPLETED, RUN_FAILED
 ROLLBACKS = ("rollback.initiated", "rollback.completed")
 CORRELATED = (*[t for t, _ in COUNTERS.values()], *HEADCOUNTS.values())
 
@@ -30,7 +30,7 @@ def _place(order: Sequence[str]) -> Column:
 
 
 def latest_starts(events: DataFrame, order: Sequence[str] = EVENT_ORDER) -> DataFrame:
-    """The last start event of every migration; whatever came before it no longer counts."""
+    """The last start event of every run; whatever came before it no longer counts."""
     start = F.struct(
         F.col("event_id"),
         F.col("correlation_id"),
@@ -41,35 +41,35 @@ def latest_starts(events: DataFrame, order: Sequence[str] = EVENT_ORDER) -> Data
     )
     starts = events.filter(F.col("event_type") == STARTED)
     return (
-        starts.groupBy(F.col("aggregate_id").alias("migration_id"))
+        starts.groupBy(F.col("aggregate_id").alias("run_id"))
         .agg(F.max_by(start, _place(order)).alias("_s"))
-        .select("migration_id", "_s.*")
+        .select("run_id", "_s.*")
     )
 
 
-def migration_links(starts: DataFrame) -> DataFrame:
-    """(link_key, migration_id, _from): the ids under which events may point at a migration.
+def run_links(starts: DataFrame) -> DataFrame:
+    """(link_key, run_id, _from): the ids under which events may point at a run.
 
-    A correlation id may name the migration, its start event, or the start's own correlation id,
+    A correlation id may name the run, its start event, or the start's own correlation id,
     in this order of preference.
     """
     candidates = F.explode(
         F.array(
-            F.struct(F.lit(1).alias("rank"), F.col("migration_id").alias("link_key")),
+            F.struct(F.lit(1).alias("rank"), F.col("run_id").alias("link_key")),
             F.struct(F.lit(2).alias("rank"), F.col("event_id").alias("link_key")),
             F.struct(F.lit(3).alias("rank"), F.col("correlation_id").alias("link_key")),
         )
     )
-    rows = starts.select("migration_id", "_from", candidates.alias("_c")).filter(F.col("_c.link_key").isNotNull())
-    best = F.min_by(F.struct("migration_id", "_from"), F.struct("_c.rank", "migration_id"))
+    rows = starts.select("run_id", "_from", candidates.alias("_c")).filter(F.col("_c.link_key").isNotNull())
+    best = F.min_by(F.struct("run_id", "_from"), F.struct("_c.rank", "run_id"))
     return rows.groupBy(F.col("_c.link_key").alias("link_key")).agg(best.alias("_m")).select("link_key", "_m.*")
 
 
 def linked_events(events: DataFrame, starts: DataFrame, order: Sequence[str] = EVENT_ORDER, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Events that belong to a migration and come after its latest start, with ``migration_id``.
+    """Events that belong to a run and come after its latest start, with ``run_id``.
 
     Counted events are found by correlation id, endings by aggregate id, rollbacks by the
-    migration id in their payload: one equi-join over (way, key), where a correlation id shared by
+    run id in their payload: one equi-join over (way, key), where a correlation id shared by
     very many events is spread.
     """
     kind = F.col("event_type")
@@ -81,17 +81,17 @@ def linked_events(events: DataFrame, starts: DataFrame, order: Sequence[str] = E
     ways = (
         F.when(kind.isin(*CORRELATED), way("link", F.col("correlation_id")))
         .when(kind.isin(COMPLETED, FAILED), way("own", F.col("aggregate_id")))
-        .when(kind.isin(*ROLLBACKS), way("own", payload_text(F.col("event_data"), "migration_id")))
+        .when(kind.isin(*ROLLBACKS), way("own", payload_text(F.col("event_data"), RUN_ID)))
     )
     pointing = events.select("*", F.inline(ways)).filter(F.col("link_key").isNotNull())
-    own = starts.select(F.lit("own").alias("way"), F.col("migration_id").alias("link_key"), "migration_id", "_from")
-    lookup = migration_links(starts).select(F.lit("link").alias("way"), "link_key", "migration_id", "_from").unionByName(own)
+    own = starts.select(F.lit("own").alias("way"), F.col("run_id").alias("link_key"), "run_id", "_from")
+    lookup = run_links(starts).select(F.lit("link").alias("way"), "link_key", "run_id", "_from").unionByName(own)
     found = skew_join(pointing, lookup, ["way", "link_key"], ["event_id"], min_rows=hot_rows)
     return found.filter(_place(order) > F.col("_from")).drop("way", "link_key", "_from")
 
 
-def migration_read_model(events: DataFrame, order: Sequence[str] = EVENT_ORDER, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """One row per migration: status, times, counters, last rollback."""
+def run_read_model(events: DataFrame, order: Sequence[str] = EVENT_ORDER, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """One row per run: status, times, counters, last rollback."""
     starts = latest_starts(events, order)
     linked = linked_events(events, starts, order, hot_rows)
     kind, data, when = F.col("event_type"), F.col("event_data"), _place(order)
@@ -119,9 +119,9 @@ def migration_read_model(events: DataFrame, order: Sequence[str] = EVENT_ORDER,
         last(F.coalesce(payload_text(data, "success").try_cast("boolean"), F.lit(False)), kind == ROLLBACKS[1]).alias("rollback_success"),
         F.max(F.when(kind == ROLLBACKS[1], F.col("timestamp"))).alias("rollback_completed_at"),
     ]
-    folded = linked.groupBy("migration_id").agg(*folds)
+    folded = linked.groupBy("run_id").agg(*folds)
     counts = [*COUNTERS, *HEADCOUNTS, "error_count"]
-    model = starts.select("migration_id", "started_at", "source_config", "target_config").join(folded, "migration_id", "left")
+    model = starts.select("run_id", "started_at", "source_config", "target_config").join(folded, "run_id", "left")
     return (
         model.withColumn("status", F.coalesce("_status", F.lit("started")))
         .drop("_status")
@@ -129,20 +129,20 @@ def migration_read_model(events: DataFrame, order: Sequence[str] = EVENT_ORDER,
     )
 
 
-def migration_errors(events: DataFrame, order: Sequence[str] = EVENT_ORDER, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Validation errors of every migration as rows, none left out."""
+def run_errors(events: DataFrame, order: Sequence[str] = EVENT_ORDER, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Validation errors of every run as rows, none left out."""
     linked = linked_events(events.filter(F.col("event_type").isin(STARTED, "data.validated")), latest_starts(events, order), order, hot_rows)
     linked = linked.filter(payload_long(F.col("event_data"), "invalid_records") > 0)
     errors = F.from_json(payload_text(F.col("event_data"), "validation_errors"), "array<string>")
-    return linked.select("migration_id", "event_id", "timestamp", F.posexplode(errors).alias("position", "error"))
+    return linked.select("run_id", "event_id", "timestamp", F.posexplode(errors).alias("position", "error"))
 
 
-def entity_migrations(events: DataFrame, event_type: str = "user.migrated", order: Sequence[str] = EVENT_ORDER) -> DataFrame:
-    """The last migration event of every user (or admin)."""
+def moved_entities(events: DataFrame, event_type: str = USER_MOVED, order: Sequence[str] = EVENT_ORDER) -> DataFrame:
+    """The last run event of every user (or admin)."""
     data = F.col("event_data")
     last = F.struct(
         F.coalesce(payload_text(data, "username"), F.lit("")).alias("username"),
-        F.col("timestamp").alias("migrated_at"),
+        F.col("timestamp").alias("moved_at"),
         F.coalesce(payload_text(data, "source_data"), F.lit("{}")).alias("source_data"),
         F.coalesce(payload_text(data, "target_data"), F.lit("{}")).alias("target_data"),
     )
@@ -151,16 +151,16 @@ def entity_migrations(events: DataFrame, event_type: str = "user.migrated", orde
 
 
 def snapshots(events: DataFrame, up_to_version: int | None = None, order: Sequence[str] = EVENT_ORDER) -> DataFrame:
-    """State of every migration up to a version, as snapshot rows."""
+    """State of every run up to a version, as snapshot rows."""
     seen = events if up_to_version is None else events.filter(F.col("event_version") <= up_to_version)
-    model = migration_read_model(seen, order)
-    own = seen.groupBy(F.col("aggregate_id").alias("migration_id")).agg(
+    model = run_read_model(seen, order)
+    own = seen.groupBy(F.col("aggregate_id").alias("run_id")).agg(
         F.count(F.lit(1)).alias("replayed"), F.max("event_version").alias("version")
     )
-    state = F.to_json(F.struct(*[c for c in model.columns if c != "migration_id"]))
-    return model.join(own, "migration_id", "left").select(
-        F.col("migration_id").alias("aggregate_id"),
-        F.lit("migration").alias("aggregate_type"),
+    state = F.to_json(F.struct(*[c for c in model.columns if c != "run_id"]))
+    return model.join(own, "run_id", "left").select(
+        F.col("run_id").alias("aggregate_id"),
+        F.lit(RUN).alias("aggregate_type"),
         "version",
         "replayed",
         state.alias("snapshot_data"),

@@ -1,4 +1,4 @@
-"""Checks after a migration: counts, identifiers, keys and references."""
+"""Checks after a transfer: counts, identifiers, keys and references."""
 
 from __future__ import annotations
 
@@ -27,7 +27,7 @@ def expected_proxies(users: DataFrame) -> DataFrame:
 def count_validation(users: DataFrame, admins: DataFrame, target: dict[str, DataFrame]) -> DataFrame:
     """Source rows, distinct names and target rows per entity, with MATCH or MISMATCH.
 
-    Source counts are raw; distinct names stand beside them since repeats are not migrated.
+    Source counts are raw; distinct names stand beside them since repeats are not moved.
     """
     named = has_text(F.col("username"))
 

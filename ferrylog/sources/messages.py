@@ -11,7 +11,6 @@ from ferrylog.functions.payloads import json_value, topic_name
 from ferrylog.functions.schemas import TEXT, struct
 from ferrylog.plans.event_model import known_type
 
-DEAD_LETTER_TOPIC = "migration-events.dead-letter"
 MESSAGE_SCHEMA = struct(
     topic=TEXT, key=TEXT, value=TEXT,
 )
@@ -22,7 +21,7 @@ ENVELOPE_SCHEMA = (
 MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 
-def encode_messages(events: DataFrame, prefix: str = "migration-events", topic: str | None = None) -> DataFrame:
+def encode_messages(events: DataFrame, prefix: str, topic: str | None = None) -> DataFrame:
     """Events as messages: topic from the type (or a fixed one), key = event id, value = JSON."""
     value = F.to_json(
         F.struct(
@@ -77,7 +76,7 @@ def split_dead_letters(judged: DataFrame, as_of: Column) -> tuple[DataFrame, Dat
     return good, dead
 
 
-def dead_letter_messages(dead: DataFrame, topic: str = DEAD_LETTER_TOPIC) -> DataFrame:
+def dead_letter_messages(dead: DataFrame, topic: str = "dead-letter") -> DataFrame:
     """Dead letters as messages; what could not be decoded travels as its raw text."""
     body = F.to_json(F.struct("event_id", "event_type", "aggregate_id", F.col("event_metadata").alias("metadata"), F.col("event_data").alias("data"), "raw"))
     return dead.select(F.lit(topic).alias("topic"), F.col("event_id").alias("key"), body.alias("value"))
@@ -101,7 +100,7 @@ def stream_files(spark: SparkSession, path: str, files_per_trigger: int = 1000)
     return spark.readStream.schema(MESSAGE_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).json(path)
 
 
-def stream_kafka(spark: SparkSession, servers: str, event_types: Iterable[str], prefix: str = "migration-events") -> DataFrame:
+def stream_kafka(spark: SparkSession, servers: str, event_types: Iterable[str], prefix: str) -> DataFrame:
     """A stream of messages from the topics of the given types (not exercised here)."""
     topics = ",".join(f"{prefix}.{t.replace('.', '_')}" for t in event_types)
     reader = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topics)

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ferrylog.operators.sequences import buffer_tumbling
-from ferrylog.plans.event_model import EVENT_SCHEMA
-from ferrylog.plans.read_models import latest_starts, linked_events, migration_read_model
+from ferrylog.plans.event_model import EVENT_SCHEMA, RUN_STARTED
+from ferrylog.plans.read_models import latest_starts, linked_events, run_read_model
 from ferrylog.session import shared_folder
 from ferrylog.sources.event_store import append_events, read_events
 from ferrylog.sources.messages import dead_letter_messages, split_dead_letters
@@ -56,15 +56,15 @@ def store_events(path: str) -> Callable[[DataFrame, int], None]:
     return handle
 
 
-def touched_migrations(batch: DataFrame, stored: DataFrame) -> DataFrame:
-    """Ids of migrations that the events of a batch start or belong to."""
+def touched_runs(batch: DataFrame, stored: DataFrame) -> DataFrame:
+    """Ids of runs that the events of a batch start or belong to."""
     starts = latest_starts(stored)
-    own = batch.filter(F.col("event_type") == "migration.started").select(F.col("aggregate_id").alias("migration_id"))
-    return own.unionByName(linked_events(batch, starts).select("migration_id")).distinct()
+    own = batch.filter(F.col("event_type") == RUN_STARTED).select(F.col("aggregate_id").alias("run_id"))
+    return own.unionByName(linked_events(batch, starts).select("run_id")).distinct()
 
 
 def maintain_read_model(store_path: str, model_path: str) -> Callable[[DataFrame, int], None]:
-    """A handler that stores events, then recomputes the migrations they touch from the table.
+    """A handler that stores events, then recomputes the runs they touch from the table.
 
     An event may come before its start; recomputing from the table finds it once the start is there.
     Each batch writes its rows to a folder of its own; ``current_read_model`` reads the newest.
@@ -74,19 +74,19 @@ def maintain_read_model(store_path: str, model_path: str) -> Callable[[DataFrame
         spark = good.sparkSession
         append_events(good, store_path, new_only=True)
         stored = read_events(spark, store_path)
-        touched = touched_migrations(good, stored)
-        model = migration_read_model(stored).join(touched, "migration_id", "left_semi")
+        touched = touched_runs(good, stored)
+        model = run_read_model(stored).join(touched, "run_id", "left_semi")
         model.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{model_path}/batch={batch_id}")
 
     return handle
 
 
 def current_read_model(spark: SparkSession, model_path: str) -> DataFrame:
-    """The newest row of every migration."""
+    """The newest row of every run."""
     rows = spark.read.parquet(f"{model_path}/batch=*")
-    rest = [c for c in rows.columns if c not in ("migration_id", "batch_id")]
-    newest = rows.groupBy("migration_id").agg(F.max_by(F.struct(*rest), "batch_id").alias("_r"))
-    return newest.select("migration_id", "_r.*")
+    rest = [c for c in rows.columns if c not in ("run_id", "batch_id")]
+    newest = rows.groupBy("run_id").agg(F.max_by(F.struct(*rest), "batch_id").alias("_r"))
+    return newest.select("run_id", "_r.*")
 
 
 def distinct_events(stream: DataFrame, keys: Sequence[str], ts: str, watermark: str) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from ferrylog.plans import event_model, event_queries, read_models
-from ferrylog.plans.event_model import EVENT_SPECS, make_events
+from ferrylog.plans.event_model import COMPLETED_TEXT, EVENT_SPECS, RUN_COMPLETED, RUN_ID, RUN_STARTED, TOPIC_PREFIX, USER_MOVED, make_events
 from ferrylog.sources import event_store, messages
 from workloads.adapters import envelopes, raw_events, source_users
 
@@ -34,30 +35,30 @@ def together(*frames):
 @pytest.fixture(scope="module")
 def six(spark):
     return together(
-        event(spark, 0, "migration.started", "m1"),
+        event(spark, 0, RUN_STARTED, "m1"),
         event(spark, 1, "data.extracted", "x1", source_type="panel", record_count=50),
         event(spark, 2, "data.transformed", "t1", input_count=50, output_count=50),
-        event(spark, 3, "user.migrated", "user-1", username="testuser1"),
-        event(spark, 4, "user.migrated", "user-2", username="testuser2"),
-        event(spark, 5, "migration.completed", "m1", duration_seconds=60.0),
+        event(spark, 3, USER_MOVED, "user-1", username="testuser1"),
+        event(spark, 4, USER_MOVED, "user-2", username="testuser2"),
+        event(spark, 5, RUN_COMPLETED, "m1", duration_seconds=60.0),
     ).cache()
 
 
 def test_read_model(six):
-    row = read_models.migration_read_model(six).first()
-    assert (row.migration_id, row.status, row.extracted_count, row.transformed_count, row.user_count) == ("m1", "completed", 50, 50, 2)
+    row = read_models.run_read_model(six).first()
+    assert (row.run_id, row.status, row.extracted_count, row.transformed_count, row.user_count) == ("m1", "completed", 50, 50, 2)
     assert row.duration_seconds == 60.0
 
 
 def test_links_by_start_event_id_and_own_id(spark):
     for correlation in ("start-id", "m1"):
-        both = together(event(spark, 0, "migration.started", "m1", None, "start-id"), event(spark, 1, "data.extracted", "x", correlation, record_count=100))
-        assert read_models.migration_read_model(both).first().extracted_count == 100
+        both = together(event(spark, 0, RUN_STARTED, "m1", None, "start-id"), event(spark, 1, "data.extracted", "x", correlation, record_count=100))
+        assert read_models.run_read_model(both).first().extracted_count == 100
 
 
 def test_restart_forgets(spark, six):
-    again = six.unionByName(event(spark, 10, "migration.started", "m1"))
-    row = read_models.migration_read_model(again).first()
+    again = six.unionByName(event(spark, 10, RUN_STARTED, "m1"))
+    row = read_models.run_read_model(again).first()
     assert (row.status, row.user_count, row.extracted_count) == ("started", 0, 0)
 
 
@@ -65,29 +66,29 @@ def test_rollback_and_errors(spark, six):
     more = together(
         six,
         event(spark, 6, "data.validated", "v", total_records=3, valid_records=1, invalid_records=2, validation_errors=["a", "b"]),
-        event(spark, 7, "rollback.initiated", "r1", None, migration_id="m1", reason="bad"),
-        event(spark, 8, "rollback.completed", "r1", None, migration_id="m1", success=False),
-        event(spark, 9, "rollback.initiated", "r2", None, migration_id="other", reason="unknown"),
+        event(spark, 7, "rollback.initiated", "r1", None, **{RUN_ID: "m1"}, reason="bad"),
+        event(spark, 8, "rollback.completed", "r1", None, **{RUN_ID: "m1"}, success=False),
+        event(spark, 9, "rollback.initiated", "r2", None, **{RUN_ID: "other"}, reason="unknown"),
     )
-    row = read_models.migration_read_model(more).first()
+    row = read_models.run_read_model(more).first()
     assert (row.error_count, row.rollback_reason, row.rollback_success, row.validated_count) == (2, "bad", False, 1)
-    assert [r.error for r in read_models.migration_errors(more).orderBy("position").collect()] == ["a", "b"]
+    assert [r.error for r in read_models.run_errors(more).orderBy("position").collect()] == ["a", "b"]
     told = {r.event_type: (r.priority, r.message) for r in event_model.notifications(more).filter("aggregate_id <> 'r2'").collect()}
-    assert told["migration.completed"] == ("normal", "Migration m1 completed successfully in 60.00 seconds")
+    assert told[RUN_COMPLETED] == ("normal", COMPLETED_TEXT % ("m1", 60))
     assert told["rollback.completed"][0] == "high"
 
 
 def test_replay(six):
-    handler = read_models.Handler("migrations", read_models.migration_read_model)
+    handler = read_models.Handler("runs", read_models.run_read_model)
     result = read_models.replay(six, [handler]).result.first()
     assert (result.total_events, result.processed_events, result.failed_events, result.success_rate) == (6, 6, 0, 100.0)
-    users = read_models.replay(event_queries.by_types(six, ["user.migrated"]), [handler]).result.first()
+    users = read_models.replay(event_queries.by_types(six, [USER_MOVED]), [handler]).result.first()
     assert users.processed_events == 2
-    assert read_models.entity_migrations(six).count() == 2
+    assert read_models.moved_entities(six).count() == 2
     correlated = read_models.replay(event_queries.by_correlation(six, "corr"), [handler])
     assert correlated.result.first().processed_events == 6
-    assert correlated.outputs["migrations"].first().user_count == 2
-    filtered = read_models.replay(six, [handler], F.col("event_type") == "user.migrated").result.first()
+    assert correlated.outputs["runs"].first().user_count == 2
+    filtered = read_models.replay(six, [handler], F.col("event_type") == USER_MOVED).result.first()
     assert (filtered.total_events, filtered.processed_events, round(filtered.success_rate, 2)) == (6, 2, 33.33)
 
 
@@ -95,11 +96,11 @@ def test_snapshot_and_sequence(six):
     snap = read_models.snapshots(six).first()
     assert (snap.aggregate_id, snap.replayed) == ("m1", 2) and '"status":"completed"' in snap.snapshot_data and '"user_count":2' in snap.snapshot_data
     own = six.filter("aggregate_id = 'm1'")
-    good = event_queries.sequence_verdicts(own, ["migration.started", "migration.completed"]).first()
+    good = event_queries.sequence_verdicts(own, [RUN_STARTED, RUN_COMPLETED]).first()
     assert good.is_valid
-    bad = event_queries.sequence_differences(own, ["migration.completed", "migration.started", "data.extracted"])
+    bad = event_queries.sequence_differences(own, [RUN_COMPLETED, RUN_STARTED, "data.extracted"])
     assert sorted((r.position, r.expected, r.actual) for r in bad.collect()) == [
-        (0, "migration.completed", "migration.started"), (1, "migration.started", "migration.completed"), (2, "data.extracted", None)
+        (0, RUN_COMPLETED, RUN_STARTED), (1, RUN_STARTED, RUN_COMPLETED), (2, "data.extracted", None)
     ]
 
 
@@ -109,9 +110,9 @@ def test_wrong_payload_is_refused(spark):
 
 
 def test_messages_round_trip_and_dead_letters(spark, six):
-    sent = messages.encode_messages(six)
-    assert {r.topic for r in sent.collect()} == {"migration-events." + t for t in ("migration_started", "data_extracted", "data_transformed", "user_migrated", "migration_completed")}
-    odd = spark.createDataFrame([("t", "k", "no json"), ("t", "k", '{"event_type": "user.migrated"}'), ("t", "k", '{"event_id": "1", "event_type": "odd"}')], "topic string, key string, value string")
+    sent = messages.encode_messages(six, TOPIC_PREFIX)
+    assert {r.topic for r in sent.collect()} == {f"{TOPIC_PREFIX}." + t.replace(".", "_") for t in (RUN_STARTED, "data.extracted", "data.transformed", USER_MOVED, RUN_COMPLETED)}
+    odd = spark.createDataFrame([("t", "k", "no json"), ("t", "k", json.dumps({"event_type": USER_MOVED})), ("t", "k", '{"event_id": "1", "event_type": "odd"}')], "topic string, key string, value string")
     good, dead = messages.split_dead_letters(messages.decode_messages(sent.unionByName(odd)), F.lit(START).cast("timestamp"))
     assert good.count() == 6
     found = sorted(r.e for r in dead.select(F.get_json_object("event_metadata", "$.error").alias("e")).collect())
@@ -143,7 +144,7 @@ def test_core_stays_in_the_engine(spark, folder):
 
     e, raw = envelopes(spark, folder), raw_events(spark, folder)
     for df in (
-        read_models.migration_read_model(e),
+        read_models.run_read_model(e),
         event_queries.event_summary(e),
         sequences.throttle(raw, "ts", 60, ["ts", "event_id"], ["user_id"]),
         sequences.moving_average_exponential(raw, "value", ["ts", "event_id"], ["user_id"]),

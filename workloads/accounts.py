@@ -1,4 +1,4 @@
-"""Account migration and validation over accounts made from ``customer``, ``orders``, ``supplier``."""
+"""Account transfer and validation over accounts made from ``customer``, ``orders``, ``supplier``."""
 
 from __future__ import annotations
 
@@ -411,13 +411,13 @@ def f16(spark, folder):
 
 
 @query(
-    "migration_flow",
+    "account_transfer",
     f"{WITH} SELECT 'users' AS entity, count(*) AS rows FROM first_users WHERE username NOT IN (SELECT username FROM target_users) "
     "UNION ALL SELECT 'admins', count(*) FROM first_admins WHERE username NOT IN (SELECT username FROM target_admins WHERE username IS NOT NULL) "
     "UNION ALL SELECT 'proxies', count(*) FROM proxied WHERE seq IN (SELECT seq FROM first_users)",
 )
 def flow(spark, folder):
     """Extracted sets through transform, coercion and insert-if-absent."""
-    plan = accounts.migrate(source_users(spark, folder), source_admins(spark, folder), target_tables(spark, folder), AS_OF)
+    plan = accounts.transfer(source_users(spark, folder), source_admins(spark, folder), target_tables(spark, folder), AS_OF)
     parts = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("entity"), "rows") for n, df in plan.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])

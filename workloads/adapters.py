@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ferrylog.functions.identifiers import dashed
 from ferrylog.functions.payloads import payload_long
 from ferrylog.operators.ordering import with_seq
-from ferrylog.plans.event_model import EVENT_SCHEMA, EVENT_SPECS
+from ferrylog.plans.event_model import ADMIN_MOVED, EVENT_SCHEMA, EVENT_SPECS, RUN_COMPLETED, RUN_FAILED, RUN_ID, RUN_STARTED, USER_MOVED
 from ferrylog.session import load_table
 
 # ---- events -------------------------------------------------------------------------------
@@ -23,11 +23,11 @@ raw AS (
 ), env AS (
   SELECT lpad(CAST(event_id AS VARCHAR), 12, '0') AS event_id, ts AS "timestamp", user_id, value, k, mig,
     CASE event_type
-      WHEN 'signup' THEN 'migration.started'
+      WHEN 'signup' THEN :run_started
       WHEN 'view' THEN CASE WHEN k % 2 = 0 THEN 'data.extracted' ELSE 'data.transformed' END
       WHEN 'click' THEN CASE WHEN k % 3 = 0 THEN 'data.validated' ELSE 'data.imported' END
-      WHEN 'purchase' THEN CASE WHEN k % 4 <> 0 THEN 'user.migrated' ELSE 'admin.migrated' END
-      ELSE CASE WHEN k % 3 = 0 THEN 'migration.completed' WHEN k % 3 = 1 THEN 'migration.failed'
+      WHEN 'purchase' THEN CASE WHEN k % 4 <> 0 THEN :user_moved ELSE :admin_moved END
+      ELSE CASE WHEN k % 3 = 0 THEN :run_completed WHEN k % 3 = 1 THEN :run_failed
                 WHEN k % 2 = 0 THEN 'rollback.initiated' ELSE 'rollback.completed' END
     END AS event_type,
     CAST(event_id % 7 + 1 AS INTEGER) AS event_version,
@@ -35,15 +35,15 @@ raw AS (
   FROM raw
 ), envelopes AS (
   SELECT *,
-    CASE WHEN event_type IN ('migration.started', 'migration.completed', 'migration.failed') THEN mig
-         WHEN event_type IN ('user.migrated', 'admin.migrated') THEN 'u' || user_id
+    CASE WHEN event_type IN (:run_started, :run_completed, :run_failed) THEN mig
+         WHEN event_type IN (:user_moved, :admin_moved) THEN 'u' || user_id
          WHEN event_type LIKE 'rollback.%' THEN 'r' || event_id ELSE 'a' || event_id END AS aggregate_id,
     CASE event_type
       WHEN 'data.extracted' THEN 'extraction' WHEN 'data.transformed' THEN 'transformation'
       WHEN 'data.validated' THEN 'validation' WHEN 'data.imported' THEN 'import'
-      WHEN 'user.migrated' THEN 'user' WHEN 'admin.migrated' THEN 'admin'
+      WHEN :user_moved THEN 'user' WHEN :admin_moved THEN 'admin'
       WHEN 'rollback.initiated' THEN 'rollback' WHEN 'rollback.completed' THEN 'rollback'
-      ELSE 'migration' END AS aggregate_type
+      ELSE :run END AS aggregate_type
   FROM env
 )"""
 
@@ -58,28 +58,28 @@ def envelopes(spark: SparkSession, folder: str) -> DataFrame:
     k, kind = payload_long(F.col("props"), "k"), F.col("event_type")
     even = F.col("k") % 2 == 0
     mapped = (
-        F.when(kind == "signup", "migration.started")
+        F.when(kind == "signup", RUN_STARTED)
         .when(kind == "view", F.when(even, "data.extracted").otherwise("data.transformed"))
         .when(kind == "click", F.when(F.col("k") % 3 == 0, "data.validated").otherwise("data.imported"))
-        .when(kind == "purchase", F.when(F.col("k") % 4 != 0, "user.migrated").otherwise("admin.migrated"))
-        .when(F.col("k") % 3 == 0, "migration.completed")
-        .when(F.col("k") % 3 == 1, "migration.failed")
+        .when(kind == "purchase", F.when(F.col("k") % 4 != 0, USER_MOVED).otherwise(ADMIN_MOVED))
+        .when(F.col("k") % 3 == 0, RUN_COMPLETED)
+        .when(F.col("k") % 3 == 1, RUN_FAILED)
         .when(even, "rollback.initiated")
         .otherwise("rollback.completed")
     )
     user = F.col("user_id").cast("string")
-    migration = F.concat(F.lit("m"), user)
+    run = F.concat(F.lit("m"), user)
     rows = raw.withColumn("k", k).withColumns(
         {
             "_id": F.lpad(F.col("event_id").cast("string"), 12, "0"),
             "_type": mapped,
-            "_mig": migration,
+            "_mig": run,
             "_user": F.concat(F.lit("user_"), user),
         }
     )
     kind = F.col("_type")
-    own = kind.startswith("migration.")
-    person = kind.isin("user.migrated", "admin.migrated")
+    own = kind.isin(RUN_STARTED, RUN_COMPLETED, RUN_FAILED)
+    person = kind.isin(USER_MOVED, ADMIN_MOVED)
     aggregate = (
         F.when(own, F.col("_mig"))
         .when(person, F.concat(F.lit("u"), user))
@@ -102,12 +102,12 @@ def envelopes(spark: SparkSession, folder: str) -> DataFrame:
             only(("data.validated",), F.col("k") % 2).alias("invalid_records"),
             F.when((kind == "data.validated") & (F.col("k") % 2 == 1), F.array(F.lit("bad name"), F.lit("bad key"))).alias("validation_errors"),
             only(("data.imported",), F.col("k")).alias("imported_count"),
-            only(("migration.completed",), F.col("value")).alias("duration_seconds"),
-            only(("migration.failed",), F.concat(F.lit("failure "), F.col("k").cast("string"))).alias("error_message"),
-            only(("rollback.initiated", "rollback.completed"), F.col("_mig")).alias("migration_id"),
+            only((RUN_COMPLETED,), F.col("value")).alias("duration_seconds"),
+            only((RUN_FAILED,), F.concat(F.lit("failure "), F.col("k").cast("string"))).alias("error_message"),
+            only(("rollback.initiated", "rollback.completed"), F.col("_mig")).alias(RUN_ID),
             only(("rollback.initiated",), F.concat(F.lit("reason "), F.col("k").cast("string"))).alias("reason"),
             only(("rollback.completed",), F.col("value") > 10).alias("success"),
-            only(("user.migrated", "admin.migrated"), F.col("_user")).alias("username"),
+            only((USER_MOVED, ADMIN_MOVED), F.col("_user")).alias("username"),
         )
     )
     columns = {

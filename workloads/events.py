@@ -7,7 +7,7 @@ from datetime import datetime, timezone
 from pyspark.sql import functions as F
 
 from ferrylog.plans import event_model, event_queries, read_models
-from ferrylog.plans.event_model import EVENT_SPECS
+from ferrylog.plans.event_model import ADMIN_MOVED, EVENT_SPECS, RUN_COMPLETED, RUN_ID, USER_MOVED
 from ferrylog.session import load_table
 from workloads.adapters import SQL_ENVELOPES, envelopes, raw_events
 from workloads.registry import AS_OF, query
@@ -28,10 +28,10 @@ def q1(spark, folder):
 
 @query(
     "q2_by_type",
-    WITH + f"SELECT {SHORT} FROM envelopes WHERE event_type = 'user.migrated' AND \"timestamp\" BETWEEN '2024-01-05' AND '2024-01-20'",
+    WITH + f"SELECT {SHORT} FROM envelopes WHERE event_type = :user_moved AND \"timestamp\" BETWEEN '2024-01-05' AND '2024-01-20'",
 )
 def q2(spark, folder):
-    return short(event_queries.by_types(envelopes(spark, folder), ["user.migrated"], START, END))
+    return short(event_queries.by_types(envelopes(spark, folder), [USER_MOVED], START, END))
 
 
 @query("q3_by_correlation", WITH + f"SELECT {SHORT} FROM envelopes WHERE correlation_id = 'c10'")
@@ -48,12 +48,12 @@ def q4(spark, folder):
     "q5_query_events",
     WITH + "SELECT 'aggregate' AS way, event_id FROM (FROM envelopes WHERE aggregate_id = 'm7' ORDER BY event_version, \"timestamp\", event_id LIMIT 20) "
     "UNION ALL SELECT 'correlation', event_id FROM (FROM envelopes WHERE correlation_id = 'c10' ORDER BY \"timestamp\", event_id LIMIT 20) "
-    "UNION ALL SELECT 'types', event_id FROM (FROM envelopes WHERE event_type IN ('user.migrated', 'data.imported') AND \"timestamp\" >= '2024-01-05' ORDER BY \"timestamp\", event_id LIMIT 20) "
+    "UNION ALL SELECT 'types', event_id FROM (FROM envelopes WHERE event_type IN (:user_moved, 'data.imported') AND \"timestamp\" >= '2024-01-05' ORDER BY \"timestamp\", event_id LIMIT 20) "
     "UNION ALL SELECT 'all', event_id FROM (FROM envelopes WHERE \"timestamp\" >= '2024-01-05' ORDER BY \"timestamp\", event_id LIMIT 20)",
 )
 def q5(spark, folder):
     e = envelopes(spark, folder)
-    types = ["user.migrated", "data.imported"]
+    types = [USER_MOVED, "data.imported"]
     ways = {
         "aggregate": dict(aggregate_id="m7", correlation_id="c10", event_types=types, start=START),
         "correlation": dict(correlation_id="c10", event_types=types, start=START),
@@ -100,15 +100,15 @@ def a5(spark, folder):
 
 
 @query(
-    "j6_migration_overview",
-    "SELECT CAST(o_orderkey AS VARCHAR) AS migration_id, o_orderstatus AS status, epoch_us(o_orderdate) AS started_us, "
+    "j6_run_overview",
+    "SELECT CAST(o_orderkey AS VARCHAR) AS run_id, o_orderstatus AS status, epoch_us(o_orderdate) AS started_us, "
     "CASE WHEN o_orderkey % 5 <> 0 THEN CAST(3600 * (o_orderkey % 9) AS DOUBLE) END AS duration_seconds, count(l_orderkey) AS total_events "
     "FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL ORDER BY started_us DESC",
 )
 def j6(spark, folder):
     k = F.col("o_orderkey")
     statistics = load_table(spark, folder, "orders").select(
-        k.cast("string").alias("migration_id"),
+        k.cast("string").alias("run_id"),
         F.col("o_orderstatus").alias("status"),
         F.col("o_orderdate").alias("started_at"),
         F.when(k % 5 != 0, F.timestamp_seconds(F.unix_seconds("o_orderdate") + k % 9 * 3600)).alias("completed_at"),
@@ -116,8 +116,8 @@ def j6(spark, folder):
     items = load_table(spark, folder, "lineitem").select(
         F.col("l_orderkey").cast("string").alias("aggregate_id"), F.col("l_linenumber").alias("event_id")
     )
-    overview = event_queries.migration_overview(statistics, items)
-    return overview.select("migration_id", "status", F.unix_micros("started_at").alias("started_us"), "duration_seconds", "total_events")
+    overview = event_queries.run_overview(statistics, items)
+    return overview.select("run_id", "status", F.unix_micros("started_at").alias("started_us"), "duration_seconds", "total_events")
 
 
 EXPECTED = ["signup", "view", "purchase", "click"]
@@ -144,56 +144,56 @@ def j8_verdicts(spark, folder):
 
 
 SQL_MODEL = f"""{SQL_ENVELOPES}, starts AS (
-  SELECT * FROM envelopes WHERE event_type = 'migration.started' QUALIFY row_number() OVER (PARTITION BY mig ORDER BY "timestamp" DESC, event_id DESC) = 1
+  SELECT * FROM envelopes WHERE event_type = :run_started QUALIFY row_number() OVER (PARTITION BY mig ORDER BY "timestamp" DESC, event_id DESC) = 1
 ), linked AS (
-  SELECT s.mig AS migration_id, e.* FROM starts s JOIN envelopes e ON (e."timestamp", e.event_id) > (s."timestamp", s.event_id) AND (
-    (e.event_type IN ('data.extracted', 'data.transformed', 'data.validated', 'data.imported', 'user.migrated', 'admin.migrated')
+  SELECT s.mig AS run_id, e.* FROM starts s JOIN envelopes e ON (e."timestamp", e.event_id) > (s."timestamp", s.event_id) AND (
+    (e.event_type IN ('data.extracted', 'data.transformed', 'data.validated', 'data.imported', :user_moved, :admin_moved)
       AND e.correlation_id IN (s.mig, s.event_id, s.correlation_id))
-    OR (e.event_type IN ('migration.completed', 'migration.failed', 'rollback.initiated', 'rollback.completed') AND e.mig = s.mig))
+    OR (e.event_type IN (:run_completed, :run_failed, 'rollback.initiated', 'rollback.completed') AND e.mig = s.mig))
 ), model AS (
-  SELECT s.mig AS migration_id, epoch_us(s."timestamp") AS started_us,
-    coalesce(max_by(CASE l.event_type WHEN 'migration.completed' THEN 'completed' ELSE 'failed' END, (l."timestamp", l.event_id)) FILTER (l.event_type IN ('migration.completed', 'migration.failed')), 'started') AS status,
+  SELECT s.mig AS run_id, epoch_us(s."timestamp") AS started_us,
+    coalesce(max_by(CASE l.event_type WHEN :run_completed THEN 'completed' ELSE 'failed' END, (l."timestamp", l.event_id)) FILTER (l.event_type IN (:run_completed, :run_failed)), 'started') AS status,
     coalesce(sum(l.k) FILTER (l.event_type = 'data.extracted'), 0)::BIGINT AS extracted_count,
     coalesce(sum(l.k) FILTER (l.event_type = 'data.transformed'), 0)::BIGINT AS transformed_count,
     coalesce(sum(l.k) FILTER (l.event_type = 'data.validated'), 0)::BIGINT AS validated_count,
     coalesce(sum(l.k) FILTER (l.event_type = 'data.imported'), 0)::BIGINT AS imported_count,
-    count(*) FILTER (l.event_type = 'user.migrated') AS user_count,
-    count(*) FILTER (l.event_type = 'admin.migrated') AS admin_count,
+    count(*) FILTER (l.event_type = :user_moved) AS user_count,
+    count(*) FILTER (l.event_type = :admin_moved) AS admin_count,
     2 * count(*) FILTER (l.event_type = 'data.validated' AND l.k % 2 = 1) AS error_count,
-    max_by(round(l.value, 6), (l."timestamp", l.event_id)) FILTER (l.event_type = 'migration.completed') AS duration_seconds,
-    max_by('failure ' || l.k, (l."timestamp", l.event_id)) FILTER (l.event_type = 'migration.failed') AS error_message,
+    max_by(round(l.value, 6), (l."timestamp", l.event_id)) FILTER (l.event_type = :run_completed) AS duration_seconds,
+    max_by('failure ' || l.k, (l."timestamp", l.event_id)) FILTER (l.event_type = :run_failed) AS error_message,
     max_by('reason ' || l.k, (l."timestamp", l.event_id)) FILTER (l.event_type = 'rollback.initiated') AS rollback_reason,
     max_by(l.value > 10, (l."timestamp", l.event_id)) FILTER (l.event_type = 'rollback.completed') AS rollback_success
-  FROM starts s LEFT JOIN linked l ON l.migration_id = s.mig GROUP BY ALL
+  FROM starts s LEFT JOIN linked l ON l.run_id = s.mig GROUP BY ALL
 )"""
 MODEL_COLUMNS = (
-    "migration_id status extracted_count transformed_count validated_count imported_count user_count admin_count error_count "
+    "run_id status extracted_count transformed_count validated_count imported_count user_count admin_count error_count "
     "error_message rollback_reason rollback_success"
 ).split()
 
 
-@query("q6_migration_read_model", f"WITH {SQL_MODEL} SELECT * FROM model")
+@query("q6_run_read_model", f"WITH {SQL_MODEL} SELECT * FROM model")
 def q6(spark, folder):
-    model = read_models.migration_read_model(envelopes(spark, folder))
+    model = read_models.run_read_model(envelopes(spark, folder))
     return model.select(*MODEL_COLUMNS, F.unix_micros("started_at").alias("started_us"), F.round("duration_seconds", 6).alias("duration_seconds"))
 
 
 @query(
-    "q6_migration_errors",
-    f"WITH {SQL_MODEL} SELECT migration_id, event_id, CAST(p AS INTEGER) AS position, ['bad name', 'bad key'][p + 1] AS error FROM linked, (SELECT unnest(range(2)) AS p) "
+    "q6_run_errors",
+    f"WITH {SQL_MODEL} SELECT run_id, event_id, CAST(p AS INTEGER) AS position, ['bad name', 'bad key'][p + 1] AS error FROM linked, (SELECT unnest(range(2)) AS p) "
     "WHERE event_type = 'data.validated' AND k % 2 = 1",
 )
 def q6_errors(spark, folder):
-    return read_models.migration_errors(envelopes(spark, folder)).drop("timestamp")
+    return read_models.run_errors(envelopes(spark, folder)).drop("timestamp")
 
 
 @query(
     "j10_event_links",
-    f"WITH {SQL_MODEL} SELECT migration_id, event_id FROM linked",
+    f"WITH {SQL_MODEL} SELECT run_id, event_id FROM linked",
 )
 def j10(spark, folder):
     e = envelopes(spark, folder)
-    return read_models.linked_events(e, read_models.latest_starts(e)).select("migration_id", "event_id")
+    return read_models.linked_events(e, read_models.latest_starts(e)).select("run_id", "event_id")
 
 
 @query(
@@ -230,8 +230,8 @@ def q7_errors(spark, folder):
 @query(
     "q8_snapshots",
     f"WITH {SQL_MODEL.replace('FROM env' + chr(10), 'FROM env WHERE event_version <= 5' + chr(10), 1)} "
-    "SELECT migration_id AS aggregate_id, m.status, m.user_count, n.replayed, n.version FROM model m JOIN "
-    "(SELECT aggregate_id, count(*) AS replayed, max(event_version) AS version FROM envelopes GROUP BY aggregate_id) n ON n.aggregate_id = m.migration_id",
+    "SELECT run_id AS aggregate_id, m.status, m.user_count, n.replayed, n.version FROM model m JOIN "
+    "(SELECT aggregate_id, count(*) AS replayed, max(event_version) AS version FROM envelopes GROUP BY aggregate_id) n ON n.aggregate_id = m.run_id",
 )
 def q8(spark, folder):
     snaps = read_models.snapshots(envelopes(spark, folder), 5)
@@ -280,21 +280,21 @@ def q9_bookmark(spark, folder):
 
 
 @query(
-    "q10_user_migrations",
-    WITH + "SELECT aggregate_id, 'user_' || user_id AS username, epoch_us(max(\"timestamp\")) AS migrated_us FROM envelopes WHERE event_type = 'user.migrated' GROUP BY ALL",
+    "q10_moved_users",
+    WITH + "SELECT aggregate_id, 'user_' || user_id AS username, epoch_us(max(\"timestamp\")) AS moved_us FROM envelopes WHERE event_type = :user_moved GROUP BY ALL",
 )
 def q10(spark, folder):
-    users = read_models.entity_migrations(envelopes(spark, folder))
-    return users.select("aggregate_id", "username", F.unix_micros("migrated_at").alias("migrated_us"))
+    users = read_models.moved_entities(envelopes(spark, folder))
+    return users.select("aggregate_id", "username", F.unix_micros("moved_at").alias("moved_us"))
 
 
 @query(
-    "q10_admin_migrations",
-    WITH + "SELECT aggregate_id, 'user_' || user_id AS username, epoch_us(max(\"timestamp\")) AS migrated_us FROM envelopes WHERE event_type = 'admin.migrated' GROUP BY ALL",
+    "q10_moved_admins",
+    WITH + "SELECT aggregate_id, 'user_' || user_id AS username, epoch_us(max(\"timestamp\")) AS moved_us FROM envelopes WHERE event_type = :admin_moved GROUP BY ALL",
 )
 def q10_admins(spark, folder):
-    admins = read_models.entity_migrations(envelopes(spark, folder), "admin.migrated")
-    return admins.select("aggregate_id", "username", F.unix_micros("migrated_at").alias("migrated_us"))
+    admins = read_models.moved_entities(envelopes(spark, folder), ADMIN_MOVED)
+    return admins.select("aggregate_id", "username", F.unix_micros("moved_at").alias("moved_us"))
 
 
 @query(
@@ -311,7 +311,7 @@ def q11(spark, folder):
 
 @query(
     "p14_event_builders",
-    "SELECT 'migration.completed' AS event_type, 'migration' AS aggregate_type, CAST(o_orderkey AS VARCHAR) AS aggregate_id, epoch_us(o_orderdate) AS us, 1 AS event_version, "
+    "SELECT :run_completed AS event_type, :run AS aggregate_type, CAST(o_orderkey AS VARCHAR) AS aggregate_id, epoch_us(o_orderdate) AS us, 1 AS event_version, "
     "CAST(o_custkey AS VARCHAR) AS correlation_id, CAST(o_orderkey % 50 AS VARCHAR) AS detail, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.000000') AS moment FROM orders "
     "UNION ALL SELECT 'rollback.initiated', 'rollback', CAST(o_orderkey AS VARCHAR), epoch_us(o_orderdate), 1, CAST(o_custkey AS VARCHAR), o_orderstatus, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.000000') FROM orders",
 )
@@ -319,12 +319,12 @@ def p14(spark, folder):
     orders = load_table(spark, folder, "orders")
     key, customer = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
     done = event_model.make_events(
-        orders, "migration.completed", key, F.col("o_orderdate"),
+        orders, RUN_COMPLETED, key, F.col("o_orderdate"),
         {"statistics": F.struct(F.col("o_totalprice").alias("price")), "duration_seconds": F.col("o_orderkey") % 50}, correlation_id=customer,
     )
     undone = event_model.make_events(
         orders, "rollback.initiated", key, F.col("o_orderdate"),
-        {"migration_id": customer, "reason": F.col("o_orderstatus"), "rollback_scope": F.struct("o_orderpriority")}, correlation_id=customer,
+        {RUN_ID: customer, "reason": F.col("o_orderstatus"), "rollback_scope": F.struct("o_orderpriority")}, correlation_id=customer,
     )
 
     def flat(events, detail, moment):
@@ -338,7 +338,7 @@ def p14(spark, folder):
 
 @query(
     "s16_backfill",
-    "SELECT 'user.migrated' AS event_type, CAST(c_custkey AS VARCHAR) AS aggregate_id, c_name AS username, c_mktsegment AS segment, "
+    "SELECT :user_moved AS event_type, CAST(c_custkey AS VARCHAR) AS aggregate_id, c_name AS username, c_mktsegment AS segment, "
     "epoch_us(TIMESTAMP '2020-01-01' + to_days(CAST(c_custkey % 500 AS INTEGER))) AS us, 36 AS id_length FROM customer",
 )
 def s16(spark, folder):
@@ -378,15 +378,15 @@ def p15(spark, folder):
 
 @query(
     "p16_notifications",
-    WITH + "SELECT event_id, CASE event_type WHEN 'migration.completed' THEN 'Migration Completed' WHEN 'migration.failed' THEN 'Migration Failed' "
+    WITH + "SELECT event_id, CASE event_type WHEN :run_completed THEN :completed_title WHEN :run_failed THEN :failed_title "
     "WHEN 'rollback.initiated' THEN 'Rollback Initiated' ELSE 'Rollback Completed' END AS title, "
-    "CASE event_type WHEN 'migration.completed' THEN 'Migration ' || aggregate_id || ' completed successfully in ' || printf('%.2f', value) || ' seconds' "
-    "WHEN 'migration.failed' THEN 'Migration ' || aggregate_id || ' failed: failure ' || k "
-    "WHEN 'rollback.initiated' THEN 'Rollback r' || event_id || ' initiated for migration ' || mig || ': reason ' || k "
-    "ELSE 'Rollback r' || event_id || ' for migration ' || mig || ' completed ' || CASE WHEN value > 10 THEN 'successfully' ELSE 'with errors' END END AS message, "
-    "CASE event_type WHEN 'migration.completed' THEN 'normal' WHEN 'migration.failed' THEN 'high' WHEN 'rollback.initiated' THEN 'high' "
+    "CASE event_type WHEN :run_completed THEN printf(:completed_text, aggregate_id, value) "
+    "WHEN :run_failed THEN printf(:failed_text, aggregate_id, 'failure ' || k) "
+    "WHEN 'rollback.initiated' THEN printf(:initiated_text, 'r' || event_id, mig, 'reason ' || k) "
+    "ELSE printf(:undone_text, 'r' || event_id, mig, CASE WHEN value > 10 THEN 'successfully' ELSE 'with errors' END) END AS message, "
+    "CASE event_type WHEN :run_completed THEN 'normal' WHEN :run_failed THEN 'high' WHEN 'rollback.initiated' THEN 'high' "
     "ELSE CASE WHEN value > 10 THEN 'medium' ELSE 'high' END END AS priority "
-    "FROM envelopes WHERE event_type LIKE 'migration.%ed' AND event_type <> 'migration.started' OR event_type LIKE 'rollback.%'",
+    "FROM envelopes WHERE event_type IN (:run_completed, :run_failed) OR event_type LIKE 'rollback.%'",
 )
 def p16(spark, folder):
     return event_model.notifications(envelopes(spark, folder)).select("event_id", "title", "message", "priority")

@@ -6,9 +6,10 @@ from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
+from ferrylog.plans.event_model import ADMIN_MOVED, TOPIC_PREFIX, USER_MOVED
 from ferrylog.functions.schemas import LONG, TEXT, struct
 from ferrylog.plans import accounts
-from ferrylog.plans.read_models import migration_read_model
+from ferrylog.plans.read_models import run_read_model
 from ferrylog.session import load_table, new_path
 from ferrylog.sources import event_store, messages, pages, staging
 from ferrylog.streaming import consumers, stateful
@@ -148,11 +149,11 @@ def s9(spark, folder):
 
 @query(
     "s11_f17_publish",
-    EVENTS + "SELECT 'migration-events.' || replace(event_type, '.', '_') AS topic, count(*) AS messages, min(event_id) AS first_key, max(event_id) AS last_key FROM envelopes GROUP BY event_type",
+    EVENTS + "SELECT :topic_prefix || '.' || replace(event_type, '.', '_') AS topic, count(*) AS messages, min(event_id) AS first_key, max(event_id) AS last_key FROM envelopes GROUP BY event_type",
 )
 def s11(spark, folder):
     path = new_path(spark, "topics")
-    messages.publish_files(messages.encode_messages(envelopes(spark, folder)), path)
+    messages.publish_files(messages.encode_messages(envelopes(spark, folder), TOPIC_PREFIX), path)
     sent = spark.read.schema(messages.MESSAGE_SCHEMA).json(path)
     return sent.groupBy("topic").agg(F.count(F.lit(1)).alias("messages"), F.min("key").alias("first_key"), F.max("key").alias("last_key"))
 
@@ -162,7 +163,7 @@ def s11(spark, folder):
     EVENTS + "SELECT event_id, event_type, epoch_us(\"timestamp\") AS us, correlation_id, CASE WHEN event_type = 'data.imported' THEN k END AS imported_count FROM envelopes",
 )
 def f18(spark, folder):
-    back = messages.decode_messages(messages.encode_messages(envelopes(spark, folder)))
+    back = messages.decode_messages(messages.encode_messages(envelopes(spark, folder), TOPIC_PREFIX))
     return back.filter(F.col("error").isNull()).select(
         "event_id", "event_type", F.unix_micros("timestamp").alias("us"), "correlation_id",
         F.get_json_object("event_data", "$.imported_count").cast("long").alias("imported_count"),
@@ -171,12 +172,12 @@ def f18(spark, folder):
 
 @query(
     "s14_stream_out",
-    EVENTS + "SELECT event_id, event_type, aggregate_id, strftime(\"timestamp\", '%Y-%m-%dT%H:%M:%S.%f') AS at FROM envelopes WHERE \"timestamp\" <= '2024-01-20' AND event_type IN ('user.migrated', 'data.imported')",
+    EVENTS + "SELECT event_id, event_type, aggregate_id, strftime(\"timestamp\", '%Y-%m-%dT%H:%M:%S.%f') AS at FROM envelopes WHERE \"timestamp\" <= '2024-01-20' AND event_type IN (:user_moved, 'data.imported')",
 )
 def s14(spark, folder):
     from ferrylog.plans.event_queries import event_lines
 
-    lines = event_lines(envelopes(spark, folder), end=datetime(2024, 1, 20, tzinfo=timezone.utc), types=["user.migrated", "data.imported"])
+    lines = event_lines(envelopes(spark, folder), end=datetime(2024, 1, 20, tzinfo=timezone.utc), types=[USER_MOVED, "data.imported"])
     field = lambda name: F.get_json_object("value", f"$.{name}")
     return lines.select("event_id", field("event_type").alias("event_type"), field("aggregate_id").alias("aggregate_id"), field("timestamp").alias("at"))
 
@@ -216,7 +217,7 @@ def landed_messages(spark, df, path: str) -> None:
 
 def broken_messages(spark, folder):
     """All events as messages; every 100th is cut short and is no JSON any more."""
-    sent = messages.encode_messages(envelopes(spark, folder))
+    sent = messages.encode_messages(envelopes(spark, folder), TOPIC_PREFIX)
     cut = F.col("key").cast("long") % 100 == 0
     return sent.withColumn("value", F.when(cut, F.substring("value", 1, 40)).otherwise(F.col("value")))
 
@@ -224,7 +225,7 @@ def broken_messages(spark, folder):
 def consumed(spark, folder) -> tuple[str, str]:
     landing, store, dead = (new_path(spark, n) for n in ("landing", "store", "dead"))
     landed_messages(spark, broken_messages(spark, folder), landing)
-    wanted = ["user.migrated", "admin.migrated", "data.imported"]
+    wanted = [USER_MOVED, ADMIN_MOVED, "data.imported"]
     stream = messages.subscribe(messages.stream_files(spark, landing), wanted)
     too_many = F.when(F.get_json_object("event_data", "$.imported_count").try_cast("long") > 90, "too many")
     run = consumers.consume(stream, "importers", consumers.store_events(store), new_path(spark, "offsets"), dead, too_many)
@@ -234,7 +235,7 @@ def consumed(spark, folder) -> tuple[str, str]:
 
 @query(
     "s12_subscribe",
-    EVENTS + "SELECT event_id, event_type, aggregate_id, epoch_us(\"timestamp\") AS us FROM envelopes WHERE event_type IN ('user.migrated', 'admin.migrated', 'data.imported') "
+    EVENTS + "SELECT event_id, event_type, aggregate_id, epoch_us(\"timestamp\") AS us FROM envelopes WHERE event_type IN (:user_moved, :admin_moved, 'data.imported') "
     "AND NOT (event_type = 'data.imported' AND k > 90) AND CAST(event_id AS BIGINT) % 100 <> 0",
 )
 def s12(spark, folder):
@@ -313,7 +314,7 @@ def stream_q6(spark, folder):
     events = envelopes(spark, folder)
     early = F.col("timestamp") < F.lit(AS_OF)
     for part in (events.filter(early), events.filter(~early)):
-        landed_messages(spark, messages.encode_messages(part), landing)
+        landed_messages(spark, messages.encode_messages(part, TOPIC_PREFIX), landing)
         stream = messages.decode_messages(messages.stream_files(spark, landing))
         consumers.consume(stream, "read-model", consumers.maintain_read_model(store, model), offsets).awaitTermination()
     return consumers.current_read_model(spark, model).select(*MODEL_COLUMNS)
