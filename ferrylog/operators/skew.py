@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ferrylog.session import materialise
+
 HOT_ROWS = 2_000_000
 BROADCAST_ROWS = 100_000
-MANY_SALTS = 512
 _SALT, _SALTS = "_salt", "_salts"
 KEEPS_PROBE = ("inner", "left", "left_semi", "left_anti")
 
@@ -20,14 +22,17 @@ def _checked(how: str) -> None:
 
 
 def hot_keys(rows: DataFrame, on: Sequence[str], min_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with more than ``min_rows`` rows, with the number of pieces of that size they make.
-
-    There are never more than total / min_rows of them.
-    """
-    counted = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > min_rows)
+    """Keys with more than ``min_rows`` rows, with the number of pieces of that size they make; null keys match nothing and are none."""
+    known = rows.dropna(subset=list(on))
+    counted = known.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > min_rows)
     return counted.select(*on, F.ceil(F.col("_n") / min_rows).cast("int").alias(_SALTS))
 
 
+def _known_small(df: DataFrame, most: int) -> DataFrame:
+    """Marked for broadcast if it has at most ``most`` rows, which is counted."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def skew_join(
     rows: DataFrame,
     other: DataFrame,
@@ -35,19 +40,27 @@ def skew_join(
     spread_by: Sequence[str],
     how: str = "inner",
     min_rows: int = HOT_ROWS,
+    max_broadcast: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Join two sides of any size; a key that is hot in ``rows`` is spread over pieces of ``min_rows``.
 
-    Only hot keys are copied on the other side. Their list is bounded by total / min_rows, which is
-    what makes broadcasting it safe. Rows are spread by a hash of ``spread_by`` (unique columns), so
-    a retried task places every row where it was before.
+    For joins that adaptive skew handling cannot split, such as those whose result is grouped by the key at once. ``rows`` is written
+    once and counted there; without a hot key it is a plain join. Only hot keys are copied on the other side. Their list is broadcast
+    only after its size was checked. Rows are spread by a hash of ``spread_by`` (unique columns), so a retried task places every row
+    where it was before; rows with a null key, which match nothing, are spread likewise.
     """
     _checked(how)
-    hot = F.broadcast(hot_keys(rows, on, min_rows))
+    rows = materialise(rows, "probe")
+    hot = materialise(hot_keys(rows, on, min_rows), "hot")
+    if hot.isEmpty():
+        return rows.join(other, list(on), how)
+    listed = _known_small(hot, max_broadcast)
+    unmatched = functools.reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
     piece = F.pmod(F.xxhash64(*spread_by), F.col(_SALTS)).cast("int")
+    spread = F.when(unmatched, F.pmod(F.xxhash64(*spread_by), F.lit(1 << 30)).cast("int")).otherwise(F.coalesce(piece, F.lit(0)))
     copies = F.when(F.col(_SALTS).isNotNull(), F.sequence(F.lit(0), F.col(_SALTS) - 1)).otherwise(F.array(F.lit(0)))
-    left = rows.join(hot, list(on), "left").withColumn(_SALT, F.coalesce(piece, F.lit(0))).drop(_SALTS)
-    right = other.join(hot, list(on), "left").withColumn(_SALT, F.explode(copies)).drop(_SALTS)
+    left = rows.join(listed, list(on), "left").withColumn(_SALT, spread).drop(_SALTS)
+    right = other.join(listed, list(on), "left").withColumn(_SALT, F.explode(copies)).drop(_SALTS)
     return left.join(right, [*on, _SALT], how).drop(_SALT)
 
 
@@ -58,16 +71,13 @@ def lookup_join(
     spread_by: Sequence[str],
     how: str = "inner",
     max_broadcast: int = BROADCAST_ROWS,
-    salts: int = MANY_SALTS,
+    min_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Join to a lookup with few distinct keys, each of them hot.
 
-    The lookup is counted; up to ``max_broadcast`` rows it is broadcast, beyond that every key is
-    spread over ``salts`` pieces.
+    The lookup is counted; up to ``max_broadcast`` rows it is broadcast, beyond that each key of ``rows`` is spread by its own size.
     """
     _checked(how)
     if lookup.limit(max_broadcast + 1).count() <= max_broadcast:
         return rows.join(F.broadcast(lookup), list(on), how)
-    spread = rows.withColumn(_SALT, F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
-    copies = lookup.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return spread.join(copies, [*on, _SALT], how).drop(_SALT)
+    return skew_join(rows, lookup, on, spread_by, how, min_rows, max_broadcast)

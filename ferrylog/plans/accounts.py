@@ -13,7 +13,6 @@ from ferrylog.functions.identifiers import key_to_uuid
 from ferrylog.functions.payloads import object_or_empty
 from ferrylog.functions.schemas import BOOL, INT, LONG, MOMENT, TEXT, struct
 from ferrylog.operators.rows import keep_first
-from ferrylog.operators.skew import skew_join
 
 # fixed values: protocols of the source, and columns of the target tables
 PROTOCOLS = ("vless", "vmess", "trojan", "shadowsocks")
@@ -213,17 +212,15 @@ def insert_if_absent(rows: DataFrame, target: DataFrame, order: list[str], key:
     return first.join(target.select(key), key, "left_anti")
 
 
-def resolve_proxies(proxies: DataFrame, users: DataFrame, min_hot_rows: int = 2_000_000) -> DataFrame:
-    """Proxies with their owner's id and parsed settings; an owner with very many proxies is spread."""
-    owners = users.select("username", F.col("id").alias("user_id"))
-    found = skew_join(proxies, owners, ["username"], ["username", "type", "settings"], min_rows=min_hot_rows)
+def resolve_proxies(proxies: DataFrame, users: DataFrame) -> DataFrame:
+    """Proxies with their owner's id and parsed settings; adaptive skew joins split an owner with very many proxies."""
+    found = proxies.join(users.select("username", F.col("id").alias("user_id")), "username")
     return found.select("user_id", "username", "type", object_or_empty(F.col("settings")).alias("settings"))
 
 
 def orphan_proxies(proxies: DataFrame, users: DataFrame) -> DataFrame:
     """Proxies whose owner is not a known user."""
-    known = users.select("username").distinct()
-    return skew_join(proxies, known, ["username"], ["username", "type", "settings"], "left_anti")
+    return proxies.join(users.select("username"), "username", "left_anti")
 
 
 def transfer(users: DataFrame, admins: DataFrame, target: dict[str, DataFrame], as_of: datetime) -> dict[str, DataFrame]:

@@ -49,7 +49,7 @@ def query_events(
     end: datetime | None = None,
     from_version: int | None = None,
     to_version: int | None = None,
-    limit: int | None = 100,
+    limit: int | None = None,
 ) -> DataFrame:
     """One selection: aggregate before correlation before types before everything.
 

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ferrylog.functions.payloads import payload_long, payload_text
-from ferrylog.operators.skew import HOT_ROWS, lookup_join, skew_join
+from ferrylog.operators.skew import lookup_join
 from ferrylog.plans.event_model import ADMIN_MOVED, EVENT_ORDER, RUN, RUN_COMPLETED, RUN_FAILED, RUN_ID, RUN_STARTED, USER_MOVED, known_type
+from ferrylog.session import materialise
 
 # fixed values: which event adds which payload counter to its run
 COUNTERS = {
@@ -29,17 +30,35 @@ def _place(order: Sequence[str]) -> Column:
     return F.struct(*order)
 
 
+#: Payload fields that the model looks at, all as text; a payload is parsed for them once.
+PAYLOAD_FIELDS = (
+    "source_config", "target_config", "record_count", "output_count", "valid_records", "invalid_records", "validation_errors", "imported_count",
+    "duration_seconds", "statistics", "error_message", "error_details", RUN_ID, "reason", "success",
+)
+
+
+def parsed(events: DataFrame) -> DataFrame:
+    """Events with ``_p``, their payload's fields; generated, so that the text is parsed once however many fields are used."""
+    fields = F.from_json("event_data", ", ".join(f"{f} string" for f in PAYLOAD_FIELDS))
+    return events.select("*", F.inline(F.array(F.struct(fields.alias("_p")))))
+
+
+def _number(field: str) -> Column:
+    """A counter in a parsed payload; absent or not a number counts as 0."""
+    return F.coalesce(F.col(f"_p.{field}").try_cast("long"), F.lit(0).cast("long"))
+
+
 def latest_starts(events: DataFrame, order: Sequence[str] = EVENT_ORDER) -> DataFrame:
     """The last start event of every run; whatever came before it no longer counts."""
     start = F.struct(
         F.col("event_id"),
         F.col("correlation_id"),
         F.col("timestamp").alias("started_at"),
-        payload_text(F.col("event_data"), "source_config").alias("source_config"),
-        payload_text(F.col("event_data"), "target_config").alias("target_config"),
+        F.col("_p.source_config").alias("source_config"),
+        F.col("_p.target_config").alias("target_config"),
         _place(order).alias("_from"),
     )
-    starts = events.filter(F.col("event_type") == STARTED)
+    starts = parsed(events.filter(F.col("event_type") == STARTED))
     return (
         starts.groupBy(F.col("aggregate_id").alias("run_id"))
         .agg(F.max_by(start, _place(order)).alias("_s"))
@@ -47,32 +66,42 @@ def latest_starts(events: DataFrame, order: Sequence[str] = EVENT_ORDER) -> Data
     )
 
 
-def run_links(starts: DataFrame) -> DataFrame:
-    """(link_key, run_id, _from): the ids under which events may point at a run.
+def run_keys(starts: DataFrame) -> DataFrame:
+    """``run_id, _from, rank, link_key``: the ids under which events may point at a run, by preference.
 
-    A correlation id may name the run, its start event, or the start's own correlation id,
-    in this order of preference.
+    A correlation id may name the run, its start event, or the start's own correlation id.
     """
-    candidates = F.explode(
-        F.array(
-            F.struct(F.lit(1).alias("rank"), F.col("run_id").alias("link_key")),
-            F.struct(F.lit(2).alias("rank"), F.col("event_id").alias("link_key")),
-            F.struct(F.lit(3).alias("rank"), F.col("correlation_id").alias("link_key")),
-        )
+    candidates = F.array(
+        F.struct(F.lit(1).alias("rank"), F.col("run_id").alias("link_key")),
+        F.struct(F.lit(2).alias("rank"), F.col("event_id").alias("link_key")),
+        F.struct(F.lit(3).alias("rank"), F.col("correlation_id").alias("link_key")),
     )
-    rows = starts.select("run_id", "_from", candidates.alias("_c")).filter(F.col("_c.link_key").isNotNull())
-    best = F.min_by(F.struct("run_id", "_from"), F.struct("_c.rank", "run_id"))
-    return rows.groupBy(F.col("_c.link_key").alias("link_key")).agg(best.alias("_m")).select("link_key", "_m.*")
+    return starts.select("run_id", "_from", F.inline(candidates)).filter(F.col("link_key").isNotNull())
+
+
+def start_keys(events: DataFrame) -> DataFrame:
+    """Start events under each id that leads to them, with ``run_id`` and ``link_key``."""
+    starts = events.filter(F.col("event_type") == STARTED)
+    keys = F.array_distinct(F.array_compact(F.array("aggregate_id", "event_id", "correlation_id")))
+    return starts.select("*", F.col("aggregate_id").alias("run_id"), F.explode(keys).alias("link_key"))
 
 
-def linked_events(events: DataFrame, starts: DataFrame, order: Sequence[str] = EVENT_ORDER, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Events that belong to a run and come after its latest start, with ``run_id``.
+def run_links(starts: DataFrame) -> DataFrame:
+    """(link_key, run_id, _from): the run that a correlation id names.
 
-    Counted events are found by correlation id, endings by aggregate id, rollbacks by the
-    run id in their payload: one equi-join over (way, key), where a correlation id shared by
-    very many events is spread.
+    Of several runs under one key, the one it names best has it, then the one of the smallest id.
+    """
+    best = F.min_by(F.struct("run_id", "_from"), F.struct("rank", "run_id"))
+    return run_keys(starts).groupBy("link_key").agg(best.alias("_m")).select("link_key", "_m.*")
+
+
+def pointing_events(events: DataFrame) -> DataFrame:
+    """Events that point at a run, parsed, with the ``way`` and ``link_key`` they point by.
+
+    Counted events point by correlation id, endings by aggregate id, rollbacks by the run id in their payload.
     """
     kind = F.col("event_type")
+    concerned = kind.isin(*CORRELATED, COMPLETED, FAILED, *ROLLBACKS)
 
     def way(name: str, key: Column) -> Column:
         return F.array(F.struct(F.lit(name).alias("way"), key.alias("link_key")))
@@ -81,57 +110,75 @@ def linked_events(events: DataFrame, starts: DataFrame, order: Sequence[str] = E
     ways = (
         F.when(kind.isin(*CORRELATED), way("link", F.col("correlation_id")))
         .when(kind.isin(COMPLETED, FAILED), way("own", F.col("aggregate_id")))
-        .when(kind.isin(*ROLLBACKS), way("own", payload_text(F.col("event_data"), RUN_ID)))
+        .when(kind.isin(*ROLLBACKS), way("own", F.col(f"_p.{RUN_ID}")))
     )
-    pointing = events.select("*", F.inline(ways)).filter(F.col("link_key").isNotNull())
+    return parsed(events.filter(concerned)).select("*", F.inline(ways)).filter(F.col("link_key").isNotNull())
+
+
+def link_table(starts: DataFrame) -> DataFrame:
+    """``way, link_key, run_id, _from`` for both ways to point."""
     own = starts.select(F.lit("own").alias("way"), F.col("run_id").alias("link_key"), "run_id", "_from")
-    lookup = run_links(starts).select(F.lit("link").alias("way"), "link_key", "run_id", "_from").unionByName(own)
-    found = skew_join(pointing, lookup, ["way", "link_key"], ["event_id"], min_rows=hot_rows)
+    return run_links(starts).select(F.lit("link").alias("way"), "link_key", "run_id", "_from").unionByName(own)
+
+
+def _linked(pointing: DataFrame, starts: DataFrame, order: Sequence[str]) -> DataFrame:
+    # both sides shuffle on the key, so adaptive skew joins can split a correlation id shared by very many events
+    found = pointing.join(link_table(starts), ["way", "link_key"])
     return found.filter(_place(order) > F.col("_from")).drop("way", "link_key", "_from")
 
 
-def run_read_model(events: DataFrame, order: Sequence[str] = EVENT_ORDER, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """One row per run: status, times, counters, last rollback."""
-    starts = latest_starts(events, order)
-    linked = linked_events(events, starts, order, hot_rows)
-    kind, data, when = F.col("event_type"), F.col("event_data"), _place(order)
-    ended = kind.isin(COMPLETED, FAILED)
+def linked_events(events: DataFrame, starts: DataFrame, order: Sequence[str] = EVENT_ORDER) -> DataFrame:
+    """Events that belong to a run and come after its latest start, with ``run_id``."""
+    return _linked(pointing_events(events), starts, order).drop("_p")
+
+
+def fold_runs(pointing: DataFrame, starts: DataFrame, order: Sequence[str] = EVENT_ORDER) -> DataFrame:
+    """The read model of the runs in ``starts``, from the events that point somewhere (see :func:`pointing_events`)."""
+    linked = _linked(pointing, starts, order)
+    kind, when = F.col("event_type"), _place(order)
 
-    def last(value: Column, condition: Column) -> Column:
-        return F.max_by(value, F.when(condition, when))
+    def last(condition: Column, **values: Column) -> Column:
+        """The named values of the last event for which the condition holds."""
+        return F.max_by(F.struct(*[v.alias(n) for n, v in values.items()]), F.when(condition, when))
 
-    invalid = payload_long(data, "invalid_records") > 0
-    errors = F.coalesce(F.json_array_length(payload_text(data, "validation_errors")), F.lit(0))
+    text = lambda field: F.col(f"_p.{field}")
+    errors = F.coalesce(F.json_array_length(text("validation_errors")), F.lit(0))
     folds = [
-        *[F.sum(F.when(kind == t, payload_long(data, f)).otherwise(F.lit(0))).alias(n) for n, (t, f) in COUNTERS.items()],
+        *[F.sum(F.when(kind == t, _number(f)).otherwise(F.lit(0))).alias(n) for n, (t, f) in COUNTERS.items()],
         *[F.count_if(kind == t).alias(n) for n, t in HEADCOUNTS.items()],
-        F.sum(F.when((kind == "data.validated") & invalid, errors).otherwise(F.lit(0))).cast("long").alias("error_count"),
-        last(F.when(kind == COMPLETED, "completed").otherwise("failed"), ended).alias("_status"),
-        F.max(F.when(kind == COMPLETED, F.col("timestamp"))).alias("completed_at"),
-        F.max(F.when(kind == FAILED, F.col("timestamp"))).alias("failed_at"),
-        last(payload_text(data, "duration_seconds").try_cast("double"), kind == COMPLETED).alias("duration_seconds"),
-        last(payload_text(data, "statistics"), kind == COMPLETED).alias("final_statistics"),
-        last(F.coalesce(payload_text(data, "error_message"), F.lit("")), kind == FAILED).alias("error_message"),
-        last(payload_text(data, "error_details"), kind == FAILED).alias("error_details"),
-        last(F.col("aggregate_id"), kind == ROLLBACKS[0]).alias("rollback_id"),
-        last(F.coalesce(payload_text(data, "reason"), F.lit("")), kind == ROLLBACKS[0]).alias("rollback_reason"),
-        F.max(F.when(kind == ROLLBACKS[0], F.col("timestamp"))).alias("rollback_initiated_at"),
-        last(F.coalesce(payload_text(data, "success").try_cast("boolean"), F.lit(False)), kind == ROLLBACKS[1]).alias("rollback_success"),
-        F.max(F.when(kind == ROLLBACKS[1], F.col("timestamp"))).alias("rollback_completed_at"),
+        F.sum(F.when((kind == "data.validated") & (_number("invalid_records") > 0), errors).otherwise(F.lit(0))).cast("long").alias("error_count"),
+        last(kind.isin(COMPLETED, FAILED), status=F.when(kind == COMPLETED, "completed").otherwise("failed")).alias("_ended"),
+        last(kind == COMPLETED, at=F.col("timestamp"), seconds=text("duration_seconds").try_cast("double"), statistics=text("statistics")).alias("_done"),
+        last(kind == FAILED, at=F.col("timestamp"), message=F.coalesce(text("error_message"), F.lit("")), details=text("error_details")).alias("_failed"),
+        last(kind == ROLLBACKS[0], at=F.col("timestamp"), id=F.col("aggregate_id"), reason=F.coalesce(text("reason"), F.lit(""))).alias("_undo"),
+        last(kind == ROLLBACKS[1], at=F.col("timestamp"), success=F.coalesce(text("success").try_cast("boolean"), F.lit(False))).alias("_undone"),
     ]
     folded = linked.groupBy("run_id").agg(*folds)
     counts = [*COUNTERS, *HEADCOUNTS, "error_count"]
     model = starts.select("run_id", "started_at", "source_config", "target_config").join(folded, "run_id", "left")
-    return (
-        model.withColumn("status", F.coalesce("_status", F.lit("started")))
-        .drop("_status")
-        .withColumns({c: F.coalesce(F.col(c), F.lit(0).cast("long")) for c in counts})
-    )
+    return model.select(
+        "run_id", "started_at", "source_config", "target_config",
+        *[F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c) for c in counts],
+        F.col("_done.at").alias("completed_at"), F.col("_failed.at").alias("failed_at"),
+        F.col("_done.seconds").alias("duration_seconds"), F.col("_done.statistics").alias("final_statistics"),
+        F.col("_failed.message").alias("error_message"), F.col("_failed.details").alias("error_details"),
+        F.col("_undo.id").alias("rollback_id"), F.col("_undo.reason").alias("rollback_reason"), F.col("_undo.at").alias("rollback_initiated_at"),
+        F.col("_undone.success").alias("rollback_success"), F.col("_undone.at").alias("rollback_completed_at"),
+        F.coalesce("_ended.status", F.lit("started")).alias("status"),
+    )
+
+
+def run_read_model(events: DataFrame, order: Sequence[str] = EVENT_ORDER) -> DataFrame:
+    """One row per run: status, times, counters, last rollback.
+
+    The latest starts, one row per run, are written once; the other events are read in one pass.
+    """
+    return fold_runs(pointing_events(events), materialise(latest_starts(events, order), "starts"), order)
 
 
-def run_errors(events: DataFrame, order: Sequence[str] = EVENT_ORDER, hot_rows: int = HOT_ROWS) -> DataFrame:
+def run_errors(events: DataFrame, order: Sequence[str] = EVENT_ORDER) -> DataFrame:
     """Validation errors of every run as rows, none left out."""
-    linked = linked_events(events.filter(F.col("event_type").isin(STARTED, "data.validated")), latest_starts(events, order), order, hot_rows)
+    linked = linked_events(events.filter(F.col("event_type") == "data.validated"), latest_starts(events, order), order)
     linked = linked.filter(payload_long(F.col("event_data"), "invalid_records") > 0)
     errors = F.from_json(payload_text(F.col("event_data"), "validation_errors"), "array<string>")
     return linked.select("run_id", "event_id", "timestamp", F.posexplode(errors).alias("position", "error"))

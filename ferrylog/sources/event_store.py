@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ferrylog.functions.payloads import object_or_empty, payload_fields
 from ferrylog.functions.schemas import INT, LONG, MOMENT, TEXT, struct
-from ferrylog.plans.event_model import EVENT_SCHEMA
+from ferrylog.plans.event_model import EVENT_ORDER, EVENT_SCHEMA
 
 STORED_SCHEMA = T.StructType([*EVENT_SCHEMA.fields, T.StructField("event_date", T.DateType())])
 PROCESSING_LOG_SCHEMA = struct(
@@ -25,26 +26,61 @@ TRANSACTION_SCHEMA = struct(
 )
 
 
-def append_events(events: DataFrame, path: str, new_only: bool = False) -> None:
-    """Append events by day, sorted within files so that reads by aggregate skip row groups.
+#: The index of stored ids lies in so many folders by a hash of the id.
+ID_BUCKETS = 64
+ID_SCHEMA = struct(event_id=TEXT)
+
+
+def _bucket(event_id: str) -> Column:
+    return F.pmod(F.xxhash64(event_id), F.lit(ID_BUCKETS)).cast("int")
+
+
+def _batches(spark: SparkSession, path: str, but: str | None = None) -> list[str]:
+    """The finished batches of a store or its index, by their folders."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch=*/_SUCCESS")
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place)
+    names = [x.getPath().getParent() for x in found or []]
+    return sorted(n.toString() for n in names if n.getName() != f"batch={but}")
+
+
+def stored_ids(spark: SparkSession, path: str, buckets: list[int], but: str | None = None) -> DataFrame:
+    """Ids in the given buckets of a store's index, those of one batch left out."""
+    folders = _batches(spark, f"{path}_ids", but)
+    if not folders:
+        return spark.createDataFrame([], ID_SCHEMA)
+    index = spark.read.option("basePath", f"{path}_ids").schema(T.StructType([*ID_SCHEMA.fields, T.StructField("bucket", T.IntegerType())])).parquet(*folders)
+    return index.where(F.col("bucket").isin(buckets)).select("event_id")
+
+
+def append_events(events: DataFrame, path: str, new_only: bool = False, batch: str | None = None) -> None:
+    """Append a batch of events by day, sorted within files so that reads by aggregate skip row groups.
 
-    With ``new_only`` events whose id is stored already are left out, so a retry adds nothing.
+    An event's id is its key. With ``new_only`` an id that other batches have stored is left out, whatever its time; of an id that
+    repeats within the batch the first by ``EVENT_ORDER`` stays. Only the buckets of the id index that the batch touches are
+    read. A batch given under the same name again replaces its own folder, so a retry adds nothing; events are written before
+    their ids, and readers see finished batches only.
     """
-    rows = events.withColumn("event_date", F.to_date("timestamp"))
+    spark, batch = events.sparkSession, batch or uuid.uuid4().hex
+    rows = events
     if new_only:
-        rows = rows.dropDuplicates(["event_id"])
-        try:
-            stored = read_events(events.sparkSession, path).select("event_id", "event_date")
-            rows = rows.join(stored, ["event_id", "event_date"], "left_anti")
-        except AnalysisException as problem:
-            if problem.getCondition() != "PATH_NOT_FOUND":
-                raise  # anything but a table that is not there yet
-    rows = rows.hint("rebalance", F.col("event_date"))  # few files per day, and a hot day is split
-    rows.sortWithinPartitions("event_date", "aggregate_id", "event_version").write.mode("append").partitionBy("event_date").parquet(path)
+        first = F.min_by(F.struct(*[F.col(c) for c in events.columns]), F.struct(*EVENT_ORDER))
+        rows = events.groupBy("event_id").agg(first.alias("_e")).select("_e.*")
+        # at most ID_BUCKETS numbers come to the driver
+        touched = [r["b"] for r in events.select(_bucket("event_id").alias("b")).distinct().collect()]
+        rows = rows.join(stored_ids(spark, path, touched, batch), "event_id", "left_anti")
+    rows = rows.withColumn("event_date", F.to_date("timestamp")).hint("rebalance", F.col("event_date"))  # few files per day, and a hot day is split
+    folder = f"{path}/batch={batch}"
+    rows.sortWithinPartitions("event_date", "aggregate_id", "event_version").write.mode("overwrite").partitionBy("event_date").parquet(folder)
+    ids = spark.read.schema(STORED_SCHEMA).parquet(folder).select("event_id", _bucket("event_id").alias("bucket")).hint("rebalance", F.col("bucket"))
+    ids.sortWithinPartitions("bucket", "event_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}_ids/batch={batch}")
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(STORED_SCHEMA).parquet(path)
+    """All events of finished batches."""
+    folders = _batches(spark, path)
+    if not folders:
+        return spark.createDataFrame([], STORED_SCHEMA)
+    return spark.read.option("basePath", path).schema(STORED_SCHEMA).parquet(*folders).select(*STORED_SCHEMA.fieldNames())
 
 
 def decode_events(stored: DataFrame) -> DataFrame:

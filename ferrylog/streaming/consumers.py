@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ferrylog.operators.sequences import buffer_tumbling
-from ferrylog.plans.event_model import EVENT_SCHEMA, RUN_STARTED
-from ferrylog.plans.read_models import latest_starts, linked_events, run_read_model
-from ferrylog.session import shared_folder
-from ferrylog.sources.event_store import append_events, read_events
+from ferrylog.plans.event_model import EVENT_SCHEMA
+from ferrylog.plans.read_models import fold_runs, latest_starts, pointing_events, start_keys
+from ferrylog.session import materialise, shared_folder
+from ferrylog.sources.event_store import STORED_SCHEMA, append_events, processing_log
 from ferrylog.sources.messages import dead_letter_messages, split_dead_letters
 
 
@@ -28,69 +30,142 @@ def consume(
     dead_letter_path: str | None = None,
     check: Column | None = None,
     available_now: bool = True,
+    log_path: str | None = None,
 ) -> StreamingQuery:
     """Hand good events of each micro-batch to ``handle``; the others go to the dead-letter sink.
 
-    ``check`` gives the error text of an event that cannot be handled. Dead letters of a batch
+    ``check`` gives the error text of an event that cannot be handled. ``log_path`` gets one row per event: processed or failed.
+    A batch is decoded once and kept while it is handled. Dead letters and log rows of a batch
     are written to a folder named after it, so a repeated batch replaces its own output.
     """
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         judged = batch.withColumn("error", F.coalesce("error", check)) if check is not None else batch
-        good, dead = split_dead_letters(judged, F.current_timestamp())
-        handle(good.select(*EVENT_SCHEMA.fieldNames()), batch_id)
-        if dead_letter_path:
-            dead_letter_messages(dead).write.mode("overwrite").json(f"{dead_letter_path}/batch={batch_id}")
+        judged = judged.persist()
+        try:
+            good, dead = split_dead_letters(judged, F.current_timestamp())
+            handle(good.select(*EVENT_SCHEMA.fieldNames()), batch_id)
+            if dead_letter_path:
+                dead_letter_messages(dead).write.mode("overwrite").json(f"{dead_letter_path}/batch={batch_id}")
+            if log_path:
+                processing_log(judged, consumer_group).write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}")
+        finally:
+            judged.unpersist()
 
     writer = events.writeStream.foreachBatch(on_batch).queryName(consumer_group)
     writer = writer.option("checkpointLocation", checkpoint or _group_checkpoint(events.sparkSession, consumer_group))
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def store_events(path: str) -> Callable[[DataFrame, int], None]:
-    """A handler that appends events once, however often a batch is repeated."""
+def store_events(path: str, name: str = "stored") -> Callable[[DataFrame, int], None]:
+    """A handler that appends events once, however often a batch is repeated.
+
+    Consumers that share a store need different names: a batch's folder is named after both.
+    """
 
     def handle(good: DataFrame, batch_id: int) -> None:
-        append_events(good, path, new_only=True)
+        append_events(good, path, new_only=True, batch=f"{name}-{batch_id}")
 
     return handle
 
 
-def touched_runs(batch: DataFrame, stored: DataFrame) -> DataFrame:
-    """Ids of runs that the events of a batch start or belong to."""
-    starts = latest_starts(stored)
-    own = batch.filter(F.col("event_type") == RUN_STARTED).select(F.col("aggregate_id").alias("run_id"))
-    return own.unionByName(linked_events(batch, starts).select("run_id")).distinct()
+#: The tables of the streamed read model lie in so many folders by a hash of what they are looked up by.
+MODEL_BUCKETS = 64
+
+
+def _touched(rows: DataFrame) -> list[int]:
+    """The buckets of some rows; at most as many numbers as there are buckets."""
+    return [r["bucket"] for r in rows.select("bucket").distinct().collect()]
+
+
+def _keep(rows: DataFrame, path: str, table: str, batch_id: int) -> None:
+    rows.hint("rebalance", F.col("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{table}/batch={batch_id}")
+
 
+def _kept(spark: SparkSession, path: str, table: str, schema: T.StructType, buckets: list[int]) -> DataFrame:
+    """Rows of a state table in some buckets, with the batch they came in; folders of other buckets are not read."""
+    fields = [f for f in schema.fields if f.name not in ("bucket", "batch")]
+    whole = T.StructType([*fields, T.StructField("batch", T.LongType()), T.StructField("bucket", T.IntegerType())])
+    try:
+        rows = spark.read.schema(whole).parquet(f"{path}/{table}")
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise  # anything but a table that is not there yet
+        return spark.createDataFrame([], whole)
+    return rows.where(F.col("bucket").isin(buckets))
 
-def maintain_read_model(store_path: str, model_path: str) -> Callable[[DataFrame, int], None]:
-    """A handler that stores events, then recomputes the runs they touch from the table.
 
-    An event may come before its start; recomputing from the table finds it once the start is there.
-    Each batch writes its rows to a folder of its own; ``current_read_model`` reads the newest.
+def maintain_read_model(store_path: str, model_path: str, name: str = "model", buckets: int = MODEL_BUCKETS) -> Callable[[DataFrame, int], None]:
+    """A handler that stores events and keeps the runs they touch up to date, reading only what concerns these.
+
+    Three tables lie in buckets: events by the key they point with, starts by every key that leads to them, and the model's rows by run.
+    A batch adds its own events and starts; the runs it touches are those its keys lead to, now or through a start that comes
+    later; their events are read from the buckets of their keys only, and folded again. So the cost of a batch follows the
+    runs it touches and not the history. A repeated batch replaces its own rows. ``buckets`` must stay what it was for a model.
     """
 
+    def _bucketed(rows: DataFrame, by: str) -> DataFrame:
+        return rows.withColumn("bucket", F.pmod(F.xxhash64(by), F.lit(buckets)).cast("int"))
+
     def handle(good: DataFrame, batch_id: int) -> None:
         spark = good.sparkSession
-        append_events(good, store_path, new_only=True)
-        stored = read_events(spark, store_path)
-        touched = touched_runs(good, stored)
-        model = run_read_model(stored).join(touched, "run_id", "left_semi")
-        model.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{model_path}/batch={batch_id}")
+        append_events(good, store_path, new_only=True, batch=f"{name}-{batch_id}")
+        new = spark.read.schema(STORED_SCHEMA).parquet(f"{store_path}/batch={name}-{batch_id}").select(*EVENT_SCHEMA.fieldNames())
+        pointing, starts = _bucketed(pointing_events(new), "link_key"), _bucketed(start_keys(new), "link_key")
+        _keep(pointing, model_path, "pointing", batch_id)
+        _keep(starts, model_path, "starts", batch_id)
+
+        def runs_with(keys: DataFrame) -> DataFrame:
+            """Runs with a start, be it an old one, that some of the keys lead to."""
+            found = _kept(spark, model_path, "starts", starts.schema, _touched(keys)).join(keys.select("link_key"), "link_key", "left_semi")
+            return found.select("run_id").distinct()
+
+        def starts_of(runs: DataFrame) -> DataFrame:
+            """All start events of the runs."""
+            found = _kept(spark, model_path, "starts", starts.schema, _touched(_bucketed(runs, "run_id"))).where("link_key = run_id")
+            return found.join(runs, "run_id", "left_semi").select(*EVENT_SCHEMA.fieldNames())
+
+        def keys_of(runs: DataFrame) -> DataFrame:
+            return _bucketed(materialise(start_keys(starts_of(runs)).select("link_key").distinct(), "keys"), "link_key")
+
+        # a start may take a key from another run or leave one to it, so runs that share keys are folded together
+        named = _bucketed(pointing.select("link_key").union(starts.select("link_key")).distinct(), "link_key")
+        runs = materialise(runs_with(named), "runs")
+        runs = materialise(runs_with(keys_of(runs)).union(runs).distinct(), "runs")
+        keys = keys_of(runs)
+        latest = materialise(latest_starts(starts_of(materialise(runs_with(keys).union(runs).distinct(), "runs"))), "latest")
+        seen = _kept(spark, model_path, "pointing", pointing.schema, _touched(keys)).join(keys.select("link_key"), "link_key", "left_semi")
+        model = fold_runs(seen.drop("bucket", "batch"), latest).join(runs, "run_id", "left_semi")
+        _keep(_bucketed(model, "run_id"), model_path, "model", batch_id)
 
     return handle
 
 
 def current_read_model(spark: SparkSession, model_path: str) -> DataFrame:
     """The newest row of every run."""
-    rows = spark.read.parquet(f"{model_path}/batch=*")
-    rest = [c for c in rows.columns if c not in ("run_id", "batch_id")]
-    newest = rows.groupBy("run_id").agg(F.max_by(F.struct(*rest), "batch_id").alias("_r"))
+    rows = spark.read.parquet(f"{model_path}/model")
+    rest = [c for c in rows.columns if c not in ("run_id", "batch", "bucket")]
+    newest = rows.groupBy("run_id").agg(F.max_by(F.struct(*rest), "batch").alias("_r"))
     return newest.select("run_id", "_r.*")
 
 
-def distinct_events(stream: DataFrame, keys: Sequence[str], ts: str, watermark: str) -> DataFrame:
-    """First row per key, as long as repeats come within the watermark."""
+def compact_read_model(spark: SparkSession, model_path: str) -> None:
+    """Rewrite the model's rows as those of its newest batch alone; run while no batch is being handled."""
+    rows = spark.read.parquet(f"{model_path}/model")
+    last = rows.agg(F.max("batch")).first()[0]
+    compact = materialise(current_read_model(spark, model_path).join(rows.select("run_id", "bucket").distinct(), "run_id"), "compact")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "static")
+    compact.withColumn("batch", F.lit(last)).write.mode("overwrite").partitionBy("batch", "bucket").parquet(f"{model_path}/model")
+
+
+def distinct_events(stream: DataFrame, keys: Sequence[str], ts: str | None = None, watermark: str | None = None) -> DataFrame:
+    """First row per key.
+
+    Without a watermark every key ever seen is remembered, so repeats are found however late they come and the state grows with
+    the keys. With one, a key is forgotten once its time is that far behind: repeats that come later than that pass again.
+    """
+    if watermark is None:
+        return stream.dropDuplicates(list(keys))
     return stream.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(list(keys))
 
 

@@ -6,9 +6,11 @@ are taken in order of the given columns within each micro-batch; batches arrive
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -20,6 +22,7 @@ from ferrylog.operators.health import UNHEALTHY_AFTER
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+PIECE = 10_000  # rows handed on at a time
 STATE = struct(seq=LONG, last=DOUBLE, total=DOUBLE, ema=DOUBLE, failures=LONG, status=TEXT)
 ADDED = struct(seq=LONG, changed=BOOL, total=DOUBLE, ema=DOUBLE, consecutive_failures=LONG, status=TEXT)
 
@@ -35,20 +38,54 @@ class SequenceState(StatefulProcessor):
         self.state = handle.getValueState("sequence", STATE, self.ttl_ms)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="stable")
-        known = self.state.get() if self.state.exists() else (0, None, 0.0, None, 0, "unknown")
-        seq, last, total, ema, failures, status = known
-        out = []
-        for value, ok in zip(batch[self.value].astype(float), batch[self.ok].astype(bool)):
-            changed = seq == 0 or value != last
-            ema = value if seq == 0 else self.alpha * value + (1 - self.alpha) * ema
-            seq, last, total = seq + 1, value, total + value
-            failures = 0 if ok else failures + 1
-            status = "healthy" if ok else ("unhealthy" if failures >= UNHEALTHY_AFTER else status)
-            out.append((seq, changed, total, ema, failures, status))
-        self.state.update((seq, last, total, ema, failures, status))
-        added = pd.DataFrame(out, columns=ADDED.fieldNames(), index=batch.index)
-        yield pd.concat([batch[self.columns], added], axis=1)
+        state = self.state.get() if self.state.exists() else (0, None, 0.0, None, 0, "unknown")
+        # streams know no sort, so a key's rows of one micro-batch meet here; how many that can be is set at the source
+        batch = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="stable", ignore_index=True)
+        for a in range(0, len(batch), PIECE):
+            part = batch.iloc[a : a + PIECE].reset_index(drop=True)
+            state, added = self._advance(state, part[self.value].to_numpy(float), part[self.ok].to_numpy(bool))
+            yield pd.concat([part[self.columns], added], axis=1)
+        self.state.update(state)
+
+    def _advance(self, state: tuple, values: np.ndarray, ok: np.ndarray) -> tuple[tuple, pd.DataFrame]:
+        """The running columns of some more rows, and the state after them."""
+        seq, last, total, ema, failures, status = state
+        if not len(values):
+            return state, pd.DataFrame(columns=ADDED.fieldNames())
+        places = np.arange(len(values))
+        before = np.concatenate([[np.nan if last is None else last], values[:-1]])
+        changed = values != before
+        changed[0] |= seq == 0
+        averages = self._averages(values, ema)
+        last_ok = np.maximum.accumulate(np.where(ok, places, -1))
+        runs = np.where(last_ok >= 0, places - last_ok, places + 1 + failures)
+        decided = np.where(ok, 1, np.where(runs >= UNHEALTHY_AFTER, 2, 0))
+        since = np.maximum.accumulate(np.where(decided > 0, places, -1))
+        names = np.array([status, "healthy", "unhealthy"], dtype=object)
+        statuses = names[np.where(since >= 0, decided[np.maximum(since, 0)], 0)]
+        totals = np.cumsum(np.concatenate([[total], values]))[1:]
+        added = pd.DataFrame(
+            {"seq": seq + 1 + places, "changed": changed, "total": totals, "ema": averages, "consecutive_failures": runs, "status": statuses}
+        )[ADDED.fieldNames()]
+        return (seq + len(values), float(values[-1]), float(totals[-1]), float(averages[-1]), int(runs[-1]), str(statuses[-1])), added
+
+    def _averages(self, values: np.ndarray, ema: float | None) -> np.ndarray:
+        """Moving averages, in blocks so short that powers of 1 - alpha stay within double precision."""
+        q = 1.0 - self.alpha
+        size = len(values) if q in (0.0, 1.0) else max(1, int(math.log(1e-100) / math.log(q)))
+        out = np.empty(len(values))
+        for a in range(0, len(values), size):
+            x = values[a : a + size] * self.alpha
+            if ema is None:
+                x[0], ema = values[a], 0.0
+                carried = 0.0
+            else:
+                carried = ema
+            powers = q ** np.arange(len(x) + 1)
+            own = np.cumsum(x / powers[:-1]) * powers[:-1] if q else x
+            out[a : a + size] = own + carried * powers[1:]
+            ema = out[min(a + size, len(values)) - 1]
+        return out
 
     def close(self) -> None:
         pass

@@ -133,6 +133,35 @@ def test_append_is_repeatable(spark, six, tmp_path):
     assert event_store.read_events(spark, path).count() == 6
 
 
+def test_an_id_is_stored_once_whatever_its_time(spark, six, tmp_path):
+    path = str(tmp_path / "events")
+    event_store.append_events(six, path, new_only=True)
+    later = six.withColumn("timestamp", F.col("timestamp") + F.expr("INTERVAL 1 DAY"))
+    event_store.append_events(later.unionByName(event(spark, 99, "data.imported", "x")), path, new_only=True, batch="b")
+    event_store.append_events(later.unionByName(event(spark, 99, "data.imported", "x")), path, new_only=True, batch="b")
+    have = event_store.read_events(spark, path)
+    assert have.count() == 7 and have.join(six.select("event_id", "timestamp"), ["event_id", "timestamp"], "left_semi").count() == 6
+    plan = plan_of(event_store.stored_ids(spark, path, [3, 5]))
+    assert "PartitionFilters: [isnotnull(bucket" in plan.replace("\n", "") or "bucket#" in plan.split("PartitionFilters")[1].split("]")[0]
+
+
+def test_streamed_model_reads_touched_buckets(spark, six, tmp_path):
+    from ferrylog.streaming import consumers
+
+    store, model = str(tmp_path / "store"), str(tmp_path / "model")
+    handle = consumers.maintain_read_model(store, model, buckets=4)
+    halves = [six.filter("event_type NOT LIKE '%started'"), six.filter("event_type LIKE '%started'"), six]
+    for n, part in enumerate(halves):  # ends before starts, then all of it again
+        handle(part, n)
+    row = consumers.current_read_model(spark, model).first()
+    assert (row.run_id, row.status, row.extracted_count, row.user_count) == ("m1", "completed", 50, 2)
+    assert event_store.read_events(spark, store).count() == 6
+    consumers.compact_read_model(spark, model)
+    assert consumers.current_read_model(spark, model).count() == spark.read.parquet(f"{model}/model").count() == 1
+    kept = consumers._kept(spark, model, "pointing", spark.read.parquet(f"{model}/pointing").schema, [1])
+    assert "bucket#" in plan_of(kept).split("PartitionFilters")[1].split("]")[0]
+
+
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 

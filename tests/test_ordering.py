@@ -206,7 +206,7 @@ def test_joins_spread_hot_keys(spark, skewed):
         want = sorted(map(str, rows.join(names, "user_id", how).select("event_id").collect()))
         for made in (
             lookup_join(rows, names, ["user_id"], ["event_id"], how),
-            lookup_join(rows, names, ["user_id"], ["event_id"], how, max_broadcast=5, salts=7),
+            lookup_join(rows, names, ["user_id"], ["event_id"], how, max_broadcast=5, min_rows=20),
             skew_join(rows, names, ["user_id"], ["event_id"], how, min_rows=20),
         ):
             assert sorted(map(str, made.select("event_id").collect())) == want

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import functions as F
 
@@ -137,9 +137,13 @@ def stored_events(spark, folder, events=None) -> str:
     EVENTS + "SELECT event_id, event_type, event_version, epoch_us(\"timestamp\") AS us, CASE WHEN event_type = 'data.extracted' THEN CAST(k AS VARCHAR) END AS record_count, 'panel' AS origin FROM envelopes",
 )
 def s9(spark, folder):
-    """Append twice, the second time only what is new; then decode."""
-    path = stored_events(spark, folder)
-    event_store.append_events(envelopes(spark, folder), path, new_only=True)
+    """Append a part, then all at a later time, each event twice: an id is stored once, as it first came; then decode."""
+    every = envelopes(spark, folder)
+    path = stored_events(spark, folder, every.filter(F.col("event_id").cast("long") % 3 == 0))
+    later = every.withColumn("timestamp", F.when(F.col("event_id").cast("long") % 3 == 0, F.col("timestamp") + F.expr("INTERVAL 1 DAY")).otherwise(F.col("timestamp")))
+    repeated = later.unionByName(later.withColumn("timestamp", F.col("timestamp") + F.expr("INTERVAL 2 DAYS")))
+    for _ in range(2):
+        event_store.append_events(repeated, path, new_only=True, batch="all")
     decoded = event_store.decode_events(event_store.read_events(spark, path))
     return decoded.select(
         "event_id", "event_type", "event_version", F.unix_micros("timestamp").alias("us"),
@@ -256,15 +260,24 @@ def s13(spark, folder):
     ).agg(F.sum("n").alias("n"))
 
 
-def event_stream(spark, folder, parts: int = 2):
-    """``events`` landed as ``parts`` files by time, read as a stream of one file per trigger."""
+STREAM_FILES = 4
+
+
+def event_stream(spark, folder, last_mark: bool = False):
+    """``events`` landed in two halves by time, several files each, read as a stream of one half per trigger.
+
+    ``last_mark`` lands one more row, far ahead of all others, so that the spans of a stream that ends here are closed.
+    """
     path = new_path(spark, "stream")
     events = raw_events(spark, folder)
     low, high = events.agg(F.min("ts"), F.max("ts")).first()
     middle = low + (high - low) / 2
-    events.filter(F.col("ts") < F.lit(middle)).coalesce(1).write.parquet(path)
-    events.filter(F.col("ts") >= F.lit(middle)).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    for half in (F.col("ts") < F.lit(middle), F.col("ts") >= F.lit(middle)):
+        events.filter(half).repartition(STREAM_FILES).write.mode("append").parquet(path)
+    if last_mark:
+        mark = [F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema if f.name != "ts"]
+        spark.range(1).select(F.lit(high + timedelta(days=365)).cast("timestamp").alias("ts"), *mark).select(*events.columns).write.mode("append").parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", STREAM_FILES).parquet(path)
 
 
 def drained(spark, stream):
@@ -275,46 +288,52 @@ def drained(spark, stream):
 
 @query(
     "stream_w9_tumbling",
-    "SELECT user_id, epoch_us(time_bucket(INTERVAL 1 DAY, ts)) AS start_us, count(*) AS n FROM events "
-    "WHERE time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY ALL",
+    "SELECT user_id, epoch_us(time_bucket(INTERVAL 1 DAY, ts)) AS start_us, count(*) AS n FROM events GROUP BY ALL",
 )
 def stream_w9(spark, folder):
-    """Closed days only: the watermark holds the last one back."""
-    spans = consumers.tumbling(event_stream(spark, folder), "ts", "1 day", "1 hour", {"n": F.count(F.lit(1))}, ["user_id"])
-    return drained(spark, spans).select("user_id", F.unix_micros("span_start").alias("start_us"), "n")
+    """All days: a mark at the end of the finite stream moves the watermark past the last one."""
+    spans = consumers.tumbling(event_stream(spark, folder, last_mark=True), "ts", "1 day", "1 hour", {"n": F.count("event_id")}, ["user_id"])
+    return drained(spark, spans).filter("n > 0").select("user_id", F.unix_micros("span_start").alias("start_us"), "n")
 
 
 @query("stream_w2_distinct", "SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY ALL")
 def stream_w2(spark, folder):
-    once = consumers.distinct_events(event_stream(spark, folder), ["user_id", "event_type"], "ts", "60 days")
+    once = consumers.distinct_events(event_stream(spark, folder), ["user_id", "event_type"])
     return drained(spark, once).groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
     "stream_sequence_state",
-    """WITH calls AS (
+    """WITH RECURSIVE calls AS (
   SELECT *, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events
 ), runs AS (
-  SELECT *, i - coalesce(max(CASE WHEN ok THEN i END) OVER (PARTITION BY user_id ORDER BY i), 0) AS consecutive_failures FROM calls
-) SELECT event_id, i AS seq, round(sum(value) OVER (PARTITION BY user_id ORDER BY i), 6) AS total, consecutive_failures,
-  coalesce(last_value(CASE WHEN ok THEN 'healthy' WHEN consecutive_failures >= 3 THEN 'unhealthy' END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY i ROWS UNBOUNDED PRECEDING), 'unknown') AS status FROM runs""",
+  SELECT *, i - coalesce(max(CASE WHEN ok THEN i END) OVER (PARTITION BY user_id ORDER BY i), 0) AS consecutive_failures,
+    i = 1 OR value IS DISTINCT FROM lag(value) OVER (PARTITION BY user_id ORDER BY i) AS changed FROM calls
+), averages AS (
+  SELECT user_id, i, value AS ema FROM calls WHERE i = 1
+  UNION ALL SELECT c.user_id, c.i, 0.1 * c.value + 0.9 * a.ema FROM averages a JOIN calls c ON c.user_id = a.user_id AND c.i = a.i + 1
+) SELECT event_id, runs.i AS seq, changed, round(ema, 6) AS ema, round(sum(value) OVER (PARTITION BY runs.user_id ORDER BY runs.i), 6) AS total, consecutive_failures,
+  coalesce(last_value(CASE WHEN ok THEN 'healthy' WHEN consecutive_failures >= 3 THEN 'unhealthy' END IGNORE NULLS) OVER (PARTITION BY runs.user_id ORDER BY runs.i ROWS UNBOUNDED PRECEDING), 'unknown') AS status
+FROM runs JOIN averages ON averages.user_id = runs.user_id AND averages.i = runs.i""",
 )
 def stream_state(spark, folder):
     """Running values that outlive a micro-batch, for services that never fall silent for long."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", stateful.STATE_PROVIDER)
     calls = event_stream(spark, folder).withColumn("ok", F.col("event_type") != "error")
     states = stateful.with_sequence_state(calls, "user_id", "value", "ok", ["ts", "event_id"])
-    return drained(spark, states).select("event_id", "seq", F.round("total", 6).alias("total"), "consecutive_failures", "status")
+    return drained(spark, states).select("event_id", "seq", "changed", F.round("ema", 6).alias("ema"), F.round("total", 6).alias("total"), "consecutive_failures", "status")
 
 
 @query("stream_q6_read_model", f"WITH {SQL_MODEL} SELECT {', '.join(MODEL_COLUMNS)} FROM model")
 def stream_q6(spark, folder):
-    """The read model kept up by a stream in two runs equals the one computed at once."""
+    """The read model kept up by a stream in three runs, some events sent twice, equals the one computed at once."""
     landing, store, model, offsets = (new_path(spark, n) for n in ("landing", "store", "model", "offsets"))
     events = envelopes(spark, folder)
-    early = F.col("timestamp") < F.lit(AS_OF)
-    for part in (events.filter(early), events.filter(~early)):
+    first, second = F.col("timestamp") < F.lit(AS_OF - timedelta(days=7)), F.col("timestamp") < F.lit(AS_OF)
+    again = F.col("event_id").cast("long") % 10 == 0
+    for part in (events.filter(first), events.filter(second & (~first | again)), events.filter(~second | again)):
         landed_messages(spark, messages.encode_messages(part, TOPIC_PREFIX), landing)
         stream = messages.decode_messages(messages.stream_files(spark, landing))
-        consumers.consume(stream, "read-model", consumers.maintain_read_model(store, model), offsets).awaitTermination()
+        consumers.consume(stream, "read-model", consumers.maintain_read_model(store, model, buckets=4), offsets).awaitTermination()
+    consumers.compact_read_model(spark, model)
     return consumers.current_read_model(spark, model).select(*MODEL_COLUMNS)
