@@ -197,8 +197,8 @@ def moved_entities(events: DataFrame, event_type: str = USER_MOVED, order: Seque
     return chosen.groupBy("aggregate_id").agg(F.max_by(last, _place(order)).alias("_r")).select("aggregate_id", "_r.*")
 
 
-def snapshots(events: DataFrame, up_to_version: int | None = None, order: Sequence[str] = EVENT_ORDER) -> DataFrame:
-    """State of every run up to a version, as snapshot rows."""
+def snapshots(events: DataFrame, up_to_version: int | None = None, order: Sequence[str] = EVENT_ORDER, as_of: Column | None = None) -> DataFrame:
+    """State of every run up to a version, as snapshot rows made at ``as_of`` (default: now)."""
     seen = events if up_to_version is None else events.filter(F.col("event_version") <= up_to_version)
     model = run_read_model(seen, order)
     own = seen.groupBy(F.col("aggregate_id").alias("run_id")).agg(
@@ -211,6 +211,7 @@ def snapshots(events: DataFrame, up_to_version: int | None = None, order: Sequen
         "version",
         "replayed",
         state.alias("snapshot_data"),
+        (F.current_timestamp() if as_of is None else as_of).alias("created_at"),
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,9 +94,18 @@ def all_valid(counts: DataFrame, uuids: DataFrame) -> DataFrame:
     return both.unionByName(both.agg(F.bool_and("ok").alias("ok")).select(F.lit("all").alias("validation"), "ok"))
 
 
-def _duplicates(df: DataFrame, table: str, column: str) -> DataFrame:
-    repeated = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
-    return _line(table, f"unique {column}", repeated)
+def _own_rules(df: DataFrame, table: str, unique: Sequence[str], required: Sequence[str]) -> DataFrame:
+    """Repeated values of unique columns and missing ones of required columns, found in one pass over the table."""
+    columns = list(dict.fromkeys([*unique, *required]))
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
+    counted = df.select(F.inline(cells)).groupBy("column", "value").agg(F.count(F.lit(1)).alias("_n"))
+    repeated = F.count_if(F.col("value").isNotNull() & (F.col("_n") > 1))
+    absent = F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("_n"))), F.lit(0).cast("long"))
+    found = counted.groupBy("column").agg(repeated.alias("repeated"), absent.alias("absent"))
+    rules = [("unique %s", c, "repeated") for c in unique] + [("%s not null", c, "absent") for c in required]
+    wanted = df.sparkSession.createDataFrame([(table, rule % c, c, kind) for rule, c, kind in rules], "table string, rule string, column string, kind string")
+    number = F.when(F.col("kind") == "repeated", F.col("repeated")).otherwise(F.col("absent"))
+    return F.broadcast(wanted).join(found, "column", "left").select("table", "rule", F.coalesce(number, F.lit(0).cast("long")).alias("violations"))
 
 
 def _dangling(child: DataFrame, column: str, parent: DataFrame, table: str, rule: str) -> DataFrame:
@@ -106,23 +117,16 @@ def _dangling(child: DataFrame, column: str, parent: DataFrame, table: str, rule
     )
 
 
-def _line(table: str, rule: str, broken: DataFrame) -> DataFrame:
-    return broken.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(table).alias("table"), F.lit(rule).alias("rule"), "violations")
-
-
 def key_rules(users: DataFrame, proxies: DataFrame, admins: DataFrame, events: DataFrame | None = None) -> DataFrame:
     """One line per rule with the number of keys or rows that break it."""
     lines = [
-        _duplicates(users, "users", "username"),
-        _duplicates(admins, "admins", "username"),
-        _duplicates(admins, "admins", "telegram_id"),
-        _line("users", "username not null", users.filter(F.col("username").isNull())),
-        _line("admins", "username not null", admins.filter(F.col("username").isNull())),
+        _own_rules(users, "users", ["username"], ["username"]),
+        _own_rules(admins, "admins", ["username", "telegram_id"], ["username"]),
         _dangling(proxies, "user_id", users, "proxies", "user_id in users"),
         _dangling(users, "admin_id", admins, "users", "admin_id in admins"),
     ]
     if events is not None:
-        lines.append(_duplicates(events, "events", "event_id"))
+        lines.append(_own_rules(events, "events", ["event_id"], []))
     out = lines[0]
     for nxt in lines[1:]:
         out = out.unionByName(nxt)

@@ -8,7 +8,7 @@ from ferrylog.functions.datetimes import iso_to_timestamp, timestamp_to_iso, tim
 from ferrylog.functions.payloads import object_or_empty
 from ferrylog.operators.rows import keep_first
 from ferrylog.plans import accounts, schema_check, validation
-from ferrylog.session import load_table
+from ferrylog.session import load_table, materialise
 from workloads.adapters import SQL_ACCOUNTS, source_admins, source_users, target_tables
 from workloads.registry import AS_OF, query
 
@@ -267,9 +267,9 @@ UNION ALL SELECT 'events', 'unique event_id', count(*) FROM (SELECT user_id FROM
 )
 def v2(spark, folder):
     """Source names as users, so that repeated and missing names occur; users of events as event ids."""
-    target = target_tables(spark, folder)
+    target = {name: materialise(df, name) for name, df in target_tables(spark, folder).items()}
     admin_of = target["users"].select((F.col("id") - 1).alias("id"), "admin_id")
-    users = source_users(spark, folder).select("id", "username").join(admin_of, "id", "left")
+    users = materialise(source_users(spark, folder).select("id", "username").join(admin_of, "id", "left"), "users")
     events = load_table(spark, folder, "events").select(F.col("user_id").alias("event_id"))
     return validation.key_rules(users, target["proxies"], target["admins"], events)
 
@@ -369,14 +369,16 @@ def f14(spark, folder):
     return admin_findings(spark, folder).select("field", "finding", "source_type", "target_type")
 
 
-@query(
-    "f14_first_record_findings",
+SQL_FIRST_FINDINGS = (
     "SELECT * FROM (VALUES ('username', 'compatible'), ('status', 'missing'), ('used_traffic', 'incompatible'), ('data_limit', 'incompatible'), ('expire', 'incompatible'), ('created_at', 'compatible'), "
     "('edit_at', 'incompatible'), ('note', 'compatible'), ('sub_revoked_at', 'incompatible'), ('sub_updated_at', 'incompatible'), ('sub_last_user_agent', 'compatible'), ('online_at', 'compatible'), "
     "('data_limit_reset_strategy', 'compatible'), ('admin_id', 'missing'), ('on_hold_timeout', 'missing'), ('on_hold_expire_duration', 'missing'), ('auto_delete_in_days', 'missing'), "
     "('last_status_change', 'missing'), ('id', 'extra'), ('key', 'extra'), ('proxies', 'extra'), ('enabled', 'extra'), ('activated', 'extra'), ('expired', 'extra'), ('data_limit_reached', 'extra'), "
-    "('expire_strategy', 'extra'), ('usage_duration', 'extra'), ('activation_deadline', 'extra')) t(field, finding)",
+    "('expire_strategy', 'extra'), ('usage_duration', 'extra'), ('activation_deadline', 'extra')) t(field, finding)"
 )
+
+
+@query("f14_first_record_findings", SQL_FIRST_FINDINGS)
 def f14_first(spark, folder):
     found = schema_check.compare_fields(source_users(spark, folder), schema_check.USER_FIELDS, order=["seq"])
     return found.select("field", "finding")
@@ -401,13 +403,18 @@ def f15(spark, folder):
 
 @query(
     "f16_compatibility_report",
-    f"{WITH}, {SQL_FINDINGS}, a AS (SELECT finding AS metric, CAST(count(*) AS DOUBLE) AS value FROM findings GROUP BY finding UNION ALL SELECT 'score', count(*) FILTER (finding = 'compatible') / 8.0 FROM findings) "
-    "SELECT s AS section, metric, value FROM a, (VALUES ('users'), ('admins')) t(s)",
+    f"{WITH}, {SQL_FINDINGS}, first AS ({SQL_FIRST_FINDINGS}), "
+    "found AS (SELECT 'admins' AS section, 8.0 AS expected, finding FROM findings UNION ALL SELECT 'users', " + f"{len(schema_check.USER_FIELDS)}.0" + ", finding FROM first), "
+    "metrics AS (SELECT section, any_value(expected) AS expected, count(*) FILTER (finding = 'compatible') AS compatible, count(*) FILTER (finding = 'incompatible') AS incompatible, "
+    "count(*) FILTER (finding = 'missing') AS missing, count(*) FILTER (finding = 'extra') AS extra FROM found GROUP BY section) "
+    "SELECT section, 'score' AS metric, CAST(compatible / expected AS DOUBLE) AS value FROM metrics UNION ALL SELECT section, 'compatible', compatible FROM metrics "
+    "UNION ALL SELECT section, 'incompatible', incompatible FROM metrics UNION ALL SELECT section, 'missing', missing FROM metrics UNION ALL SELECT section, 'extra', extra FROM metrics",
 )
 def f16(spark, folder):
-    """The same set in both sections, so that one SQL finding list describes both."""
-    scored = schema_check.compatibility_score(admin_findings(spark, folder), schema_check.ADMIN_FIELDS)
-    return schema_check.compatibility_report(scored, scored)
+    """Users by their first record, admins by their commonest types."""
+    first = schema_check.compare_fields(source_users(spark, folder), schema_check.USER_FIELDS, order=["seq"])
+    users = schema_check.compatibility_score(first, schema_check.USER_FIELDS)
+    return schema_check.compatibility_report(users, schema_check.compatibility_score(admin_findings(spark, folder), schema_check.ADMIN_FIELDS))
 
 
 @query(

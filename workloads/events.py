@@ -7,7 +7,7 @@ from datetime import datetime, timezone
 from pyspark.sql import functions as F
 
 from ferrylog.plans import event_model, event_queries, read_models
-from ferrylog.plans.event_model import ADMIN_MOVED, EVENT_SPECS, RUN_COMPLETED, RUN_ID, USER_MOVED
+from ferrylog.plans.event_model import ADMIN_MOVED, EVENT_SPECS, USER_MOVED
 from ferrylog.session import load_table
 from workloads.adapters import SQL_ENVELOPES, envelopes, raw_events
 from workloads.registry import AS_OF, query
@@ -227,17 +227,29 @@ def q7_errors(spark, folder):
     return _replay(spark, folder).errors.select("event_id", "event_type", "error")
 
 
+@query(
+    "q7_replay_outputs",
+    WITH + "SELECT 'imports' AS handler, aggregate_type, count(*) AS n FROM envelopes WHERE value > 20 AND event_type = 'data.imported' AND k <= 90 GROUP BY ALL "
+    "UNION ALL SELECT 'audit', aggregate_type, count(*) FROM envelopes WHERE value > 20 AND event_type LIKE 'data.%' AND NOT (event_type = 'data.imported' AND k > 90) GROUP BY ALL",
+)
+def q7_outputs(spark, folder):
+    """What the handlers made of the events that passed."""
+    made = _replay(spark, folder).outputs
+    imports = made["imports"].select(F.lit("imports").alias("handler"), "aggregate_type", F.col("count").alias("n"))
+    return imports.unionByName(made["audit"].groupBy(F.lit("audit").alias("handler"), "aggregate_type").agg(F.count(F.lit(1)).alias("n")))
+
+
 @query(
     "q8_snapshots",
     f"WITH {SQL_MODEL.replace('FROM env' + chr(10), 'FROM env WHERE event_version <= 5' + chr(10), 1)} "
-    "SELECT run_id AS aggregate_id, m.status, m.user_count, n.replayed, n.version FROM model m JOIN "
+    "SELECT run_id AS aggregate_id, m.status, m.user_count, n.replayed, n.version, epoch_us(TIMESTAMP '2024-01-15') AS created_us FROM model m JOIN "
     "(SELECT aggregate_id, count(*) AS replayed, max(event_version) AS version FROM envelopes GROUP BY aggregate_id) n ON n.aggregate_id = m.run_id",
 )
 def q8(spark, folder):
-    snaps = read_models.snapshots(envelopes(spark, folder), 5)
+    snaps = read_models.snapshots(envelopes(spark, folder), 5, as_of=F.lit(AS_OF).cast("timestamp"))
     status = F.get_json_object("snapshot_data", "$.status").alias("status")
     users = F.get_json_object("snapshot_data", "$.user_count").cast("long").alias("user_count")
-    return snaps.select("aggregate_id", status, users, "replayed", "version")
+    return snaps.select("aggregate_id", status, users, "replayed", "version", F.unix_micros("created_at").alias("created_us"))
 
 
 @query(
@@ -245,13 +257,13 @@ def q8(spark, folder):
     "SELECT aggregate_id, version, epoch_us(created_at) AS created_us, epoch_us(updated_at) AS updated_us FROM ("
     "SELECT o_custkey AS aggregate_id, max(o_orderkey) AS version, TIMESTAMP '2024-01-01' AS created_at, "
     "CASE WHEN o_custkey % 2 = 0 THEN TIMESTAMP '2024-01-15' ELSE TIMESTAMP '2024-01-01' END AS updated_at FROM orders WHERE o_custkey % 3 <> 0 GROUP BY o_custkey "
-    "UNION ALL SELECT o_custkey, max(o_orderkey), TIMESTAMP '2024-01-15', TIMESTAMP '2024-01-15' FROM orders WHERE o_custkey % 3 = 0 AND o_custkey % 2 = 0 GROUP BY o_custkey)",
+    "UNION ALL SELECT o_custkey, max(o_orderkey), TIMESTAMP '2024-01-15', TIMESTAMP '2024-01-15' FROM orders WHERE o_custkey % 3 = 0 GROUP BY o_custkey)",
 )
 def q8_upsert(spark, folder):
     newest = load_table(spark, folder, "orders").groupBy(F.col("o_custkey").alias("aggregate_id")).agg(F.max("o_orderkey").alias("version"))
     old = F.lit(datetime(2024, 1, 1, tzinfo=timezone.utc)).cast("timestamp")
     stored = newest.filter(F.col("aggregate_id") % 3 != 0).withColumns({"created_at": old, "updated_at": old})
-    merged = read_models.upsert(stored, newest.filter(F.col("aggregate_id") % 2 == 0), "aggregate_id", F.lit(AS_OF).cast("timestamp"))
+    merged = read_models.upsert(stored, newest.filter("aggregate_id % 2 = 0 OR aggregate_id % 3 = 0"), "aggregate_id", F.lit(AS_OF).cast("timestamp"))
     return merged.select("aggregate_id", "version", F.unix_micros("created_at").alias("created_us"), F.unix_micros("updated_at").alias("updated_us"))
 
 
@@ -309,31 +321,27 @@ def q11(spark, folder):
     return routed.groupBy("subscriber", "event_type").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"))
 
 
-@query(
-    "p14_event_builders",
-    "SELECT :run_completed AS event_type, :run AS aggregate_type, CAST(o_orderkey AS VARCHAR) AS aggregate_id, epoch_us(o_orderdate) AS us, 1 AS event_version, "
-    "CAST(o_custkey AS VARCHAR) AS correlation_id, CAST(o_orderkey % 50 AS VARCHAR) AS detail, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.000000') AS moment FROM orders "
-    "UNION ALL SELECT 'rollback.initiated', 'rollback', CAST(o_orderkey AS VARCHAR), epoch_us(o_orderdate), 1, CAST(o_custkey AS VARCHAR), o_orderstatus, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.000000') FROM orders",
+SQL_BUILT = " UNION ALL ".join(
+    f"SELECT '{kind}' AS event_type, '{spec.aggregate_type}' AS aggregate_type, CAST(c_custkey AS VARCHAR) AS aggregate_id, epoch_us(TIMESTAMP '2024-01-15') AS us, 1 AS event_version, "
+    f"c_mktsegment AS correlation_id, '{spec.fields[0]} ' || c_name AS detail, '{spec.fields[-1]} ' || c_name AS last_detail, '2024-01-15T00:00:00.000000' AS moment FROM customer"
+    for kind, spec in EVENT_SPECS.items()
 )
-def p14(spark, folder):
-    orders = load_table(spark, folder, "orders")
-    key, customer = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
-    done = event_model.make_events(
-        orders, RUN_COMPLETED, key, F.col("o_orderdate"),
-        {"statistics": F.struct(F.col("o_totalprice").alias("price")), "duration_seconds": F.col("o_orderkey") % 50}, correlation_id=customer,
-    )
-    undone = event_model.make_events(
-        orders, "rollback.initiated", key, F.col("o_orderdate"),
-        {RUN_ID: customer, "reason": F.col("o_orderstatus"), "rollback_scope": F.struct("o_orderpriority")}, correlation_id=customer,
-    )
 
-    def flat(events, detail, moment):
-        return events.select(
+
+@query("p14_event_builders", SQL_BUILT)
+def p14(spark, folder):
+    """Every type's builder over all customers."""
+    customers, out = load_table(spark, folder, "customer"), None
+    for kind, spec in EVENT_SPECS.items():
+        payload = {f: F.concat(F.lit(f"{f} "), "c_name") for f in spec.fields}
+        made = event_model.make_events(customers, kind, F.col("c_custkey").cast("string"), F.lit(AS_OF).cast("timestamp"), payload, correlation_id=F.col("c_mktsegment"))
+        text = lambda f: F.get_json_object("event_data", f"$.{f}")
+        part = made.select(
             "event_type", "aggregate_type", "aggregate_id", F.unix_micros("timestamp").alias("us"), "event_version", "correlation_id",
-            F.get_json_object("event_data", f"$.{detail}").alias("detail"), F.get_json_object("event_data", f"$.{moment}").alias("moment"),
+            text(spec.fields[0]).alias("detail"), text(spec.fields[-1]).alias("last_detail"), text(spec.moment).alias("moment"),
         )
-
-    return flat(done, "duration_seconds", "completed_at").unionByName(flat(undone, "reason", "initiated_at"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query(

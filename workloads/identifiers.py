@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ferrylog.functions.identifiers import FORMAT_HEX, key_to_uuid, transform_uuid, uuid_format
+from ferrylog.functions.identifiers import FORMAT_HEX, is_valid_uuid, key_to_uuid, transform_uuid, uuid_format
 from ferrylog.plans import identifier_report
 from ferrylog.session import load_table
 from workloads.adapters import SQL_IDENTIFIERS, identifiers
@@ -91,3 +91,12 @@ def a9_stats(spark, folder):
 def f11(spark, folder):
     wide = identifiers(spark, folder).withColumn("digest", F.md5(F.col("value").cast("binary"))).withColumn("note", F.lit("none"))
     return identifier_report.scan_text_columns(wide)
+
+
+@query(
+    "f8_uuid_validation",
+    f"WITH {SQL_TRANSFORMED} SELECT seq, regexp_matches(replace(value, '-', ''), '^[0-9a-fA-F]{{32}}$') AS dashed, regexp_matches(value, '^[0-9a-fA-F]{{32}}$') AS hex FROM t",
+)
+def f8(spark, folder):
+    found = identifiers(spark, folder)
+    return found.select("seq", is_valid_uuid(F.col("value")).alias("dashed"), is_valid_uuid(F.col("value"), FORMAT_HEX).alias("hex"))

@@ -294,13 +294,12 @@ def t2(spark, folder):
 
 @query(
     "o1_merge",
-    "SELECT event_id AS id, 0 AS source FROM events WHERE event_type = 'view' UNION ALL SELECT event_id, 1 FROM events WHERE value > 10 UNION ALL SELECT o_orderkey, 2 FROM orders",
+    "SELECT event_id AS id, 0 AS source FROM events UNION ALL SELECT c_custkey, 1 FROM customer UNION ALL SELECT o_orderkey, 2 FROM orders",
 )
 def o1(spark, folder):
-    events = raw_events(spark, folder)
     parts = [
-        events.filter(F.col("event_type") == "view").select(F.col("event_id").alias("id")),
-        events.filter(F.col("value") > 10).select(F.col("event_id").alias("id")),
+        raw_events(spark, folder).select(F.col("event_id").alias("id")),
+        load_table(spark, folder, "customer").select(F.col("c_custkey").alias("id")),
         load_table(spark, folder, "orders").select(F.col("o_orderkey").alias("id")),
     ]
     return rows.merge(*parts, tag="source")

@@ -49,6 +49,16 @@ def b1_checkpoint(spark, folder):
     return undo.undo_plan(log, wanted).select("transaction_id", "pos", "action", "undo_order")
 
 
+@query(
+    "u4_inverse_rules",
+    WITH + "SELECT transaction_id, CAST(pos AS INTEGER) AS pos, CASE operation_type WHEN 'update_user' THEN 'delete' WHEN 'delete_user' THEN 'reinsert' ELSE 'restore' END AS action FROM operations",
+)
+def u4(spark, folder):
+    """A caller's own inverse rules stand before the built-in ones."""
+    plan = undo.undo_plan(transaction_log(spark, folder), inverses={"update_user": "delete", "insert_user": "restore"})
+    return plan.select("transaction_id", "pos", "action")
+
+
 @query(
     "b2_apply_undo",
     WITH + """, undone AS (
