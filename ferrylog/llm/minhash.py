@@ -214,7 +214,8 @@ def _pairs_between(filed: DataFrame) -> DataFrame:
     ``filed`` has ``key, slot, rep, comp, n, signature, odd``. Groups arrive sorted, no larger than two blocks, and are compared row by
     row at growing offsets, all groups of a batch at once.
     """
-    many = filed.withColumn("blocks", F.ceil(F.count("*").over(Window.partitionBy("key")) / BLOCK).cast("int"))
+    long = materialise(filed.groupBy("key").count().where(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "long")
+    many = filed.join(long, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     spread = many.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     group = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
@@ -288,9 +289,17 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 def _components(spark: SparkSession, docs: DataFrame, classes: DataFrame, text: str) -> DataFrame:
     """``rep, comp`` for every class that shares a bucket with another one."""
-    bucket = Window.partitionBy("key")
-    filed = postings(classes).withColumns({"low": F.min("rep").over(bucket), "high": F.max("rep").over(bucket)}).where("low != high")
-    filed = materialise(filed.select("key", "slot", "rep", "low"))
+
+    def in_shared_buckets(filed: DataFrame, value: str) -> DataFrame:
+        """What is filed in buckets that hold several values, with the smallest one as ``low``.
+
+        Not a window, since a hot bucket would meet in one task: values are aggregated before they are shuffled, and the join is
+        one on both sides' own shuffles, which adaptive skew joins can split.
+        """
+        ends = filed.groupBy("key").agg(F.min(value).alias("low"), F.max(value).alias("high")).where("low != high")
+        return filed.join(materialise(ends.select("key", "low"), "ends"), "key")
+
+    filed = materialise(in_shared_buckets(postings(classes), "rep").select("key", "slot", "rep", "low"))
     sets = ShingleSets(docs, filed.select("rep").distinct().join(classes.select("rep", "set_id"), "rep"), text)
 
     def nearest(stars: DataFrame) -> DataFrame:
@@ -305,20 +314,21 @@ def _components(spark: SparkSession, docs: DataFrame, classes: DataFrame, text:
 
     def open_buckets() -> DataFrame:
         """What is filed in buckets that hold several components."""
-        ends = {"low": F.min("comp").over(bucket), "high": F.max("comp").over(bucket)}
-        return filed.join(labels, "rep").withColumns(ends).where("low != high").drop("low", "high")
+        return in_shared_buckets(filed.join(labels, "rep"), "comp").drop("low")
 
     for turn in range(1, STARS):
-        filed = materialise(open_buckets()).drop("comp")  # a bucket of one component stays one
-        centre = F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("draw"), "rep", "comp")).over(bucket)
-        stars = filed.join(labels, "rep").withColumn("centre", centre).where("comp != centre.comp").select(F.col("centre.rep").alias("a"), F.col("rep").alias("b"))
+        still = materialise(open_buckets())
+        filed = still.drop("comp")  # a bucket of one component stays one
+        drawn = F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("draw"), "rep", "comp"))
+        centres = materialise(still.groupBy("key").agg(drawn.alias("centre")).select("key", F.col("centre.rep").alias("a"), F.col("centre.comp").alias("of")), "centres")
+        stars = still.join(centres, "key").where("comp != of").select("a", F.col("rep").alias("b"))
         linked = nearest(stars)
         if linked.isEmpty():
             break
         labels = _merged(labels, linked)
-    left = materialise(_pairs_between(open_buckets().join(classes.select("rep", "n", "signature", "odd"), "rep")))
+    left = materialise(_pairs_between(materialise(open_buckets(), "open").join(classes.select("rep", "n", "signature", "odd"), "rep")))
     for tries in (*TRIES, None):
-        sizes = labels.groupBy("comp").count()
+        sizes = materialise(labels.groupBy("comp").count(), "sizes")
         for side in ("a", "b"):
             left = left.join(labels.select(F.col("rep").alias(side), F.col("comp").alias(f"comp_{side}")), side)
         left = materialise(left.where("comp_a != comp_b"))
