@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ferrylog.llm.common import arrow_table
@@ -137,7 +137,9 @@ def _forest(reps: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def links_of(filed: DataFrame, pivots: int, size: int, least: float) -> DataFrame:
     """``rep, linked, root``: per block the linked rows of a class, and the smallest class they lead to there."""
     length = F.length("prefix")
-    counted = filed.withColumn("blocks", F.ceil(F.count("*").over(Window.partitionBy("key")) / BLOCK).cast("int"))
+    # there are no more lists than pairs of pivots, so their sizes are safe to broadcast
+    sizes = filed.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    counted = filed.join(F.broadcast(sizes), "key")
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     spread = counted.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
