@@ -195,7 +195,8 @@ def nearest(rows: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", vecto
     width = usual_size(chosen, "vector")
     chosen = chosen.where(F.size("vector") == width).groupBy("vec_id", "vector").agg(F.max("asks").alias("asks"))
     copies = Window.partitionBy("vector").orderBy("vec_id")
-    indexed = chosen.withColumn("copy", F.row_number().over(copies)).where((F.col("copy") <= k + 1) | F.col("asks"))
+    # each task keeps its first k + 1 of a vector before the shuffle
+    few = chosen.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1)
     directions = np.random.default_rng(97).normal(size=(max(width, 1), size))
 
     def project(batches: Iterator) -> Iterator:
@@ -210,10 +211,11 @@ def nearest(rows: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", vecto
                 schema=pa.schema([("vec_id", pa.int64()), ("vector", lists), ("projected", lists), ("asks", pa.bool_()), ("indexed", pa.bool_())]),
             )
 
-    flat = indexed.select("vec_id", "vector", "asks", (F.col("copy") <= k + 1).alias("indexed"))
+    flat = few.select("vec_id", "vector", F.lit(False).alias("asks"), F.lit(True).alias("indexed"))
+    flat = flat.unionByName(chosen.where("asks").select("vec_id", "vector", "asks", F.lit(False).alias("indexed")))
     points = materialise(flat.mapInArrow(project, "vec_id long, vector array<double>, projected array<double>, asks boolean, indexed boolean"), "projected")
-    count = points.count()
-    sample = points.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("projected").collect()
+    count = points.where("indexed").count()
+    sample = points.where("indexed").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("projected").collect()
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     cells = spark.sparkContext.broadcast(Cells(np.array([r["projected"] for r in sample]), max(1, math.ceil(count / CELL))))
