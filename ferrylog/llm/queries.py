@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrylog.llm import bpe, learning, minhash, mixing, pivots, projections, quality, secrets, toxicity
+from ferrylog.llm import bpe, learning, minhash, mixing, pivots, projections, quality, secrets, suffixes, toxicity
 from ferrylog.llm.common import table
 from ferrylog.session import new_path
 
@@ -92,6 +92,23 @@ def _(spark, folder):
     return minhash.near_duplicates(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+REPEATS_SQL = f"""
+WITH cut AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[\x20\x09-\x0D]+'), lambda x: x != '') AS w FROM documents WHERE doc_id IS NOT NULL),
+places AS (SELECT doc_id, w, unnest(range(1, len(w) - {suffixes.LEAST} + 2)) AS i FROM cut WHERE len(w) >= {suffixes.LEAST}),
+windows AS (SELECT doc_id, i - 1 AS start, array_to_string(w[i:i + {suffixes.LEAST - 1}], ' ') AS x FROM places),
+repeated AS (SELECT x, min(doc_id) AS first_id FROM windows GROUP BY x HAVING min(doc_id) != max(doc_id)),
+found AS (SELECT DISTINCT doc_id, start, first_id FROM windows JOIN repeated USING (x)),
+marked AS (SELECT *, CASE WHEN start <= lag(start) OVER (PARTITION BY doc_id ORDER BY start) + {suffixes.LEAST} THEN 0 ELSE 1 END AS new FROM found),
+numbered AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY start) AS number FROM marked)
+SELECT doc_id, min(start) AS start_word, max(start) + {suffixes.LEAST} AS end_word, max(start) + {suffixes.LEAST} - min(start) AS n_words, min(first_id) AS first_id, doc_id = min(first_id) AS kept
+FROM numbered GROUP BY doc_id, number"""
+
+
+@query("op2_suffix_dedup", REPEATS_SQL)
+def _(spark, folder):
+    return suffixes.repeated_passages(table(spark, folder, "documents"))
+
+
 @query("op7_toxicity")
 def _(spark, folder):
     docs = table(spark, folder, "documents")
