@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrylog.llm import bpe, learning, minhash, mixing, pivots, projections, quality, secrets, suffixes, toxicity
+from ferrylog.llm import bpe, learning, licences, minhash, mixing, pivots, projections, quality, secrets, suffixes, toxicity
 from ferrylog.llm.common import table
 from ferrylog.session import new_path
 
@@ -109,6 +109,31 @@ def _(spark, folder):
     return suffixes.repeated_passages(table(spark, folder, "documents"))
 
 
+_TEMPLATES = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in licences.TEMPLATES.items())
+_OVER, _UNDER = licences.LEAST
+
+
+def _bigrams_sql(text: str) -> str:
+    words = f"regexp_extract_all(translate({text}, '{_UPPER}', '{_UPPER.lower()}'), '[a-z0-9]+')"
+    return f"list_distinct(list_transform(range(1, len({words})), lambda i: {words}[i] || ' ' || {words}[i + 1]))"
+
+
+LICENCE_SQL = f"""
+WITH templates AS (SELECT licence, x, len({_bigrams_sql("x")}) AS b FROM (VALUES {_TEMPLATES}) t(licence, x)),
+marks AS (SELECT licence, b, unnest({_bigrams_sql("x")}) AS g FROM templates),
+passages AS (SELECT doc_id, unnest(list_distinct(string_split(regexp_replace(text, '([.!?])[ \t]+', '\1\n', 'g'), chr(10)) || string_split(text, chr(10)) || regexp_split_to_array(text, '\n[ \t\r]*\n') || [text])) AS p FROM documents),
+cut AS (SELECT doc_id, row_number() OVER () AS i, regexp_extract_all(translate(p, '{_UPPER}', '{_UPPER.lower()}'), '[a-z0-9]+') AS w FROM passages),
+pairs AS (SELECT DISTINCT doc_id, i, unnest(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) AS g FROM cut),
+sizes AS (SELECT i, count(*) AS a FROM pairs GROUP BY i),
+met AS (SELECT doc_id, i, licence, b, count(*) AS common FROM pairs JOIN marks USING (g) GROUP BY ALL)
+SELECT doc_id, licence, max(2.0::DOUBLE * common / (a + b)) AS dice FROM met JOIN sizes USING (i) WHERE 2 * {_UNDER} * common >= {_OVER} * (a + b) GROUP BY doc_id, licence"""
+
+
+@query("op3_licence_scans", LICENCE_SQL)
+def _(spark, folder):
+    return licences.licence_matches(table(spark, folder, "documents"))
+
+
 @query("op7_toxicity")
 def _(spark, folder):
     docs = table(spark, folder, "documents")
