@@ -221,10 +221,10 @@ def test_proxies(spark):
     assert accounts.transform_users(users.filter("username = 'c'"), AS_OF).first()["expire"] is None
 
 
-def test_hot_owner_is_spread(spark):
+def test_owners_of_proxies(spark):
     proxies = spark.createDataFrame([("u", f"T{i}", "{}") for i in range(300)] + [("v", "A", "bad")], "username string, type string, settings string")
     users = spark.createDataFrame([(1, "u")], "id int, username string")
-    assert accounts.resolve_proxies(proxies, users, min_hot_rows=100).count() == 300
+    assert accounts.resolve_proxies(proxies, users).count() == 300
     assert [r.username for r in accounts.orphan_proxies(proxies, users).collect()] == ["v"]
 
 
