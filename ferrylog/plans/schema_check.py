@@ -16,6 +16,7 @@ from ferrylog.functions.payloads import (
     JSON,
     LARGEST_INT,
     STRING,
+    UUID,
     json_value_type,
     text_type,
 )
@@ -95,9 +96,46 @@ def field_types(df: DataFrame, renames: dict[str, str] | None = None) -> DataFra
     return df.select(F.inline(cells))
 
 
+def _possible_types(kind: T.DataType) -> tuple[str, ...]:
+    """The field types that values of a column can have; nulls count as strings."""
+    if isinstance(kind, T.BooleanType):
+        return (BOOLEAN, STRING)
+    if isinstance(kind, T.IntegralType):
+        return (INTEGER, BIGINT, STRING)
+    if isinstance(kind, T.NumericType):
+        return (FLOAT, STRING)
+    if isinstance(kind, T.StringType):
+        return (STRING, DATETIME_ISO, UUID)
+    if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)):
+        return (JSON, STRING)
+    if isinstance(kind, T.VariantType):
+        return (STRING, INTEGER, BIGINT, FLOAT, BOOLEAN, DATETIME_ISO, UUID, JSON)
+    return (STRING,)
+
+
+def _seen_types(df: DataFrame, renames: dict[str, str] | None) -> DataFrame:
+    """``field, value_type, values, known, sample`` over all rows: one aggregate of conditional counts, no row per value."""
+    renames = RENAMED if renames is None else renames
+    nested = (T.StructType, T.ArrayType, T.MapType)
+    cells = df.select(
+        *[value_type(df, c).alias(f"t{i}") for i, c in enumerate(df.columns)],
+        *[(F.to_json(c) if isinstance(df.schema[c].dataType, nested) else F.col(c).cast("string")).alias(f"s{i}") for i, c in enumerate(df.columns)],
+    )
+    found = []
+    for i, c in enumerate(df.columns):
+        for t in _possible_types(df.schema[c].dataType):
+            is_type = F.col(f"t{i}") == t
+            found.append((renames.get(c, c), t, F.count_if(is_type), F.count(F.when(is_type, F.col(f"s{i}"))), F.min(F.when(is_type, F.col(f"s{i}")))))
+    names = ("values", "known", "sample")
+    folded = cells.agg(*[x.alias(f"{n}{k}") for k, row in enumerate(found) for n, x in zip(names, row[2:], strict=True)])
+    rows = [F.struct(F.lit(f).alias("field"), F.lit(t).alias("value_type"), *[F.col(f"{n}{k}").alias(n) for n in names]) for k, (f, t, *_) in enumerate(found)]
+    each = folded.select(F.inline(F.array(*rows))).filter("values > 0")
+    return each.groupBy("field", "value_type").agg(F.sum("values").alias("values"), F.sum("known").alias("known"), F.min("sample").alias("sample"))
+
+
 def type_profile(df: DataFrame, renames: dict[str, str] | None = None) -> DataFrame:
     """How many values of each type every field holds, over all rows."""
-    return field_types(df, renames).groupBy("field", "value_type").agg(F.count(F.lit(1)).alias("values"))
+    return _seen_types(df, renames).select("field", "value_type", "values")
 
 
 def _first_types(df: DataFrame, order: list[str], renames: dict[str, str] | None) -> DataFrame:
@@ -106,10 +144,8 @@ def _first_types(df: DataFrame, order: list[str], renames: dict[str, str] | None
 
 def _main_types(df: DataFrame, renames: dict[str, str] | None) -> DataFrame:
     # nulls are typed as strings, so a field is a string only when nothing else was seen
-    values = field_types(df.drop("seq"), renames)
-    seen = values.groupBy("field", "value_type").agg(F.count("sample").alias("_n"), F.min("sample").alias("sample"))
-    ranked = F.struct("_n", "value_type", "sample")
-    return seen.groupBy("field").agg(F.max(ranked).alias("_t")).select("field", "_t.value_type", "_t.sample")
+    ranked = F.struct(F.col("known").alias("_n"), "value_type", "sample")
+    return _seen_types(df.drop("seq"), renames).groupBy("field").agg(F.max(ranked).alias("_t")).select("field", "_t.value_type", "_t.sample")
 
 
 def compare_fields(
