@@ -23,14 +23,21 @@ from ferrylog.session import materialise
 
 
 def _exits(times: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """Possible first closes of a segment and, for each, the last close reached from it."""
+    """Possible first closes of a segment and, for each, the last close reached from it.
+
+    Chains that start close together soon meet, so few different ones are left unless the span is about as long as the segment.
+    """
     count = len(times)
     after = np.searchsorted(times, times + span, side="left")
     leave = np.where(after < count, after, np.arange(count))
     while not np.array_equal(leave, further := leave[leave]):  # each turn doubles the steps taken
         leave = further
     entries = np.arange(min(after[0] + 1, count))
-    return times[entries], times[leave[entries]]
+    at, out = times[entries], times[leave[entries]]
+    # entries that leave alike are one, the last of them; the first says when the segment begins
+    told = np.append(out[1:] != out[:-1], True)
+    told[0] = True
+    return at[told], out[told]
 
 
 def _changes(batch: pd.DataFrame, names: Sequence[str]) -> np.ndarray:
