@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 
 from ferrylog.llm.common import arrow_table, bounded_batches, mix, small_pieces
 
-#: Pre-tokens whose ids a worker remembers between batches; when full it starts afresh.
-REMEMBERED = 200_000
+#: Pre-tokens whose ids a worker remembers between batches; when full, those not met again until the next time are forgotten.
+REMEMBERED = 250_000
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -103,45 +104,55 @@ class Codec:
         self.split = regex.compile(pattern).findall
         self.ranks = {entry: rank for rank, entry in enumerate(entries)}
         self.longest = max(map(len, entries), default=0)
+        self.single = [self.ranks.get(bytes([b])) for b in range(256)]
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of a pre-token that is no entry: always merge the neighbours of the lowest rank, the leftmost first."""
-        n, ranks, longest = len(piece), self.ranks, self.longest
+        n, get, longest, push, pop = len(piece), self.ranks.get, self.longest, heapq.heappush, heapq.heappop
         end = list(range(1, n + 1))  # of the part that starts here; 0 for a place inside a part
-        before = list(range(-1, n - 1))
-        heap = [(ranks[piece[i : i + 2]], i, i + 2) for i in range(n - 1) if piece[i : i + 2] in ranks]
+        before = list(range(-1, n))
+        ids = [self.single[b] for b in piece]  # of the part that starts here
+        if None in ids:
+            raise ValueError("the vocabulary lacks a byte")
+        # an entry is rank, start and end in one number, so that the lowest rank and then the leftmost comes first
+        bits = n.bit_length()
+        mask, high = (1 << bits) - 1, 2 * bits
+        heap = [r << high | i << bits | i + 2 for i in range(n - 1) if (r := get(piece[i : i + 2])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, left, stop = heapq.heappop(heap)
+            top = pop(heap)
+            left, stop = top >> bits & mask, top & mask
             middle = end[left]
             if not middle or middle == n or end[middle] != stop:  # one of the two has been merged meanwhile
                 continue
-            end[left], end[middle] = stop, 0
+            end[left], end[middle], ids[left] = stop, 0, top >> high
             if stop < n:
                 before[stop] = left
-                if end[stop] - left <= longest and (rank := ranks.get(piece[left : end[stop]])) is not None:
-                    heapq.heappush(heap, (rank, left, end[stop]))
-            if (prior := before[left]) >= 0 and stop - prior <= longest and (rank := ranks.get(piece[prior:stop])) is not None:
-                heapq.heappush(heap, (rank, prior, stop))
-        ids, i = [], 0
-        while i < n:
-            part = piece[i : end[i]]
-            if part not in ranks:
-                raise ValueError(f"the vocabulary lacks the byte {part!r}")
-            ids.append(ranks[part])
-            i = end[i]
-        return ids
+                further = end[stop]
+                if further - left <= longest and (r := get(piece[left:further])) is not None:
+                    push(heap, r << high | left << bits | further)
+            prior = before[left]
+            if prior >= 0 and stop - prior <= longest and (r := get(piece[prior:stop])) is not None:
+                push(heap, r << high | prior << bits | stop)
+        return [x for x, e in zip(ids, end, strict=True) if e]
 
     def learn(self, pretokens: set[str]) -> None:
-        """Resolve pre-tokens not met before: all by the perfect hash, what it misses by merging."""
+        """Resolve pre-tokens not met lately: all by the perfect hash, what it misses by merging."""
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [t for t in pretokens if t not in self.known]
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        new = []
+        for t in pretokens.difference(known):
+            if (ids := older.get(t)) is not None:
+                known[t] = ids
+            else:
+                new.append(t)
         pieces = [t.encode() for t in new]
         for text, piece, rank in zip(new, pieces, self.index.find(pieces), strict=True):
             ids = (rank,) if rank >= 0 else self.merge(piece)
-            self.known[text] = np.array(ids, "<u4").tobytes()
+            known[text] = struct.pack(f"<{len(ids)}I", *ids)
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
