@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from ferrylog.plans.event_model import ADMIN_MOVED, TOPIC_PREFIX, USER_MOVED
 from ferrylog.functions.schemas import LONG, TEXT, struct
 from ferrylog.plans import accounts
-from ferrylog.plans.read_models import run_read_model
 from ferrylog.session import load_table, new_path
 from ferrylog.sources import event_store, messages, pages, staging
 from ferrylog.streaming import consumers, stateful
