@@ -26,8 +26,8 @@ from ferrylog.session import materialise
 
 #: Repeated passages have so many words or more; suffixes are sorted by so many.
 LEAST, GRAM = 50, 16
-#: Lists with more suffixes are compared through aggregates.
-BLOCK = 4096
+#: Lists with more suffixes are compared through aggregates. A list of this length takes about 20 MB in the task that compares it.
+BLOCK = 1 << 15
 _INVERSE = np.uint64(pow(int(MULTIPLIER), -1, 1 << 64))
 
 
