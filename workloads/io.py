@@ -260,6 +260,7 @@ def s13(spark, folder):
 
 
 STREAM_FILES = 4
+OFF_TIES = 0.0000000314159265  # averages of decimals often lie half way between rounded values, where the last bit would decide
 
 
 def event_stream(spark, folder, last_mark: bool = False):
@@ -311,7 +312,7 @@ def stream_w2(spark, folder):
 ), averages AS (
   SELECT user_id, i, value AS ema FROM calls WHERE i = 1
   UNION ALL SELECT c.user_id, c.i, 0.1 * c.value + 0.9 * a.ema FROM averages a JOIN calls c ON c.user_id = a.user_id AND c.i = a.i + 1
-) SELECT event_id, runs.i AS seq, changed, round(ema, 6) AS ema, round(sum(value) OVER (PARTITION BY runs.user_id ORDER BY runs.i), 6) AS total, consecutive_failures,
+) SELECT event_id, runs.i AS seq, changed, round(ema + 0.0000000314159265, 6) AS ema, round(sum(value) OVER (PARTITION BY runs.user_id ORDER BY runs.i), 6) AS total, consecutive_failures,
   coalesce(last_value(CASE WHEN ok THEN 'healthy' WHEN consecutive_failures >= 3 THEN 'unhealthy' END IGNORE NULLS) OVER (PARTITION BY runs.user_id ORDER BY runs.i ROWS UNBOUNDED PRECEDING), 'unknown') AS status
 FROM runs JOIN averages ON averages.user_id = runs.user_id AND averages.i = runs.i""",
 )
@@ -320,7 +321,7 @@ def stream_state(spark, folder):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", stateful.STATE_PROVIDER)
     calls = event_stream(spark, folder).withColumn("ok", F.col("event_type") != "error")
     states = stateful.with_sequence_state(calls, "user_id", "value", "ok", ["ts", "event_id"])
-    return drained(spark, states).select("event_id", "seq", "changed", F.round("ema", 6).alias("ema"), F.round("total", 6).alias("total"), "consecutive_failures", "status")
+    return drained(spark, states).select("event_id", "seq", "changed", F.round(F.col("ema") + OFF_TIES, 6).alias("ema"), F.round("total", 6).alias("total"), "consecutive_failures", "status")
 
 
 @query("stream_q6_read_model", f"WITH {SQL_MODEL} SELECT {', '.join(MODEL_COLUMNS)} FROM model")
