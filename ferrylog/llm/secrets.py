@@ -44,10 +44,19 @@ BASE_RULES = (
     Rule("access", 1, r"AKIA[A-Z0-9]+", 0, 18),
     Rule("hex", 1, r"[0-9a-f]{16,}", 0, 16),  # runs are whole, so asking for 16 finds what dropping shorter runs leaves
 )
-#: What the scan looks for besides: signed web tokens and the heads of private keys.
+_CODE, _GAP, _END = "[A-Za-z0-9+/=]", r"""[ \t\r\n"'#*>|;,%!\\+/nr-]""", "-----END [A-Z ]{0,30}PRIVATE KEY-----"
+#: What follows the head of a private key: all up to its END line, if no other run of five dashes comes before; else header
+#: fields, up to 434 runs of 16 base64 characters or more with line ends and marks of comments and strings between (a key of
+#: 32,768 bits has 386), and a short last line. Loops over groups are bounded, for Java's matcher takes stack for each turn.
+_KEY_BODY = (
+    rf"(?:[^-]*(?:-{{1,4}}[^-]+){{0,250}}{_END}"
+    rf"|(?:{_GAP}+[A-Z][A-Za-z-]+:[^\n]+){{0,4}}{f'(?:{_GAP}+{_CODE}{{16,}}){{0,62}}' * 7}"
+    rf"""(?:{_GAP}+{_CODE}{{1,15}}[ \t\r"',;\\+nr]*(?:\n|\z))?(?:{_GAP}*{_END})?)"""
+)
+#: What the scan looks for besides: signed web tokens and private keys.
 MORE_RULES = (
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30),
-    Rule("pem", 1, r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", 0, 20),
+    Rule("pem", 2, r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----" + _KEY_BODY, 0, 20),
 )
 RULES = BASE_RULES + MORE_RULES
 SPAN = "struct<start:int,place:int,kind:string,stop:int,key:string>"

@@ -90,6 +90,34 @@ def test_redaction(spark, tmp_path):
         assert after[r.doc_id] == (None if r.text is None else want + r.text[at:])
 
 
+def test_no_byte_of_a_private_key_survives(spark, tmp_path):
+    head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    code = [hashlib.sha512(str(i).encode()).hexdigest().upper()[:64] for i in range(390)] + ["Zg=="]
+    fields = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF", ""]
+    dress = {
+        "plain": lambda lines: "\n".join(lines),
+        "crlf": lambda lines: "\r\n".join(lines),
+        "indented": lambda lines: "\n".join("    " + x for x in lines),
+        "commented": lambda lines: "\n".join(" * " + x for x in lines),
+        "slashes": lambda lines: "\n".join("// " + x for x in lines),
+        "dashes": lambda lines: "\n".join("-- " + x for x in lines),
+        "escaped": lambda lines: "\\n".join(lines),
+        "strings": lambda lines: " +\n".join(f'"{x}\\n"' for x in lines),
+        "one line": lambda lines: " ".join([lines[0], "".join(lines[1:-1]), lines[-1]]),
+    }
+    texts = [f"{n} before\n{f([head, *more, *code, *last])}\nKept prose after it, with more words." for n, f in dress.items() for more in ([], fields) for last in ([], [end])]
+    texts += [f"cut before\n{head}\n" + "\n".join(code[:3]) + "\nMIIEv", f"two before\n{head}\n{code[0]}\n\nKept prose after it.\n{head}\n{code[1]}\n{end}\nKept prose after it."]
+    texts += [f"bare before {head} is the head.\nKept prose after it."] * 2 + [(head + "\n") * 300 + "- " * 3000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    folder = str(tmp_path / "ledger")
+    secrets.scan_into(df, folder)
+    after = {r.doc_id: r.text for r in secrets.redact(secrets.with_findings(df, folder)).collect()}
+    for i, text in enumerate(texts):
+        assert not any(x in after[i] for x in [*code, head, "MIIEv", "0123456789ABCDEF"]), (text[:200], after[i][:200])
+        assert after[i].count("Kept prose after it") == text.count("Kept prose after it") and after[i].startswith(text.split(head)[0].split("\n")[0])
+    assert all("END" not in after[i] for i, text in enumerate(texts) if end in text)
+
+
 def test_empty_table(spark, tmp_path):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert secrets.secret_report(df, str(tmp_path / "ledger")).collect() == []
