@@ -48,7 +48,7 @@ class Settings:
     batch: int = 64
     rate: float = 0.01
     blank: float = 0.25  # share of words that a training step does not see
-    longest_word: int = 64  # the inner characters of longer words are not n-grams; the word's own embedding has them all
+    longest_word: int = 64  # longer words are read as overlapping pieces of this length
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -84,8 +84,7 @@ class Vocabulary:
 
 def character_grams(words: list[str], s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the character n-grams of words (ends marked), word after word, and their number per word."""
-    half = s.longest_word // 2
-    marked = [f"^{w}$" if len(w) <= s.longest_word else f"^{w[:half]}~{w[-half:]}$" for w in words]
+    marked = [f"^{w}$" for w in words]
     letters = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32).astype(np.uint64)
     sizes = np.fromiter(map(len, marked), np.int64, len(marked))
     firsts = np.cumsum(sizes) - sizes
@@ -112,8 +111,13 @@ def grams_of(vocabulary: Vocabulary, at: np.ndarray) -> tuple[np.ndarray, np.nda
     return vocabulary.grams[np.repeat(firsts, counts) + inside], counts
 
 
-def split_texts(texts: list[str]) -> list[list[str]]:
-    return [WORD.findall(t.lower()) for t in texts]
+def split_texts(texts: list[str], s: Settings) -> list[list[str]]:
+    """The words of each text; pieces of longer words overlap so that each n-gram lies in one of them."""
+    shared, split = max(s.grams) - 1, [WORD.findall(t.lower()) for t in texts]
+    for i, words in enumerate(split):
+        if max(map(len, words), default=0) > s.longest_word:
+            split[i] = [w[j : j + s.longest_word] for w in words for j in range(0, max(len(w) - shared, 1), s.longest_word - shared)]
+    return split
 
 
 def windows(sizes: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -242,7 +246,7 @@ def train(texts: list[str], labels: list[int], s: Settings) -> Model:
     """Train on texts with labels 0 and 1; a fifth of the texts is kept back to calibrate the scores of whole texts."""
     y = np.array(labels, np.float32)
     rng = np.random.default_rng(11)
-    split = split_texts(texts)
+    split = split_texts(texts, s)
     vocabulary = Vocabulary(s, most=1 << 60)
     codes = vocabulary.codes(split)
     words, everything = vocabulary.words, (vocabulary.words, vocabulary.grams, vocabulary.counts)
@@ -388,7 +392,7 @@ class Scorer:
     def scores(self, texts: list[str]) -> np.ndarray:
         if len(self.vocabulary.place) > self.vocabulary.most:
             self._start()
-        split = split_texts(texts)
+        split = split_texts(texts, self.s)
         codes = self.vocabulary.codes(split)
         self._project()
         sizes = np.fromiter(map(len, split), np.int64, len(split))

@@ -75,6 +75,23 @@ def test_windows_cover_texts():
     assert ends[4] == 39 and ends[3] == 16 and length.max() == 6
 
 
+def test_long_runs_are_read_whole():
+    s, rng = toxicity.Settings(window=6, stride=4, hidden=3, passes=2, least_steps=60, batch=8), np.random.default_rng(5)
+    for n in (1, 63, 64, 65, 68, 69, 124, 125, 1000):
+        run = "".join(chr(0x4E00 + i) for i in range(n))
+        pieces = toxicity.split_texts([run], s)[0]
+        assert max(map(len, pieces)) <= s.longest_word and (pieces == [run]) == (n <= s.longest_word)
+        assert all(any(run[i : i + k] in p for p in pieces) for k in s.grams for i in range(n - k + 1))
+    texts, labels = [], []
+    for i in range(240):
+        words = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(40)]
+        words[18:18 + 2 * (i % 2)] = ["zwqxvu", "xuvqwz"] * (i % 2)
+        texts.append("_".join(words))
+        labels.append(i % 2)
+    scores = toxicity.Scorer(toxicity.train(texts[:200], labels[:200], s), s).scores(texts[200:])
+    assert auc(scores, labels[200:]) >= 0.95
+
+
 def test_odd_rows(spark):
     rows = [(1, None, 0), (2, "", 1), (2, "", 1), (None, "idiot " * 30_000, 2), (3, "x" * 200_000, 2), (4, "!!!", 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, score long")
