@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrylog.llm import bpe, learning, licences, minhash, mixing, pivots, projections, quality, secrets, suffixes, toxicity
+from ferrylog.llm import bpe, decontamination, learning, licences, minhash, mixing, negatives, pivots, projections, quality, runs, secrets, suffixes, toxicity
 from ferrylog.llm.common import table
 from ferrylog.session import new_path
 
@@ -191,3 +191,68 @@ def _(spark, folder):
 @query("op10_byte_bpe")
 def _(spark, folder):
     return bpe.token_digests(table(spark, folder, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
+NEGATIVES_SQL = f"""
+WITH fit AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+met AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS alike, list_dot_product(a.e, b.e)::BIGINT AS score
+  FROM fit a JOIN fit b ON a.vec_id % 50 = 0 AND a.vec_id != b.vec_id),
+positives AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM met WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= {negatives.POSITIVES})
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id))::INTEGER AS rank, other_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN met USING (anchor_id) WHERE NOT alike AND {negatives.LOW} * positive_score <= 100 * score AND 100 * score <= {negatives.HIGH} * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) <= {negatives.NEGATIVES}"""
+
+
+@query("op11_hard_negatives", NEGATIVES_SQL)
+def _(spark, folder):
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, folder, "embeddings").withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
+_CRC32 = """xor(list_reduce([4294967295::BIGINT] || flatten(list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: [ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+  lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295)"""
+RUNS_SQL = f"""
+WITH cut AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-]+'), lambda x: x != '') AS w, {_CRC32} AS h FROM documents),
+sized AS (SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS planted, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a, (h // 10) % 8 AS turns FROM cut),
+texts AS (SELECT doc_id, CASE WHEN planted THEN list_transform(range(0, n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + turns)) END]) ELSE w END AS w FROM sized),
+places AS (SELECT doc_id, unnest(range(0, len(w))) AS i, unnest(w) AS x, len(w) AS n FROM texts),
+equal AS (SELECT a.doc_id, b.i - a.i AS p, a.i FROM places a JOIN places b ON a.doc_id = b.doc_id AND a.x = b.x AND a.i < b.i AND 4 * (b.i - a.i) <= a.n),
+islands AS (SELECT doc_id, p, i, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS island FROM equal),
+found AS (SELECT doc_id, min(i) AS start, count(*) + p AS length, p AS period FROM islands GROUP BY doc_id, p, island HAVING count(*) + p >= greatest({runs.LEAST_WORDS}, {runs.LEAST_PERIODS} * p)),
+kept AS (SELECT * FROM found f WHERE NOT EXISTS (SELECT 1 FROM found o WHERE o.doc_id = f.doc_id AND o.period < f.period AND o.start <= f.start AND o.start + o.length >= f.start + f.length)),
+best AS (SELECT * FROM kept QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, start, period) = 1),
+told AS (SELECT doc_id, count(*) AS n_runs, string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS runs FROM kept GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM kept),
+collapsed AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t FROM places ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, start::BIGINT AS start, length::BIGINT AS length, period::BIGINT AS period, (1000 * length // period)::BIGINT AS exponent_milli,
+  sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM documents d LEFT JOIN told USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN collapsed USING (doc_id)"""
+
+
+@query("op12_periodic_runs", RUNS_SQL)
+def _(spark, folder):
+    return runs.run_report(table(spark, folder, "documents"), planted=True)
+
+
+def _bare_words(text: str) -> str:
+    return f"list_filter(regexp_split_to_array(translate(coalesce({text}, ''), '{_UPPER}', '{_UPPER.lower()}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x != '')"
+
+
+LEAKS_SQL = f"""
+WITH items AS (SELECT item_id, {_bare_words("text")} AS w FROM benchmark),
+windows AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, greatest(len(w) - {decontamination.WORDS - 2}, 2)), lambda i: array_to_string(w[i:i + {decontamination.WORDS - 1}], ' '))) AS x,
+  least(len(w), {decontamination.WORDS}) AS k FROM items WHERE len(w) > 0),
+docs AS (SELECT doc_id, {_bare_words("text")} AS w FROM documents),
+places AS (SELECT doc_id, k, unnest(range(0, len(w) - k + 1)) AS i, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS x FROM docs, (SELECT DISTINCT k FROM windows) WHERE len(w) >= k),
+met AS (SELECT doc_id, item_id, i, k FROM places JOIN windows USING (k, x)),
+hit AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS j FROM met) GROUP BY doc_id),
+told AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM met) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN told USING (doc_id)"""
+
+
+@query("op13_decontamination", LEAKS_SQL)
+def _(spark, folder):
+    return decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("spans")
