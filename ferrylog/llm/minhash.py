@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from ferrylog.llm.common import MULTIPLIER, WordHashes, arrow_table, bounded_batches, free_name, mix, small_pieces
 from ferrylog.llm.graph import components, follow
+from ferrylog.operators.skew import lookup_join
 from ferrylog.session import materialise, new_path
 
 SHINGLE = 5
@@ -175,9 +176,9 @@ class ShingleSets:
                 own = [set_digest(s) == i for s, i in zip(sets, batch.column("set_id").to_pylist(), strict=True)]
                 yield arrow_table({"rep": batch.column("rep"), "shingles": [s.tobytes() for s in sets]}, schema).filter(pa.array(own))
 
-        texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
-        # rows that repeat an id and a text are one; the digest tells rows of one id and different texts apart
-        own = texts.join(wanted, "rep").withColumn("_same", F.xxhash64("_text")).dropDuplicates(["rep", "_same"]).select("rep", "set_id", "_text")
+        texts = docs.select(F.col("doc_id").cast("long").alias("low"), text_key(text).alias("low_text"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
+        # one text of each class, which its smallest id and a hash name; rows that repeat both are one
+        own = texts.join(wanted, ["low", "low_text"]).dropDuplicates(["rep"]).select("rep", "set_id", "_text")
         sets = own.mapInArrow(run, "rep long, shingles binary").repartition(self.parts, "rep")
         sets.write.bucketBy(self.parts, "rep").sortBy("rep").option("path", self.path).saveAsTable(self.name)
 
@@ -300,7 +301,7 @@ def _components(spark: SparkSession, docs: DataFrame, classes: DataFrame, text:
         return filed.join(materialise(ends.select("key", "low"), "ends"), "key")
 
     filed = materialise(in_shared_buckets(postings(classes), "rep").select("key", "slot", "rep", "low"))
-    sets = ShingleSets(docs, filed.select("rep").distinct().join(classes.select("rep", "set_id"), "rep"), text)
+    sets = ShingleSets(docs, filed.select("rep").distinct().join(classes.select("rep", "set_id", "low", "low_text"), "rep"), text)
 
     def nearest(stars: DataFrame) -> DataFrame:
         """Of its candidate centres ``a`` each class ``b`` has the nearest, if that is a link."""
@@ -358,17 +359,22 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     ``component_id`` is the smallest ``doc_id`` that links lead to, its own included; ``kept`` says that it is its own. Null
     and empty texts and those of blanks have an empty set and are linked with nothing. A text of fewer words than a
     shingle is one shingle. Rows without an id take no part and are kept, with a null component. Rows that repeat an id and
-    a text are one document, each row with its result. If an id stands for several texts, one of them (that of the smallest
-    digest) looks for links and the others for exact copies only. An empty table gives none. Other columns are not looked at.
+    a text are one document, each row with its result. If an id stands for several texts, each of them has the links of its own
+    text. An empty table gives none. Other columns are not looked at.
     """
     spark = docs.sparkSession
     drawn = materialise(sketches(docs, text), "sketches")
     grouped = drawn.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_id")
-    classes = materialise(grouped.agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.first("signature").alias("signature"), F.first("odd").alias("odd")), "classes")
-    alone = classes.groupBy("rep").agg(F.min("set_id").alias("set_id"))
-    labels = _components(spark, docs, classes.join(alone, ["rep", "set_id"], "left_semi"), text)
-    linked = alone.join(labels, "rep").select("set_id", "comp")
-    named = materialise(classes.select("set_id", "rep").join(linked, "set_id", "left").select("set_id", F.coalesce("comp", "rep").alias("_component")))
+    least = F.min(F.struct("doc_id", "text_key")).alias("least")
+    sets = grouped.agg(least, F.min("n_shingles").alias("n"), F.first("signature").alias("signature"), F.first("odd").alias("odd"))
+    # classes of equal sets have numbers of their own, since an id may stand for several of them
+    classes = materialise(
+        sets.select(F.monotonically_increasing_id().alias("rep"), "set_id", F.col("least.doc_id").alias("low"), F.col("least.text_key").alias("low_text"), "n", "signature", "odd"), "classes"
+    )
+    linked = materialise(classes.select("rep", "set_id", "low").join(_components(spark, docs, classes, text), "rep"), "linked")
+    smallest = materialise(linked.groupBy("comp").agg(F.min("low").alias("_component")), "smallest")
+    linked = lookup_join(linked.select("set_id", "comp"), smallest, ["comp"], ["set_id"]).select("set_id", "_component")
+    named = materialise(classes.select("set_id", "low").join(linked, "set_id", "left").select("set_id", F.coalesce("_component", "low").alias("_component")))
     own = F.when(F.col("n_shingles") > 0, F.coalesce("_component", "doc_id")).otherwise(F.col("doc_id"))
     return (
         drawn.select("doc_id", "text_key", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_id")).alias("set_id"))
@@ -383,9 +389,9 @@ def without_near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Of rows that repeat an id and a text one stays; null and empty texts belong to no group.
     """
-    key, number = free_name(docs, "_key"), free_name(docs, "_number")
-    kept = near_duplicates(docs, text).where("kept").select("doc_id", "text_key").distinct().toDF("_kept_id", "_kept_key")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")) & (F.col(key) == F.col("_kept_key"))
+    key, number, kept_id, kept_key = (free_name(docs, n) for n in ("_key", "_number", "_kept_id", "_kept_key"))
+    kept = near_duplicates(docs, text).where("kept").select("doc_id", "text_key").distinct().toDF(kept_id, kept_key)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(kept_id)) & (F.col(key) == F.col(kept_key))
     rows = docs.withColumn(key, text_key(text)).join(kept, same, "left_semi")
     first = F.row_number().over(Window.partitionBy("doc_id", key).orderBy("doc_id"))
     return rows.withColumn(number, first).where(F.col(number) == 1).select(*docs.columns)

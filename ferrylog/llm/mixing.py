@@ -65,6 +65,8 @@ def mix_sources(
     source: str = "source",
     doc_id: str = "doc_id",
     size: Column | None = None,
+    copy: str = "mix_copy",
+    key: str = "mix_key",
 ) -> DataFrame:
     """Documents repeated so that each source takes its weight's share of ``budget`` times the corpus, then shuffled.
 
@@ -73,9 +75,9 @@ def mix_sources(
     ``size`` measures a row (default: characters of ``text``); a group of size 0 is dropped. ``rest`` is the weight of
     all sources that ``weights`` does not name, null sources among them. Rows of one id share one draw, so exact
     repeats of a row are repeated alike; a null id counts as the empty id. An empty table gives an empty mix. Input
-    columns named like those added are replaced.
+    columns named like those added (``copy``, ``key``) are replaced.
     """
-    docs = docs.drop("mix_copy", "mix_key")
+    docs = docs.drop(copy, key)
     draw, number = free_name(docs, "_draw"), free_name(docs, "_number")
     size = F.coalesce(F.length("text"), F.lit(0)) if size is None else size
     rates = repetition_rates(docs, weights, rest, budget, source, size)
@@ -92,7 +94,7 @@ def mix_sources(
         is_group = F.col(source) == g if g is not None else ~F.coalesce(F.col(source).isin(list(weights)), F.lit(False))
         copies = F.when(is_group, count(rate)).otherwise(copies)
     counted = docs.withColumn(draw, drawn).withColumn(number, copies).where(F.col(number) > 0).drop(draw)
-    many = counted.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col(number)))).drop(number)
-    keyed = many.withColumn("mix_key", uniform(doc_id, "mix_copy", seed=seed + 1))
+    many = counted.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(number)))).drop(number)
+    keyed = many.withColumn(key, uniform(doc_id, copy, seed=seed + 1))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return keyed.repartitionById(parts, (F.col("mix_key") / F.lit(scale) * parts).cast("int")).sortWithinPartitions("mix_key", "mix_copy")
+    return keyed.repartitionById(parts, (F.col(key) / F.lit(scale) * parts).cast("int")).sortWithinPartitions(key, copy)

@@ -11,6 +11,7 @@ and a spanning forest.
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator
 
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 
 from ferrylog.llm.common import arrow_table
 from ferrylog.llm.graph import components
-from ferrylog.llm.vectors import distinct_vectors, matrix, unit, usable
+from ferrylog.llm.vectors import distinct_vectors, matrix, sizes_of, unit, usable
+from ferrylog.operators.skew import lookup_join
 from ferrylog.session import materialise
 
 #: How many reference points, of how many hash-chosen vectors, none closer to another than this cosine.
@@ -36,7 +38,7 @@ def choose_pivots(classes: DataFrame, size: int, count: int = PIVOTS) -> np.ndar
 
     Near copies would describe one place many times over and part what lies there, so the first one stands for them.
     """
-    sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("vector").collect()
+    sample = classes.orderBy(F.xxhash64("low"), "low", "rep").limit(SAMPLE).select("vector").collect()
     if not sample:
         return np.zeros((0, size))
     points = unit(np.array([r["vector"] for r in sample], np.float64).reshape(-1, size))
@@ -186,20 +188,27 @@ def near_vectors(rows: DataFrame, least: float = 0.9, vec_id: str = "vec_id", ve
 
     A link is a pair with a cosine of ``least`` or more that the index finds; ``n_links`` counts the other rows linked directly
     (copies of the vector are), ``component_id`` is the smallest id that links lead to, ``kept`` says that it is the row's own.
-    Vectors that are null, empty, zero, of another size than most, or hold null or non-finite components are linked with nothing.
+    Vectors that are null, empty, zero, or hold null or non-finite components are linked with nothing; others with vectors of as many
+    components, each length having an index of its own. An id that stands for several vectors has a row, and links, for each.
     Rows without an id take no part and are kept. An empty table gives none. Other columns are not looked at.
     """
-    classes, size = distinct_vectors(rows, vec_id, vector)
-    pivots = choose_pivots(classes, size, count)
+    classes = distinct_vectors(rows, vec_id, vector)
     ids = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("_vector"))
-    ids = ids.withColumn("_vector", F.when(usable("_vector") & (F.size("_vector") == size) & F.col("vec_id").isNotNull(), F.col("_vector")))
+    ids = ids.withColumn("_vector", F.when(usable("_vector") & F.col("vec_id").isNotNull(), F.col("_vector")))
     none = F.col("vec_id").alias("component_id")
-    if not len(pivots):
+    blocks = []
+    for size in sizes_of(classes, "vector"):
+        own = classes.where(F.size("vector") == size)
+        pivots = choose_pivots(own, size, count)
+        blocks.append(materialise(links_of(described(own, pivots, size, prefix), len(pivots), size, least), "links"))
+    if not blocks:
         return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), none, F.lit(True).alias("kept"))
-    found = materialise(links_of(described(classes, pivots, size, prefix), len(pivots), size, least), "links")
+    found = functools.reduce(DataFrame.union, blocks)
     numbers = found.groupBy("rep").agg(F.sum("linked").alias("linked"))
-    roots = components(found.select("rep", "root")).withColumnRenamed("node", "rep")
+    roots = materialise(classes.select("rep", "low").join(components(found.select("rep", "root")).withColumnRenamed("node", "rep"), "rep"), "roots")
+    smallest = materialise(roots.groupBy("root").agg(F.min("low").alias("smallest")), "smallest")
+    roots = lookup_join(roots.select("rep", "root"), smallest, ["root"], ["rep"]).select("rep", "smallest")
     told = classes.join(numbers, "rep", "left").join(roots, "rep", "left")
-    told = materialise(told.select(F.col("vector").alias("_vector"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("_links"), F.coalesce("root", "rep").alias("_root")))
+    told = materialise(told.select(F.col("vector").alias("_vector"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("_links"), F.coalesce("smallest", "low").alias("_root")))
     out = ids.join(told, "_vector", "left").select("vec_id", F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("_root", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -12,6 +12,7 @@ cell first; with the distance found there, the same test rules out other cells,
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -20,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferrylog.llm.vectors import matrix, unit, usable, usual_size
+from ferrylog.llm.vectors import matrix, sizes_of, unit, usable
 from ferrylog.session import materialise
 
 SIZE, CHANCE = 8, 0.98
@@ -185,15 +186,24 @@ def nearest(rows: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", vecto
     """``query_id, rank, vec_id, score``: the ``k`` nearest by cosine, found among all rows but those of the query's own id.
 
     ``is_query`` is a condition on ``rows``. Nearest first, ties to the smaller id; fewer if there are fewer candidates.
-    Rows without an id and vectors that are null, empty, zero, of another size than most, or hold null or non-finite components take
-    no part, also not as queries. Rows that repeat an id and its vector are one. Of equal vectors only the ``k + 1`` smallest
+    Rows without an id and vectors that are null, empty, zero, or hold null or non-finite components take no part, also not as queries;
+    the others are compared with those of as many components, each length having an index of its own. Rows that repeat an id and its vector are one. Of equal vectors only the ``k + 1`` smallest
     ids can be among the nearest, so only these are indexed. An empty table gives none. Other columns are not looked at.
     """
-    spark = rows.sparkSession
     chosen = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     chosen = chosen.where(F.col("vec_id").isNotNull() & usable("vector"))
-    width = usual_size(chosen, "vector")
-    chosen = chosen.where(F.size("vector") == width).groupBy("vec_id", "vector").agg(F.max("asks").alias("asks"))
+    found = [_nearest_of(chosen.where(F.size("vector") == width), width, k, size, chance) for width in sizes_of(chosen, "vector")]
+    if not found:
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    if len(found) > 1:  # an id may stand for vectors of several lengths
+        found = [_top(functools.reduce(DataFrame.union, found).drop("rank"), k)]
+    return found[0].select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+
+
+def _nearest_of(chosen: DataFrame, width: int, k: int, size: int, chance: float) -> DataFrame:
+    """``query_id, rank, vec_id, score`` for ``vec_id, vector, asks`` with vectors of ``width`` components."""
+    spark = chosen.sparkSession
+    chosen = chosen.groupBy("vec_id", "vector").agg(F.max("asks").alias("asks"))
     copies = Window.partitionBy("vector").orderBy("vec_id")
     # each task keeps its first k + 1 of a vector before the shuffle
     few = chosen.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1)
@@ -216,8 +226,6 @@ def nearest(rows: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", vecto
     points = materialise(flat.mapInArrow(project, "vec_id long, vector array<double>, projected array<double>, asks boolean, indexed boolean"), "projected")
     count = points.where("indexed").count()
     sample = points.where("indexed").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("projected").collect()
-    if not sample:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     cells = spark.sparkContext.broadcast(Cells(np.array([r["projected"] for r in sample]), max(1, math.ceil(count / CELL))))
 
     @F.pandas_udf("int")
@@ -252,4 +260,4 @@ def nearest(rows: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", vecto
     limit = F.when(F.col("known") == never, float("inf")).otherwise((2 - 2 * F.col("known")) * quantile + 1e-12)
     again = again.withColumn("cell", F.explode(cells_within("projected", limit))).where("cell != own")
     found = _searched(held, to_shards(again), k, quantile).union(first.select("query_id", "vec_id", "score"))
-    return _top(found, k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    return _top(found, k).select("query_id", "rank", "vec_id", "score")

@@ -131,18 +131,17 @@ def findings(spark, folder: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return spans.select("blob", F.array_sort(F.array_distinct(F.filter("found", lambda x: x.key.isin(keys)))).alias("found")).where(F.size("found") > 0)
 
 
-def with_findings(versions: DataFrame, folder: str, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """All rows and columns of ``versions`` and ``_found``, the spans in that row's text (empty: none).
+def with_findings(versions: DataFrame, folder: str, rules: tuple[Rule, ...] = RULES, text: str = "text", found: str = "_found") -> DataFrame:
+    """All rows and columns of ``versions`` and ``found``, a name they do not have: the spans in that row's text (empty: none).
 
     Rows of equal text all get the findings; the join's hot blobs are left to adaptive skew joins, the side with the
-    findings having one row per blob. A column ``_found`` of the input is replaced.
+    findings having one row per blob.
     """
-    versions = versions.drop("_found")
-    key = free_name(versions, "_blob")
+    key, spans = free_name(versions, "_blob"), free_name(versions, "_known")
     # written first: a plain join on both sides' own shuffles is one whose hot blobs can be split
-    known = materialise(findings(versions.sparkSession, folder, rules), "findings").select(F.col("blob").alias(key), F.col("found").alias("_known"))
+    known = materialise(findings(versions.sparkSession, folder, rules), "findings").select(F.col("blob").alias(key), F.col("found").alias(spans))
     joined = versions.withColumn(key, blob_of(F.col(text))).join(known, key, "left")
-    return joined.select(*versions.columns, F.coalesce(known["_known"], F.array().cast(f"array<{SPAN}>")).alias("_found"))
+    return joined.select(*versions.columns, F.coalesce(known[spans], F.array().cast(f"array<{SPAN}>")).alias(found))
 
 
 def _of(kind: str):
@@ -167,13 +166,13 @@ def secret_report(versions: DataFrame, folder: str, carried: tuple[str, ...] = (
     return rows.select(*carried, *counts, digest, spans_text(found).alias("spans"))
 
 
-def redact(rows: DataFrame, text: str = "text", mark: str = REDACTED) -> DataFrame:
-    """``rows`` with ``_found`` (of :func:`with_findings`) dropped and every stretch that spans cover replaced by ``mark``.
+def redact(rows: DataFrame, text: str = "text", mark: str = REDACTED, found: str = "_found") -> DataFrame:
+    """``rows`` with ``found`` (of :func:`with_findings`) dropped and every stretch that spans cover replaced by ``mark``.
 
     Overlapping and touching spans are one stretch. Null texts stay null. Merging costs the square of a text's spans
     in copied references, and each stretch a substring of the text.
     """
-    columns, merged, cut = [c for c in rows.columns if c != "_found"], free_name(rows, "_merged"), free_name(rows, "_cut")
+    columns, merged, cut = [c for c in rows.columns if c != found], free_name(rows, "_merged"), free_name(rows, "_cut")
     stretch = "struct<start:int,stop:int>"
 
     def join(done: Column, x: Column) -> Column:
@@ -181,9 +180,9 @@ def redact(rows: DataFrame, text: str = "text", mark: str = REDACTED) -> DataFra
         longer = F.struct(last.start.alias("start"), F.greatest(last.stop, x.stop).alias("stop"))
         return F.when(x.start <= last.stop, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(x)))
 
-    spans = F.transform("_found", lambda x: F.struct(x.start.alias("start"), x.stop.alias("stop")))
+    spans = F.transform(found, lambda x: F.struct(x.start.alias("start"), x.stop.alias("stop")))
     before = F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("stop")).cast(stretch)
-    rows = rows.withColumn(merged, F.when(F.size("_found") > 0, F.aggregate(spans, F.array(before), join)))
+    rows = rows.withColumn(merged, F.when(F.size(found) > 0, F.aggregate(spans, F.array(before), join)))
     # pairs of neighbouring stretches: what lies between them is kept
     rows = rows.withColumn(cut, F.arrays_zip(F.slice(merged, 1, F.size(merged) - 1).alias("left"), F.slice(merged, 2, F.size(merged)).alias("right")))
     whole = F.col(text)

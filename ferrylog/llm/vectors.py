@@ -15,18 +15,16 @@ def usable(vector: str) -> Column:
     return F.coalesce(F.col(vector).isNotNull() & ~bad & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def usual_size(rows: DataFrame, vector: str) -> int:
-    """The number of components that most vectors have (of several, the smallest); 0 without any."""
-    found = rows.groupBy(F.size(vector).alias("size")).count().orderBy(F.col("count").desc(), "size").first()
-    return found["size"] if found else 0
+def sizes_of(rows: DataFrame, vector: str) -> list[int]:
+    """The numbers of components that vectors have, of which a table has few: each is indexed on its own."""
+    return sorted(r["size"] for r in rows.select(F.size(vector).alias("size")).distinct().collect())
 
 
-def distinct_vectors(rows: DataFrame, vec_id: str, vector: str) -> tuple[DataFrame, int]:
-    """``vector, rep, copies`` of the usable vectors of the usual size, and that size; rows without an id take no part."""
+def distinct_vectors(rows: DataFrame, vec_id: str, vector: str) -> DataFrame:
+    """``vector, rep, low, copies`` of the usable vectors: a number of its own, the smallest id and the rows of each; rows without an id take no part."""
     chosen = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vector")).where(F.col("vec_id").isNotNull() & usable("vector"))
-    size = usual_size(chosen, "vector")
-    classes = chosen.where(F.size("vector") == size).groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    return materialise(classes, "vectors"), size
+    classes = chosen.groupBy("vector").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"))
+    return materialise(classes.select("vector", F.monotonically_increasing_id().alias("rep"), "low", "copies"), "vectors")
 
 
 def matrix(column, size: int) -> np.ndarray:

@@ -115,6 +115,23 @@ def test_repeated_and_missing_ids(spark):
     assert minhash.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_ids_of_several_texts(spark):
+    rng = random.Random(9)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    base, other = fresh(300), fresh(300)
+    near = lambda words: edited(rng, words, 2)
+    rows = [(1, " ".join(fresh(80))), (1, near(base)), (2, near(base)), (5, near(base)), (1, near(other)), (7, near(other)), (8, near(other)), (7, " ".join(fresh(50)))]
+    rows += [(0, " ".join(fresh(20))) for _ in range(60)] + [(0, near(other)), (9, " ".join(base)), (9, " ".join(base))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    have = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect())
+    sets = [shingles(t) for _, t in rows]
+    linked = [[i == j or 100 * len(x & y) >= 85 * len(x | y) for j, y in enumerate(sets)] for i, x in enumerate(sets)]
+    reach = np.linalg.matrix_power(np.array(linked, np.int64), 8) > 0
+    want = [(i, len(x), min(rows[j][0] for j in np.flatnonzero(reach[n]))) for n, ((i, _), x) in enumerate(zip(rows, sets, strict=True))]
+    assert have == sorted((i, n, c, i == c) for i, n, c in want)
+    assert {c for i, _, c in want if i in (2, 5, 9)} == {1} and {c for i, _, c in want if i == 8} == {0}
+
+
 def test_components(spark):
     rng = random.Random(4)
     nodes = rng.sample(range(10**9), 400)

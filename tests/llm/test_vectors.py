@@ -66,6 +66,38 @@ def test_one_tight_cluster_and_repeats(spark):
     assert len(pivots.near_vectors(spark.createDataFrame(rows_of(ODD[:2], [1, 2]), SCHEMA)).collect()) == 2
 
 
+def several_lengths() -> list:
+    rng = np.random.default_rng(8)
+    rows = []
+    for width, first in ((16, 0), (3, 1000), (2, 2000)):
+        centres = rng.normal(size=(4, width))
+        vectors = [*(np.repeat(centres, 10, axis=0) + 0.02 * rng.normal(size=(40, width))), centres[0], centres[0]]
+        rows += rows_of(vectors, range(first, first + 42))
+    return rows + rows_of([[3.0], rows[0][1], rows[60][1]], [50, 1005, 20])  # a length of its own; ids of several vectors
+
+
+def test_every_length_is_indexed(spark):
+    rows = several_lengths()
+    df = spark.createDataFrame(rows, SCHEMA)
+    ids, n = [r[0] for r in rows], len(rows)
+    unit = [np.array(r[1], np.float32).astype(float) / np.linalg.norm(np.array(r[1], np.float32).astype(float)) for r in rows]
+    cosine = [[float(x @ y) if len(x) == len(y) else -2.0 for y in unit] for x in unit]
+    linked = np.array([[i != j and cosine[i][j] >= 0.9 for j in range(n)] for i in range(n)])
+    reach = np.linalg.matrix_power(linked + np.eye(n), 8) > 0
+    want = sorted((ids[i], int(linked[i].sum()), min(ids[j] for j in np.flatnonzero(reach[i]))) for i in range(n))
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in pivots.near_vectors(df).collect()) == want
+
+    have: dict[int, list] = {}
+    for r in projections.nearest(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        have.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    asked = {i for i in ids if i % 50 == 0}
+    assert set(have) == {i for i in asked if any(ids[j] != i and cosine[ids.index(i)][j] > -2 for j in range(n))}
+    for q in set(have):
+        own = [i for i in range(n) if ids[i] == q]
+        best = sorted((-cosine[i][j], ids[j]) for i in own for j in range(n) if ids[j] != q and cosine[i][j] > -2)[:5]
+        assert len(have[q]) == 5 and np.allclose([s for _, s in have[q]], [-c for c, _ in best])
+
+
 def test_chi_square():
     assert math.isclose(projections.chi_square_quantile(0.95, 2), 5.991464547, rel_tol=1e-6)
     assert math.isclose(projections.chi_square_quantile(0.99, 8), 20.09023503, rel_tol=1e-6)
