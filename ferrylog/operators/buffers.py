@@ -1,9 +1,11 @@
 """Greedy time buffers: a buffer closes with the first row at least ``span`` after the last close.
 
-Where the next buffer closes depends on where the one before closed, so the rule is a chain.
-Each (key, segment) is reduced on its own to the few rows where the chain can enter it, each
-with the row where it would leave; one ordered sweep over those entries gives every segment
-the close time it starts from, and the segments are then marked independently.
+Where the next buffer closes depends on where the one before closed, so the rule is a chain. Each (key, segment) is
+a step map from the close before it to the last close in it: the few times at which chains can enter, each with the time
+at which they leave. Maps of later segments are applied to earlier ones' results by pointers: each step points to the step that takes
+up where it leaves, pointers are doubled by joins, and the steps on the path from a key's first row are found in a number of
+joins that is the logarithm of the path. These say which close every segment starts from; then segments are marked
+independently. No key, and no table without keys, is swept by one task, however long the span is.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ferrylog.operators.ordering import SEGMENT, TARGET_ROWS, with_segments
+from ferrylog.operators.ordering import SEGMENT, TARGET_ROWS, running, with_segments
 from ferrylog.session import materialise
 
 
@@ -63,6 +65,43 @@ def _mark(times: np.ndarray, last: int, span: int, closes: np.ndarray, number: n
     return last, count
 
 
+def _next_steps(steps: DataFrame, span: int, keys: Sequence[str], target_rows: int) -> DataFrame:
+    """``_from, _next``: which step (by ``_id``) takes up a chain that leaves the step ``_from``; -1 is a key's first row."""
+    first = steps.groupBy(*keys).agg(F.min("_at").alias("_leave")).withColumn("_id", F.lit(-1).cast("long"))
+    asked = steps.select(*keys, "_leave", "_id").unionByName(first)
+    places = steps.select(*keys, (-F.col("_at")).alias("_t"), F.lit(0).alias("_kind"), (-F.col(SEGMENT)).alias("_s"), "_id")
+    probes = asked.select(*keys, (-F.col("_leave") - span).alias("_t"), F.lit(1).alias("_kind"), F.lit(0).cast("long").alias("_s"), "_id")
+    # backwards in time, the last step passed is the first one at or after the probe, of equal times that of the first segment
+    seen = {"_next": ("last", F.when(F.col("_kind") == 0, F.col("_id")))}
+    found = running(places.unionByName(probes), seen, ["_t", "_kind", "_s", "_id"], keys, target_rows)
+    return found.filter("_kind = 1 AND _next IS NOT NULL").select(F.col("_id").alias("_from"), "_next")
+
+
+def _on_path(pointers: DataFrame) -> DataFrame:
+    """``_id`` of all steps that -1 leads to; with pointers of 2**n steps, 2**n more of them each turn."""
+    jumps = materialise(pointers.filter("_from >= 0"), "jumps")
+    path = materialise(pointers.filter("_from < 0").select(F.col("_next").alias("_id")), "path")
+    while True:
+        more = materialise(path.join(jumps, F.col("_id") == F.col("_from")).select(F.col("_next").alias("_id")), "more")
+        if more.isEmpty():
+            return path
+        path = materialise(path.union(more), "path")
+        further = jumps.select(F.col("_from").alias("_next"), F.col("_next").alias("_far"))
+        jumps = materialise(jumps.join(further, "_next").select("_from", F.col("_far").alias("_next")), "jumps")
+
+
+def _starts(steps: DataFrame, span: int, keys: Sequence[str], target_rows: int) -> DataFrame:
+    """Per (key, segment) ``_start``, the last close before it, or the key's first time."""
+    path = _on_path(materialise(_next_steps(steps, span, keys, target_rows), "pointers"))
+    taken = steps.join(path, "_id").select(*keys, SEGMENT, "_leave")
+    begun = steps.select(*keys, SEGMENT, "_at")
+    segments = begun.unionByName(taken, allowMissingColumns=True).groupBy(*keys, SEGMENT).agg(F.min("_at").alias("_at"), F.max("_leave").alias("_leave"))
+    ordered = Window.partitionBy(*keys).orderBy(SEGMENT)  # a row per segment
+    last = F.max("_leave").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    first = F.min("_at").over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return materialise(segments.select(*keys, SEGMENT, F.coalesce(last, first).alias("_start")), "starts")
+
+
 def buffer_greedy(
     df: DataFrame,
     ts: str,
@@ -76,6 +115,8 @@ def buffer_greedy(
     The clock starts with the first row of a key; the last buffer may stay open.
     """
     span = round(span_seconds * 1_000_000)
+    if span < 1:
+        raise ValueError("a buffer spans at least a microsecond")
     rows, split = with_segments(df.withColumn("_us", F.unix_micros(ts)), order, keys, target_rows)
     group = [*keys, SEGMENT]
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
@@ -88,32 +129,15 @@ def buffer_greedy(
             out.insert(i, name, key[i])
         return out
 
-    def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # entries arrive sorted by key, segment and time; a segment may go on in the next batch
-        current, segment, last, entered = object(), None, None, True
-        for batch in batches:
-            found, at, leave = [], batch["_at"].to_numpy(), batch["_leave"].to_numpy()
-            changes = _changes(batch, group)
-            for a, b in itertools.pairwise([*np.flatnonzero(changes), len(batch)]):
-                *key, seg = (None if pd.isna(v) else v for v in batch[group].iloc[a])
-                if key != current:
-                    current, segment, last = key, None, at[a]
-                if seg != segment:
-                    segment, entered = seg, False
-                    found.append((*key, seg, last))
-                if not entered and (i := a + int(np.searchsorted(at[a:b], last + span, side="left"))) < b:
-                    last, entered = leave[i], True
-            yield pd.DataFrame(found, columns=[*group, "_start"])
-
     begun = rows.withColumn("_start", F.lit(None).cast("long"))
     if split:
         several = rows.select(*group).distinct().withColumn("_pieces", F.count(F.lit(1)).over(Window.partitionBy(*keys))).filter("_pieces > 1")
         same = [F.col(f"r.{n}").eqNullSafe(F.col(f"s.{n}")) for n in group]
         cut = rows.alias("r").join(several.alias("s"), same, "left_semi").select(*group, "_us")
-        reach = cut.groupBy(*group).applyInPandas(entries, f"{group_schema}, _at long, _leave long")
-        reach = reach.repartition(*keys) if keys else reach.coalesce(1)
-        starts = reach.sortWithinPartitions(*group, "_at").mapInPandas(sweep, f"{group_schema}, _start long")
+        steps = cut.groupBy(*group).applyInPandas(entries, f"{group_schema}, _at long, _leave long")
+        starts = _starts(materialise(steps.withColumn("_id", F.monotonically_increasing_id()), "steps"), span, keys, target_rows)
         begun = rows.alias("r").join(starts.alias("s"), same, "left").select("r.*", "s._start")
+
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # rows arrive sorted by group and time; a group may go on in the next batch
         current, last, count = None, 0, 0

@@ -124,6 +124,25 @@ def test_greedy_buffer_is_the_sequential_rule(skewed, span):
     assert list(zip(found.buffer_id, found.closes)) == want
 
 
+@pytest.mark.parametrize("span", [0.000001, 3600, 86400, 400_000, 5_000_000])
+def test_greedy_buffer_without_keys(skewed, span):
+    """Segments of some 50 rows: the spans are shorter and much longer than these, and longer than all rows together."""
+    rows = timed(skewed).filter("event_id % 20 < 3").select("event_id", "ts")
+    found = buffer_greedy(rows, "ts", span, ORDER, (), 50).toPandas().sort_values(ORDER)
+    last, number, want = found.ts.iloc[0], 0, []
+    for ts in found.ts:
+        closes = (ts - last).total_seconds() >= span
+        want.append((number, closes))
+        if closes:
+            last, number = ts, number + 1
+    assert list(zip(found.buffer_id, found.closes)) == want and len(want) > 1000
+
+
+def test_greedy_buffer_needs_a_span(skewed):
+    with pytest.raises(ValueError):
+        buffer_greedy(skewed, "ts", 0, ORDER)
+
+
 def test_throttle_is_the_sequential_rule(skewed):
     rows = timed(skewed)
     a, b = both(lambda t: sequences.throttle(rows, "ts", 3600, ORDER, ["user_id"], t), skewed, ["emit_us"])
