@@ -52,7 +52,7 @@ def _changes(batch: pd.DataFrame, names: Sequence[str]) -> np.ndarray:
     return changes
 
 
-def _mark(times: np.ndarray, last: int, span: int, closes: np.ndarray, number: np.ndarray, count: int) -> tuple[int, int]:
+def mark_closes(times: np.ndarray, last: int, span: int, closes: np.ndarray, number: np.ndarray, count: int) -> tuple[int, int]:
     """Fill ``closes`` and ``number`` (closes before the row) of one run of rows; returns the new state."""
     begin = 0
     at = int(np.searchsorted(times, last + span, side="left"))
@@ -150,7 +150,7 @@ def buffer_greedy(
                 key = tuple(None if pd.isna(v) else v for v in batch[group].iloc[a]) if a == 0 else None
                 if key is None or key != current:
                     last, count = int(times[a]) if np.isnan(starts[a]) else int(batch["_start"].iloc[a]), 0
-                last, count = _mark(times[a:b], last, span, closes[a:b], number[a:b], count)
+                last, count = mark_closes(times[a:b], last, span, closes[a:b], number[a:b], count)
             current = tuple(None if pd.isna(v) else v for v in batch[group].iloc[-1])
             yield batch.assign(closes=closes, _n=number)
 

@@ -1,4 +1,4 @@
-"""Per-key state in streams: change detection, running values, moving averages, service status.
+"""Per-key state in streams: change detection, running values, moving averages, service status, greedy time buffers.
 
 The state store must be RocksDB (``spark.sql.streaming.stateStore.providerClass``). Rows of a key
 are taken in order of the given columns within each micro-batch; batches arrive in order.
@@ -12,11 +12,14 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ferrylog.functions.schemas import BOOL, DOUBLE, LONG, TEXT, struct
+from ferrylog.operators.buffers import mark_closes
 from ferrylog.operators.health import UNHEALTHY_AFTER
 
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -109,3 +112,119 @@ def with_sequence_state(
         outputMode="Append",
         timeMode="ProcessingTime" if ttl_ms else "None",
     )
+
+
+CHAIN = struct(last=LONG, number=LONG, seen=LONG)
+WAITING = struct(rows=T.BinaryType())
+DUE = struct(at=LONG)
+BUFFERED = struct(buffer_id=LONG, closes=BOOL)
+
+
+def _packed(rows: pd.DataFrame) -> bytes:
+    sink = pa.BufferOutputStream()
+    table = pa.Table.from_pandas(rows, preserve_index=False)
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(value: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(bytes(value)).read_pandas()
+
+
+class GreedyBuffers(StatefulProcessor):
+    """Deals rows of a key to greedy time buffers once the watermark has passed them.
+
+    Rows wait until no earlier one can come any more; a timer at the first waiting row's time then takes all that are due in order of time,
+    continues the key's chain of closes with them and hands them on. State is the chain (three numbers) and the rows the watermark has not
+    passed. With ``forget_ms`` a key silent for that long in event time is forgotten and begins anew.
+    """
+
+    def __init__(self, span: int, order: Sequence[str], columns: Sequence[str], time: str, forget_ms: int | None) -> None:
+        self.span, self.order, self.columns, self.time, self.forget_ms = span, list(order), list(columns), time, forget_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.chain = handle.getValueState("chain", CHAIN)
+        self.waiting = handle.getListState("waiting", WAITING)
+        self.due = handle.getValueState("due", DUE)
+
+    def _wake(self, us: int) -> None:
+        """A timer for rows of this time, unless an earlier one is set."""
+        at = -(-us // 1000)
+        if not self.due.exists() or at < self.due.get()[0]:
+            self.handle.registerTimer(at)
+            self.due.update((at,))
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        for part in rows:
+            if len(part):
+                part = part.set_axis([*self.columns, self.time], axis=1)  # Spark renames columns that are no Python names
+                self.waiting.appendValue((_packed(part),))
+                self._wake(int(part[self.time].min()))
+        yield from ()
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        held = [_unpacked(row[0]) for row in self.waiting.get()] if self.waiting.exists() else []
+        self.due.clear()
+        if held:
+            rows = pd.concat(held, ignore_index=True)
+            ready = (rows[self.time] <= passed * 1000).to_numpy()
+            self.waiting.clear()
+            if not ready.all():
+                self.waiting.appendValue((_packed(rows[~ready].reset_index(drop=True)),))
+                self._wake(int(rows.loc[~ready, self.time].min()))
+            yield from self._dealt(rows[ready].sort_values([self.time, *self.order], kind="stable", ignore_index=True))
+        elif self.forget_ms is not None and self.chain.exists():
+            if self.chain.get()[2] // 1000 + self.forget_ms <= passed:
+                self.chain.clear()
+
+    def _dealt(self, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        if not len(rows):
+            return
+        times = rows[self.time].to_numpy(np.int64)
+        last, count, _ = self.chain.get() if self.chain.exists() else (int(times[0]), 0, 0)
+        closes, number = np.zeros(len(rows), bool), np.zeros(len(rows), np.int64)
+        last, count = mark_closes(times, int(last), self.span, closes, number, int(count))
+        self.chain.update((last, count, int(times[-1])))
+        if self.forget_ms is not None:
+            self.handle.registerTimer(int(times[-1]) // 1000 + self.forget_ms)
+        added = rows[self.columns].assign(buffer_id=number, closes=closes)
+        for a in range(0, len(added), PIECE):
+            yield added.iloc[a : a + PIECE]
+
+    def close(self) -> None:
+        pass
+
+
+def buffer_greedy_stream(
+    stream: DataFrame,
+    ts: str,
+    span_seconds: float,
+    watermark: str,
+    order: Sequence[str],
+    keys: Sequence[str],
+    forget_seconds: float | None = None,
+) -> DataFrame:
+    """:func:`ferrylog.operators.buffers.buffer_greedy` on a stream: rows with ``buffer_id`` and ``closes``, exact for every row within the watermark.
+
+    A row comes out once the watermark has passed it, since an earlier one might change its buffer; later rows are dropped and counted by Spark. A null time is never
+    passed, so such rows are left out. Each key is a chain of its own and goes through one task; its state is bounded by what arrives
+    within the watermark's delay.
+    """
+    span = round(span_seconds * 1_000_000)
+    if span < 1:
+        raise ValueError("a buffer spans at least a microsecond")
+    columns = list(stream.schema.fields)
+    forget = None if forget_seconds is None else round(forget_seconds * 1000)
+    time = "micros"
+    while time in stream.columns:
+        time += "_"
+    timed = stream.filter(F.col(ts).isNotNull()).withWatermark(ts, watermark).withColumn(time, F.unix_micros(ts))
+    return timed.groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=GreedyBuffers(span, order, [f.name for f in columns], time, forget),
+        outputStructType=T.StructType([*columns, *BUFFERED.fields]),
+        outputMode="Append",
+        timeMode="EventTime",
+    )

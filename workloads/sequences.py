@@ -228,9 +228,7 @@ def w9_session(spark, folder):
     return spans.select("user_id", F.unix_micros("span_start").alias("start_us"), F.unix_micros("span_end").alias("end_us"), "n")
 
 
-@query(
-    "w9_buffer_greedy",
-    """
+SQL_GREEDY = """
 WITH RECURSIVE e AS (
   SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events
 ), walk AS (
@@ -240,8 +238,10 @@ WITH RECURSIVE e AS (
     e.us - w.last >= 86400000000, w.buffer_id + CAST(w.closes AS INTEGER)
   FROM walk w JOIN e ON e.user_id = w.user_id AND e.i = w.i + 1
 ) SELECT event_id, user_id, CAST(buffer_id AS BIGINT) AS buffer_id, closes FROM walk
-""",
-)
+"""
+
+
+@query("w9_buffer_greedy", SQL_GREEDY)
 def w9_greedy(spark, folder):
     events = raw_events(spark, folder).select("user_id", "event_id", "ts")
     return buffers.buffer_greedy(events, "ts", 86400, ORDER, ["user_id"]).select("event_id", "user_id", "buffer_id", "closes")
