@@ -132,18 +132,22 @@ def linked_events(events: DataFrame, starts: DataFrame, order: Sequence[str] = E
     return _linked(pointing_events(events), starts, order).drop("_p")
 
 
-def fold_runs(pointing: DataFrame, starts: DataFrame, order: Sequence[str] = EVENT_ORDER) -> DataFrame:
-    """The read model of the runs in ``starts``, from the events that point somewhere (see :func:`pointing_events`)."""
-    linked = _linked(pointing, starts, order)
+#: What a run's state adds up, and what it keeps of the last event of a kind.
+COUNTED = (*COUNTERS, *HEADCOUNTS, "error_count")
+KEPT = ("_ended", "_done", "_failed", "_undo", "_undone")
+
+
+def accumulated(order: Sequence[str] = EVENT_ORDER) -> list[Column]:
+    """Aggregates over pointing events: sums, and the values of the last event of each kind with its ``place`` in the order."""
     kind, when = F.col("event_type"), _place(order)
 
     def last(condition: Column, **values: Column) -> Column:
         """The named values of the last event for which the condition holds."""
-        return F.max_by(F.struct(*[v.alias(n) for n, v in values.items()]), F.when(condition, when))
+        return F.max_by(F.struct(when.alias("place"), *[v.alias(n) for n, v in values.items()]), F.when(condition, when))
 
     text = lambda field: F.col(f"_p.{field}")
     errors = F.coalesce(F.json_array_length(text("validation_errors")), F.lit(0))
-    folds = [
+    return [
         *[F.sum(F.when(kind == t, _number(f)).otherwise(F.lit(0))).alias(n) for n, (t, f) in COUNTERS.items()],
         *[F.count_if(kind == t).alias(n) for n, t in HEADCOUNTS.items()],
         F.sum(F.when((kind == "data.validated") & (_number("invalid_records") > 0), errors).otherwise(F.lit(0))).cast("long").alias("error_count"),
@@ -153,12 +157,19 @@ def fold_runs(pointing: DataFrame, starts: DataFrame, order: Sequence[str] = EVE
         last(kind == ROLLBACKS[0], at=F.col("timestamp"), id=F.col("aggregate_id"), reason=F.coalesce(text("reason"), F.lit(""))).alias("_undo"),
         last(kind == ROLLBACKS[1], at=F.col("timestamp"), success=F.coalesce(text("success").try_cast("boolean"), F.lit(False))).alias("_undone"),
     ]
-    folded = linked.groupBy("run_id").agg(*folds)
-    counts = [*COUNTERS, *HEADCOUNTS, "error_count"]
+
+
+def merged() -> list[Column]:
+    """Aggregates that join what :func:`accumulated` made of parts of the events."""
+    return [*[F.sum(c).alias(c) for c in COUNTED], *[F.max_by(c, f"{c}.place").alias(c) for c in KEPT]]
+
+
+def model_rows(starts: DataFrame, folded: DataFrame) -> DataFrame:
+    """The read model's rows: runs with their latest start and, by ``run_id``, what came after it."""
     model = starts.select("run_id", "started_at", "source_config", "target_config").join(folded, "run_id", "left")
     return model.select(
         "run_id", "started_at", "source_config", "target_config",
-        *[F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c) for c in counts],
+        *[F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c) for c in COUNTED],
         F.col("_done.at").alias("completed_at"), F.col("_failed.at").alias("failed_at"),
         F.col("_done.seconds").alias("duration_seconds"), F.col("_done.statistics").alias("final_statistics"),
         F.col("_failed.message").alias("error_message"), F.col("_failed.details").alias("error_details"),
@@ -168,6 +179,11 @@ def fold_runs(pointing: DataFrame, starts: DataFrame, order: Sequence[str] = EVE
     )
 
 
+def fold_runs(pointing: DataFrame, starts: DataFrame, order: Sequence[str] = EVENT_ORDER) -> DataFrame:
+    """The read model of the runs in ``starts``, from the events that point somewhere (see :func:`pointing_events`)."""
+    return model_rows(starts, _linked(pointing, starts, order).groupBy("run_id").agg(*accumulated(order)))
+
+
 def run_read_model(events: DataFrame, order: Sequence[str] = EVENT_ORDER) -> DataFrame:
     """One row per run: status, times, counters, last rollback.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,12 +36,16 @@ def _bucket(event_id: str) -> Column:
     return F.pmod(F.xxhash64(event_id), F.lit(ID_BUCKETS)).cast("int")
 
 
+def finished(spark: SparkSession, path: str, pattern: str) -> list[str]:
+    """The folders under a path whose write has ended."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{pattern}/_SUCCESS")
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place)
+    return sorted(x.getPath().getParent().toString() for x in found or [])
+
+
 def _batches(spark: SparkSession, path: str, but: str | None = None) -> list[str]:
     """The finished batches of a store or its index, by their folders."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch=*/_SUCCESS")
-    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place)
-    names = [x.getPath().getParent() for x in found or []]
-    return sorted(n.toString() for n in names if n.getName() != f"batch={but}")
+    return [folder for folder in finished(spark, path, "batch=*") if not folder.endswith(f"/batch={but}")]
 
 
 def stored_ids(spark: SparkSession, path: str, buckets: list[int], but: str | None = None) -> DataFrame:
@@ -83,6 +88,18 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("basePath", path).schema(STORED_SCHEMA).parquet(*folders).select(*STORED_SCHEMA.fieldNames())
 
 
+def events_after(spark: SparkSession, path: str, at: datetime | None, event_id: str | None, until: datetime | None = None) -> DataFrame:
+    """Events of finished batches behind a place in ``EVENT_ORDER``, up to and with a moment; folders of days before it are not read."""
+    events, when = read_events(spark, path), F.col("timestamp")
+    if at is not None:
+        mark = F.lit(at).cast("timestamp")
+        events = events.filter((F.col("event_date") >= F.to_date(mark)) & ((when > mark) | ((when == mark) & (F.col("event_id") > F.lit(event_id)))))
+    if until is not None:
+        last = F.lit(until).cast("timestamp")
+        events = events.filter((F.col("event_date") <= F.to_date(last)) & (when <= last))
+    return events
+
+
 def decode_events(stored: DataFrame) -> DataFrame:
     """Payload and metadata text as maps of name to JSON text; text that is no object gives an empty map."""
     return stored.withColumns(

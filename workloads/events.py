@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 from datetime import datetime, timezone
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrylog.plans import event_model, event_queries, read_models
+from ferrylog.plans import event_model, event_queries, read_models, run_state
 from ferrylog.plans.event_model import ADMIN_MOVED, EVENT_SPECS, USER_MOVED
-from ferrylog.session import load_table
+from ferrylog.session import load_table, new_path
+from ferrylog.sources import event_store
 from workloads.adapters import SQL_ENVELOPES, envelopes, raw_events
 from workloads.registry import AS_OF, query
 
@@ -252,6 +255,33 @@ def q8(spark, folder):
     return snaps.select("aggregate_id", status, users, "replayed", "version", F.unix_micros("created_at").alias("created_us"))
 
 
+CUTS = ("2024-01-08", "2024-01-15", "2024-12-31")
+
+
+def _sql_resumed(number: int, cut: str) -> str:
+    upto = f"WHERE \"timestamp\" <= '{cut}'"
+    model = SQL_MODEL.replace("FROM env\n", f"FROM env {upto}\n", 1)
+    own = f"SELECT aggregate_id, count(*) AS replayed, max(event_version) AS version FROM envelopes {upto} GROUP BY aggregate_id"
+    columns = ", ".join(f"m.{c}" for c in MODEL_COLUMNS)
+    return f"SELECT {number} AS cut, {columns}, replayed, version FROM (WITH {model} SELECT * FROM model) m JOIN ({WITH} {own}) n ON n.aggregate_id = m.run_id"
+
+
+SQL_RESUMED = " UNION ALL ".join(_sql_resumed(i, cut) for i, cut in enumerate(CUTS))
+
+
+@query("q8_resume", SQL_RESUMED)
+def q8_resume(spark, folder):
+    """The model at three moments, each resumed from the state stored at the one before; days before it are not read again."""
+    store, states = new_path(spark, "store"), new_path(spark, "states")
+    event_store.append_events(envelopes(spark, folder), store)
+    resumed = []
+    for i, cut in enumerate(CUTS):
+        state = run_state.resume(spark, store, states, datetime.fromisoformat(cut).replace(tzinfo=timezone.utc), keep=len(CUTS))
+        model = run_state.model_of(state).select("run_id", *[c for c in MODEL_COLUMNS if c != "run_id"])
+        resumed.append(model.join(state.counts, "run_id", "left").withColumn("cut", F.lit(i)))
+    return functools.reduce(DataFrame.unionByName, resumed).select("cut", *MODEL_COLUMNS, "replayed", "version")
+
+
 @query(
     "q8_snapshot_upsert",
     "SELECT aggregate_id, version, epoch_us(created_at) AS created_us, epoch_us(updated_at) AS updated_us FROM ("
