@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("sequences", "events", "accounts", "identifiers", "undo", "health", "io", "streams")
+MODULES = ("sequences", "events", "accounts", "identifiers", "undo", "health", "io", "payloads", "streams")
 
 
 def load_all() -> None:
