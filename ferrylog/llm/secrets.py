@@ -19,19 +19,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrylog.llm.common import free_name
+from ferrylog.operators.skew import lookup_join
 from ferrylog.session import materialise
 
 
 @dataclass(frozen=True)
 class Rule:
     """``pattern`` finds matches from left to right, none overlapping another of the same rule; a match counts if its
-    group ``measured`` (0: all of it) has ``least`` characters or more. Change ``version`` with any of these."""
+    group ``measured`` (0: all of it) has ``least`` characters or more. The span is the match, or its group ``ending``, with which it
+    ends. Patterns must take time in proportion to the text. Change ``version`` with any of these."""
 
     kind: str
     version: int
     pattern: str
     measured: int
     least: int
+    ending: int = 0
 
     @property
     def key(self) -> str:
@@ -53,9 +56,11 @@ _KEY_BODY = (
     rf"|(?:{_GAP}+[A-Z][A-Za-z-]+:[^\n]+){{0,4}}{f'(?:{_GAP}+{_CODE}{{16,}}){{0,62}}' * 7}"
     rf"""(?:{_GAP}+{_CODE}{{1,15}}[ \t\r"',;\\+nr]*(?:\n|\z))?(?:{_GAP}*{_END})?)"""
 )
-#: What the scan looks for besides: signed web tokens and private keys.
+_RUN = "[A-Za-z0-9_-]"
+#: What the scan looks for besides: signed web tokens and private keys. A token starts at the first ``eyJ`` of a run that two more follow;
+#: whether they do is asked once per run, so a long run of ``eyJ`` is not searched from each of them.
 MORE_RULES = (
-    Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30),
+    Rule("jwt", 2, rf"(?<!{_RUN})(?={_RUN}++\.eyJ{_RUN}++\.{_RUN}){_RUN}*?(eyJ{_RUN}++\.eyJ{_RUN}++\.{_RUN}++)", 1, 30, ending=1),
     Rule("pem", 2, r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----" + _KEY_BODY, 0, 20),
 )
 RULES = BASE_RULES + MORE_RULES
@@ -70,12 +75,14 @@ def blob_of(text: Column) -> Column:
 
 
 def _matches(rule: Rule, place: int, text: Column) -> Column:
-    """A struct of the rule and, per match, the lengths of the stretch before it, of itself and of what is measured."""
+    """A struct of the rule and, per match, the lengths of its span, of the stretch before it, of itself and of what is measured."""
     pattern = F.lit(rule.pattern)
     whole = F.regexp_extract_all(text, pattern, F.lit(0))
     measured = F.regexp_extract_all(text, pattern, F.lit(rule.measured))
+    ending = F.regexp_extract_all(text, pattern, F.lit(rule.ending))
     between = F.split(text, rule.pattern, -1)
     lengths = F.arrays_zip(
+        F.transform(ending, lambda x: F.length(x)).alias("kept"),
         F.transform(between, lambda x: F.length(x)).alias("gap"),
         F.transform(whole, lambda x: F.length(x)).alias("size"),
         F.transform(measured, lambda x: F.length(x)).alias("counted"),
@@ -94,7 +101,7 @@ def _scan(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     # the stretch after the last match comes as a row without a match and is left out below
     upto = Window.partitionBy("blob", "place").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = each.withColumn("stop", F.sum(F.col("n.gap") + F.coalesce("n.size", F.lit(0))).over(upto).cast("int"))
-    span = F.struct((F.col("stop") - F.col("n.size")).alias("start"), "place", "kind", "stop", "key")
+    span = F.struct((F.col("stop") - F.col("n.kept")).alias("start"), "place", "kind", "stop", "key")
     return placed.groupBy("blob").agg(
         F.first("ran").alias("ran"),
         F.sort_array(F.collect_list(F.when(F.col("n.counted") >= F.col("least"), span))).cast(f"array<{SPAN}>").alias("found"),
@@ -114,14 +121,21 @@ def scan_into(versions: DataFrame, folder: str, rules: tuple[Rule, ...] = RULES,
     """Run each rule on each blob of ``versions`` that the ledger in ``folder`` does not say it was run on.
 
     Null texts count as empty. Copies of a text are one blob, reduced before the shuffle; no rows, no findings.
-    Columns other than ``text`` are not looked at.
+    Columns other than ``text`` are not looked at. Addresses go to the ledger first; then the texts of unseen blobs move, and no others
+    as long as there are few enough of these to tell every task.
     """
     spark = versions.sparkSession
-    blobs = versions.select(blob_of(F.col(text)).alias("blob"), F.coalesce(F.col(text), F.lit("")).alias("_text")).groupBy("blob").agg(F.first("_text").alias("_text"))
-    ran = read_ledger(spark, folder).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("ran"))).alias("seen"))
     current = F.array(*[F.lit(r.key) for r in rules])
-    todo = blobs.join(ran, "blob", "left").select("blob", "_text", F.array_except(current, F.coalesce("seen", F.array().cast("array<string>"))).alias("ran"))
-    _scan(todo.where(F.size("ran") > 0), rules).write.parquet(f"{folder}/batch={uuid.uuid4().hex}")
+    texts = versions.select(blob_of(F.col(text)).alias("blob"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    ledger = read_ledger(spark, folder)
+    if ledger.isEmpty():
+        unseen = texts.withColumn("ran", current)
+    else:
+        ran = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("ran"))).alias("seen"))
+        todo = texts.select("blob").distinct().join(ran, "blob", "left").select("blob", F.array_except(current, F.coalesce("seen", F.array().cast("array<string>"))).alias("ran"))
+        unseen = lookup_join(texts, materialise(todo.where(F.size("ran") > 0), "unseen"), ["blob"], ["blob", "_text"])
+    blobs = unseen.groupBy("blob").agg(F.first("_text").alias("_text"), F.first("ran").alias("ran"))
+    _scan(blobs, rules).write.parquet(f"{folder}/batch={uuid.uuid4().hex}")
 
 
 def findings(spark, folder: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -131,17 +145,32 @@ def findings(spark, folder: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return spans.select("blob", F.array_sort(F.array_distinct(F.filter("found", lambda x: x.key.isin(keys)))).alias("found")).where(F.size("found") > 0)
 
 
-def with_findings(versions: DataFrame, folder: str, rules: tuple[Rule, ...] = RULES, text: str = "text", found: str = "_found") -> DataFrame:
-    """All rows and columns of ``versions`` and ``found``, a name they do not have: the spans in that row's text (empty: none).
+def stretches(spark, folder: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``blob, found``: what the spans of each blob cover, as stretches (start, stop) in order; spans that overlap or touch are one."""
+    keys = [r.key for r in rules]
+    spans = read_ledger(spark, folder).select("blob", F.explode("found").alias("s")).where(F.col("s.key").isin(keys)).select("blob", "s.start", "s.stop")
+    before = Window.partitionBy("blob").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("blob").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    opens = F.coalesce(F.col("start") > F.max("stop").over(before), F.lit(True)).cast("int")
+    merged = spans.withColumn("_opens", opens).withColumn("_number", F.sum("_opens").over(upto)).groupBy("blob", "_number").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    return merged.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("found"))
+
+
+def with_findings(
+    versions: DataFrame, folder: str, rules: tuple[Rule, ...] = RULES, text: str = "text", found: str = "_found", merged: bool = False
+) -> DataFrame:
+    """All rows and columns of ``versions`` and ``found``, a name they do not have: the spans in that row's text (empty: none), or with
+    ``merged`` the stretches that these cover.
 
     Rows of equal text all get the findings; the join's hot blobs are left to adaptive skew joins, the side with the
     findings having one row per blob.
     """
     key, spans = free_name(versions, "_blob"), free_name(versions, "_known")
     # written first: a plain join on both sides' own shuffles is one whose hot blobs can be split
-    known = materialise(findings(versions.sparkSession, folder, rules), "findings").select(F.col("blob").alias(key), F.col("found").alias(spans))
+    told = (stretches if merged else findings)(versions.sparkSession, folder, rules)
+    known = materialise(told, "findings").select(F.col("blob").alias(key), F.col("found").alias(spans))
     joined = versions.withColumn(key, blob_of(F.col(text))).join(known, key, "left")
-    return joined.select(*versions.columns, F.coalesce(known[spans], F.array().cast(f"array<{SPAN}>")).alias(found))
+    return joined.select(*versions.columns, F.coalesce(known[spans], F.array().cast(told.schema["found"].dataType)).alias(found))
 
 
 def _of(kind: str):
@@ -166,27 +195,37 @@ def secret_report(versions: DataFrame, folder: str, carried: tuple[str, ...] = (
     return rows.select(*carried, *counts, digest, spans_text(found).alias("spans"))
 
 
+#: Characters per chunk of a text that is redacted; a place in a chunk is found by counting from its start.
+CHUNK = 1024
+
+
 def redact(rows: DataFrame, text: str = "text", mark: str = REDACTED, found: str = "_found") -> DataFrame:
-    """``rows`` with ``found`` (of :func:`with_findings`) dropped and every stretch that spans cover replaced by ``mark``.
+    """``rows`` with ``found`` (stretches, of :func:`with_findings` with ``merged``) dropped and every stretch of the text replaced by ``mark``.
 
-    Overlapping and touching spans are one stretch. Null texts stay null. Merging costs the square of a text's spans
-    in copied references, and each stretch a substring of the text.
+    Null texts stay null. What lies between stretches is put together from chunks of the text, so that each costs its own length and at most
+    two chunks; chunks are cut from pieces of ``CHUNK`` chunks, since a place in a text is found by counting characters.
     """
-    columns, merged, cut = [c for c in rows.columns if c != found], free_name(rows, "_merged"), free_name(rows, "_cut")
-    stretch = "struct<start:int,stop:int>"
-
-    def join(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        longer = F.struct(last.start.alias("start"), F.greatest(last.stop, x.stop).alias("stop"))
-        return F.when(x.start <= last.stop, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(x)))
-
-    spans = F.transform(found, lambda x: F.struct(x.start.alias("start"), x.stop.alias("stop")))
-    before = F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("stop")).cast(stretch)
-    rows = rows.withColumn(merged, F.when(F.size(found) > 0, F.aggregate(spans, F.array(before), join)))
-    # pairs of neighbouring stretches: what lies between them is kept
-    rows = rows.withColumn(cut, F.arrays_zip(F.slice(merged, 1, F.size(merged) - 1).alias("left"), F.slice(merged, 2, F.size(merged)).alias("right")))
-    whole = F.col(text)
-    kept = F.transform(cut, lambda x: F.concat(F.substring(whole, F.greatest(x.left.stop, F.lit(0)) + 1, x.right.start - F.greatest(x.left.stop, F.lit(0))), F.lit(mark)))
-    tail = F.substring(whole, F.element_at(merged, -1).stop + 1, F.length(whole))
-    new = F.when(F.col(merged).isNull(), whole).otherwise(F.concat(F.array_join(kept, ""), tail))
+    columns, names = [c for c in rows.columns if c != found], ("_chunks", "_gaps", "_tail")
+    chunks, gaps, tail = (free_name(rows, n) for n in names)
+    whole, size = F.col(text), F.lit(CHUNK)
+    cut = lambda s, each: F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.length(s) - 1) / each), F.lit(0)).cast("int")), lambda i: F.substring(s, i * each + 1, each))
+    pieces = F.flatten(F.transform(cut(whole, F.lit(CHUNK * CHUNK)), lambda piece: cut(piece, size)))
+    # from the end of a stretch to the start of the next one; the first gap starts with the text
+    ends = F.concat(F.array(F.lit(0)), F.transform(found, lambda x: x.stop))
+    between = F.transform(F.arrays_zip(F.slice(ends, 1, F.size(found)).alias("a"), F.transform(found, lambda x: x.start).alias("b")), lambda x: F.struct(x.a.alias("a"), x.b.alias("b")))
+    some = F.size(found) > 0
+    made = F.struct(F.when(some, pieces).alias(chunks), F.when(some, between).alias(gaps), F.element_at(ends, -1).alias(tail))
+    rows = rows.select("*", F.inline(F.array(made)))  # generated rows, so that chunks are cut once however often they are named
+
+    def kept(a: Column, b: Column) -> Column:
+        """The text from place ``a`` to place ``b``."""
+        of = lambda p: F.floor(p / size).cast("int")
+        first, last, start = of(a), of(b), a % size
+        inner = F.array_join(F.slice(F.col(chunks), first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+        head = F.substring(F.get(F.col(chunks), first), start + 1, F.least(b - a, size))
+        end = F.coalesce(F.substring(F.get(F.col(chunks), last), F.lit(1), b % size), F.lit(""))
+        return F.when(b <= a, F.lit("")).when(first == last, head).otherwise(F.concat(head, inner, end))
+
+    marked = F.array_join(F.transform(gaps, lambda x: F.concat(kept(x.a, x.b), F.lit(mark))), "")
+    new = F.when(F.col(gaps).isNull(), whole).otherwise(F.concat(marked, kept(F.col(tail), F.length(whole))))
     return rows.select(*[new.alias(c) if c == text else F.col(c) for c in columns])

@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import time
 
 import pytest
 
@@ -75,7 +77,7 @@ def test_redaction(spark, tmp_path):
     folder = str(tmp_path / "ledger")
     secrets.scan_into(df, folder)
     rows = secrets.with_findings(df, folder)
-    after = {r.doc_id: r.text for r in secrets.redact(rows).collect()}
+    after = {r.doc_id: r.text for r in secrets.redact(secrets.with_findings(df, folder, merged=True)).collect()}
     for r in rows.collect():
         want, at = "", 0
         marks = sorted((x.start, x.stop) for x in r._found)
@@ -111,13 +113,45 @@ def test_no_byte_of_a_private_key_survives(spark, tmp_path):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     folder = str(tmp_path / "ledger")
     secrets.scan_into(df, folder)
-    after = {r.doc_id: r.text for r in secrets.redact(secrets.with_findings(df, folder)).collect()}
+    after = {r.doc_id: r.text for r in secrets.redact(secrets.with_findings(df, folder, merged=True)).collect()}
     for i, text in enumerate(texts):
         assert not any(x in after[i] for x in [*code, head, "MIIEv", "0123456789ABCDEF"]), (text[:200], after[i][:200])
         assert after[i].count("Kept prose after it") == text.count("Kept prose after it") and after[i].startswith(text.split(head)[0].split("\n")[0])
     assert all("END" not in after[i] for i, text in enumerate(texts) if end in text)
 
 
+JWT = r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"
+
+
+def test_tokens_like_the_plain_pattern(spark, tmp_path):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice(["eyJ", "eyJa", ".", ".eyJ", "b_", "-", " ", "é", "x" * 12]) for _ in range(rng.randrange(40))) for _ in range(400)]
+    texts += ["x.eyJa.eyJb.ccccccccccccccccccccccccccc", "xeyJa.eyJ.eyJb.c.eyJdddddddddddddddddd.eyJeeeeeeeeeeee.f"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in secrets.secret_report(df, str(tmp_path / "ledger")).collect():
+        want = [f"jwt:{m.start()}:{m.end()}" for m in re.finditer(JWT, texts[r.doc_id]) if len(m.group()) >= 30]
+        assert [s for s in r.spans.split(",") if s.startswith("jwt")] == want, texts[r.doc_id]
+
+
+def test_long_texts_take_linear_time(spark, tmp_path):
+    """A megabyte of token heads, 100,000 spans in a text, a key of a megabyte, and a long text of multi-byte characters around a secret."""
+    head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    texts = {
+        "heads": "eyJ" * 350_000 + " eyJ" * 1000 + ".abc.eyJ" * 1000,
+        "spans": " ".join(f"{i:016x}" for i in range(100_000)),
+        "key": f"before\n{head}\n" + "\n".join("A" * 64 for _ in range(16_000)) + f"\n{end}\nafter",
+        "wide": "é🙂" * 600_000 + " token=abcdefghijklmnop " + "é🙂" * 600_000,
+    }
+    for name, text in texts.items():
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        folder, begun = str(tmp_path / name), time.time()
+        secrets.scan_into(df, folder)
+        after = secrets.redact(secrets.with_findings(df, folder, merged=True)).first().text
+        assert time.time() - begun < 30, name
+        want = {"heads": text, "spans": " ".join([secrets.REDACTED] * 100_000), "key": f"before\n{secrets.REDACTED}\nafter", "wide": text.replace("token=abcdefghijklmnop", secrets.REDACTED)}[name]
+        assert after == want, name
+
+
 def test_empty_table(spark, tmp_path):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert secrets.secret_report(df, str(tmp_path / "ledger")).collect() == []
