@@ -38,7 +38,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """
     ledger, spans = new_path(spark, "ledger"), free_name(docs, "_found")
     secrets.scan_into(docs, ledger)
-    found = secrets.with_findings(docs, ledger, found=spans)
+    found = secrets.with_findings(docs, ledger, found=spans, merged=True)
     if "n_chars" not in docs.columns:
         return secrets.redact(found, found=spans)
     changed = F.struct((F.size(spans) > 0).alias("changed"), F.col("n_chars").alias("n"))
