@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -113,9 +115,19 @@ def _possible_types(kind: T.DataType) -> tuple[str, ...]:
     return (STRING,)
 
 
+#: Columns whose types are counted by one aggregate; many more would make generated code too long to compile.
+SLICE = 4
+
+
 def _seen_types(df: DataFrame, renames: dict[str, str] | None) -> DataFrame:
-    """``field, value_type, values, known, sample`` over all rows: one aggregate of conditional counts, no row per value."""
+    """``field, value_type, values, known, sample`` over all rows: conditional counts, no row per value; each slice reads its own columns."""
     renames = RENAMED if renames is None else renames
+    slices = [_seen_in(df.select(*df.columns[i : i + SLICE]), renames) for i in range(0, len(df.columns), SLICE)]
+    each = functools.reduce(DataFrame.unionByName, slices)
+    return each.groupBy("field", "value_type").agg(F.sum("values").alias("values"), F.sum("known").alias("known"), F.min("sample").alias("sample"))
+
+
+def _seen_in(df: DataFrame, renames: dict[str, str]) -> DataFrame:
     nested = (T.StructType, T.ArrayType, T.MapType)
     cells = df.select(
         *[value_type(df, c).alias(f"t{i}") for i, c in enumerate(df.columns)],
@@ -129,8 +141,7 @@ def _seen_types(df: DataFrame, renames: dict[str, str] | None) -> DataFrame:
     names = ("values", "known", "sample")
     folded = cells.agg(*[x.alias(f"{n}{k}") for k, row in enumerate(found) for n, x in zip(names, row[2:], strict=True)])
     rows = [F.struct(F.lit(f).alias("field"), F.lit(t).alias("value_type"), *[F.col(f"{n}{k}").alias(n) for n in names]) for k, (f, t, *_) in enumerate(found)]
-    each = folded.select(F.inline(F.array(*rows))).filter("values > 0")
-    return each.groupBy("field", "value_type").agg(F.sum("values").alias("values"), F.sum("known").alias("known"), F.min("sample").alias("sample"))
+    return folded.select(F.inline(F.array(*rows))).filter("values > 0")
 
 
 def type_profile(df: DataFrame, renames: dict[str, str] | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -95,17 +96,16 @@ def all_valid(counts: DataFrame, uuids: DataFrame) -> DataFrame:
 
 
 def _own_rules(df: DataFrame, table: str, unique: Sequence[str], required: Sequence[str]) -> DataFrame:
-    """Repeated values of unique columns and missing ones of required columns, found in one pass over the table."""
-    columns = list(dict.fromkeys([*unique, *required]))
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
-    counted = df.select(F.inline(cells)).groupBy("column", "value").agg(F.count(F.lit(1)).alias("_n"))
-    repeated = F.count_if(F.col("value").isNotNull() & (F.col("_n") > 1))
-    absent = F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("_n"))), F.lit(0).cast("long"))
-    found = counted.groupBy("column").agg(repeated.alias("repeated"), absent.alias("absent"))
-    rules = [("unique %s", c, "repeated") for c in unique] + [("%s not null", c, "absent") for c in required]
-    wanted = df.sparkSession.createDataFrame([(table, rule % c, c, kind) for rule, c, kind in rules], "table string, rule string, column string, kind string")
-    number = F.when(F.col("kind") == "repeated", F.col("repeated")).otherwise(F.col("absent"))
-    return F.broadcast(wanted).join(found, "column", "left").select("table", "rule", F.coalesce(number, F.lit(0).cast("long")).alias("violations"))
+    """Repeated values of unique columns, each counted in its own type, and missing ones of required columns, all in one aggregate."""
+    lines = []
+    for c in unique:
+        counted = df.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
+        lines.append(counted.agg(F.count_if(F.col("_n") > 1).alias("violations")).select(F.lit(table).alias("table"), F.lit(f"unique {c}").alias("rule"), "violations"))
+    if required:
+        absent = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"_{i}") for i, c in enumerate(required)])
+        told = [F.struct(F.lit(table).alias("table"), F.lit(f"{c} not null").alias("rule"), F.col(f"_{i}").alias("violations")) for i, c in enumerate(required)]
+        lines.append(absent.select(F.inline(F.array(*told))))
+    return functools.reduce(DataFrame.unionByName, lines)
 
 
 def _dangling(child: DataFrame, column: str, parent: DataFrame, table: str, rule: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,15 +56,28 @@ def stored_ids(spark: SparkSession, path: str, buckets: list[int], but: str | No
     return index.where(F.col("bucket").isin(buckets)).select("event_id")
 
 
+#: Ids that look-ups ask for: row groups that hold none of them are skipped by Bloom filters as large as their ids need.
+LOOKED_UP = ("correlation_id", "aggregate_id")
+BLOOM = {"parquet.bloom.filter.adaptive.enabled": "true"} | {f"parquet.bloom.filter.enabled#{c}": "true" for c in LOOKED_UP}
+
+
+def content_name(events: DataFrame) -> str:
+    """A name that depends on the events of a batch and nothing else, whatever their order; one pass over them."""
+    row = F.xxhash64(*events.columns)
+    found = events.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(row).alias("x"), F.sum(F.pmod(row, F.lit((1 << 31) - 1))).alias("s")).first()
+    return f"{found['n']}-{(found['x'] or 0) & (1 << 64) - 1:016x}-{found['s'] or 0:x}"
+
+
 def append_events(events: DataFrame, path: str, new_only: bool = False, batch: str | None = None) -> None:
     """Append a batch of events by day, sorted within files so that reads by aggregate skip row groups.
 
     An event's id is its key. With ``new_only`` an id that other batches have stored is left out, whatever its time; of an id that
     repeats within the batch the first by ``EVENT_ORDER`` stays. Only the buckets of the id index that the batch touches are
-    read. A batch given under the same name again replaces its own folder, so a retry adds nothing; events are written before
-    their ids, and readers see finished batches only.
+    read. A batch given under the same name again replaces its own folder, and a batch without a name is named after its content, so a retry
+    adds nothing, wherever the first try ended; events are written before their ids, and readers see finished batches only. Two writers who
+    store the same id at the same time are not kept apart.
     """
-    spark, batch = events.sparkSession, batch or uuid.uuid4().hex
+    spark, batch = events.sparkSession, batch or content_name(events)
     rows = events
     if new_only:
         first = F.min_by(F.struct(*[F.col(c) for c in events.columns]), F.struct(*EVENT_ORDER))
@@ -75,7 +87,7 @@ def append_events(events: DataFrame, path: str, new_only: bool = False, batch: s
         rows = rows.join(stored_ids(spark, path, touched, batch), "event_id", "left_anti")
     rows = rows.withColumn("event_date", F.to_date("timestamp")).hint("rebalance", F.col("event_date"))  # few files per day, and a hot day is split
     folder = f"{path}/batch={batch}"
-    rows.sortWithinPartitions("event_date", "aggregate_id", "event_version").write.mode("overwrite").partitionBy("event_date").parquet(folder)
+    rows.sortWithinPartitions("event_date", "aggregate_id", "event_version").write.mode("overwrite").options(**BLOOM).partitionBy("event_date").parquet(folder)
     ids = spark.read.schema(STORED_SCHEMA).parquet(folder).select("event_id", _bucket("event_id").alias("bucket")).hint("rebalance", F.col("bucket"))
     ids.sortWithinPartitions("bucket", "event_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}_ids/batch={batch}")
 

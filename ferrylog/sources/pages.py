@@ -91,14 +91,20 @@ def unreadable_pages(pages: DataFrame) -> DataFrame:
     return pages.filter(F.col("page_error").isNotNull()).select("entity", "file", "page_error", "page_text")
 
 
+def file_order(name: Column) -> Column:
+    """Sorts file names by the numbers in them: ``page_2`` before ``page_10``, padded or not."""
+    parts = F.regexp_extract_all(name, F.lit("([0-9]+|[^0-9]+)"), F.lit(1))
+    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike("^[0-9]"), F.lpad(F.regexp_replace(x, "^0+", ""), 20, "0")).otherwise(x)), "")
+
+
 def _placed(pages: DataFrame) -> DataFrame:
     """Readable pages with ``_start``: their offset, or where they start if listed in the order of files and lines."""
     readable = pages.filter(F.col("page_error").isNull())
     if readable.filter(F.col("offset").isNull()).isEmpty():
         return readable.withColumn("_start", F.col("offset"))
     size = F.size("items").cast("long")
-    counted = running(readable, {"_upto": ("sum", size)}, ["file", "block", "line"])
-    return counted.withColumn("_start", F.coalesce("offset", F.col("_upto") - size)).drop("_upto")
+    counted = running(readable.withColumn("_by", file_order(F.col("file"))), {"_upto": ("sum", size)}, ["_by", "file", "block", "line"])
+    return counted.withColumn("_start", F.coalesce("offset", F.col("_upto") - size)).drop("_upto", "_by")
 
 
 def page_items(pages: DataFrame, entity: str) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,7 +13,7 @@ from ferrylog.operators.sequences import buffer_tumbling
 from ferrylog.plans.event_model import EVENT_SCHEMA
 from ferrylog.plans.read_models import fold_runs, latest_starts, pointing_events, start_keys
 from ferrylog.session import materialise, shared_folder
-from ferrylog.sources.event_store import STORED_SCHEMA, append_events, processing_log
+from ferrylog.sources.event_store import STORED_SCHEMA, append_events, finished, processing_log
 from ferrylog.sources.messages import dead_letter_messages, split_dead_letters
 
 
@@ -82,17 +81,29 @@ def _keep(rows: DataFrame, path: str, table: str, batch_id: int) -> None:
     rows.hint("rebalance", F.col("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{table}/batch={batch_id}")
 
 
-def _kept(spark: SparkSession, path: str, table: str, schema: T.StructType, buckets: list[int]) -> DataFrame:
-    """Rows of a state table in some buckets, with the batch they came in; folders of other buckets are not read."""
+def _number(folder: str) -> int:
+    return int(folder.rsplit("batch=", 1)[1])
+
+
+def _kept(spark: SparkSession, path: str, table: str, schema: T.StructType, buckets: list[int] | None = None) -> DataFrame:
+    """Rows of a state table (in some buckets), with the batch they came in; folders of other buckets are not read.
+
+    They are those of the newest whole compaction, if there is one, and of the finished batches after it.
+    """
     fields = [f for f in schema.fields if f.name not in ("bucket", "batch")]
     whole = T.StructType([*fields, T.StructField("batch", T.LongType()), T.StructField("bucket", T.IntegerType())])
-    try:
-        rows = spark.read.schema(whole).parquet(f"{path}/{table}")
-    except AnalysisException as problem:
-        if problem.getCondition() != "PATH_NOT_FOUND":
-            raise  # anything but a table that is not there yet
-        return spark.createDataFrame([], whole)
-    return rows.where(F.col("bucket").isin(buckets))
+    parts, upto = [], -1
+    compact = sorted(finished(spark, f"{path}/{table}_compact", "batch=*"), key=_number)
+    if compact:
+        upto = _number(compact[-1])
+        parts.append((f"{path}/{table}_compact", compact[-1:]))
+    later = [f for f in finished(spark, f"{path}/{table}", "batch=*") if _number(f) > upto]
+    if later:
+        parts.append((f"{path}/{table}", later))
+    rows = spark.createDataFrame([], whole)
+    for base, folders in parts:
+        rows = rows.unionByName(spark.read.option("basePath", base).schema(whole).parquet(*folders).select(*whole.fieldNames()))
+    return rows if buckets is None else rows.where(F.col("bucket").isin(buckets))
 
 
 def maintain_read_model(store_path: str, model_path: str, name: str = "model", buckets: int = MODEL_BUCKETS) -> Callable[[DataFrame, int], None]:
@@ -141,21 +152,41 @@ def maintain_read_model(store_path: str, model_path: str, name: str = "model", b
     return handle
 
 
+def _schemas(spark: SparkSession) -> dict[str, T.StructType]:
+    """The columns of the model's three tables, besides those they lie in folders by."""
+    none = spark.createDataFrame([], EVENT_SCHEMA)
+    pointing = pointing_events(none)
+    return {"pointing": pointing.schema, "starts": start_keys(none).schema, "model": fold_runs(pointing, latest_starts(none)).schema}
+
+
 def current_read_model(spark: SparkSession, model_path: str) -> DataFrame:
     """The newest row of every run."""
-    rows = spark.read.parquet(f"{model_path}/model")
+    rows = _kept(spark, model_path, "model", _schemas(spark)["model"])
     rest = [c for c in rows.columns if c not in ("run_id", "batch", "bucket")]
     newest = rows.groupBy("run_id").agg(F.max_by(F.struct(*rest), "batch").alias("_r"))
     return newest.select("run_id", "_r.*")
 
 
 def compact_read_model(spark: SparkSession, model_path: str) -> None:
-    """Rewrite the model's rows as those of its newest batch alone; run while no batch is being handled."""
-    rows = spark.read.parquet(f"{model_path}/model")
-    last = rows.agg(F.max("batch")).first()[0]
-    compact = materialise(current_read_model(spark, model_path).join(rows.select("run_id", "bucket").distinct(), "run_id"), "compact")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "static")
-    compact.withColumn("batch", F.lit(last)).write.mode("overwrite").partitionBy("batch", "bucket").parquet(f"{model_path}/model")
+    """Write the newest row of every run, and the events and starts of all batches, as one folder per table; run while no batch is being handled.
+
+    A compaction is a folder of its own, named after the last batch it holds, and counts once it is whole; only then are the folders that it
+    stands for removed. So it may die at any point: readers see the folders before it or the whole of it.
+    """
+    for table, schema in _schemas(spark).items():
+        batches = finished(spark, f"{model_path}/{table}", "batch=*")
+        if not batches:
+            continue
+        rows = _kept(spark, model_path, table, schema)
+        if table == "model":
+            rest = [c for c in rows.columns if c not in ("run_id", "batch")]
+            rows = rows.groupBy("run_id").agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select("run_id", "_r.*")
+        last = max(map(_number, batches))
+        compact = f"{model_path}/{table}_compact"
+        rows.drop("batch").hint("rebalance", F.col("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(f"{compact}/batch={last}")
+        for folder in [*batches, *[f for f in finished(spark, compact, "batch=*") if _number(f) < last]]:
+            place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def distinct_events(stream: DataFrame, keys: Sequence[str], ts: str | None = None, watermark: str | None = None) -> DataFrame:

@@ -5,12 +5,13 @@ from __future__ import annotations
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ferrylog.plans.event_model import ADMIN_MOVED, TOPIC_PREFIX, USER_MOVED
 from ferrylog.functions.schemas import LONG, TEXT, struct
-from ferrylog.plans import accounts
+from ferrylog.plans import accounts, event_queries
 from ferrylog.session import load_table, new_path
-from ferrylog.sources import event_store, messages, pages, staging
+from ferrylog.sources import event_store, keyed_table, messages, pages, staging
 from ferrylog.streaming import consumers, stateful
 from workloads.adapters import SQL_ACCOUNTS, SQL_ENVELOPES, SQL_OPERATIONS, envelopes, raw_events, source_admins, source_users, transaction_log
 from workloads.events import MODEL_COLUMNS, SQL_MODEL
@@ -211,6 +212,31 @@ def s17(spark, folder):
     return event_store.processing_log(judged, "imports", as_of=AS_OF).select("event_id", "handler_name", "processing_status", "error_message")
 
 
+@query("q3_store_lookup", EVENTS + "SELECT event_id, event_type, aggregate_id, epoch_us(\"timestamp\") AS us FROM envelopes WHERE correlation_id = 'c10'")
+def q3_store(spark, folder):
+    """By correlation id in the stored table, whose row groups are skipped by Bloom filters."""
+    found = event_queries.by_correlation(event_store.read_events(spark, stored_events(spark, folder)), "c10")
+    return found.select("event_id", "event_type", "aggregate_id", F.unix_micros("timestamp").alias("us"))
+
+
+@query(
+    "q8_stored_upsert",
+    "SELECT aggregate_id, version, epoch_us(created_at) AS created_us, epoch_us(updated_at) AS updated_us FROM ("
+    "SELECT o_custkey AS aggregate_id, max(o_orderkey) AS version, CASE WHEN o_custkey % 3 <> 0 THEN TIMESTAMP '2024-01-01' ELSE TIMESTAMP '2024-01-15' END AS created_at, "
+    "CASE WHEN o_custkey % 3 <> 0 AND o_custkey % 2 <> 0 THEN TIMESTAMP '2024-01-01' ELSE TIMESTAMP '2024-01-15' END AS updated_at FROM orders GROUP BY o_custkey)",
+)
+def q8_stored(spark, folder):
+    """Snapshots in a stored table of buckets: first some, then new and changed ones."""
+    newest = load_table(spark, folder, "orders").groupBy(F.col("o_custkey").alias("aggregate_id")).agg(F.max("o_orderkey").alias("version"))
+    path, schema = new_path(spark, "snapshots"), None
+    changed = (F.col("aggregate_id") % 2 == 0) | (F.col("aggregate_id") % 3 == 0)
+    for rows, at in ((newest.filter("aggregate_id % 3 <> 0").withColumn("version", F.lit(0).cast("long")), "2024-01-01"), (newest.filter(~changed), "2024-01-01"), (newest.filter(changed), "2024-01-15")):
+        keyed_table.upsert_keyed(rows, path, "aggregate_id", F.lit(at), buckets=8)
+        schema = T.StructType([*rows.schema.fields, T.StructField("created_at", T.TimestampType()), T.StructField("updated_at", T.TimestampType())])
+    found = keyed_table.read_keyed(spark, path, schema)
+    return found.select("aggregate_id", "version", F.unix_micros("created_at").alias("created_us"), F.unix_micros("updated_at").alias("updated_us"))
+
+
 # ---- streams ------------------------------------------------------------------------------
 
 
