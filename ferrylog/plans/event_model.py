@@ -35,11 +35,11 @@ class EventSpec:
     moment: str
 
 
-# fixed values of the stored format: names of event types, an aggregate type, payload fields and the topics' prefix
-RUN_STARTED, RUN_COMPLETED, RUN_FAILED = "migration.started", "migration.completed", "migration.failed"
-USER_MOVED, ADMIN_MOVED = "user.migrated", "admin.migrated"
-RUN, RUN_ID, MOVED_AT = "migration", "migration_id", "migrated_at"
-TOPIC_PREFIX = "migration-events"
+# names of event types, an aggregate type, payload fields and the topics' prefix; see :func:`with_our_names` for events stored under others
+RUN_STARTED, RUN_COMPLETED, RUN_FAILED = "run.started", "run.completed", "run.failed"
+USER_MOVED, ADMIN_MOVED = "user.moved", "admin.moved"
+RUN, RUN_ID, MOVED_AT = "run", "run_id", "moved_at"
+TOPIC_PREFIX = "run-events"
 
 # fixed values: the event types, their aggregate type, payload fields and payload time field
 EVENT_SPECS: dict[str, EventSpec] = {
@@ -116,6 +116,30 @@ def backfill_user_events(legacy: DataFrame, user_id: Column, username: Column, m
     return make_events(legacy, USER_MOVED, user_id, moved_at, payload)
 
 
+def with_our_names(events: DataFrame, types: dict[str, str], aggregates: dict[str, str] | None = None, fields: dict[str, str] | None = None) -> DataFrame:
+    """Events stored under other names, by theirs to ours: event types, aggregate types and top-level payload fields.
+
+    Names that are not listed stay; a payload without any listed field, or that is no JSON object, stays as it is, and so does a field whose
+    new name the payload has already.
+    """
+
+    def renamed(name: str, names: dict[str, str] | None) -> Column:
+        if not names:
+            return F.col(name)
+        known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+        return F.coalesce(F.element_at(known, F.col(name)), F.col(name))
+
+    out = events.withColumns({"event_type": renamed("event_type", types), "aggregate_type": renamed("aggregate_type", aggregates)})
+    if not fields:
+        return out
+    body = F.when(json_kind(F.col("event_data")).startswith("OBJECT"), F.col("event_data"))
+    values, known = F.from_json(body, "map<string,variant>"), F.create_map(*[F.lit(x) for pair in fields.items() for x in pair])
+    has = lambda k: F.map_contains_key(values, k)
+    changed = F.transform_keys(values, lambda k, _: F.when(~F.coalesce(has(F.element_at(known, k)), F.lit(False)), F.coalesce(F.element_at(known, k), k)).otherwise(k))
+    some = F.exists(F.map_keys(values), lambda k: F.map_contains_key(known, k))
+    return out.withColumn("event_data", F.when(F.coalesce(some, F.lit(False)), F.to_json(changed)).otherwise(F.col("event_data")))
+
+
 def known_type(event_type: Column) -> Column:
     return event_type.isin(*EVENT_SPECS)
 
@@ -156,17 +180,17 @@ def audit_entries(events: DataFrame) -> DataFrame:
     )
 
 
-# fixed values of the stored format: titles, texts and priorities of notifications, and where their details come from
+# titles, texts and priorities of notifications, and where their details come from
 TITLES = {
-    RUN_COMPLETED: "Migration Completed",
-    RUN_FAILED: "Migration Failed",
+    RUN_COMPLETED: "Run Completed",
+    RUN_FAILED: "Run Failed",
     "rollback.initiated": "Rollback Initiated",
     "rollback.completed": "Rollback Completed",
 }
-COMPLETED_TEXT = "Migration %s completed successfully in %.2f seconds"
-FAILED_TEXT = "Migration %s failed: %s"
-INITIATED_TEXT = "Rollback %s initiated for migration %s: %s"
-UNDONE_TEXT = "Rollback %s for migration %s completed %s"
+COMPLETED_TEXT = "Run %s completed successfully in %.2f seconds"
+FAILED_TEXT = "Run %s failed: %s"
+INITIATED_TEXT = "Rollback %s initiated for run %s: %s"
+UNDONE_TEXT = "Rollback %s for run %s completed %s"
 WELL, BADLY, NO_REASON_KNOWN = "successfully", "with errors", "Unknown error"
 NORMAL, MEDIUM, HIGH = "normal", "medium", "high"
 DETAILS = {

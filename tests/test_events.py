@@ -157,8 +157,8 @@ def test_streamed_model_reads_touched_buckets(spark, six, tmp_path):
     assert (row.run_id, row.status, row.extracted_count, row.user_count) == ("m1", "completed", 50, 2)
     assert event_store.read_events(spark, store).count() == 6
     consumers.compact_read_model(spark, model)
-    assert consumers.current_read_model(spark, model).count() == spark.read.parquet(f"{model}/model").count() == 1
-    kept = consumers._kept(spark, model, "pointing", spark.read.parquet(f"{model}/pointing").schema, [1])
+    assert consumers.current_read_model(spark, model).count() == spark.read.parquet(f"{model}/model_compact").count() == 1
+    kept = consumers._kept(spark, model, "pointing", consumers._schemas(spark)["pointing"], [1])
     assert "bucket#" in plan_of(kept).split("PartitionFilters")[1].split("]")[0]
 
 
@@ -197,3 +197,15 @@ def test_stored_events_are_pruned(spark, six, tmp_path):
     event_store.append_events(six, path)
     plan = plan_of(event_queries.by_aggregate(event_store.read_events(spark, path), "m1").select("event_id"))
     assert "EqualTo(aggregate_id,m1)" in plan and "event_data" not in plan.split("ReadSchema")[1]
+
+
+def test_events_under_other_names(spark):
+    rows = [("e1", "job.begun", "a", "job", '{"job": "x", "n": {"deep": [1]}}'), ("e2", "other", "a", "z", '{"n": 1}'), ("e3", "job.begun", "a", None, "no JSON"), ("e4", None, "a", "job", '{"job": 1, "run_id": 2}')]
+    df = spark.createDataFrame(rows, "event_id string, event_type string, aggregate_id string, aggregate_type string, event_data string")
+    named = event_model.with_our_names(df, {"job.begun": event_model.RUN_STARTED}, {"job": event_model.RUN}, {"job": event_model.RUN_ID})
+    have = {r.event_id: (r.event_type, r.aggregate_type, r.event_data) for r in named.collect()}
+    assert have == {
+        "e1": (event_model.RUN_STARTED, event_model.RUN, '{"run_id":"x","n":{"deep":[1]}}'), "e2": ("other", "z", '{"n": 1}'),
+        "e3": (event_model.RUN_STARTED, None, "no JSON"), "e4": (None, event_model.RUN, '{"job":1,"run_id":2}'),
+    }
+    assert event_model.with_our_names(df, {}).collect() == df.collect()
