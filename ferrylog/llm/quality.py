@@ -128,10 +128,11 @@ def sparse(sizes: np.ndarray, families: list[np.ndarray], s: Settings) -> list[t
 
 
 def dot(sizes: np.ndarray, families: list[np.ndarray], weights: np.ndarray, s: Settings) -> np.ndarray:
-    """The dot product of each text's values with the weights, without listing distinct buckets first."""
-    sums = np.concatenate([[0.0], np.cumsum(sum(weights[f] for f in families))]) if sizes.sum() else np.zeros(1)
-    ends = np.cumsum(sizes)
-    return weights[-1] + (sums[ends] - sums[ends - sizes]) * (s.scale / np.maximum(sizes, 1))
+    """The dot product of each text's values with the weights, without listing distinct buckets first; each text is summed by itself."""
+    sums, some = np.zeros(len(sizes)), sizes > 0
+    if some.any():
+        sums[some] = np.add.reduceat(sum(weights[f] for f in families), (np.cumsum(sizes) - sizes)[some])
+    return weights[-1] + sums * (s.scale / np.maximum(sizes, 1))
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", s: Settings = Settings()) -> np.ndarray:

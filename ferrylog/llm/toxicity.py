@@ -329,7 +329,7 @@ def train(texts: list[str], labels: list[int], s: Settings) -> Model:
 
 
 def text_features(owner: np.ndarray, logits: np.ndarray, count: int) -> np.ndarray:
-    """Per text its highest window logit, how far the next ones stand below it, and the log of its number of windows."""
+    """Per text its ``TOP`` highest window logits, the highest first. How many windows it has says nothing: more of the same text is no more toxic."""
     ranked = np.lexsort((-logits, owner))
     own = owner[ranked]
     numbers = np.bincount(owner, minlength=count)
@@ -337,7 +337,7 @@ def text_features(owner: np.ndarray, logits: np.ndarray, count: int) -> np.ndarr
     top = np.full((count, TOP), -8.0)
     near = place < TOP
     top[own[near], place[near]] = np.clip(logits[ranked][near], -8.0, 8.0)
-    return np.concatenate([top, np.log(np.maximum(numbers, 1))[:, None]], axis=1)
+    return top
 
 
 def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
@@ -434,9 +434,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic",
 
 
 def score(docs: DataFrame, model: Model, carried: tuple[str, ...] = ("doc_id",), text: str = "text", s: Settings = Settings()) -> DataFrame:
-    """``carried`` columns and ``score`` (0 to 1, higher: label 1 likelier): the highest over all windows of a whole text.
+    """``carried`` columns and ``score`` (0 to 1, higher: label 1 likelier) of each whole text: a logistic fit of its ``TOP`` highest windows.
 
-    Null and empty texts, and those without a word, have the score of an empty window. Equal texts have equal
+    All windows are scored, whatever the text's length, and the length itself has no part in the score. Null and empty texts, and those without a word, have the score of an empty window. Equal texts have equal
     scores; an empty table gives none.
     """
     spark = docs.sparkSession

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -41,6 +42,100 @@ def test_quality_dot_is_the_sparse_product():
     assert np.allclose(alone, by_rows)  # no text looks at its neighbours in the batch
 
 
+def test_equal_texts_have_equal_scores_wherever_they_stand():
+    s = quality.Settings(buckets=1 << 10)
+    rng = np.random.default_rng(4)
+    weights = rng.normal(size=s.buckets + 1)
+    made = [" ".join(f"w{i}" for i in rng.integers(0, 500, n)) for n in (1, 3, 50, 777, 4000)]
+    texts = ["", *made, made[2], "x", made[4], made[4], made[3], "", *reversed(made)]
+    found: dict[str, set] = {}
+    for batch in (texts, texts[3:], texts[5:9]):
+        for t, value in zip(batch, quality.dot(*quality.Featurizer(s.buckets).texts(batch), weights, s), strict=True):
+            found.setdefault(t, set()).add(float(value))
+    assert all(len(values) == 1 for values in found.values())
+
+
+def test_updates_are_those_of_a_plain_loop():
+    """Follow-the-regularised-leader, coordinate by coordinate, in the order that training uses."""
+    s, rng = quality.Settings(buckets=40, passes=3), np.random.default_rng(8)
+    examples = [(np.append(np.sort(rng.choice(40, 6, replace=False)), 40), np.append(rng.random(6), 1.0)) for _ in range(60)]
+    labels = rng.integers(0, 2, 60).tolist()
+    z, n, order = [0.0] * 41, [0.0] * 41, np.random.default_rng(7)
+
+    def weight(i: int) -> float:
+        if abs(z[i]) <= s.l1:
+            return 0.0
+        return -(z[i] - math.copysign(s.l1, z[i])) / ((s.beta + math.sqrt(n[i])) / s.alpha + s.l2)
+
+    for _ in range(s.passes):
+        for e in order.permutation(60):
+            at, x = examples[e]
+            w = [weight(i) for i in at]
+            p = 1 / (1 + math.exp(-sum(a * b for a, b in zip(w, x, strict=True))))
+            for i, v, old in zip(at, x, w, strict=True):
+                g = (p - labels[e]) * v
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / s.alpha
+                z[i], n[i] = z[i] + g - sigma * old, n[i] + g * g
+    assert np.allclose(quality.train(examples, labels, s), [weight(i) for i in range(41)])
+
+
+def plain_score(m, s, text: str) -> float:
+    """One text, window by window, step by step, word by word."""
+    vocabulary = toxicity.Vocabulary(s)
+    words = toxicity.split_texts([text], s)[0]
+    codes = vocabulary.codes([words])
+    grams = np.split(vocabulary.grams, np.cumsum(vocabulary.counts)[:-1])
+    inputs = [np.concatenate([m["word"][vocabulary.words[c]], m["gram"][grams[c]].sum(axis=0) / math.sqrt(len(grams[c]))]) for c in codes]
+    starts = [0] if len(words) <= s.window else [*range(0, len(words) - s.window, s.stride), len(words) - s.window]
+    sigmoid, found = (lambda v: 1 / (1 + np.exp(-v))), []
+    for start in starts:
+        own = inputs[start : start + s.window]
+        attend, out = np.zeros(len(own)), np.zeros(len(own))
+        for d in (0, 1):
+            h, k = np.zeros(s.hidden), s.hidden
+            for t in range(len(own)) if d == 0 else reversed(range(len(own))):
+                x, u = own[t] @ m["W"][d] + m["b"][d], h @ m["U"][d]
+                r, z = sigmoid(x[:k] + u[:k]), sigmoid(x[k : 2 * k] + u[k : 2 * k])
+                c = np.tanh(x[2 * k :] + r * u[2 * k :])
+                h = (1 - z) * c + z * h
+                attend[t] += h @ m["attend"][d]
+                out[t] += h @ m["out"][d]
+        share = np.exp(attend - attend.max()) if len(own) else attend
+        found.append(float((share / share.sum() * out).sum() if len(own) else 0.0) + float(m["bias"][0]))
+    top = [*sorted((min(max(v, -8.0), 8.0) for v in found), reverse=True), *[-8.0] * toxicity.TOP][: toxicity.TOP]
+    return float(sigmoid(np.dot(top, m["scale"][:-1]) + m["scale"][-1]))
+
+
+def test_scores_are_those_of_a_plain_loop():
+    s, rng = SMALL, np.random.default_rng(6)
+    make = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), rng.integers(1, 8))) for _ in range(n))
+    learn = [make(30) for _ in range(40)]
+    m = toxicity.train(learn, [i % 2 for i in range(40)], s)
+    texts = ["", "!!", "one", make(5), make(6), make(7), make(40), make(41), "x" * 300, *learn[:5]]
+    assert np.allclose(toxicity.Scorer(m, s).scores(texts), [plain_score(m, s, t) for t in texts], atol=1e-4)
+
+
+def test_more_of_the_same_text_is_no_more_toxic(spark, folder):
+    big = folder.replace("sf0.001", "sf0.01")
+    docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
+    model, s = toxicity.fit(docs, labels, learning.fold("doc_id", 4) != 2), toxicity.Settings()
+    known = docs.join(labels, "doc_id").where("length(text) between 400 and 3000").orderBy("doc_id").select("text", "toxic").collect()
+    scorer = toxicity.Scorer(model, s)
+    clean = [r.text for r in known if not r.toxic][:12]
+    toxic = [r.text for r in known if r.toxic][:12]
+    for text in clean:
+        times = -(-100_000 // len(text.split()))
+        few, many = scorer.scores([" ".join([text] * 100), " ".join([text] * max(times, 200))])  # windows have met every part of the text, several times
+        assert (few >= 0.3) == (many >= 0.3) and abs(few - many) < 1e-4
+    around = " ".join(clean[:6])
+    while len(around.split()) < 100_000:
+        around += " " + around
+    alone, inside = scorer.scores(toxic), scorer.scores([f"{around} {t} {around}" for t in toxic])
+    assert sum((a >= 0.3) != (b >= 0.3) and a >= 0.3 for a, b in zip(alone, inside, strict=True)) == 0
+    huge = " ".join([clean[0]] * (-(-400_000 // len(clean[0].split()))))
+    assert (scorer.scores([huge])[0] >= 0.3) == (scorer.scores([" ".join([clean[0]] * 100)])[0] >= 0.3)
+
+
 def test_network_gradients():
     s, rng = SMALL, np.random.default_rng(3)
     size = s.word_size + s.gram_size
