@@ -271,6 +271,10 @@ def keep_newest(df: DataFrame, count: int, order: Sequence[str], keys: Sequence[
     return rows.drop(SEGMENT).withColumn("rank", rank).filter(F.col("rank") <= count)
 
 
+#: What is left of an average after so many values that no double would show it.
+NOTHING = 1e-60
+
+
 def moving_average_exponential(
     df: DataFrame,
     value: str,
@@ -290,11 +294,13 @@ def moving_average_exponential(
     if not 0 <= alpha <= 1:
         raise ValueError("alpha must be from 0 to 1")
     known = F.col(value).isNotNull()
-    rows = running(df, {"_i": ("sum", F.when(known, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")))}, order, keys, target_rows)
-    return _ema(rows, F.col(value).cast("double"), known, keys, alpha, block_rows)
+    rows, split = with_segments(df, order, keys, target_rows)
+    number = {"_i": ("sum", F.when(known, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")))}
+    rows = running_in(rows, split, number, order, keys).drop(SEGMENT)
+    return _ema(rows, F.col(value).cast("double"), known, keys, alpha, block_rows, split)
 
 
-def _ema(rows: DataFrame, value: Column, known: Column, keys: Sequence[str], alpha: float, block_rows: int) -> DataFrame:
+def _ema(rows: DataFrame, value: Column, known: Column, keys: Sequence[str], alpha: float, block_rows: int, split: bool) -> DataFrame:
     q = 1.0 - alpha
     longest = block_rows if q in (0.0, 1.0) else min(block_rows, math.ceil(math.log(1e-100) / math.log(q)))
     size = max(2, longest)
@@ -308,15 +314,22 @@ def _ema(rows: DataFrame, value: Column, known: Column, keys: Sequence[str], alp
     )
     if q == 0.0:
         return _last_known(rows, keys).drop("_i", "_x", "_block", "_pos")
+    placed = [F.col("_i"), F.col("_x").isNull()]
+    upto = Window.partitionBy(*keys, "_block").orderBy(*placed).rowsBetween(Window.unboundedPreceding, 0)
+    own = F.sum(F.coalesce("_x", F.lit(0.0)) * F.pow(F.lit(q), -F.col("_pos"))).over(upto)
+    ema = (own + F.coalesce("_in", F.lit(0.0)) * q) * F.pow(F.lit(q), F.col("_pos"))
+    if not split and q**size < NOTHING:
+        # a key lies in one task and only the block before counts: its closing is carried over by windows
+        closing = F.sum(F.col("_x") * F.pow(F.lit(q), -F.col("_pos"))).over(Window.partitionBy(*keys, "_block")) * F.pow(F.lit(q), F.lit(size - 1))
+        before = rows.withColumn("_own", closing).withColumn("_own", F.lag("_own").over(Window.partitionBy(*keys).orderBy(*placed)))
+        joined = before.withColumn("_in", F.first("_own").over(upto)).drop("_own")
+        return joined.withColumn("ema", F.when(F.col("_i") > 0, ema)).drop("_i", "_x", "_block", "_pos", "_in")
     filed = rows.filter(F.col("_x").isNotNull())
     scaled = F.sum(F.col("_x") * F.pow(F.lit(q), -F.col("_pos")))
     closings = filed.groupBy(*keys, "_block").agg((scaled * F.pow(F.lit(q), F.lit(size - 1))).alias("_own"))
     carried = _carried(materialise(closings, "closings"), keys, q**size, block_rows)
-    upto = Window.partitionBy(*keys, "_block").orderBy("_i", F.col("_x").isNull()).rowsBetween(Window.unboundedPreceding, 0)
     same = [F.col(f"l.{k}").eqNullSafe(F.col(f"c.{k}")) for k in (*keys, "_block")]
     joined = rows.alias("l").join(carried.alias("c"), same, "left").select("l.*", "c._in")
-    own = F.sum(F.coalesce("_x", F.lit(0.0)) * F.pow(F.lit(q), -F.col("_pos"))).over(upto)
-    ema = (own + F.coalesce("_in", F.lit(0.0)) * q) * F.pow(F.lit(q), F.col("_pos"))
     return joined.withColumn("ema", F.when(F.col("_i") > 0, ema)).drop("_i", "_x", "_block", "_pos", "_in")
 
 
@@ -333,7 +346,7 @@ def _carried(closings: DataFrame, keys: Sequence[str], factor: float, block_rows
     The average after block b is the sum of ``_own`` of block j times factor**(b - j). Where the factor has vanished, only the block before
     matters; elsewhere blocks are summed in groups, and the groups' sums are carried on by the same rule.
     """
-    if factor < 1e-60:
+    if factor < NOTHING:
         return closings.select(*keys, (F.col("_block") + 1).alias("_block"), F.col("_own").alias("_in"))
     reach = block_rows if factor == 1.0 else max(2, min(block_rows, math.ceil(math.log(1e-100) / math.log(factor))))
     spans = closings.withColumns({"_group": F.floor(F.col("_block") / F.lit(reach)).cast("long"), "_at": F.col("_block") % reach})
