@@ -26,7 +26,7 @@ from ferrylog.operators.ordering import TARGET_ROWS, running
 from ferrylog.plans.event_model import EVENT_ORDER, EVENT_SCHEMA, RUN
 from ferrylog.plans.read_models import COUNTED, KEPT, STARTED, accumulated, link_table, merged, model_rows, parsed, pointing_events, run_keys
 from ferrylog.session import materialise
-from ferrylog.sources.event_store import events_after, finished
+from ferrylog.sources.event_store import delete_folder, events_after, finished
 
 PLACE = struct(timestamp=MOMENT, event_id=TEXT)
 STARTS = struct(run_id=TEXT, event_id=TEXT, correlation_id=TEXT, started_at=MOMENT, source_config=TEXT, target_config=TEXT, _from=PLACE)
@@ -160,5 +160,4 @@ def forget(spark: SparkSession, path: str, numbers: Sequence[int]) -> None:
     """Remove stored states, their marks first."""
     for number in numbers:
         for name in reversed(RunState.TABLES):
-            place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}/state={number}")
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+            delete_folder(spark, f"{path}/{name}/state={number}")

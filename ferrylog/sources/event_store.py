@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,6 +32,10 @@ ID_BUCKETS = 64
 ID_SCHEMA = struct(event_id=TEXT)
 
 
+#: A batch that stands for others is named so; what it stands for is written before it.
+MERGED, MERGE = "merged-", struct(name=TEXT)
+
+
 def _bucket(event_id: str) -> Column:
     return F.pmod(F.xxhash64(event_id), F.lit(ID_BUCKETS)).cast("int")
 
@@ -43,8 +48,13 @@ def finished(spark: SparkSession, path: str, pattern: str) -> list[str]:
 
 
 def _batches(spark: SparkSession, path: str, but: str | None = None) -> list[str]:
-    """The finished batches of a store or its index, by their folders."""
-    return [folder for folder in finished(spark, path, "batch=*") if not folder.endswith(f"/batch={but}")]
+    """The finished batches of a store or its index, by their folders; those that a finished merge stands for are left out."""
+    folders = {f.rsplit("/batch=", 1)[1]: f for f in finished(spark, path, "batch=*")}
+    replaced = {but}
+    for name in folders:
+        if name.startswith(MERGED):
+            replaced |= {r["name"] for r in spark.read.schema(MERGE).parquet(f"{path.removesuffix('_ids')}_merged/{name}").collect()}
+    return [folder for name, folder in folders.items() if name not in replaced]
 
 
 def stored_ids(spark: SparkSession, path: str, buckets: list[int], but: str | None = None) -> DataFrame:
@@ -85,13 +95,49 @@ def append_events(events: DataFrame, path: str, new_only: bool = False, batch: s
         # at most ID_BUCKETS numbers come to the driver
         touched = [r["b"] for r in events.select(_bucket("event_id").alias("b")).distinct().collect()]
         rows = rows.join(stored_ids(spark, path, touched, batch), "event_id", "left_anti")
-    rows = rows.withColumn("event_date", F.to_date("timestamp")).hint("rebalance", F.col("event_date"))  # few files per day, and a hot day is split
-    folder = f"{path}/batch={batch}"
+    _write_events(rows.withColumn("event_date", F.to_date("timestamp")), f"{path}/batch={batch}")
+    _write_ids(spark, path, batch)
+
+
+def _write_events(rows: DataFrame, folder: str) -> None:
+    rows = rows.hint("rebalance", F.col("event_date"))  # few files per day, and a hot day is split
     rows.sortWithinPartitions("event_date", "aggregate_id", "event_version").write.mode("overwrite").options(**BLOOM).partitionBy("event_date").parquet(folder)
-    ids = spark.read.schema(STORED_SCHEMA).parquet(folder).select("event_id", _bucket("event_id").alias("bucket")).hint("rebalance", F.col("bucket"))
+
+
+def _write_ids(spark: SparkSession, path: str, batch: str) -> None:
+    ids = spark.read.schema(STORED_SCHEMA).parquet(f"{path}/batch={batch}").select("event_id", _bucket("event_id").alias("bucket")).hint("rebalance", F.col("bucket"))
     ids.sortWithinPartitions("bucket", "event_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}_ids/batch={batch}")
 
 
+def compact_events(spark: SparkSession, path: str) -> int:
+    """Merge the finished batches of a store into one, and their ids; run while no batch is being appended. Says how many batches there were.
+
+    What the merge stands for is written first, so the moment it is finished readers leave its parts out; these are removed last. It may die at any
+    point and be run again: events are read once, from the parts or from the merge.
+    """
+    parts, ids = _batches(spark, path), _batches(spark, f"{path}_ids")
+    names = sorted({f.rsplit("/batch=", 1)[1] for f in [*parts, *ids]})
+    if len(names) > 1:
+        merged = f"{MERGED}{uuid.uuid4().hex}"
+        spark.createDataFrame([(n,) for n in names], MERGE).coalesce(1).write.parquet(f"{path}_merged/{merged}")
+        _write_events(spark.read.option("basePath", path).schema(STORED_SCHEMA).parquet(*parts).select(*STORED_SCHEMA.fieldNames()), f"{path}/batch={merged}")
+        _write_ids(spark, path, merged)
+    current = {f.rsplit("/", 1)[1] for f in _batches(spark, path)}
+    for place in (path, f"{path}_ids"):
+        for folder in finished(spark, place, "batch=*"):
+            if folder.rsplit("/", 1)[1] not in current:
+                delete_folder(spark, folder)
+    for folder in finished(spark, f"{path}_merged", f"{MERGED}*"):
+        if f"batch={folder.rsplit('/', 1)[1]}" not in current:
+            delete_folder(spark, folder)
+    return len(names)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """All events of finished batches."""
     folders = _batches(spark, path)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ferrylog.plans.read_models import upsert
-from ferrylog.sources.event_store import finished
+from ferrylog.sources.event_store import delete_folder, finished
 
 BUCKETS, BUCKET = 64, "bucket"
 
@@ -23,11 +23,6 @@ def _bucketed(rows: DataFrame, key: str, buckets: int) -> DataFrame:
     return rows.withColumn(BUCKET, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-
-
 def _waiting(spark: SparkSession, path: str) -> list[str]:
     return finished(spark, f"{path}_changes", "change=*")
 
@@ -39,7 +34,7 @@ def recover(spark: SparkSession, path: str, schema: T.StructType) -> int:
     for folder in waiting:
         rows = spark.read.schema(whole).parquet(folder)
         rows.hint("rebalance", F.col(BUCKET)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
-        _delete(spark, folder)
+        delete_folder(spark, folder)
     return len(waiting)
 
 

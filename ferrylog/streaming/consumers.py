@@ -13,7 +13,7 @@ from ferrylog.operators.sequences import buffer_tumbling
 from ferrylog.plans.event_model import EVENT_SCHEMA
 from ferrylog.plans.read_models import fold_runs, latest_starts, pointing_events, start_keys
 from ferrylog.session import materialise, shared_folder
-from ferrylog.sources.event_store import STORED_SCHEMA, append_events, finished, processing_log
+from ferrylog.sources.event_store import STORED_SCHEMA, append_events, delete_folder, finished, processing_log
 from ferrylog.sources.messages import dead_letter_messages, split_dead_letters
 
 
@@ -185,8 +185,7 @@ def compact_read_model(spark: SparkSession, model_path: str) -> None:
         compact = f"{model_path}/{table}_compact"
         rows.drop("batch").hint("rebalance", F.col("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(f"{compact}/batch={last}")
         for folder in [*batches, *[f for f in finished(spark, compact, "batch=*") if _number(f) < last]]:
-            place = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+            delete_folder(spark, folder)
 
 
 def distinct_events(stream: DataFrame, keys: Sequence[str], ts: str | None = None, watermark: str | None = None) -> DataFrame:

@@ -51,6 +51,31 @@ def test_an_append_that_died_between_its_writes_adds_nothing(spark, tmp_path):
     assert sorted(ids) == sorted(f"e{i}" for i in range(15))
 
 
+def test_batches_are_merged_and_read_once(spark, tmp_path):
+    path, whole = str(tmp_path / "store"), str(tmp_path / "whole")
+    for first in (0, 30, 60):
+        event_store.append_events(events(spark, range(first, first + 40)), path, new_only=True, batch=f"b{first}")
+    read = lambda p: sorted(r.event_id for r in event_store.read_events(spark, p).collect())
+    want = sorted(f"e{i}" for i in range(100))
+    assert read(path) == want
+    for end in ("", "_ids"):
+        shutil.copytree(f"{path}{end}", f"{whole}{end}")
+    assert event_store.compact_events(spark, path) == 3
+    assert read(path) == want and len(glob.glob(f"{path}/batch=*")) == len(glob.glob(f"{path}_ids/batch=*")) == 1
+    # died before the parts were removed, and before the ids of the merge were written
+    for end in ("", "_merged"):
+        shutil.copytree(f"{path}{end}", f"{whole}{end}", dirs_exist_ok=True)
+    assert read(whole) == want
+    event_store.append_events(events(spark, range(90, 110)), whole, new_only=True, batch="late")
+    assert read(whole) == sorted(f"e{i}" for i in range(110))
+    assert event_store.compact_events(spark, whole) == 5  # the merge, its new batch, and the parts whose ids it has not
+    assert read(whole) == sorted(f"e{i}" for i in range(110)) and len(glob.glob(f"{whole}/batch=*")) == len(glob.glob(f"{whole}_merged/*")) == 1
+    # a batch that was merged is given again
+    event_store.append_events(events(spark, range(30, 70)), path, new_only=True, batch="b30")
+    assert read(path) == want
+    assert event_store.compact_events(spark, str(tmp_path / "none")) == 0
+
+
 def test_compaction_may_die_anywhere(spark, tmp_path):
     store, model = str(tmp_path / "store"), str(tmp_path / "model")
     handle = consumers.maintain_read_model(store, model, buckets=4)
