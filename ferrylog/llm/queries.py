@@ -119,20 +119,18 @@ _TEMPLATES = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t i
 _OVER, _UNDER = licences.LEAST
 
 
-def _bigrams_sql(text: str) -> str:
-    words = f"regexp_extract_all(translate({text}, '{_UPPER}', '{_UPPER.lower()}'), '[a-z0-9]+')"
-    return f"list_distinct(list_transform(range(1, len({words})), lambda i: {words}[i] || ' ' || {words}[i + 1]))"
-
-
 LICENCE_SQL = f"""
-WITH templates AS (SELECT licence, x, len({_bigrams_sql("x")}) AS b FROM (VALUES {_TEMPLATES}) t(licence, x)),
-marks AS (SELECT licence, b, unnest({_bigrams_sql("x")}) AS g FROM templates),
-passages AS (SELECT doc_id, unnest(list_distinct(string_split(regexp_replace(text, '([.!?])[ \t]+', '\1\n', 'g'), chr(10)) || string_split(text, chr(10)) || regexp_split_to_array(text, '\n[ \t\r]*\n') || [text])) AS p FROM documents),
-cut AS (SELECT doc_id, row_number() OVER () AS i, regexp_extract_all(translate(p, '{_UPPER}', '{_UPPER.lower()}'), '[a-z0-9]+') AS w FROM passages),
-pairs AS (SELECT DISTINCT doc_id, i, unnest(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) AS g FROM cut),
-sizes AS (SELECT i, count(*) AS a FROM pairs GROUP BY i),
-met AS (SELECT doc_id, i, licence, b, count(*) AS common FROM pairs JOIN marks USING (g) GROUP BY ALL)
-SELECT doc_id, licence, max(2.0::DOUBLE * common / (a + b)) AS dice FROM met JOIN sizes USING (i) WHERE 2 * {_UNDER} * common >= {_OVER} * (a + b) GROUP BY doc_id, licence"""
+WITH cut AS (SELECT 0 AS i, NULL AS doc_id, licence, x FROM (VALUES {_TEMPLATES}) t(licence, x) UNION ALL SELECT row_number() OVER (), doc_id, NULL, coalesce(text, '') FROM documents),
+words AS (SELECT i, doc_id, licence, regexp_extract_all(translate(x, '{_UPPER}', '{_UPPER.lower()}'), '[a-z0-9]+') AS w FROM cut),
+grams AS (SELECT i, licence, unnest(range(0, len(w) - 1)) AS p, unnest(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) AS g FROM words WHERE len(w) > 1),
+marks AS (SELECT licence, g, count(*) AS c, sum(count(*)) OVER (PARTITION BY licence) AS b FROM grams WHERE i = 0 GROUP BY licence, g),
+hits AS (SELECT i, marks.licence, p, g, c, b, row_number() OVER (PARTITION BY i, marks.licence, g ORDER BY p) AS k FROM grams JOIN marks USING (g) WHERE i > 0),
+enough AS (SELECT i, licence FROM hits GROUP BY i, licence HAVING count(*) FILTER (k <= c) * {2 * _UNDER - _OVER} >= {_OVER} * any_value(b)),
+near AS (SELECT h.*, e.p AS before FROM hits h SEMI JOIN enough USING (i, licence) LEFT JOIN hits e ON e.i = h.i AND e.licence = h.licence AND e.g = h.g AND e.k = h.k - h.c),
+spans AS (SELECT s.i, s.licence, s.b, s.p AS start, h.p - s.p + 1 AS a, count(*) FILTER (h.before IS NULL OR h.before < s.p) OVER (PARTITION BY s.i, s.licence, s.p ORDER BY h.p) AS common
+  FROM near s JOIN near h ON h.i = s.i AND h.licence = s.licence AND h.p >= s.p AND {_OVER} * (h.p - s.p + 1) <= {2 * _UNDER - _OVER} * s.b),
+best AS (SELECT *, 2.0::DOUBLE * common / (a + b) AS dice FROM spans WHERE 2 * {_UNDER} * common >= {_OVER} * (a + b) QUALIFY row_number() OVER (PARTITION BY i, licence ORDER BY dice DESC, start, a) = 1)
+SELECT words.doc_id, best.licence, dice, start, a + 1 AS words FROM best JOIN words USING (i) WHERE i > 0"""
 
 
 @query("op3_licence_scans", LICENCE_SQL)
