@@ -1,8 +1,9 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
-Pivots are reference points. A vector is described by the ``PREFIX`` pivots nearest to it, in order. Inverted lists file it
-under its pivots; vectors that share at least two pivots are candidates, which is to say that they meet in the list of
-some pair of pivots. A pair that meets in several lists is looked at in the list of the two smallest pivots it shares, and
+Pivots are reference points. A vector is described by the few pivots nearest to it. Inverted lists file it
+under its pivots; vectors whose count of shared pivots is two or more are candidates, which is to say that they meet in the list of
+some pair of pivots. Pivots grow with the square root of the number of vectors, so that a vector's candidates
+grow with it too and not with the table; near vectors share fewer of many pivots, which a longer description makes up for (see ``described_by``). A pair that meets in several lists is looked at in the list of the two smallest pivots it shares, and
 counts as a link if its cosine, in double precision, is large enough. Equal vectors are one class from the start.
 
 Long lists are cut into blocks that meet pairwise. Links are not listed: a block yields numbers of links per vector
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,19 +28,33 @@ from ferrylog.llm.vectors import distinct_vectors, matrix, sizes_of, unit, usabl
 from ferrylog.operators.skew import lookup_join
 from ferrylog.session import materialise
 
-#: How many reference points, of how many hash-chosen vectors, none closer to another than this cosine.
-PIVOTS, SAMPLE, APART = 256, 4096, 0.8
-#: Nearest pivots that describe a vector.
+#: The least and greatest number of reference points, and the cosine that none is closer than to another.
+PIVOTS, MOST_PIVOTS, APART = 256, 8192, 0.8
+#: They come from so many hash-chosen vectors, or four times the pivots as long as their sample has no more components than this.
+SAMPLE, SAMPLE_COMPONENTS = 4096, 1 << 22
+#: Nearest pivots that describe a vector, of the least number.
 PREFIX = 7
 BLOCK = 1024
 
 
-def choose_pivots(classes: DataFrame, size: int, count: int = PIVOTS) -> np.ndarray:
+def described_by(vectors: int) -> tuple[int, int]:
+    """How many pivots an index of so many vectors has, and how many describe a vector.
+
+    With one more nearest pivot per doubling, random vectors of 64 components at a cosine of 0.9 share two pivots with a chance of
+    0.99 at any size, and unrelated ones with 0.017 at 256 pivots, 0.0045 at 1,024 and 0.001 at 4,096 (measured): about 4 candidates per vector for each
+    pivot. Beyond the square of the greatest number of pivots, about 67 million vectors, candidates grow with the vectors.
+    """
+    count = min(max(PIVOTS, math.isqrt(vectors)), MOST_PIVOTS)
+    return count, PREFIX + math.ceil(math.log2(count / PIVOTS))
+
+
+def choose_pivots(classes: DataFrame, size: int, count: int) -> np.ndarray:
     """Reference points from a bounded sample, taken in the order of a hash of their ids and kept apart.
 
     Near copies would describe one place many times over and part what lies there, so the first one stands for them.
     """
-    sample = classes.orderBy(F.xxhash64("low"), "low", "rep").limit(SAMPLE).select("vector").collect()
+    most = max(SAMPLE, min(4 * count, SAMPLE_COMPONENTS // size))
+    sample = classes.orderBy(F.xxhash64("low"), "low", "rep").limit(most).select("vector").collect()
     if not sample:
         return np.zeros((0, size))
     points = unit(np.array([r["vector"] for r in sample], np.float64).reshape(-1, size))
@@ -69,7 +85,7 @@ def described(classes: DataFrame, pivots: np.ndarray, size: int, prefix: int) ->
             for start in range(0, whole.num_rows, 512):
                 batch = whole.slice(start, 512)
                 rows = unit(matrix(batch.column("vector"), size))
-                near = np.sort(np.argsort(-(rows @ points.T), axis=1, kind="stable")[:, :length], axis=1).astype(np.int16)
+                near = np.sort(np.argpartition(-(rows @ points.T), length - 1, axis=1)[:, :length], axis=1).astype(np.int16)
                 keys = np.stack([near[:, i].astype(np.int32) * len(points) + near[:, j] for i, j in pairs], axis=1)
                 at = np.repeat(np.arange(len(rows)), len(pairs))
                 texts, own = [r.tobytes() for r in rows], [r.tobytes() for r in near]
@@ -139,9 +155,9 @@ def _forest(reps: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def links_of(filed: DataFrame, pivots: int, size: int, least: float) -> DataFrame:
     """``rep, linked, root``: per block the linked rows of a class, and the smallest class they lead to there."""
     length = F.length("prefix")
-    # there are no more lists than pairs of pivots, so their sizes are safe to broadcast
-    sizes = filed.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    counted = filed.join(F.broadcast(sizes), "key")
+    sizes = filed.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks")).where(F.col("_blocks") > 1)
+    counted = lookup_join(filed, materialise(sizes, "lists"), ["key"], ["rep"], "left")
+    counted = counted.withColumn("blocks", F.coalesce("_blocks", F.lit(1))).drop("_blocks")
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     spread = counted.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
@@ -183,9 +199,10 @@ def links_of(filed: DataFrame, pivots: int, size: int, least: float) -> DataFram
     return rows.mapInArrow(run, "rep long, linked long, root long")
 
 
-def near_vectors(rows: DataFrame, least: float = 0.9, vec_id: str = "vec_id", vector: str = "embedding", count: int = PIVOTS, prefix: int = PREFIX) -> DataFrame:
+def near_vectors(rows: DataFrame, least: float = 0.9, vec_id: str = "vec_id", vector: str = "embedding", count: int | None = None, prefix: int | None = None) -> DataFrame:
     """``vec_id, n_links, component_id, kept``: one row per row of ``rows``.
 
+    ``count`` pivots, the ``prefix`` nearest of which describe a vector, are set by the number of vectors if not given (``described_by``).
     A link is a pair with a cosine of ``least`` or more that the index finds; ``n_links`` counts the other rows linked directly
     (copies of the vector are), ``component_id`` is the smallest id that links lead to, ``kept`` says that it is the row's own.
     Vectors that are null, empty, zero, or hold null or non-finite components are linked with nothing; others with vectors of as many
@@ -199,8 +216,9 @@ def near_vectors(rows: DataFrame, least: float = 0.9, vec_id: str = "vec_id", ve
     blocks = []
     for size in sizes_of(classes, "vector"):
         own = classes.where(F.size("vector") == size)
-        pivots = choose_pivots(own, size, count)
-        blocks.append(materialise(links_of(described(own, pivots, size, prefix), len(pivots), size, least), "links"))
+        pivots_here, prefix_here = described_by(own.count())
+        pivots = choose_pivots(own, size, count or pivots_here)
+        blocks.append(materialise(links_of(described(own, pivots, size, prefix or prefix_here), len(pivots), size, least), "links"))
     if not blocks:
         return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), none, F.lit(True).alias("kept"))
     found = functools.reduce(DataFrame.union, blocks)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entries
 from ferrylog.llm import pivots, projections
+from ferrylog.llm.vectors import unit as vectors_unit
 from tools.check import compare, connect
 
 SCHEMA = "vec_id long, embedding array<float>, n_links int, score int"
@@ -54,6 +55,31 @@ def test_links(spark, monkeypatch, block):
         assert c <= i and (c == i or reach[index[i], index[c]]) and have[i].kept == (c == i)
 
 
+def test_pivots_grow_with_the_vectors(spark, monkeypatch):
+    assert [pivots.described_by(n) for n in (0, 65_536, 70_000, 1 << 20, 1 << 24, 1 << 40)] == [(256, 7), (256, 7), (264, 8), (1024, 9), (4096, 11), (8192, 12)]
+    monkeypatch.setattr(pivots, "PIVOTS", 12)
+    assert pivots.described_by(2500) == (50, 10)
+    vectors = np.concatenate([clustered(seed, 500) for seed in range(20, 25)])
+    df = spark.createDataFrame(rows_of(vectors, range(len(vectors))), SCHEMA)
+    linked = cosines(vectors) >= 0.9
+    np.fill_diagonal(linked, False)
+    found = np.zeros(len(vectors))
+    for r in pivots.near_vectors(df).collect():
+        found[r.vec_id] = r.n_links
+    assert (found <= linked.sum(axis=1)).all() and found.sum() >= 0.95 * linked.sum()
+
+
+@pytest.mark.parametrize("count", [256, 1024, 4096])
+def test_near_vectors_share_two_pivots(count):
+    rng = np.random.default_rng(5)
+    points, x, other = (vectors_unit(rng.normal(size=(n, 64))) for n in (count, 2000, 2000))
+    aside = vectors_unit(other - (other * x).sum(axis=1, keepdims=True) * x)
+    prefix = pivots.described_by(count * count)[1]
+    near = [np.argsort(-(v @ points.T), axis=1)[:, :prefix] for v in (x, 0.9 * x + math.sqrt(0.19) * aside, other)]
+    shared = [(near[0][:, :, None] == v[:, None, :]).sum(axis=(1, 2)) >= 2 for v in near[1:]]
+    assert shared[0].mean() >= 0.98 and shared[1].mean() * count < 6
+
+
 def test_one_tight_cluster_and_repeats(spark):
     rng = np.random.default_rng(3)
     vectors = np.ones((60, 16)) + 0.01 * rng.normal(size=(60, 16))
