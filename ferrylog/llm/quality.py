@@ -1,7 +1,7 @@
 """Quality classifier: logistic regression over hashed word n-grams, trained by follow-the-regularised-leader.
 
 A text is cut into words and runs of punctuation. Each token stands for itself (in lower case) and for its shape (case,
-length class, digits, the punctuation itself, or "same as the one before"). Features are the hashed 1- and 2-grams
+length class, digits, the punctuation itself or, in runs of more than 8, its different signs, or "same as the one before"). Features are the hashed 1- and 2-grams
 of words and 1- to 3-grams of shapes; a feature's value is its share of the text's n-grams of that family. A score is
 the sigmoid of the sparse dot product of these shares with the weights.
 """
@@ -43,7 +43,7 @@ class Settings:
 
 def shape(token: str) -> str:
     if not (token[0].isalnum() or token[0] == "_"):
-        return token[:8]
+        return token if len(token) <= 8 else "".join(dict.fromkeys(token)) + "+"
     if token.isdigit():
         return "0"
     case = "U" if len(token) > 1 and token.isupper() else "T" if token.istitle() else "l" if token.islower() else "m"

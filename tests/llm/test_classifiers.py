@@ -42,6 +42,10 @@ def test_quality_dot_is_the_sparse_product():
     assert np.allclose(alone, by_rows)  # no text looks at its neighbours in the batch
 
 
+def test_long_runs_of_signs_are_read_whole():
+    assert [quality.shape(x) for x in ("--", "-" * 8, "-" * 9, "-" * 400, "-" * 400 + "!", "-=" * 20)] == ["--", "-" * 8, "-+", "-+", "-!+", "-=+"]
+
+
 def test_equal_texts_have_equal_scores_wherever_they_stand():
     s = quality.Settings(buckets=1 << 10)
     rng = np.random.default_rng(4)
