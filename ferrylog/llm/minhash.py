@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrylog.llm.common import MULTIPLIER, WordHashes, arrow_table, bounded_batches, free_name, mix, small_pieces
@@ -288,20 +288,28 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return materialise(labels.join(roots, "comp", "left").select("rep", F.coalesce("root", "comp").alias("comp")))
 
 
-def _components(spark: SparkSession, docs: DataFrame, classes: DataFrame, text: str) -> DataFrame:
-    """``rep, comp`` for every class that shares a bucket with another one."""
+def _in_shared_buckets(filed: DataFrame, value: str) -> DataFrame:
+    """What is filed in buckets that hold several values, with the smallest one as ``low``.
 
-    def in_shared_buckets(filed: DataFrame, value: str) -> DataFrame:
-        """What is filed in buckets that hold several values, with the smallest one as ``low``.
+    Not a window, since a hot bucket would meet in one task: values are aggregated before they are shuffled, and the join is
+    one on both sides' own shuffles, which adaptive skew joins can split.
+    """
+    ends = filed.groupBy("key").agg(F.min(value).alias("low"), F.max(value).alias("high")).where("low != high")
+    return filed.join(materialise(ends.select("key", "low"), "ends"), "key")
 
-        Not a window, since a hot bucket would meet in one task: values are aggregated before they are shuffled, and the join is
-        one on both sides' own shuffles, which adaptive skew joins can split.
-        """
-        ends = filed.groupBy("key").agg(F.min(value).alias("low"), F.max(value).alias("high")).where("low != high")
-        return filed.join(materialise(ends.select("key", "low"), "ends"), "key")
 
-    filed = materialise(in_shared_buckets(postings(classes), "rep").select("key", "slot", "rep", "low"))
+def _components(docs: DataFrame, classes: DataFrame, text: str) -> DataFrame:
+    """``rep, comp`` for every class that shares a bucket with another one."""
+    filed = materialise(_in_shared_buckets(postings(classes), "rep").select("key", "slot", "rep", "low"))
     sets = ShingleSets(docs, filed.select("rep").distinct().join(classes.select("rep", "set_id", "low", "low_text"), "rep"), text)
+    try:
+        return _joined(filed, sets, classes)
+    finally:
+        sets.drop()
+
+
+def _joined(filed: DataFrame, sets: ShingleSets, classes: DataFrame) -> DataFrame:
+    """``rep, comp`` of the classes that are filed: what confirmed links join, until no bucket holds a pair of components that may be linked."""
 
     def nearest(stars: DataFrame) -> DataFrame:
         """Of its candidate centres ``a`` each class ``b`` has the nearest, if that is a link."""
@@ -315,7 +323,7 @@ def _components(spark: SparkSession, docs: DataFrame, classes: DataFrame, text:
 
     def open_buckets() -> DataFrame:
         """What is filed in buckets that hold several components."""
-        return in_shared_buckets(filed.join(labels, "rep"), "comp").drop("low")
+        return _in_shared_buckets(filed.join(labels, "rep"), "comp").drop("low")
 
     for turn in range(1, STARS):
         still = materialise(open_buckets())
@@ -349,7 +357,6 @@ def _components(spark: SparkSession, docs: DataFrame, classes: DataFrame, text:
         left = left.select("a", "b", "distance")
         if tries is not None:
             left = left.join(chosen, ["a", "b"], "left_anti")
-    sets.drop()
     return labels
 
 
@@ -362,7 +369,6 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     a text are one document, each row with its result. If an id stands for several texts, each of them has the links of its own
     text. An empty table gives none. Other columns are not looked at.
     """
-    spark = docs.sparkSession
     drawn = materialise(sketches(docs, text), "sketches")
     grouped = drawn.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_id")
     least = F.min(F.struct("doc_id", "text_key")).alias("least")
@@ -371,7 +377,7 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     classes = materialise(
         sets.select(F.monotonically_increasing_id().alias("rep"), "set_id", F.col("least.doc_id").alias("low"), F.col("least.text_key").alias("low_text"), "n", "signature", "odd"), "classes"
     )
-    linked = materialise(classes.select("rep", "set_id", "low").join(_components(spark, docs, classes, text), "rep"), "linked")
+    linked = materialise(classes.select("rep", "set_id", "low").join(_components(docs, classes, text), "rep"), "linked")
     smallest = materialise(linked.groupBy("comp").agg(F.min("low").alias("_component")), "smallest")
     linked = lookup_join(linked.select("set_id", "comp"), smallest, ["comp"], ["set_id"]).select("set_id", "_component")
     named = materialise(classes.select("set_id", "low").join(linked, "set_id", "left").select("set_id", F.coalesce("_component", "low").alias("_component")))

@@ -132,6 +132,19 @@ def test_ids_of_several_texts(spark):
     assert {c for i, _, c in want if i in (2, 5, 9)} == {1} and {c for i, _, c in want if i == 8} == {0}
 
 
+def test_a_stage_that_fails_leaves_no_table(spark, monkeypatch):
+    def fail(*_):
+        raise RuntimeError("lost")
+
+    docs = spark.createDataFrame([(i, f"one two three four five six seven eight nine {i % 3}") for i in range(9)], "doc_id long, text string")
+    monkeypatch.setattr(minhash, "_merged", fail)
+    monkeypatch.setattr(minhash.ShingleSets, "confirmed", fail)
+    before = {t.name for t in spark.catalog.listTables()}
+    with pytest.raises(RuntimeError, match="lost"):
+        minhash.near_duplicates(docs)
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 def test_components(spark):
     rng = random.Random(4)
     nodes = rng.sample(range(10**9), 400)
