@@ -37,6 +37,21 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, "k long, id long, s long, v double, ok boolean").withColumn("ts", F.timestamp_seconds("s"))
 
 
+def test_greedy_buffers_of_keys_in_few_buckets(spark, tmp_path):
+    rows = history()
+    mark = [(-1, -1, rows[-1][2] + 10**7, 0.0, True)]
+    parts = [frame(spark, part) for part in (rows[:300] + rows[310:320], rows[300:310] + rows[320:], mark)]
+    build = lambda s: stateful.buffer_greedy_stream(s, "ts", 86400, "1 day", ["id"], ["k"], buckets=3)
+    have = [r for r in streamed(spark, tmp_path, parts, build) if r.k != -1]
+    want, chains = [], {}
+    for k, i, s, _, _ in rows:
+        last, number = chains.get(k, (s, 0))
+        closes = s - last >= 86400
+        want.append((s, k, i, number, closes))
+        chains[k] = (s, number + 1) if closes else (last, number)
+    assert sorted([(r.s, r.k, r.id, r.buffer_id, r.closes) for r in have], key=lambda r: r[0]) == want
+
+
 class Held:
     """A value or list of a state store, and its handle and clock."""
 
