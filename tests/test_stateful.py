@@ -37,6 +37,23 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, "k long, id long, s long, v double, ok boolean").withColumn("ts", F.timestamp_seconds("s"))
 
 
+def test_sequences_of_keys_in_few_buckets(spark, tmp_path):
+    rows = history()
+    shuffled = [random.Random(n).sample(part, len(part)) for n, part in enumerate((rows[:300], rows[300:]))]
+    parts = [frame(spark, part) for part in shuffled]
+    have = streamed(spark, tmp_path, parts, lambda s: stateful.with_sequence_state(s, "k", "v", "ok", ["ts"], buckets=3))
+    want, states = [], {}
+    for k, i, s, v, ok in rows:
+        seq, last, total, ema, failures, status = states.get(k, (0, None, 0.0, None, 0, "unknown"))
+        failures = 0 if ok else failures + 1
+        status = "healthy" if ok else "unhealthy" if failures >= stateful.UNHEALTHY_AFTER else status
+        ema = v if ema is None else 0.1 * v + 0.9 * ema
+        states[k] = (seq + 1, v, total + v, ema, failures, status)
+        want.append((s, k, i, seq + 1, v != last, total + v, round(ema, 9), failures, status))
+    found = [(r.s, r.k, r.id, r.seq, r.changed, r.total, round(r.ema, 9), r.consecutive_failures, r.status) for r in have]
+    assert sorted(found, key=lambda r: r[0]) == want
+
+
 def test_greedy_buffers_of_keys_in_few_buckets(spark, tmp_path):
     rows = history()
     mark = [(-1, -1, rows[-1][2] + 10**7, 0.0, True)]
@@ -93,3 +110,19 @@ def test_a_silent_key_is_forgotten_alone():
     assert given(99, ("a", 99)) == [(0, 2, True)]
     assert given(200, ("c", 300)) == [(1, 1, True)]  # b was waiting, a is silent
     assert [k for k, *_ in stateful._unpacked(buffers.chains.get()[0]).itertuples(index=False)] == ["b"]
+
+
+def test_a_key_expires_alone():
+    handle = Held()
+    handle.getValueState = lambda *_: Value()
+    sequences = stateful.SequenceState(["k", "v", "ok"], ["v"], "k", "v", "ok", [], [], 0.1, 1000)
+    sequences.init(handle)
+
+    def given(now, *keys):
+        handle.now = now
+        part = pd.DataFrame([(k, 1.0, True) for k in keys], columns=["k", "v", "ok"])
+        return [s for out in sequences.handleInputRows(0, iter([part]), handle) for s in out["seq"]]
+
+    assert given(0, "a", "b", "a") == [1, 2, 1]
+    assert given(600, "a") == [3]
+    assert given(1200, "a", "b") == [4, 1]
