@@ -3,8 +3,9 @@
 An event counts for the run its key leads to, if it comes after the run's latest start; a later start may reset a run, take a key from
 another run or leave one to it. So what is added up is not kept per run but per key and *epoch*, the stretch from one start under
 that key to the next: sums and the last events of each kind, which merge. A run's row is the merge of its keys' epochs
-from its latest start on, whoever had the key meanwhile; a start opens a new epoch and changes none before. Epochs before the
-earliest latest start under their key can never count again and are left out.
+from its latest start on, whoever had the key meanwhile; a start opens a new epoch and changes none before. Only starts that are their run's latest
+when a state is made open one, since no other can become it later. Epochs before the
+earliest latest start under their key can never count again and are left out; so are the events in them, before they are parsed and placed.
 
 All that a stored state knows lies up to its mark, a place in ``EVENT_ORDER``. Advancing it reads the days from the mark on only. Events that
 arrive later with a time before the mark are not seen; store a state behind the time up to which events are complete.
@@ -24,7 +25,7 @@ from pyspark.sql import types as T
 from ferrylog.functions.schemas import BOOL, DOUBLE, LONG, MOMENT, TEXT, struct
 from ferrylog.operators.ordering import TARGET_ROWS, running
 from ferrylog.plans.event_model import EVENT_ORDER, EVENT_SCHEMA, RUN
-from ferrylog.plans.read_models import COUNTED, KEPT, STARTED, accumulated, link_table, merged, model_rows, parsed, pointing_events, run_keys
+from ferrylog.plans.read_models import COUNTED, KEPT, STARTED, accumulated, link_table, merged, model_rows, parsed, pointing_keys, run_keys
 from ferrylog.session import materialise
 from ferrylog.sources.event_store import delete_folder, events_after, finished
 
@@ -63,13 +64,17 @@ def _place() -> Column:
     return F.struct(*EVENT_ORDER)
 
 
-def _starts_of(events: DataFrame) -> DataFrame:
-    """Every start event in the columns of ``STARTS``."""
-    given = parsed(events.filter(F.col("event_type") == STARTED)).filter(F.col("aggregate_id").isNotNull())
-    return given.select(
-        F.col("aggregate_id").alias("run_id"), "event_id", "correlation_id", F.col("timestamp").alias("started_at"),
-        F.col("_p.source_config").alias("source_config"), F.col("_p.target_config").alias("target_config"), _place().alias("_from"),
+def _latest(old: DataFrame, events: DataFrame) -> DataFrame:
+    """The latest start of every run in the columns of ``STARTS``, and whether it is one of the events; only these are parsed."""
+    rest = ["event_id", "correlation_id", "event_data", "_from"]
+    given = events.filter((F.col("event_type") == STARTED) & F.col("aggregate_id").isNotNull()).withColumn("_from", _place())
+    fresh = given.groupBy(F.col("aggregate_id").alias("run_id")).agg(F.max_by(F.struct(*rest), "_from").alias("_s")).select("run_id", "_s.*")
+    started = parsed(fresh).select(
+        "run_id", "event_id", "correlation_id", F.col("_from.timestamp").alias("started_at"),
+        F.col("_p.source_config").alias("source_config"), F.col("_p.target_config").alias("target_config"), "_from", F.lit(True).alias("_new"),
     )
+    both = old.withColumn("_new", F.lit(False)).unionByName(started)
+    return both.groupBy("run_id").agg(F.max_by(F.struct(*STARTS.fieldNames()[1:], "_new"), "_from").alias("_s")).select("run_id", "_s.*")
 
 
 def _ways(starts: DataFrame) -> DataFrame:
@@ -84,9 +89,22 @@ def _opened(starts: DataFrame) -> DataFrame:
     return _ways(starts).select("way", "link_key", F.col("_from").alias("since")).distinct().withColumns(empty)
 
 
-def _in_epochs(events: DataFrame, old: DataFrame, opened: DataFrame, target_rows: int) -> DataFrame:
+def _needed(starts: DataFrame) -> DataFrame:
+    """``way, link_key, _least``: the place from which on events under a key can count."""
+    return _ways(starts).groupBy("way", "link_key").agg(F.min("_from").alias("_least"))
+
+
+def _counting(events: DataFrame, needed: DataFrame) -> DataFrame:
+    """Events that can count, parsed: those under the keys of latest starts and not before these. Written, since they are gone through several times."""
+    keyed = pointing_keys(events).select("way", "link_key", *EVENT_ORDER, "event_type", "aggregate_id", "event_data")
+    # the needed places are one row per key, so events need not be sorted to meet them
+    found = keyed.join(needed.hint("shuffle_hash"), ["way", "link_key"]).filter(_place() >= F.col("_least"))
+    return materialise(parsed(found).drop("event_data", "_least"), "counting")
+
+
+def _in_epochs(counting: DataFrame, old: DataFrame, opened: DataFrame, target_rows: int) -> DataFrame:
     """Accumulated events per key and epoch; ``old`` has the epochs of the state, all before these events."""
-    pointing = pointing_events(events).select("way", "link_key", *EVENT_ORDER, "event_type", "aggregate_id", "_p", F.lit(1).alias("_kind"))
+    pointing = counting.withColumn("_kind", F.lit(1))
     last = old.groupBy("way", "link_key").agg(F.max("since").alias("since"))  # one epoch per key is open
     bounds = last.unionByName(opened.select(*KEY)).select("way", "link_key", "since", "since.*", F.lit(0).alias("_kind"))
     placed = running(pointing.unionByName(bounds, allowMissingColumns=True), {"_since": ("last", F.col("since"))}, [*EVENT_ORDER, "_kind"], ["way", "link_key"], target_rows)
@@ -97,13 +115,11 @@ def _in_epochs(events: DataFrame, old: DataFrame, opened: DataFrame, target_rows
 def advance(state: RunState, events: DataFrame, target_rows: int = TARGET_ROWS) -> RunState:
     """The state after some more events, all of which come after its mark; each table is one merge of old and new."""
     events = events.select(*EVENT_SCHEMA.fieldNames())
-    fresh = materialise(_starts_of(events), "starts")
-    latest = state.starts.unionByName(fresh).groupBy("run_id").agg(F.max_by(F.struct(*STARTS.fieldNames()[1:]), "_from").alias("_s"))
-    starts = materialise(latest.select("run_id", "_s.*"), "starts")
-    opened = materialise(_opened(fresh), "opened")
-    parts = [state.epochs, opened, _in_epochs(events, state.epochs, opened, target_rows).select(*EPOCHS.fieldNames())]
+    latest = materialise(_latest(state.starts, events), "starts")
+    starts, opened = latest.drop("_new"), _opened(latest.filter("_new"))
+    needed = materialise(_needed(starts), "needed")
+    parts = [state.epochs, opened, _in_epochs(_counting(events, needed), state.epochs, opened, target_rows).select(*EPOCHS.fieldNames())]
     joined = reduce(DataFrame.unionByName, parts).groupBy(*KEY).agg(*merged())
-    needed = _ways(starts).groupBy("way", "link_key").agg(F.min("_from").alias("_least"))
     epochs = joined.join(needed, ["way", "link_key"]).filter("since >= _least").select(*EPOCHS.fieldNames())
     own = events.filter(F.col("aggregate_type") == RUN).groupBy(F.col("aggregate_id").alias("run_id")).agg(F.count(F.lit(1)).alias("replayed"), F.max("event_version").alias("version"))
     counts = state.counts.unionByName(own).groupBy("run_id").agg(F.sum("replayed").alias("replayed"), F.max("version").alias("version"))

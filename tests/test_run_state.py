@@ -92,6 +92,33 @@ def test_unfinished_state_counts_for_nothing(spark, tmp_path):
     assert run_state.saved(spark, states) == [0, 1]
 
 
+def test_only_events_that_can_count_are_placed(spark, monkeypatch):
+    """Events before the latest starts under their key are left out before they are put into epochs, and superseded starts open none."""
+    rows, seen, true_running = history(5), [], run_state.running
+
+    def running(df, *args):
+        seen.append({r["_kind"]: r["n"] for r in df.groupBy("_kind").agg(F.count(F.lit(1)).alias("n")).collect()})
+        return true_running(df, *args)
+
+    monkeypatch.setattr(run_state, "running", running)
+    state = run_state.advance(run_state.empty_state(spark), spark.createDataFrame(rows, EVENT_SCHEMA))
+    latest, ways = {}, {}
+    for r in rows:
+        if r[1] == RUN_STARTED:
+            latest[r[2]] = r
+    for run, r in latest.items():
+        for key in {("own", run), ("link", run), ("link", r[0]), ("link", r[6])}:
+            ways.setdefault(key, set()).add((r[5], r[0]))
+    ways = {k: v for k, v in ways.items() if k[1] is not None}
+    key_of = lambda r: ("own", r[2]) if r[1] in (RUN_COMPLETED, RUN_FAILED) else ("own", r[9].split('"')[3]) if r[1].startswith("rollback.") else ("link", r[6])
+    pointing = [r for r in rows if r[1] not in (RUN_STARTED, "other")]
+    can = [r for r in pointing if key_of(r) in ways and (r[5], r[0]) >= min(ways[key_of(r)])]
+    assert seen == [{0: sum(map(len, ways.values())), 1: len(can)}] and len(can) < len(pointing) / 2
+    whole = read_models.run_read_model(spark.createDataFrame(rows, EVENT_SCHEMA))
+    have = run_state.model_of(state).select(whole.columns)
+    assert have.exceptAll(whole).isEmpty() and whole.exceptAll(have).isEmpty()
+
+
 def test_empty(spark):
     state = run_state.advance(run_state.empty_state(spark), spark.createDataFrame([], EVENT_SCHEMA))
     assert run_state.model_of(state).collect() == [] and state.mark.collect() == []

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import glob
 import hashlib
+import os
 import shutil
 from datetime import datetime, timedelta, timezone
 
@@ -51,6 +52,31 @@ def test_an_append_that_died_between_its_writes_adds_nothing(spark, tmp_path):
     assert sorted(ids) == sorted(f"e{i}" for i in range(15))
 
 
+def test_an_unnamed_batch_is_made_once_and_kept_once(spark, tmp_path):
+    path, made = str(tmp_path / "store"), spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        made.add(1)
+        return text
+
+    watched = events(spark, range(50)).repartition(2).withColumn("event_data", F.udf(seen)("event_data"))
+    event_store.append_events(watched, path)
+    assert made.value == 50  # not once more for the batch's name
+    want = sorted(map(tuple, events(spark, range(50)).collect()))
+    read = lambda: sorted(map(tuple, event_store.read_events(spark, path).drop("event_date").collect()))
+    assert read() == want
+    (folder,) = glob.glob(f"{path}/batch=*")
+    assert folder.endswith(f"batch={event_store.content_name(events(spark, range(50)))}") and not glob.glob(f"{path}_staged/*")
+    event_store.append_events(events(spark, reversed(range(50))), path)  # the same events: nothing is added
+    assert read() == want
+    shutil.rmtree(f"{path}_ids")
+    for name in glob.glob(f"{folder}/*SUCCESS*") + glob.glob(f"{folder}/.*SUCCESS*") + glob.glob(f"{folder}/event_date=2024-03-01"):  # died half-way
+        (shutil.rmtree if "event_date" in name else os.remove)(name)
+    assert read() == []
+    event_store.append_events(events(spark, range(50)), path)
+    assert read() == want and event_store.stored_ids(spark, path, list(range(event_store.ID_BUCKETS))).count() == 50
+
+
 def test_batches_are_merged_and_read_once(spark, tmp_path):
     path, whole = str(tmp_path / "store"), str(tmp_path / "whole")
     for first in (0, 30, 60):
