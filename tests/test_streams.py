@@ -7,9 +7,12 @@ import shutil
 import pytest
 from pyspark.sql import functions as F
 
+from ferrylog.functions import payloads
 from ferrylog.operators.sequences import sliding_window
-from ferrylog.plans.event_model import EVENT_SCHEMA
-from ferrylog.streaming import deliveries, live, merging, numbering
+from ferrylog.plans import read_models
+from ferrylog.plans.event_model import EVENT_SCHEMA, RUN_STARTED
+from ferrylog.streaming import consumers, deliveries, live, merging, numbering
+from test_run_state import history
 
 
 def table(spark, ids):
@@ -60,6 +63,28 @@ def test_a_repeated_batch_delivers_once(spark, tmp_path):
     assert sorted(deliveries.subscriptions(spark, subs).collect()) == [("counts", "data.imported"), ("one", "data.extracted"), ("two", "data.imported")]
 
 
+def test_a_streamed_model_equals_the_whole_fold(spark, tmp_path):
+    """Batches in no order of time, runs that share keys; a start's event is kept under its run only, other keys lead there."""
+    rows, model = history(6, 240), str(tmp_path / "model")
+    handle = consumers.maintain_read_model(str(tmp_path / "store"), model, buckets=2)
+    for number, part in enumerate((rows[1::2], rows[0::4], rows[2::4] + rows[:20])):
+        handle(spark.createDataFrame(part, EVENT_SCHEMA), number)
+    whole = read_models.run_read_model(spark.createDataFrame(rows, EVENT_SCHEMA))
+    have = consumers.current_read_model(spark, model).select(whole.columns)
+    assert have.exceptAll(whole).isEmpty() and whole.exceptAll(have).isEmpty()
+    starts = spark.read.parquet(f"{model}/starts")
+    own = starts.filter("link_key = run_id")
+    assert own.filter("event_data IS NULL").isEmpty() and own.count() == sum(r[1] == RUN_STARTED for r in rows)
+    assert starts.filter("link_key <> run_id AND event_data IS NOT NULL").isEmpty() and starts.count() > own.count()
+
+
+def test_text_is_one_json_value(spark):
+    texts = ["{}", "[]", "1", ' {"a": [1, {"b": 2}]} ', '"x"', "null", "", " ", None, "1]", "1}", "1,2", '1, "v": 2', '1}, {"v": 2', "1], [2", '{"a": 1} x', '{"a": 1}]', '{"a": 1}}', '{"a": 1, "a": 2}', '{"a"', "nul", "{} {}", "[1,]", "1} ]", "1] }"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(payloads.is_json(F.col("t")).alias("is"), payloads.json_value(F.col("t")).isNotNull().alias("was"))
+    found = df.collect()
+    assert [r["is"] for r in found] == [r.was for r in found] == [True] * 6 + [False] * 19
+
+
 def test_policy_is_put_back(spark):
     before = spark.conf.get(merging.POLICY)
     with merging.watermark_policy(spark, "max"):
