@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from ferrylog.functions.schemas import BOOL, DOUBLE, LONG, MOMENT, TEXT, struct
 from ferrylog.operators.ordering import TARGET_ROWS, running
 from ferrylog.plans.event_model import EVENT_ORDER, EVENT_SCHEMA, RUN
-from ferrylog.plans.read_models import COUNTED, KEPT, STARTED, accumulated, link_table, merged, model_rows, parsed, pointing_keys, run_keys
+from ferrylog.plans.read_models import COUNTED, KEPT, STARTED, accumulated, link_table, merged, model_rows, parsed, pointing_events, run_keys
 from ferrylog.session import materialise
 from ferrylog.sources.event_store import delete_folder, events_after, finished
 
@@ -96,7 +96,7 @@ def _needed(starts: DataFrame) -> DataFrame:
 
 def _counting(events: DataFrame, needed: DataFrame) -> DataFrame:
     """Events that can count, parsed: those under the keys of latest starts and not before these. Written, since they are gone through several times."""
-    keyed = pointing_keys(events).select("way", "link_key", *EVENT_ORDER, "event_type", "aggregate_id", "event_data")
+    keyed = pointing_events(events).select("way", "link_key", *EVENT_ORDER, "event_type", "aggregate_id", "event_data")
     # the needed places are one row per key, so events need not be sorted to meet them
     found = keyed.join(needed.hint("shuffle_hash"), ["way", "link_key"]).filter(_place() >= F.col("_least"))
     return materialise(parsed(found).drop("event_data", "_least"), "counting")
